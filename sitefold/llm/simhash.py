@@ -232,3 +232,51 @@ def op6_simhash_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint and class."""
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _shingles(words: int):
+    """Sorted distinct shingle hashes of each text, packed."""
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for x in b.column("text"):
+                parts = (x.as_py() or "").encode().lower().split()
+                n = max(1, len(parts) - words + 1) if parts else 0
+                out.append(np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(parts[i : i + words]), SEED) for i in range(n)], np.uint64)).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column("component_id"), b.column("doc_id"), pa.array(out, pa.binary())], ["component_id", "doc_id", "s"])
+
+    return run
+
+
+def _similar(least: float):
+    def run(batches):
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column("s"), b.column("first")):
+                u, v = (np.frombuffer(t.as_py(), np.uint64) for t in (x, y))
+                both = len(np.intersect1d(u, v, assume_unique=True))
+                keep.append(not len(u) and not len(v) or both >= least * (len(u) + len(v) - both))
+            mask = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").filter(mask)], ["doc_id"])
+
+    return run
+
+
+def drop_near_duplicates(documents: DataFrame, words: int = 5, radius: int = 7, similarity: float = 0.8) -> DataFrame:
+    """The documents without those that repeat the first of their class.
+
+    A document goes if its fingerprint links it to a class and its shingles have
+    a Jaccard similarity of ``similarity`` or more with those of the class's
+    smallest doc_id, which stays. Two texts without words are equal. Rows that
+    repeat a doc_id stay or go together; a null doc_id stays.
+    """
+    d = documents.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    members = near_duplicates(d, words, radius).select("doc_id", "component_id").distinct()
+    many = members.where("doc_id <> component_id").select("component_id").distinct()
+    members = cut(members.join(many, "component_id"))
+    texts = d.join(members, "doc_id").select("component_id", "doc_id", "text").mapInArrow(_shingles(words), "component_id long, doc_id long, s binary")
+    first = texts.where("doc_id = component_id").dropDuplicates(["component_id"]).select(F.col("component_id").alias("c"), F.col("s").alias("first"))
+    pairs = texts.where("doc_id <> component_id").join(first, F.col("component_id") == F.col("c")).select("doc_id", "s", "first")
+    gone = cut(pairs.mapInArrow(_similar(similarity), "doc_id long").distinct().withColumnRenamed("doc_id", "_id"))
+    return documents.join(gone, F.col("doc_id").cast("long") == F.col("_id"), "left_anti")
