@@ -1,6 +1,6 @@
 """Removal of byte strings that occur in an earlier document.
 
-Two equal strings of ``SPAN`` bytes have the same smallest 25-byte hash (their
+Two equal strings of ``SPAN`` bytes have the same smallest 16-byte hash (their
 minimiser), so only texts that share one need to meet:
 
 1. Every document is cut into runs of window starts with equal minimiser. The
@@ -19,15 +19,16 @@ minimiser), so only texts that share one need to meet:
    lies in such a repeat.
 4. Spans are gathered by document and cut out.
 
-Tasks hold one flush or one bucket, both bounded; the number of buckets follows
-the input. The driver holds a row count and the heavy minimisers, at most
-``MOST_HEAVY``.
+Texts travel twice, to meet the answers and the spans, as compressed Arrow batches
+by hash of doc_id; so do runs and answers, packed by bucket. Tasks hold one flush
+or one bucket, both bounded; the numbers of buckets and of parts follow the input.
+The driver holds a total and the heavy minimisers, at most ``MOST_HEAVY``.
 
 Defined cases: null text is empty; a text shorter than ``SPAN`` loses nothing;
-rows that repeat a doc_id don't count as earlier than each other, and spans found
-for either hold for both only if their texts are equal; a null doc_id is neither
-earlier nor later than any; an empty table gives an empty result; further columns
-are ignored, or kept by :func:`drop_repeats`.
+rows that repeat a doc_id are one document: none of them is earlier than another,
+and their texts should be equal, since spans are kept by doc_id; a null doc_id is
+neither earlier nor later than any; an empty table gives an empty result; further
+columns are ignored, or kept by :func:`drop_repeats`.
 """
 
 from __future__ import annotations
@@ -36,44 +37,43 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import cut, table
 
-SPAN, GRAM = 50, 25
-#: Most windows in a run; bytes of text handled at once; entries held before a flush.
-RUN, PART, FLUSH = 64, 1 << 19, 1 << 20
+SPAN, GRAM = 50, 16
+#: Most windows in a run; bytes of text handled at once; entries, and bytes of runs, held before a flush.
+RUN, PART, FLUSH, FLUSH_BYTES = 64, 1 << 19, 1 << 20, 40 << 20
 HEAVY, MOST_HEAVY = 20_000, 1_000_000
-BUCKET_ENTRIES = 1 << 20
+BUCKET_ENTRIES, PART_BYTES, LEVEL = 1 << 20, 48 << 20, 3
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
+_LOW40 = np.uint64((1 << 40) - 1)
 
 
 def _gram_hashes(data: bytes) -> np.ndarray:
-    """A 64-bit hash of the 25 bytes from each offset (offsets too near the end are padded)."""
+    """A 64-bit hash of the 16 bytes from each offset (offsets too near the end are padded)."""
     n = len(data)
-    padded = np.frombuffer(data + b"\0" * 32, np.uint8)
-    w = np.ndarray((n + 24,), "<u8", padded, strides=(1,)).copy()
+    padded = np.frombuffer(data + b"\0" * 16, np.uint8)
+    w = np.ndarray((n + 8,), "<u8", padded, strides=(1,)).copy()
     h = w[:n] * _C[0]
     h ^= h >> np.uint64(29)
-    h += w[8 : n + 8] * _C[1]
+    h += w[8:] * _C[1]
     h *= _C[4]
     h ^= h >> np.uint64(32)
-    h += w[16 : n + 16] * _C[2]
-    h += padded[24 : n + 24] * _C[3]
+    h *= _C[2]
     h ^= h >> np.uint64(31)
-    h *= _C[4]
-    h ^= h >> np.uint64(33)
     return h
 
 
 def _window_minimum(h: np.ndarray) -> np.ndarray:
-    """Minimum of the 26 hashes from each offset, for the offsets that have them."""
+    """Minimum of the 35 hashes from each offset, for the offsets that have them."""
     m = h
-    for step in (1, 2, 4, 8):
+    for step in (1, 2, 4, 8, 16):
         m = np.minimum(m[:-step], m[step:])
-    return np.minimum(m[:-10], m[10:])
+    return np.minimum(m[:-3], m[3:])
 
 
 def window_runs(data: bytes):
@@ -104,22 +104,32 @@ def parts(data: bytes):
         yield at, data[at : at + PART]
 
 
-def _short(m: np.ndarray) -> np.ndarray:
-    """48 bits of a minimiser are sent: more meetings at worst, none less."""
-    return m >> np.uint64(16)
+def _bucket_of(m: np.ndarray, buckets: int) -> np.ndarray:
+    return (m & np.uint64(0xFFFFFF)) % np.uint64(buckets)
 
 
-def _doc_texts(batches):
-    for b in batches:
-        for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text")):
-            t = text.as_py()
-            if doc is not None and t:
-                data = t.encode()
-                if len(data) >= SPAN:
-                    yield doc, data
+def _short(m: np.ndarray, buckets: int) -> np.ndarray:
+    """What is sent of a minimiser: 40 bits, to which a bucket adds 8 of its number. More meetings at worst, none less."""
+    return (m >> np.uint64(24)) | ((_bucket_of(m, buckets) & np.uint64(0xFF)) << np.uint64(40))
 
 
-# -- 1: minimisers ------------------------------------------------------------
+def _pack40(m: np.ndarray) -> bytes:
+    return (m & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() + ((m >> np.uint64(32)) & np.uint64(0xFF)).astype("u1").tobytes()
+
+
+def _unpack40(b: bytes, bucket: int) -> np.ndarray:
+    n = len(b) // 5
+    low = np.frombuffer(b, "<u4", n).astype(np.uint64) | (np.frombuffer(b, "u1", n, 4 * n).astype(np.uint64) << np.uint64(32))
+    return low | np.uint64((bucket & 0xFF) << 40)
+
+
+def _pack48(m: np.ndarray) -> bytes:
+    return (m & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() + (m >> np.uint64(32)).astype("<u2").tobytes()
+
+
+def _unpack48(b: bytes) -> np.ndarray:
+    n = len(b) // 6
+    return np.frombuffer(b, "<u4", n).astype(np.uint64) | (np.frombuffer(b, "<u2", n, 4 * n).astype(np.uint64) << np.uint64(32))
 
 
 def _groups(code: np.ndarray):
@@ -130,9 +140,93 @@ def _groups(code: np.ndarray):
     return order, s[first], first, np.append(first[1:], len(s))
 
 
-def _scan(buckets: int):
-    names = ["bucket", "known", "docs", "ms", "counts"]
+def _mix(doc: np.ndarray) -> np.ndarray:
+    """A hash of doc_ids, for spreading them over parts."""
+    x = doc.astype(np.uint64) * _C[0]
+    return x ^ (x >> np.uint64(32))
+
+
+# -- documents meet what is known of them ---------------------------------------
+
+
+def _ipc(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", LEVEL))) as w:
+        w.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _packed(n_parts: int, kind: int, limit: int):
+    """Rows as compressed Arrow batches by hash of doc_id: ``part, kind, data``."""
+
+    def run(batches):
+        held, size = [], 0
+
+        def flush():
+            t = pa.Table.from_batches(held).combine_chunks()
+            ids = t["doc_id"].cast(pa.int64()).fill_null(0).to_numpy()
+            order, keys, a, b = _groups(_mix(ids) % np.uint64(n_parts))
+            rows = t.take(pa.array(order))
+            out = [_ipc(rows.slice(x, y - x).combine_chunks().to_batches()[0]) for x, y in zip(a.tolist(), b.tolist())]
+            held.clear()
+            for k in range(0, len(out), 64):
+                yield pa.RecordBatch.from_arrays([pa.array(keys[k : k + 64].astype(np.int32)), pa.array([kind] * len(out[k : k + 64]), pa.int32()), pa.array(out[k : k + 64], pa.binary())], ["part", "kind", "data"])
+
+        for b in batches:
+            for at in range(0, b.num_rows, 2000):
+                held.append(b.slice(at, 2000))
+                size += held[-1].get_total_buffer_size() if b.num_rows <= 2000 else held[-1].nbytes
+                if size > limit:
+                    yield from flush()
+                    size = 0
+        if held:
+            yield from flush()
+
+    return run
+
+
+def _meeting(f):
+    """``f(known, rows)`` for each batch of documents, with all that is known of its part: lists by doc_id."""
+
+    def batches_of(batches):
+        part, known = None, {}
+        for b in batches:
+            for p, kind, data in zip(b.column("part").to_pylist(), b.column("kind").to_pylist(), b.column("data")):
+                if p != part:
+                    part, known = p, {}
+                rows = pa.ipc.open_stream(data.as_buffer()).read_all().to_batches()
+                for r in rows:
+                    if kind:
+                        yield known, r
+                    else:
+                        for doc, x in zip(r.column("doc_id").to_pylist(), r.column("known").to_pylist()):
+                            known.setdefault(doc, []).append(x)
+
+    return lambda batches: f(batches_of(batches))
+
+
+def meet(documents: DataFrame, known: DataFrame, n_parts: int, f, schema) -> DataFrame:
+    """Run ``f`` over documents together with the rows of ``known(doc_id, known)`` that are theirs."""
+    d = documents.mapInArrow(_packed(n_parts, 1, 32 << 20), "part int, kind int, data binary")
+    k = known.mapInArrow(_packed(n_parts, 0, 16 << 20), "part int, kind int, data binary")
+    both = k.unionByName(d).repartition(min(n_parts, 20_000), "part").sortWithinPartitions("part", "kind")
+    return both.mapInArrow(_meeting(f), schema)
+
+
+# -- 1: minimisers ------------------------------------------------------------
+
 
+def _doc_texts(batches):
+    for b in batches:
+        for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text")):
+            t = text.as_py()
+            if doc is not None and t:
+                data = t.encode()
+                if len(data) >= SPAN:
+                    yield doc, data
+
+
+def _scan(buckets: int):
     def run(batches):
         docs, ms, held = [], [], 0
 
@@ -146,22 +240,25 @@ def _scan(buckets: int):
             count = np.diff(np.append(first, len(m)))
             shared = np.repeat(count > 1, count)
             out = []
-            for known, dd, mm, cc, to in (
-                (0, d[first], m[first], count, m[first] % np.uint64(buckets)),
-                (1, d[shared], m[shared], None, d[shared].astype(np.uint64) * _C[0] >> np.uint64(40)),
-            ):
-                to = (to % np.uint64(buckets)).astype(np.int64)
-                o, keys, a, b = _groups(to)
-                o = o[np.lexsort((dd[o], to[o]))]
-                for k, x, y in zip(keys.tolist(), a.tolist(), b.tolist()):
-                    i = o[x:y]
-                    out.append((k, known, dd[i].tobytes(), _pack48(mm[i]), b"" if cc is None else np.minimum(cc[i], 65535).astype("<u2").tobytes()))
+            # one of each minimiser asks; those in several documents of this flush are known already
+            to = _bucket_of(m[first], buckets).astype(np.int64)
+            order = np.lexsort((d[first], to))
+            dd, mm, cc, to = d[first][order], m[first][order], count[order], to[order]
+            _, keys, a, b = _groups(to)
+            for k, x, y in zip(keys.tolist(), a.tolist(), b.tolist()):
+                out.append((k, 0, dd[x:y].tobytes(), _pack40(mm[x:y] >> np.uint64(24)), np.minimum(cc[x:y], 65535).astype("<u2").tobytes()))
+            dd, mm = d[shared], _short(m[shared], buckets)
+            order, keys, a, b = _groups((_mix(dd) % np.uint64(buckets)).astype(np.int64))
+            for k, x, y in zip(keys.tolist(), a.tolist(), b.tolist()):
+                i = order[x:y]
+                i = i[np.argsort(dd[i], kind="stable")]
+                out.append((k, 1, dd[i].tobytes(), _pack48(mm[i]), b""))
             docs.clear(), ms.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["bucket", "known", "docs", "ms", "counts"])
 
         for doc, data in _doc_texts(batches):
             for _, part in parts(data):
-                m = np.unique(_short(window_runs(part)[0]))
+                m = np.unique(window_runs(part)[0])
                 ms.append(m)
                 docs.append(np.full(len(m), doc, np.int64))
                 held += len(m)
@@ -174,15 +271,6 @@ def _scan(buckets: int):
     return run
 
 
-def _pack48(m: np.ndarray) -> bytes:
-    return (m >> np.uint64(16)).astype("<u4").tobytes() + (m & np.uint64(0xFFFF)).astype("<u2").tobytes()
-
-
-def _unpack48(b: bytes) -> np.ndarray:
-    n = len(b) // 6
-    return (np.frombuffer(b, "<u4", n).astype(np.uint64) << np.uint64(16)) | np.frombuffer(b, "<u2", n, 4 * n).astype(np.uint64)
-
-
 def _by_bucket(batches, columns):
     """Rows of one bucket after the other, from rows in order of buckets: ``bucket, rows``."""
     now, rows = None, []
@@ -199,7 +287,7 @@ def _by_bucket(batches, columns):
 
 def _answer(heavy: int):
     def run(batches):
-        for _, rows in _by_bucket(batches, ("known", "docs", "ms", "counts")):
+        for bucket, rows in _by_bucket(batches, ("known", "docs", "ms", "counts")):
             for known, d, m, _ in rows:
                 if known:
                     yield _answers(np.frombuffer(d, np.int64), _unpack48(m))
@@ -207,7 +295,7 @@ def _answer(heavy: int):
             if not ask:
                 continue
             d = np.concatenate([np.frombuffer(r[1], np.int64) for r in ask])
-            m = np.concatenate([_unpack48(r[2]) for r in ask])
+            m = np.concatenate([_unpack40(r[2], bucket) for r in ask])
             c = np.concatenate([np.frombuffer(r[3], "<u2") for r in ask]).astype(np.int64)
             order = np.argsort(m, kind="stable")
             d, m, c = d[order], m[order], c[order]
@@ -225,7 +313,7 @@ def _answer(heavy: int):
 def _answers(d: np.ndarray, m: np.ndarray, heavy: bool = False):
     o, keys, a, b = _groups(d)
     return pa.RecordBatch.from_arrays(
-        [pa.array(keys, pa.int64()), pa.array([heavy] * len(keys), pa.bool_()), pa.array([_pack48(m[o[x:y]]) for x, y in zip(a.tolist(), b.tolist())], pa.binary())], ["doc_id", "heavy", "ms"]
+        [pa.array(keys, pa.int64()), pa.array([heavy] * len(keys), pa.bool_()), pa.array([_pack48(m[o[x:y]]) for x, y in zip(a.tolist(), b.tolist())], pa.binary())], ["doc_id", "heavy", "known"]
     )
 
 
@@ -242,68 +330,91 @@ def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def _merged(doc: np.ndarray, a: np.ndarray, b: np.ndarray):
+    """Spans of many documents, overlapping and adjacent ones joined up, in order."""
+    if not len(doc):
+        return doc, a, b
+    order = np.lexsort((a, doc))
+    doc, a, b = doc[order], a[order], b[order]
+    rank = np.cumsum(np.concatenate(([0], doc[1:] != doc[:-1])))
+    base = rank * (1 << 40)
+    reach = np.maximum.accumulate(base + b)
+    at = np.flatnonzero(np.concatenate(([True], (base + a)[1:] > reach[:-1])))
+    end = np.append(at[1:], len(doc)) - 1
+    return doc[at], a[at], reach[end] - base[end]
+
+
+def _coded(slices: list[bytes], codes: dict[bytes, int]) -> np.ndarray:
+    put = codes.setdefault
+    return np.array([put(x, len(codes)) for x in slices], np.int64)
+
+
+def _lowest(code: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """The smallest doc of each row's code."""
+    order, _, first, end = _groups(code)
+    out = np.empty(len(code), np.int64)
+    out[order] = np.repeat(np.minimum.reduceat(doc[order], first), end - first) if len(code) else doc
+    return out
+
+
 def _runs(buckets: int, heavy: np.ndarray):
     """Runs by bucket, and spans already settled: ``bucket, kind, docs, starts, sizes, data``."""
     names = ["bucket", "kind", "docs", "starts", "sizes", "data"]
     kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
 
-    def run(batches):
-        seen: dict[bytes, list] = {}  # run -> [smallest doc, its offsets, bucket, settled [(doc, offset)]]
+    def run(meetings):
+        codes: dict[bytes, int] = {}
+        rows: list[tuple] = []  # arrays: code, bucket, doc, offset, bytes
         held = 0
 
         def flush():
-            by_bucket: dict[int, list] = {}
-            settled: dict[int, list] = {}
-            for data, (doc, at, k, later) in seen.items():
-                by_bucket.setdefault(k, []).append((data, doc, at))
-                for other, x in later:
-                    settled.setdefault(other, []).append((x, x + len(data)))
-            rows = []
-            for k, items in by_bucket.items():
-                n = [len(at) for _, _, at in items]
-                rows.append((k, 0, np.repeat([d for _, d, _ in items], n).astype(np.int64).tobytes(), np.array([x for _, _, at in items for x in at], np.int64).tobytes(), np.repeat([len(c) for c, _, _ in items], n).astype(np.int32).tobytes(), b"".join(c * j for (c, _, _), j in zip(items, n))))
-            for doc, spans in settled.items():
-                s = np.array(_merge(spans), np.int64).reshape(-1, 2)
-                rows.append((doc % buckets, 1, np.full(len(s), doc, np.int64).tobytes(), s[:, 0].tobytes(), (s[:, 1] - s[:, 0]).astype(np.int32).tobytes(), b""))
-            seen.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
-
-        def add(data, k, doc, at):
-            e = seen.get(data)
-            if e is None:
-                seen[data] = [doc, [at], k, []]
-            elif doc == e[0]:
-                e[1].append(at)
-            elif doc > e[0]:
-                e[3].append((doc, at))
-            else:
-                e[3].extend((e[0], x) for x in e[1])
-                e[0], e[1] = doc, [at]
-
-        for b in batches:
-            for doc, text, packed in zip(b.column("doc_id").to_pylist(), b.column("text"), b.column("ms")):
-                wanted = np.unique(np.concatenate([_unpack48(x) for x in packed.as_py()]))
+            code, to, doc, at, size = (np.concatenate(x) for x in zip(*rows))
+            text = [*codes]
+            late = doc > _lowest(code, doc)
+            out = []
+            d, a, b = _merged(doc[late], at[late], at[late] + size[late])
+            order, keys, lo, hi = _groups((_mix(d) % np.uint64(buckets)).astype(np.int64))
+            for k, x, y in zip(keys.tolist(), lo.tolist(), hi.tolist()):
+                i = order[x:y]
+                out.append((k, 1, d[i].tobytes(), a[i].tobytes(), (b[i] - a[i]).tobytes(), b""))
+            code, to, doc, at, size = (x[~late] for x in (code, to, doc, at, size))
+            order, keys, lo, hi = _groups(to)
+            squeeze = zstandard.ZstdCompressor(level=LEVEL).compress
+            for k, x, y in zip(keys.tolist(), lo.tolist(), hi.tolist()):
+                i = order[x:y]
+                out.append((k, 0, doc[i].tobytes(), at[i].tobytes(), size[i].tobytes(), squeeze(b"".join(map(text.__getitem__, code[i].tolist())))))
+            codes.clear(), rows.clear()
+            for k in range(0, len(out), 64):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[k : k + 64]), kinds)], names)
+
+        for known, b in meetings:
+            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text")):
+                if doc not in known or text.as_py() is None:
+                    continue
+                wanted = np.unique(np.concatenate([_unpack48(x) for x in known[doc]]))
                 data = text.as_py().encode()
                 for base, part in parts(data):
                     m, start, size, h = window_runs(part)
-                    short = _short(m)
+                    if not len(m):
+                        continue
+                    short = _short(m, buckets)
                     hit = np.flatnonzero(_in(wanted, short))
                     hot = _in(heavy, short[hit])
-                    for i, s in zip(hit[~hot].tolist(), (short[hit[~hot]] % np.uint64(buckets)).tolist()):
-                        a = int(start[i])
-                        add(part[a : a + int(size[i]) + SPAN - 1], s, doc, base + a)
-                        held += int(size[i]) + 100
-                    for i in hit[hot].tolist():
-                        a, z = int(start[i]), int(start[i] + size[i])
-                        to = ((h[a:z] * _C[0] ^ h[a + GRAM : z + GRAM]) * _C[1] >> np.uint64(20)) % np.uint64(buckets)
-                        for p, k in zip(range(a, z), to.tolist()):
-                            add(part[p : p + SPAN], k, doc, base + p)
-                        held += 150 * (z - a)
-                    if held > 24 * FLUSH:
-                        yield flush()
+                    i = hit[~hot]
+                    a, z = start[i], start[i] + size[i] + SPAN - 1
+                    rows.append((_coded([part[x:y] for x, y in zip(a.tolist(), z.tolist())], codes), _bucket_of(m[i], buckets).astype(np.int64), np.full(len(i), doc, np.int64), a + base, z - a))
+                    held += int((z - a).sum()) + 90 * len(i)
+                    if hot.any():  # each window by its own hash
+                        n = size[hit[hot]]
+                        a = np.repeat(start[hit[hot]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                        to = ((h[a] * _C[0] ^ h[a + SPAN - GRAM]) * _C[1] >> np.uint64(20)) % np.uint64(buckets)
+                        rows.append((_coded([part[x : x + SPAN] for x in a.tolist()], codes), to.astype(np.int64), np.full(len(a), doc, np.int64), a + base, np.full(len(a), SPAN)))
+                        held += 140 * len(a)
+                    if held > FLUSH_BYTES:
+                        yield from flush()
                         held = 0
-        if held:
-            yield flush()
+        if rows:
+            yield from flush()
 
     return run
 
@@ -409,68 +520,77 @@ class SuffixArray:
                     stack.append([depth, first, left])
 
 
-def repeat_spans(strings: list[bytes], docs: list[int], least: int = SPAN) -> list[list[tuple[int, int]]]:
-    """For each string the ranges that also occur in a string of a smaller document."""
+def repeat_spans(strings: list[bytes], docs: np.ndarray, least: int = SPAN):
+    """Ranges that also occur in a string of a smaller document: arrays ``string, start, end``, or None."""
     sa = SuffixArray(strings, least)
-    out: list[list[tuple[int, int]]] = [[] for _ in strings]
     if not len(sa.pos):
-        return out
-    of = np.array(docs, np.int64)[sa.owner]
-    own, at = sa.owner.tolist(), (sa.pos - sa.starts[sa.owner]).tolist()
+        return None
+    of, own, at = np.asarray(docs, np.int64)[sa.owner], sa.owner, sa.pos - sa.starts[sa.owner]
+    found = []
     for length, a, b in sa.maximal_repeats():
-        d = of[a:b]
-        for k in np.flatnonzero(d > d.min()).tolist():
-            out[own[a + k]].append((at[a + k], at[a + k] + length))
-    return out
+        late = np.flatnonzero(of[a:b] > of[a:b].min()) + a
+        if len(late):
+            found.append((own[late], at[late], at[late] + length))
+    return tuple(np.concatenate(x) for x in zip(*found)) if found else None
 
 
 def _spans(batches):
+    opened = zstandard.ZstdDecompressor()
     for _, rows in _by_bucket(batches, ("kind", "docs", "starts", "sizes", "data")):
-        runs: dict[bytes, list] = {}
-        out: dict[int, list] = {}
+        found = []  # arrays: doc, start, end
+        codes: dict[bytes, int] = {}
+        held = []  # arrays: code, doc, offset
         for kind, d, s, n, data in rows:
-            d, s, n = np.frombuffer(d, np.int64).tolist(), np.frombuffer(s, np.int64).tolist(), np.frombuffer(n, np.int32).tolist()
+            d, s, n = (np.frombuffer(x, np.int64) for x in (d, s, n))
             if kind:
-                for doc, a, size in zip(d, s, n):
-                    out.setdefault(doc, []).append((a, a + size))
+                found.append((d, s, s + n))
                 continue
-            at = 0
-            for doc, a, size in zip(d, s, n):
-                runs.setdefault(data[at : at + size], []).append((doc, a))
-                at += size
-        strings, firsts = [*runs], [min(x)[0] for x in runs.values()]
-        found = repeat_spans(strings, firsts)
-        for data, first, ranges in zip(strings, firsts, found):
-            for doc, a in runs[data]:
-                if doc > first:
-                    out.setdefault(doc, []).append((a, a + len(data)))
-                else:
-                    out.setdefault(doc, []).extend((a + x, a + y) for x, y in ranges)
-        ids = [k for k, v in out.items() if v]
-        if ids:
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([np.array(_merge(out[k]), np.int64).tobytes() for k in ids], pa.binary())], ["doc_id", "spans"])
+            data = opened.decompress(data)
+            z = np.cumsum(n)
+            held.append((_coded([data[x:y] for x, y in zip((z - n).tolist(), z.tolist())], codes), d, s, n))
+        if held:
+            code, doc, at, size = (np.concatenate(x) for x in zip(*held))
+            strings, low = [*codes], _lowest(code, doc)
+            late = doc > low
+            found.append((doc[late], at[late], at[late] + size[late]))
+            first = np.empty(len(strings), np.int64)
+            first[code] = low
+            inner = repeat_spans(strings, first)
+            if inner is not None:
+                of, a, b = inner
+                # a string's ranges hold for each of its places in its first document
+                code, doc, at = code[~late], doc[~late], at[~late]
+                order = np.argsort(code, kind="stable")
+                code, doc, at = code[order], doc[order], at[order]
+                lo, hi = np.searchsorted(code, of), np.searchsorted(code, of, "right")
+                n = hi - lo
+                i = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                found.append((doc[i], at[i] + np.repeat(a, n), at[i] + np.repeat(b, n)))
+        doc, a, b = (np.concatenate(x) for x in zip(*found))
+        if len(doc):
+            doc, a, b = _merged(doc, a, b)
+            _, keys, lo, hi = _groups(doc)
+            packed = np.stack((a, b), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([packed[x:y].tobytes() for x, y in zip(lo.tolist(), hi.tolist())], pa.binary())], ["doc_id", "known"])
 
 
 # -- 4: documents -------------------------------------------------------------
 
 
-def find_spans(documents: DataFrame, entries: int = BUCKET_ENTRIES, heavy: int = HEAVY) -> DataFrame:
-    """``doc_id, spans``: per document with any, arrays of packed (start, end) byte ranges."""
+def find_spans(documents: DataFrame, n_parts: int, total: int, entries: int = BUCKET_ENTRIES, heavy: int = HEAVY) -> DataFrame:
+    """``doc_id, known``: packed (start, end) byte ranges, in one or several rows per document with any."""
     d = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    total = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = int(max(16, total / 12 // entries + 1))
-    heavy = max(heavy, total // 12 // MOST_HEAVY)
+    buckets = int(max(16, total // 16 // entries + 1))
+    heavy = max(heavy, total // 16 // MOST_HEAVY)
     minimisers = d.mapInArrow(_scan(buckets), "bucket int, known int, docs binary, ms binary, counts binary")
     n = min(buckets, 20_000)
     asked = minimisers.repartition(n, "bucket").sortWithinPartitions("bucket")
-    answers = cut(asked.mapInArrow(_answer(heavy), "doc_id long, heavy boolean, ms binary"))
-    hot = [_unpack48(bytes(r.ms)) for r in answers.where("heavy").select("ms").collect()]
+    answers = cut(asked.mapInArrow(_answer(heavy), "doc_id long, heavy boolean, known binary"))
+    hot = [_unpack48(bytes(r.known)) for r in answers.where("heavy").select("known").collect()]
     hot = np.unique(np.concatenate(hot)) if hot else np.zeros(0, np.uint64)
-    wanted = answers.where("NOT heavy").groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list("ms").alias("ms"))
-    shared = d.join(wanted, d.doc_id == wanted._id).where("text IS NOT NULL").select("doc_id", "text", "ms")
-    runs = shared.mapInArrow(_runs(buckets, hot), "bucket int, kind int, docs binary, starts binary, sizes binary, data binary")
-    met = runs.repartition(n, "bucket").sortWithinPartitions("bucket")
-    return met.mapInArrow(_spans, "doc_id long, spans binary").groupBy("doc_id").agg(F.collect_list("spans").alias("spans"))
+    wanted = answers.where("NOT heavy").select("doc_id", "known")
+    runs = meet(d, wanted, n_parts, _runs(buckets, hot), "bucket int, kind int, docs binary, starts binary, sizes binary, data binary")
+    return runs.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_spans, "doc_id long, known binary")
 
 
 def cut_out(data: bytes, packed: list[bytes] | None) -> tuple[bytes, list[tuple[int, int]]]:
@@ -484,35 +604,38 @@ def cut_out(data: bytes, packed: list[bytes] | None) -> tuple[bytes, list[tuple[
     return b"".join([*left, data[at:]]), spans
 
 
-def _digest(batches):
-    for b in batches:
+def with_spans(documents: DataFrame, f, schema, entries: int = BUCKET_ENTRIES, heavy: int = HEAVY) -> DataFrame:
+    """Run ``f`` over batches of documents with the spans found in them, by doc_id."""
+    total = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n_parts = int(max(documents.sparkSession.sparkContext.defaultParallelism, total // PART_BYTES + 1))
+    return meet(documents, find_spans(documents, n_parts, total, entries, heavy), n_parts, f, schema)
+
+
+_KINDS = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
+
+
+def _digest(meetings):
+    for known, b in meetings:
         rows = []
-        for doc, text, packed in zip(b.column("doc_id").to_pylist(), b.column("text"), b.column("spans").to_pylist()):
+        for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text")):
             data = (text.as_py() or "").encode()
-            kept, spans = cut_out(data, packed)
+            kept, spans = cut_out(data, known.get(doc))
             rows.append((doc, len(data), len(data) - len(kept), len(spans), hashlib.sha256(kept).hexdigest()))
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-
-
-def _with_spans(documents: DataFrame) -> DataFrame:
-    spans = find_spans(documents).select(F.col("doc_id").alias("_id"), F.col("spans").alias("_spans"))
-    return documents.join(spans, F.col("doc_id").cast("long") == F.col("_id"), "left").drop("_id")
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows), _KINDS)], [n for n, _ in _KINDS])
 
 
 def op10_repeat_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What every document loses and keeps."""
-    d = _with_spans(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    return d.withColumnRenamed("_spans", "spans").mapInArrow(_digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return with_spans(d, _digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def _texts(names: tuple[str, ...]):
-    def run(batches):
-        for b in batches:
+    def run(meetings):
+        for known, b in meetings:
             kept = []
-            for text, packed in zip(b.column("text"), b.column("_spans").to_pylist()):
-                t = text.as_py()
+            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text")):
+                t, packed = text.as_py(), known.get(doc)
                 # a range may end inside a character; what is left of one goes too
                 kept.append(t if not packed or t is None else cut_out(t.encode(), packed)[0].decode(errors="ignore"))
             yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string()) if n == "text" else b.column(n) for n in names], [*names])
@@ -522,6 +645,4 @@ def _texts(names: tuple[str, ...]):
 
 def drop_repeats(documents: DataFrame) -> DataFrame:
     """The documents, rows and columns as they came, without repeated strings in ``text``."""
-    names = tuple(documents.columns)
-    schema = T.StructType([T.StructField(f.name, T.StringType() if f.name == "text" else f.dataType) for f in documents.schema.fields])
-    return _with_spans(documents).mapInArrow(_texts(names), schema)
+    return with_spans(documents, _texts(tuple(documents.columns)), documents.schema)
