@@ -46,7 +46,7 @@ from .common import cut, table
 
 SPAN, GRAM = 50, 16
 #: Most windows in a run; bytes of text handled at once; entries, and bytes of runs, held before a flush.
-RUN, PART, FLUSH, FLUSH_BYTES = 64, 1 << 19, 1 << 20, 40 << 20
+RUN, PART, FLUSH, FLUSH_BYTES = 64, 1 << 19, 1 << 20, 32 << 20
 HEAVY, MOST_HEAVY = 20_000, 1_000_000
 BUCKET_ENTRIES, PART_BYTES, LEVEL = 1 << 20, 48 << 20, 3
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
@@ -169,6 +169,8 @@ def _packed(n_parts: int, kind: int, limit: int):
             rows = t.take(pa.array(order))
             out = [_ipc(rows.slice(x, y - x).combine_chunks().to_batches()[0]) for x, y in zip(a.tolist(), b.tolist())]
             held.clear()
+            del t, rows
+            pa.default_memory_pool().release_unused()
             for k in range(0, len(out), 64):
                 yield pa.RecordBatch.from_arrays([pa.array(keys[k : k + 64].astype(np.int32)), pa.array([kind] * len(out[k : k + 64]), pa.int32()), pa.array(out[k : k + 64], pa.binary())], ["part", "kind", "data"])
 
@@ -207,8 +209,8 @@ def _meeting(f):
 
 def meet(documents: DataFrame, known: DataFrame, n_parts: int, f, schema) -> DataFrame:
     """Run ``f`` over documents together with the rows of ``known(doc_id, known)`` that are theirs."""
-    d = documents.mapInArrow(_packed(n_parts, 1, 32 << 20), "part int, kind int, data binary")
-    k = known.mapInArrow(_packed(n_parts, 0, 16 << 20), "part int, kind int, data binary")
+    d = documents.mapInArrow(_packed(n_parts, 1, 16 << 20), "part int, kind int, data binary")
+    k = known.mapInArrow(_packed(n_parts, 0, 8 << 20), "part int, kind int, data binary")
     both = k.unionByName(d).repartition(min(n_parts, 20_000), "part").sortWithinPartitions("part", "kind")
     return both.mapInArrow(_meeting(f), schema)
 
