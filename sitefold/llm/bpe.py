@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-CHUNK, CACHE, BLOCK = 1 << 20, 300_000, 64
+CHUNK, CACHE, BLOCK = 1 << 19, 300_000, 64
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 # classes of codepoints; END separates texts

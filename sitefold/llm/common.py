@@ -44,5 +44,11 @@ def ascii_lower(col):
     return F.translate(col, UPPER, LOWER)
 
 
+#: Rows of whole texts that go to a Python worker at once. Arrow buffers lie outside
+#: the heap, in the executor and again in the worker.
+BATCH_ROWS = 500
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -46,9 +46,9 @@ from .common import cut, table
 
 SPAN, GRAM = 50, 16
 #: Most windows in a run; bytes of text handled at once; entries, and bytes of runs, held before a flush.
-RUN, PART, FLUSH, FLUSH_BYTES = 64, 1 << 19, 1 << 20, 32 << 20
+RUN, PART, FLUSH, FLUSH_BYTES = 64, 1 << 18, 1 << 19, 24 << 20
 HEAVY, MOST_HEAVY = 20_000, 1_000_000
-BUCKET_ENTRIES, PART_BYTES, LEVEL = 1 << 20, 48 << 20, 3
+BUCKET_ENTRIES, PART_BYTES, LEVEL = 1 << 19, 32 << 20, 3
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 _LOW40 = np.uint64((1 << 40) - 1)
 

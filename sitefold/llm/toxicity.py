@@ -114,7 +114,7 @@ class _Memo(dict):
         self.model = model
 
     def __missing__(self, word: str) -> float:
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = value = self.model.weight(word)
         return value
