@@ -26,8 +26,8 @@ def _pair(panel: Panel, pops, missing_data: str, diploid: bool = False) -> DataF
 def hudson_terms(a: int = 0, b: int = 1) -> tuple[Column, Column]:
     """Numerator and denominator of a site: between - within, and between."""
     n1, d1, n2, d2 = (F.col(x).cast("double") for x in (f"n{a}", f"d{a}", f"n{b}", f"d{b}"))
-    p1, p2 = d1 / n1, d2 / n2
-    unbiased = lambda p, n: F.when(n > 1, p * (1 - p) * n / (n - 1)).otherwise(0.0)
+    p1, p2 = F.try_divide(d1, n1), F.try_divide(d2, n2)
+    unbiased = lambda p, n: F.when(n > 1, F.try_divide(p * (1 - p) * n, n - 1)).otherwise(0.0)
     within = (unbiased(p1, n1) + unbiased(p2, n2)) / 2
     between = (p1 * (1 - p2) + p2 * (1 - p1)) / 2
     ok = (n1 > 0) & (n2 > 0) & (between > 0)
@@ -36,15 +36,15 @@ def hudson_terms(a: int = 0, b: int = 1) -> tuple[Column, Column]:
 
 def dxy_term(a: int = 0, b: int = 1) -> Column:
     n1, d1, n2, d2 = (F.col(x).cast("double") for x in (f"n{a}", f"d{a}", f"n{b}", f"d{b}"))
-    p1, p2 = d1 / n1, d2 / n2
+    p1, p2 = F.try_divide(d1, n1), F.try_divide(d2, n2)
     return F.when((n1 > 0) & (n2 > 0), p1 + p2 - 2 * p1 * p2)
 
 
 def nei_terms(a: int = 0, b: int = 1) -> tuple[Column, Column]:
     """HT - HS and HT of a site."""
     n1, d1, n2, d2 = (F.col(x).cast("double") for x in (f"n{a}", f"d{a}", f"n{b}", f"d{b}"))
-    p1, p2, p = d1 / n1, d2 / n2, (d1 + d2) / (n1 + n2)
-    hs = (n1 * 2 * p1 * (1 - p1) + n2 * 2 * p2 * (1 - p2)) / (n1 + n2)
+    p1, p2, p = F.try_divide(d1, n1), F.try_divide(d2, n2), F.try_divide(d1 + d2, n1 + n2)
+    hs = F.try_divide(n1 * 2 * p1 * (1 - p1) + n2 * 2 * p2 * (1 - p2), n1 + n2)
     ht = 2 * p * (1 - p)
     ok = (n1 > 0) & (n2 > 0)
     return F.when(ok, ht - hs), F.when(ok, ht)
@@ -53,14 +53,15 @@ def nei_terms(a: int = 0, b: int = 1) -> tuple[Column, Column]:
 def wc_terms(a: int = 0, b: int = 1) -> tuple[Column, Column]:
     """Weir and Cockerham's (1984) a and a + b + c of a site, for diploids of two populations."""
     n1, n2 = F.col(f"m{a}").cast("double"), F.col(f"m{b}").cast("double")
-    p1, p2 = F.col(f"a{a}") / (2 * n1), F.col(f"a{b}") / (2 * n2)
+    over = F.try_divide
+    p1, p2 = over(F.col(f"a{a}"), 2 * n1), over(F.col(f"a{b}"), 2 * n2)
     total, nbar = n1 + n2, (n1 + n2) / 2
-    nc = total - (n1 * n1 + n2 * n2) / total
-    p, h = (n1 * p1 + n2 * p2) / total, (F.col(f"h{a}") + F.col(f"h{b}")) / total
-    s2 = (n1 * (p1 - p) * (p1 - p) + n2 * (p2 - p) * (p2 - p)) / nbar
+    nc = total - over(n1 * n1 + n2 * n2, total)
+    p, h = over(n1 * p1 + n2 * p2, total), over(F.col(f"h{a}") + F.col(f"h{b}"), total)
+    s2 = over(n1 * (p1 - p) * (p1 - p) + n2 * (p2 - p) * (p2 - p), nbar)
     pq = p * (1 - p)
-    va = nbar / nc * (s2 - (pq - s2 / 2 - h / 4) / (nbar - 1))
-    vb = nbar / (nbar - 1) * (pq - s2 / 2 - (2 * nbar - 1) * h / (4 * nbar))
+    va = over(nbar, nc) * (s2 - over(pq - s2 / 2 - h / 4, nbar - 1))
+    vb = over(nbar, nbar - 1) * (pq - s2 / 2 - over((2 * nbar - 1) * h, 4 * nbar))
     ok = (n1 > 0) & (n2 > 0) & (nbar > 1) & (nc > 0)
     return F.when(ok, va), F.when(ok, va + vb + h / 2)
 
@@ -171,12 +172,12 @@ def pbs(panel, pop1, pop2, pop3, window_size, window_start=0, window_stop=None,
     sc = indexed.site_counts(*pops, keep=("variant_idx",))
     w = variant_windows(sc, window_size, window_start, window_stop, window_step)
     terms = {(0, 1): hudson_terms(0, 1), (0, 2): hudson_terms(0, 2), (1, 2): hudson_terms(1, 2)}
-    sums = w.groupBy("window_id").agg(*[(F.sum(t[0]) / F.sum(t[1])).alias(f"f{a}{b}") for (a, b), t in terms.items()])
+    sums = w.groupBy("window_id").agg(*[F.try_divide(F.sum(t[0]), F.sum(t[1])).alias(f"f{a}{b}") for (a, b), t in terms.items()])
     branch = lambda c: -F.log(1 - F.least(F.greatest(F.col(c), F.lit(0.0)), F.lit(0.99999)))
     t12, t13, t23 = branch("f01"), branch("f02"), branch("f12")
     value = (t12 + t13 - t23) / 2
     if normed:
-        value = value / (1 + (t12 + t13 + t23) / 2)
+        value = F.try_divide(value, 1 + (t12 + t13 + t23) / 2)
     return sums.select("window_id", F.coalesce(value, F.lit(NAN)).alias("pbs"))
 
 

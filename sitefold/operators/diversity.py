@@ -270,22 +270,22 @@ def pi_components(panel, population=None, n_total_sites=None) -> dict:
 def heterozygosity_expected(panel, population=None, missing_data="include") -> DataFrame:
     """``chrom, pos, he``: 2p(1 - p) of each site, NaN below two calls."""
     sc = _prepared(panel, population, missing_data).site_counts(population)
-    p = F.col("d0") / F.col("n0")
+    p = F.try_divide("d0", "n0")
     return sc.select("chrom", "pos", F.when(F.col("n0") >= 2, 2 * p * (1 - p)).otherwise(F.lit(NAN)).alias("he"))
 
 
 def heterozygosity_observed(panel, population=None, missing_data="include") -> DataFrame:
     """``chrom, pos, ho``: share of heterozygotes among individuals with both calls."""
     sc = _prepared(panel, population, missing_data).site_counts(population, diploid=True)
-    return sc.select("chrom", "pos", F.when(F.col("m0") > 0, F.col("h0") / F.col("m0")).otherwise(F.lit(NAN)).alias("ho"))
+    return sc.select("chrom", "pos", F.when(F.col("m0") > 0, F.try_divide("h0", "m0")).otherwise(F.lit(NAN)).alias("ho"))
 
 
 def inbreeding_coefficient(panel, population=None, missing_data="include") -> DataFrame:
     """``chrom, pos, f``: 1 - observed over expected heterozygosity, NaN where nothing is expected."""
     sc = _prepared(panel, population, missing_data).site_counts(population, diploid=True)
-    p = F.col("d0") / F.col("n0")
-    he, ho = F.when(F.col("n0") >= 2, 2 * p * (1 - p)), F.when(F.col("m0") > 0, F.col("h0") / F.col("m0"))
-    return sc.select("chrom", "pos", F.when(he > 0, F.coalesce(1 - ho / he, F.lit(NAN))).otherwise(F.lit(NAN)).alias("f"))
+    p = F.try_divide("d0", "n0")
+    he, ho = F.when(F.col("n0") >= 2, 2 * p * (1 - p)), F.when(F.col("m0") > 0, F.try_divide("h0", "m0"))
+    return sc.select("chrom", "pos", F.when(he > 0, F.coalesce(1 - F.try_divide(ho, he), F.lit(NAN))).otherwise(F.lit(NAN)).alias("f"))
 
 
 def diplotype_frequency_spectrum(panel, population=None):

@@ -19,7 +19,7 @@ from .resampling import block_jackknife
 def _freq(k: int) -> tuple[Column, Column, Column]:
     """Derived frequency, unbiased p(1 - p) and called haplotypes of population k."""
     n, d = F.col(f"n{k}").cast("double"), F.col(f"d{k}").cast("double")
-    return d / n, d * (n - d) / (n * (n - 1)), n
+    return F.try_divide(d, n), F.try_divide(d * (n - d), n * (n - 1)), n
 
 
 def _nan(c: Column) -> Column:
@@ -28,13 +28,13 @@ def _nan(c: Column) -> Column:
 
 def f2_term(a: int = 0, b: int = 1) -> Column:
     (pa, ha, na), (pb, hb, nb) = _freq(a), _freq(b)
-    return (pa - pb) * (pa - pb) - ha / na - hb / nb
+    return (pa - pb) * (pa - pb) - F.try_divide(ha, na) - F.try_divide(hb, nb)
 
 
 def f3_terms(c: int = 0, a: int = 1, b: int = 2) -> tuple[Column, Column]:
     """T and B of a site: the product of differences less the bias, and twice the heterozygosity of c."""
     (pc, hc, nc), (pa, _, _), (pb, _, _) = _freq(c), _freq(a), _freq(b)
-    return (pc - pa) * (pc - pb) - hc / nc, 2 * hc
+    return (pc - pa) * (pc - pb) - F.try_divide(hc, nc), 2 * hc
 
 
 def d_terms() -> tuple[Column, Column]:
@@ -71,7 +71,7 @@ def _moving(panel, pops, terms, size, start, stop, step, missing_data, ratio=Tru
     w = variant_windows(_sites(panel, pops, missing_data, True), size, start, stop, step)
     x, y = terms
     # terms are null where a population has no calls; sums skip those
-    value = F.sum(x) / F.sum(y) if ratio else F.avg(x)
+    value = F.try_divide(F.sum(x), F.sum(y)) if ratio else F.avg(x)
     return w.groupBy("window_id").agg(_nan(value).alias("value"))
 
 

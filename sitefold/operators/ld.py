@@ -159,7 +159,7 @@ def r_column(suffix: str = "") -> Column:
     """Signed correlation of a row of haplotype counts; null where a site is monomorphic."""
     a, b, c, d = (F.col(x + suffix).cast("double") for x in ("n11", "n10", "n01", "n00"))
     den = (a + b) * (c + d) * (a + c) * (b + d)
-    return F.when(den > 0, (a * d - b * c) / F.sqrt(den))
+    return F.when(den > 0, F.try_divide(a * d - b * c, F.sqrt(den)))
 
 
 def r2_column(suffix: str = "") -> Column:
@@ -172,7 +172,7 @@ def d_prime_column(suffix: str = "") -> Column:
     n = a + b + c + d
     x = a * d - b * c
     top = F.when(x >= 0, F.least((a + b) * (b + d), (c + d) * (a + c))).otherwise(F.least((a + b) * (a + c), (c + d) * (b + d)))
-    return F.when((n > 0) & (top > 0), x / top)
+    return F.when((n > 0) & (top > 0), F.try_divide(x, top))
 
 
 def dd_column(suffix: str = "") -> Column:
@@ -180,7 +180,7 @@ def dd_column(suffix: str = "") -> Column:
     a, b, c, d = (F.col(x + suffix).cast("double") for x in ("n11", "n10", "n01", "n00"))
     n = a + b + c + d
     num = a * (a - 1) * d * (d - 1) + b * (b - 1) * c * (c - 1) - 2 * a * b * c * d
-    return F.when(n >= 4, num / (n * (n - 1) * (n - 2) * (n - 3))).otherwise(0.0)
+    return F.when(n >= 4, F.try_divide(num, n * (n - 1) * (n - 2) * (n - 3))).otherwise(0.0)
 
 
 def segregating(panel: Panel, population=None) -> Panel:
@@ -217,7 +217,7 @@ def pairwise_ld(panel: Panel) -> DataFrame:
     p = pairs(panel)
     a, b, c, d = (F.col(x).cast("double") for x in ("n11", "n10", "n01", "n00"))
     n = a + b + c + d
-    return p.select("chrom", "pos_i", "pos_j", F.when(n > 0, (a * d - b * c) / (n * n)).otherwise(F.lit(NAN)).alias("d"))
+    return p.select("chrom", "pos_i", "pos_j", F.when(n > 0, F.try_divide(a * d - b * c, n * n)).otherwise(F.lit(NAN)).alias("d"))
 
 
 def rogers_huff_r(panel: Panel, max_dist: float | None = None) -> DataFrame:

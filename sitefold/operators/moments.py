@@ -31,7 +31,7 @@ def heterozygosity(panel: Panel, populations, kind: str = "hap") -> dict[str, fl
     terms = []
     for name in het_names(len(populations)):
         i, j = map(int, name.split("_")[1:])
-        x = 2 * d[i] * (n[i] - d[i]) / (n[i] * (n[i] - 1)) if i == j else (d[i] * (n[j] - d[j]) + (n[i] - d[i]) * d[j]) / (n[i] * n[j])
+        x = F.try_divide(2 * d[i] * (n[i] - d[i]), n[i] * (n[i] - 1)) if i == j else F.try_divide(d[i] * (n[j] - d[j]) + (n[i] - d[i]) * d[j], n[i] * n[j])
         ok = n[i] > 1 if i == j else (n[i] > 0) & (n[j] > 0)
         terms.append(F.sum(F.when(ok, x)).alias(name))
     r = sc.agg(*terms).first()

@@ -33,7 +33,7 @@ def standardize_frame(df: DataFrame, column: str, by: str | None = None) -> Data
     x = F.when(~F.isnan(column), F.col(column))
     stats = df.groupBy(*([by] if by else [])).agg(F.avg(x).alias("_m"), F.stddev_pop(x).alias("_s"))
     joined = df.join(F.broadcast(stats), by) if by else df.join(F.broadcast(stats))
-    z = F.when(F.col("_s") > 0, (F.col(column) - F.col("_m")) / F.col("_s")).otherwise(F.lit(NAN))
+    z = F.when(F.col("_s") > 0, F.try_divide(F.col(column) - F.col("_m"), F.col("_s"))).otherwise(F.lit(NAN))
     return joined.withColumn(column, z).drop("_m", "_s")
 
 
@@ -129,9 +129,9 @@ def nsl(panel: Panel, population=None, missing_data="include") -> DataFrame:
     if missing_data == "exclude":
         panel = panel.complete_only(population)
     s = _scan_sums(panel, population)
-    part = lambda x, n: F.sum(F.when(F.col(n) > 0, F.col(x) / F.col(n)))
+    part = lambda x, n: F.sum(F.when(F.col(n) > 0, F.try_divide(x, n)))
     both = s.groupBy("chrom", "pos").agg(part("z", "nz").alias("z"), part("o", "no").alias("o"))
-    return both.select("chrom", "pos", F.coalesce(F.log(F.col("o") / F.col("z")), F.lit(NAN)).alias("nsl"))
+    return both.select("chrom", "pos", F.coalesce(F.log(F.try_divide("o", "z")), F.lit(NAN)).alias("nsl"))
 
 
 def xpnsl(panel: Panel, pop1, pop2, missing_data="include") -> DataFrame:
@@ -140,7 +140,7 @@ def xpnsl(panel: Panel, pop1, pop2, missing_data="include") -> DataFrame:
         panel = panel.complete_only(pop1, pop2)
     n = [len(panel.columns(p)) for p in (pop1, pop2)]
     a, b = (_scan_sums(panel, p).groupBy("chrom", "pos").agg((F.sum("total") / (k * (k - 1) / 2)).alias(x)) for p, k, x in zip((pop1, pop2), n, "ab"))
-    return a.join(b, ["chrom", "pos"]).select("chrom", "pos", F.log(F.col("a") / F.col("b")).alias("xpnsl"))
+    return a.join(b, ["chrom", "pos"]).select("chrom", "pos", F.coalesce(F.log(F.try_divide("a", "b")), F.lit(NAN)).alias("xpnsl"))
 
 
 # -- integrated homozygosity -------------------------------------------------------------
@@ -234,7 +234,7 @@ def ihs(panel: Panel, map_pos: DataFrame | None = None, min_ehh=0.05, min_maf=0.
     if missing_data == "exclude":
         panel = panel.complete_only(population)
     s = _ihh(panel, list(panel.columns(population)), True, map_pos, {"gap_scale": gap_scale, "max_gap": max_gap}, {"min_ehh": min_ehh, "min_maf": min_maf, "include_edges": include_edges})
-    return s.select("chrom", "pos", F.coalesce(F.log(F.col("alt") / F.when(F.col("ref") != 0, F.col("ref"))), F.lit(NAN)).alias("ihs"))
+    return s.select("chrom", "pos", F.coalesce(F.log(F.try_divide("alt", "ref")), F.lit(NAN)).alias("ihs"))
 
 
 def xpehh(panel: Panel, pop1, pop2, map_pos: DataFrame | None = None, min_ehh=0.05, include_edges=False, gap_scale=20_000, max_gap=200_000, missing_data="include") -> DataFrame:
@@ -245,7 +245,7 @@ def xpehh(panel: Panel, pop1, pop2, map_pos: DataFrame | None = None, min_ehh=0.
         _ihh(panel, list(panel.columns(p)), False, map_pos, {"gap_scale": gap_scale, "max_gap": max_gap}, {"min_ehh": min_ehh, "include_edges": include_edges}).withColumnRenamed("all", x)
         for p, x in ((pop1, "a"), (pop2, "b"))
     )
-    return a.join(b, ["chrom", "pos"]).select("chrom", "pos", F.coalesce(F.log(F.col("a") / F.when(F.col("b") != 0, F.col("b"))), F.lit(NAN)).alias("xpehh"))
+    return a.join(b, ["chrom", "pos"]).select("chrom", "pos", F.coalesce(F.log(F.try_divide("a", "b")), F.lit(NAN)).alias("xpehh"))
 
 
 def ehh_decay_of(m: np.ndarray, truncate: bool = False) -> np.ndarray:

@@ -185,14 +185,14 @@ def _single_sums(k: int, n_hap: int, suffix: str) -> list:
     pairs = n * (n - 1)
     when = lambda x: F.sum(F.when(seg, x).otherwise(0.0))
     return [
-        when(2 * d * (n - d) / pairs).alias(f"s_pi{suffix}"),
+        when(F.try_divide(2 * d * (n - d), pairs)).alias(f"s_pi{suffix}"),
         when(F.element_at(_harmonic_lookup(n_hap), F.col(f"n{k}") + 1)).alias(f"s_w{suffix}"),
-        when(2 * d * d / pairs).alias(f"s_h{suffix}"),
-        when(d / (n - 1)).alias(f"s_l{suffix}"),
+        when(F.try_divide(2 * d * d, pairs)).alias(f"s_h{suffix}"),
+        when(F.try_divide(d, n - 1)).alias(f"s_l{suffix}"),
         F.count_if(seg).alias(f"s_seg{suffix}"),
         F.count_if(seg & ((d == 1) | (d == n - 1))).alias(f"s_one{suffix}"),
-        F.max(F.when(seg, d / n).otherwise(0.0)).alias(f"s_daf{suffix}"),
-        F.sum(F.when(n >= 2, 2 * d / n * (1 - d / n))).alias(f"s_he{suffix}"),
+        F.max(F.when(seg, F.try_divide(d, n)).otherwise(0.0)).alias(f"s_daf{suffix}"),
+        F.sum(F.when(n >= 2, 2 * F.try_divide(d, n) * (1 - F.try_divide(d, n)))).alias(f"s_he{suffix}"),
         F.count_if(n >= 2).alias(f"s_he_n{suffix}"),
     ]
 
@@ -208,7 +208,7 @@ def _single_columns(statistics, suffix: str, n_hap: int, span) -> dict:
             return F.lit(NAN)
         alpha, beta = variance_coefficients(w1, w2, n_hap)
         var = alpha * s / a1 + beta * s * (s - 1) / (a1 * a1 + a2)
-        return F.when((var > 0) & (s >= 3), diff / F.sqrt(var)).otherwise(F.lit(NAN))
+        return F.when((var > 0) & (s >= 3), F.try_divide(diff, F.sqrt(var))).otherwise(F.lit(NAN))
 
     tajima, h = test("pi", "watterson", c("pi") - c("w")), (c("pi") - c("h")) / span
     return {
@@ -225,9 +225,9 @@ def _single_columns(statistics, suffix: str, n_hap: int, span) -> dict:
         "singletons": c("one").cast("long"),
         "n_singletons": c("one").cast("long"),
         "max_daf": c("daf"),
-        "het_expected": _nan(c("he") / c("he_n")),
+        "het_expected": _nan(F.try_divide(c("he"), c("he_n"))),
         "mu_var": _nan(F.col("n_variants") / span),
-        "mu_sfs": F.when(c("seg") > 0, c("one") / c("seg")).otherwise(0.0),
+        "mu_sfs": F.when(c("seg") > 0, F.try_divide(c("one"), c("seg"))).otherwise(0.0),
         "snp_dist_mean": _nan(F.col("snp_dist_mean")) if "snp_dist_mean" in statistics else F.lit(NAN),
         "snp_dist_var": _nan(F.col("snp_dist_var")) if "snp_dist_var" in statistics else F.lit(NAN),
         "snp_dist_min": _nan(F.col("snp_dist_min")) if "snp_dist_min" in statistics else F.lit(NAN),
@@ -246,9 +246,9 @@ def _distances(members: DataFrame) -> DataFrame:
 def _pair_sums(a: int, b: int, suffix: str, wc: bool) -> list:
     """Between and within differences per site, for the windowed ratio of sums."""
     n1, d1, n2, d2 = (F.col(x).cast("double") for x in (f"n{a}", f"d{a}", f"n{b}", f"d{b}"))
-    within = lambda n, d: F.when(n > 1, 2 * d * (n - d) / (n * (n - 1))).otherwise(0.0)
+    within = lambda n, d: F.when(n > 1, F.try_divide(2 * d * (n - d), n * (n - 1))).otherwise(0.0)
     ok = (n1 > 0) & (n2 > 0)
-    between = F.when(ok, (d1 * (n2 - d2) + (n1 - d1) * d2) / (n1 * n2)).otherwise(0.0)
+    between = F.when(ok, F.try_divide(d1 * (n2 - d2) + (n1 - d1) * d2, n1 * n2)).otherwise(0.0)
     w1, w2 = within(n1, d1), within(n2, d2)
     out = [F.sum(between).alias(f"s_b{suffix}"), F.sum(F.when(ok, between - (w1 + w2) / 2).otherwise(0.0)).alias(f"s_f{suffix}"), F.sum(w1).alias(f"s_w1{suffix}"), F.sum(w2).alias(f"s_w2{suffix}")]
     if wc:
@@ -259,11 +259,11 @@ def _pair_sums(a: int, b: int, suffix: str, wc: bool) -> list:
 
 def _pair_columns(suffix: str, span) -> dict:
     c = lambda x: F.col(f"s_{x}{suffix}")
-    hudson = F.when(c("b") > 0, c("f") / c("b")).otherwise(F.lit(NAN))
+    hudson = F.when(c("b") > 0, F.try_divide(c("f"), c("b"))).otherwise(F.lit(NAN))
     return {
         "fst": hudson,
         "fst_hudson": hudson,
-        "fst_wc": F.when(c("wcy") != 0, c("wcx") / c("wcy")).otherwise(F.lit(NAN)),
+        "fst_wc": F.when(c("wcy") != 0, F.try_divide(c("wcx"), c("wcy"))).otherwise(F.lit(NAN)),
         "dxy": _nan(c("b") / span),
         "da": _nan((c("b") - (c("w1") + c("w2")) / 2) / span),
     }

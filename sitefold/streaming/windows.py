@@ -23,4 +23,4 @@ def windowed_sums(variants: DataFrame, individual, window_size: int, population=
     sc = Panel(variants, individual=tuple(individual)).site_counts(population)
     n, d = F.col("n0").cast("double"), F.col("d0").cast("double")
     seg = (n >= 2) & (d > 0) & (d < n)
-    return sc.groupBy("chrom", F.floor(F.col("pos") / window_size).cast("long").alias("window")).agg(F.count("*").alias("sites"), F.count_if(seg).alias("segregating"), F.sum(F.when(seg, 2 * d * (n - d) / (n * (n - 1))).otherwise(0.0)).alias("pi"))
+    return sc.groupBy("chrom", F.floor(F.col("pos") / window_size).cast("long").alias("window")).agg(F.count("*").alias("sites"), F.count_if(seg).alias("segregating"), F.sum(F.when(seg, F.try_divide(2 * d * (n - d), n * (n - 1))).otherwise(0.0)).alias("pi"))
