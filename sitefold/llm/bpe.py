@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small_batches, table
 
 CHUNK, CACHE, BLOCK = 1 << 19, 300_000, 64
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -338,6 +338,7 @@ def encode_rows(path: str, keep: tuple[str, ...], decode: bool = True, ids: bool
 
 def encode(documents: DataFrame, path: str | None = None, ids: bool = False) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` and, if asked for, ``ids`` (little-endian unsigned 32-bit)."""
+    small_batches(documents.sparkSession)
     d = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return d.mapInArrow(encode_rows(path or default_path(), ("doc_id",), ids=ids), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * ids)
 

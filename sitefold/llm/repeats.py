@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, table
+from .common import cut, small_batches, table
 
 SPAN, GRAM = 50, 16
 #: Most windows in a run; bytes of text handled at once; entries, and bytes of runs, held before a flush.
@@ -207,11 +207,19 @@ def _meeting(f):
     return lambda batches: f(batches_of(batches))
 
 
+_PACKED = "part int, kind int, data binary"
+
+
+def _packed_known(n_parts: int, f=None):
+    """Packed rows ``doc_id, known``, of the input or of ``f`` run on it in the same worker."""
+    pack = _packed(n_parts, 0, 8 << 20)
+    return pack if f is None else lambda batches: pack(f(batches))
+
+
 def meet(documents: DataFrame, known: DataFrame, n_parts: int, f, schema) -> DataFrame:
-    """Run ``f`` over documents together with the rows of ``known(doc_id, known)`` that are theirs."""
-    d = documents.mapInArrow(_packed(n_parts, 1, 16 << 20), "part int, kind int, data binary")
-    k = known.mapInArrow(_packed(n_parts, 0, 8 << 20), "part int, kind int, data binary")
-    both = k.unionByName(d).repartition(min(n_parts, 20_000), "part").sortWithinPartitions("part", "kind")
+    """Run ``f`` over documents together with what the packed rows ``known`` say of them."""
+    d = documents.mapInArrow(_packed(n_parts, 1, 16 << 20), _PACKED)
+    both = known.unionByName(d).repartition(min(n_parts, 20_000), "part").sortWithinPartitions("part", "kind")
     return both.mapInArrow(_meeting(f), schema)
 
 
@@ -580,7 +588,7 @@ def _spans(batches):
 
 
 def find_spans(documents: DataFrame, n_parts: int, total: int, entries: int = BUCKET_ENTRIES, heavy: int = HEAVY) -> DataFrame:
-    """``doc_id, known``: packed (start, end) byte ranges, in one or several rows per document with any."""
+    """Packed rows ``doc_id, known``: (start, end) byte ranges, in one or several rows per document with any."""
     d = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     buckets = int(max(16, total // 16 // entries + 1))
     heavy = max(heavy, total // 16 // MOST_HEAVY)
@@ -590,9 +598,9 @@ def find_spans(documents: DataFrame, n_parts: int, total: int, entries: int = BU
     answers = cut(asked.mapInArrow(_answer(heavy), "doc_id long, heavy boolean, known binary"))
     hot = [_unpack48(bytes(r.known)) for r in answers.where("heavy").select("known").collect()]
     hot = np.unique(np.concatenate(hot)) if hot else np.zeros(0, np.uint64)
-    wanted = answers.where("NOT heavy").select("doc_id", "known")
+    wanted = answers.where("NOT heavy").select("doc_id", "known").mapInArrow(_packed_known(n_parts), _PACKED)
     runs = meet(d, wanted, n_parts, _runs(buckets, hot), "bucket int, kind int, docs binary, starts binary, sizes binary, data binary")
-    return runs.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_spans, "doc_id long, known binary")
+    return runs.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_packed_known(n_parts, _spans), _PACKED)
 
 
 def cut_out(data: bytes, packed: list[bytes] | None) -> tuple[bytes, list[tuple[int, int]]]:
@@ -608,6 +616,7 @@ def cut_out(data: bytes, packed: list[bytes] | None) -> tuple[bytes, list[tuple[
 
 def with_spans(documents: DataFrame, f, schema, entries: int = BUCKET_ENTRIES, heavy: int = HEAVY) -> DataFrame:
     """Run ``f`` over batches of documents with the spans found in them, by doc_id."""
+    small_batches(documents.sparkSession)
     total = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_parts = int(max(documents.sparkSession.sparkContext.defaultParallelism, total // PART_BYTES + 1))
     return meet(documents, find_spans(documents, n_parts, total, entries, heavy), n_parts, f, schema)

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, small_batches, table
 
 WORDS, RADIUS, SEED = 4, 4, 42
 #: Fingerprints in a tile; a pair of tiles takes some 20 MB in its task.
@@ -271,6 +271,7 @@ def drop_near_duplicates(documents: DataFrame, words: int = 5, radius: int = 7,
     smallest doc_id, which stays. Two texts without words are equal. Rows that
     repeat a doc_id stay or go together; a null doc_id stays.
     """
+    small_batches(documents.sparkSession)
     d = documents.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     members = near_duplicates(d, words, radius).select("doc_id", "component_id").distinct()
     many = members.where("doc_id <> component_id").select("component_id").distinct()

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, table
+from .common import cut, small_batches, table
 
 SAMPLE, LEXICON, GAP = 40_000, 20_000, 0.05
 PREFIXES = (4, 5, 6)
@@ -258,6 +258,7 @@ def score_documents(documents: DataFrame, model: Model, passages: bool = False)
     """The documents with ``tox_score`` and, if asked for, ``passages`` (word positions and scores)."""
     if "tox_score" in documents.columns or "passages" in documents.columns:
         raise ValueError("the documents have a column tox_score or passages")
+    small_batches(documents.sparkSession)
     extra = [T.StructField("tox_score", T.DoubleType())]
     if passages:
         extra.append(T.StructField("passages", T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("past", T.LongType()), T.StructField("score", T.DoubleType())]))))
