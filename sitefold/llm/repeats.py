@@ -210,10 +210,10 @@ def _meeting(f):
 _PACKED = "part int, kind int, data binary"
 
 
-def _packed_known(n_parts: int, f=None):
-    """Packed rows ``doc_id, known``, of the input or of ``f`` run on it in the same worker."""
+def _packed_known(n_parts: int, f):
+    """Packed rows ``doc_id, known`` of what ``f`` finds, in the same worker: an idle one would hold its memory."""
     pack = _packed(n_parts, 0, 8 << 20)
-    return pack if f is None else lambda batches: pack(f(batches))
+    return lambda batches: pack(f(batches))
 
 
 def meet(documents: DataFrame, known: DataFrame, n_parts: int, f, schema) -> DataFrame:
@@ -320,6 +320,27 @@ def _answer(heavy: int):
     return run
 
 
+def _answers_packed(heavy: int, n_parts: int):
+    """Answers as packed rows for documents to meet, and heavy minimisers as rows of part -1 and kind 2."""
+    pack = _packed(n_parts, 0, 8 << 20)
+
+    def run(batches):
+        hot: list[bytes] = []
+
+        def light():
+            for b in _answer(heavy)(batches):
+                if b.num_rows and b.column("heavy")[0].as_py():
+                    hot.extend(b.column("known").to_pylist())
+                else:
+                    yield b.select(["doc_id", "known"])
+
+        yield from pack(light())
+        if hot:
+            yield pa.RecordBatch.from_arrays([pa.array([-1] * len(hot), pa.int32()), pa.array([2] * len(hot), pa.int32()), pa.array(hot, pa.binary())], ["part", "kind", "data"])
+
+    return run
+
+
 def _answers(d: np.ndarray, m: np.ndarray, heavy: bool = False):
     o, keys, a, b = _groups(d)
     return pa.RecordBatch.from_arrays(
@@ -595,10 +616,10 @@ def find_spans(documents: DataFrame, n_parts: int, total: int, entries: int = BU
     minimisers = d.mapInArrow(_scan(buckets), "bucket int, known int, docs binary, ms binary, counts binary")
     n = min(buckets, 20_000)
     asked = minimisers.repartition(n, "bucket").sortWithinPartitions("bucket")
-    answers = cut(asked.mapInArrow(_answer(heavy), "doc_id long, heavy boolean, known binary"))
-    hot = [_unpack48(bytes(r.known)) for r in answers.where("heavy").select("known").collect()]
+    answers = cut(asked.mapInArrow(_answers_packed(heavy, n_parts), _PACKED))
+    hot = [_unpack48(bytes(r.data)) for r in answers.where("kind = 2").select("data").collect()]
     hot = np.unique(np.concatenate(hot)) if hot else np.zeros(0, np.uint64)
-    wanted = answers.where("NOT heavy").select("doc_id", "known").mapInArrow(_packed_known(n_parts), _PACKED)
+    wanted = answers.where("kind = 0")
     runs = meet(d, wanted, n_parts, _runs(buckets, hot), "bucket int, kind int, docs binary, starts binary, sizes binary, data binary")
     return runs.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_packed_known(n_parts, _spans), _PACKED)
 
