@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, table, worker
 
 TRAIN, CODES, PROBE = 16_384, 64, 0.55
 BLOCK_ROWS, BLOCK_QUERIES, K = 2048, 256, 10
@@ -120,7 +120,7 @@ def _assign(index: MultiIndex):
             rows = [pa.array([r.tobytes() for r in x], pa.binary())]
             yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), *rows], ["vec_id", "i", "j", "x"])
 
-    return run
+    return worker(run)
 
 
 def _visit(index: MultiIndex, counts: np.ndarray, want: float):
@@ -133,7 +133,7 @@ def _visit(index: MultiIndex, counts: np.ndarray, want: float):
                     ids.append(q), code.append(i), bits.append(np.packbits(seen[i]).tobytes()), vec.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(code, pa.int32()), pa.array(bits, pa.binary()), pa.array(vec, pa.binary())], ["query_id", "i", "cells", "q"])
 
-    return run
+    return worker(run)
 
 
 def _rank(k: int):
@@ -154,7 +154,7 @@ def _rank(k: int):
                     out[0].extend([query["query_id"]] * len(near)), out[1].extend(eid[may][near].tolist()), out[2].extend(d[near].tolist())
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], ["query_id", "vec_id", "score"])
 
-    return run
+    return worker(run)
 
 
 def search(vectors: DataFrame, every: int = 100, k: int = K, probe: float = PROBE, codes: int = CODES, train: int = TRAIN) -> DataFrame:

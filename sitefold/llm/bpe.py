@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import small_batches, table, worker
 
 CHUNK, CACHE, BLOCK = 1 << 19, 300_000, 64
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -333,7 +333,7 @@ def encode_rows(path: str, keep: tuple[str, ...], decode: bool = True, ids: bool
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(cols, names)
 
-    return run
+    return worker(run)
 
 
 def encode(documents: DataFrame, path: str | None = None, ids: bool = False) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import table, worker
 
 START, END = "<|im_start|>", "<|im_end|>"
 _CONTROL = re.compile(r"<(\\*)\|")
@@ -161,7 +161,7 @@ def _stream_turns(loss_roles):
         if rows:
             yield flush()
 
-    return run
+    return worker(run)
 
 
 def format_turns(events: DataFrame, loss_roles=("assistant",)) -> DataFrame:
@@ -175,6 +175,7 @@ def format_turns(events: DataFrame, loss_roles=("assistant",)) -> DataFrame:
     return ready.select("conv_id", "born", "msg_id", "role", "text").mapInArrow(_stream_turns(tuple(loss_roles)), TURNS)
 
 
+@worker
 def _stream_digests(batches):
     rows, key, state = [], (), None
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +47,21 @@ def ascii_lower(col):
     return F.translate(col, UPPER, LOWER)
 
 
+def worker(run):
+    """Has a task's Python worker, which outlives the task, give back the memory it took."""
+
+    @functools.wraps(run)
+    def task(batches):
+        pa.set_memory_pool(pa.system_memory_pool())
+        yield from run(batches)
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except OSError:  # another C library
+            pass
+
+    return task
+
+
 #: Rows of whole texts that go to a Python worker at once. Arrow buffers lie outside
 #: the heap, in the executor and again in the worker.
 BATCH_ROWS = 500

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, worker
 
 TOP, PER_LANGUAGE = 400, 5000
 #: Codepoints counted at once; counts of parts are added up.
@@ -64,6 +64,7 @@ def ranked(keys: np.ndarray, counts: np.ndarray, top: int = TOP) -> np.ndarray:
     return keys[np.argsort(-counts, kind="stable")[:top]]
 
 
+@worker
 def _profile_counts(batches):
     held: dict[str, list] = {}
     size = 0
@@ -137,7 +138,7 @@ def _judge(profiles: dict[str, np.ndarray], top: int):
             found = [judge(x.as_py()) for x in b.column("text")]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([x for x, _ in found], pa.string()), pa.array([y for _, y in found], pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return run
+    return worker(run)
 
 
 def identify(documents: DataFrame, profiles: dict[str, np.ndarray], top: int = TOP) -> DataFrame:

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, small_batches, table
+from .common import cut, small_batches, table, worker
 
 SPAN, GRAM = 50, 16
 #: Most windows in a run; bytes of text handled at once; entries, and bytes of runs, held before a flush.
@@ -184,7 +184,7 @@ def _packed(n_parts: int, kind: int, limit: int):
         if held:
             yield from flush()
 
-    return run
+    return worker(run)
 
 
 def _meeting(f):
@@ -204,7 +204,7 @@ def _meeting(f):
                         for doc, x in zip(r.column("doc_id").to_pylist(), r.column("known").to_pylist()):
                             known.setdefault(doc, []).append(x)
 
-    return lambda batches: f(batches_of(batches))
+    return worker(lambda batches: f(batches_of(batches)))
 
 
 _PACKED = "part int, kind int, data binary"
@@ -213,7 +213,7 @@ _PACKED = "part int, kind int, data binary"
 def _packed_known(n_parts: int, f):
     """Packed rows ``doc_id, known`` of what ``f`` finds, in the same worker: an idle one would hold its memory."""
     pack = _packed(n_parts, 0, 8 << 20)
-    return lambda batches: pack(f(batches))
+    return worker(lambda batches: pack(f(batches)))
 
 
 def meet(documents: DataFrame, known: DataFrame, n_parts: int, f, schema) -> DataFrame:
@@ -278,7 +278,7 @@ def _scan(buckets: int):
         if held:
             yield flush()
 
-    return run
+    return worker(run)
 
 
 def _by_bucket(batches, columns):
@@ -317,7 +317,7 @@ def _answer(heavy: int):
             if (total > heavy).any():
                 yield _answers(np.zeros((total > heavy).sum(), np.int64), m[first][total > heavy], heavy=True)
 
-    return run
+    return worker(run)
 
 
 def _answers_packed(heavy: int, n_parts: int):
@@ -338,7 +338,7 @@ def _answers_packed(heavy: int, n_parts: int):
         if hot:
             yield pa.RecordBatch.from_arrays([pa.array([-1] * len(hot), pa.int32()), pa.array([2] * len(hot), pa.int32()), pa.array(hot, pa.binary())], ["part", "kind", "data"])
 
-    return run
+    return worker(run)
 
 
 def _answers(d: np.ndarray, m: np.ndarray, heavy: bool = False):
@@ -447,7 +447,7 @@ def _runs(buckets: int, heavy: np.ndarray):
         if rows:
             yield from flush()
 
-    return run
+    return worker(run)
 
 
 def _in(ordered: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -672,7 +672,7 @@ def _texts(names: tuple[str, ...]):
                 kept.append(t if not packed or t is None else cut_out(t.encode(), packed)[0].decode(errors="ignore"))
             yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string()) if n == "text" else b.column(n) for n in names], [*names])
 
-    return run
+    return worker(run)
 
 
 def drop_repeats(documents: DataFrame) -> DataFrame:

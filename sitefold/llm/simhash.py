@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches, table
+from .common import cut, small_batches, table, worker
 
 WORDS, RADIUS, SEED = 4, 4, 42
 #: Fingerprints in a tile; a pair of tiles takes some 20 MB in its task.
@@ -62,7 +62,7 @@ def _fingerprints(words: int):
             out = np.array([fingerprint(x.as_py(), words) for x in b.column("text")], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out, pa.int64())], ["doc_id", "fp"])
 
-    return run
+    return worker(run)
 
 
 def fingerprints(documents: DataFrame, words: int = WORDS) -> DataFrame:
@@ -132,6 +132,7 @@ def compare(a: np.ndarray, b: np.ndarray, radius: int = RADIUS) -> tuple[np.ndar
     return (np.concatenate(left), np.concatenate(right)) if left else (a[:0], b[:0])
 
 
+@worker
 def _pack(batches):
     """Rows of a tile, in order of tiles, to one binary row for each."""
     key, held = None, []
@@ -165,7 +166,7 @@ def _links(radius: int):
                 if len(u):
                     yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
 
-    return run
+    return worker(run)
 
 
 def tile_links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
@@ -246,7 +247,7 @@ def _shingles(words: int):
                 out.append(np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(parts[i : i + words]), SEED) for i in range(n)], np.uint64)).tobytes())
             yield pa.RecordBatch.from_arrays([b.column("component_id"), b.column("doc_id"), pa.array(out, pa.binary())], ["component_id", "doc_id", "s"])
 
-    return run
+    return worker(run)
 
 
 def _similar(least: float):
@@ -260,7 +261,7 @@ def _similar(least: float):
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column("doc_id").filter(mask)], ["doc_id"])
 
-    return run
+    return worker(run)
 
 
 def drop_near_duplicates(documents: DataFrame, words: int = 5, radius: int = 7, similarity: float = 0.8) -> DataFrame:

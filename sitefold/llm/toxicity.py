@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, small_batches, table
+from .common import cut, small_batches, table, worker
 
 SAMPLE, LEXICON, GAP = 40_000, 20_000, 0.05
 PREFIXES = (4, 5, 6)
@@ -141,6 +141,7 @@ def maximal_segments(spots: list[tuple[int, float]], gap: float) -> list[tuple[i
     return [(a, b, hi - lo) for a, b, lo, hi, _ in kept]
 
 
+@worker
 def _counts(batches):
     """Documents with each token, by label; flushed before the counters grow large."""
     tally = (Counter(), Counter())
@@ -172,7 +173,7 @@ def _evidence(model: Model):
                 ["toxic", "evidence", "n_words", "n_segments"],
             )
 
-    return run
+    return worker(run)
 
 
 def held_out(doc_id):
@@ -251,7 +252,7 @@ def _score(model: Model, keep: tuple[str, ...], passages: bool):
                 names.append("passages")
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    return run
+    return worker(run)
 
 
 def score_documents(documents: DataFrame, model: Model, passages: bool = False) -> DataFrame:
