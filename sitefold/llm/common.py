@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -68,7 +70,12 @@ BATCH_ROWS = 500
 
 
 def small_batches(spark: SparkSession) -> None:
+    """Sets the batch size, and lets workers find this package where the driver does."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    root = str(Path(__file__).resolve().parents[2])
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, known) if x)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
