@@ -112,6 +112,8 @@ def pi_within_population(panel, pop, missing_data="include", span_normalize=True
 
 
 def divergence_stats(panel, pop1, pop2, statistics=("fst", "dxy", "da"), missing_data="include", span_normalize=True) -> dict:
+    if missing_data == "include" and len(set(statistics)) > 1:
+        return _stats_in_one_pass(panel, pop1, pop2, statistics, span_normalize)
     make = {
         "fst": lambda: fst(panel, pop1, pop2, "hudson", missing_data),
         "fst_hudson": lambda: fst(panel, pop1, pop2, "hudson", missing_data),
@@ -125,6 +127,28 @@ def divergence_stats(panel, pop1, pop2, statistics=("fst", "dxy", "da"), missing
     return {s: make[s]() for s in statistics}
 
 
+def _stats_in_one_pass(panel, pop1, pop2, statistics, span_normalize) -> dict:
+    """All sums in one aggregate; sites are those of each statistic's own definition."""
+    wc = "fst_wc" in statistics
+    sc = panel.site_counts(pop1, pop2, diploid=wc)
+
+    def within(k):
+        n, d = F.col(f"n{k}").cast("double"), F.col(f"d{k}").cast("double")
+        return F.sum(F.when((n >= 2) & (d > 0) & (d < n), F.try_divide(2 * d * (n - d), n * (n - 1))).otherwise(0.0))
+
+    sums = {"dxy": F.sum(dxy_term()), "n": F.count(dxy_term()), "pi1": within(0), "pi2": within(1)}
+    for name, terms in (("hudson", hudson_terms()), ("nei", nei_terms()), *([("wc", wc_terms())] if wc else [])):
+        sums |= {f"{name}_x": F.sum(terms[0]), f"{name}_y": F.sum(terms[1])}
+    r = sc.agg(*[c.alias(k) for k, c in sums.items()]).first()
+    ratio = lambda k: r[f"{k}_x"] / r[f"{k}_y"] if r[f"{k}_y"] else 0.0
+    span = None if span_normalize is False else panel.get_span("auto" if span_normalize is True else span_normalize)
+    rate = lambda x: x if span is None else x / span if span > 0 else NAN
+    d = 0.0 if not r["n"] else r["dxy"] / r["n"] if span is None else rate(r["dxy"])
+    p1, p2 = rate(r["pi1"] or 0.0), rate(r["pi2"] or 0.0)
+    found = {"fst": ratio("hudson"), "fst_hudson": ratio("hudson"), "fst_nei": ratio("nei"), "fst_wc": ratio("wc") if wc else None, "dxy": d, "da": d - (p1 + p2) / 2, "pi1": p1, "pi2": p2}
+    return {s: found[s] for s in statistics}
+
+
 def pairwise_fst(panel, populations=None, method="hudson", missing_data="include") -> tuple[np.ndarray, list[str]]:
     """Symmetric matrix over populations, from one aggregate."""
     names = list(populations or panel.pops)

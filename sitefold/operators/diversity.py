@@ -34,6 +34,17 @@ def count_table(panel: Panel, population=None, missing_data: str = "include") ->
     return sc.groupBy(F.col("n0").alias("n"), F.col("d0").alias("d")).agg(F.count("*").alias("sites"))
 
 
+def frequency_spectra(panel: Panel, populations, missing_data: str = "include") -> dict[str, FrequencySpectrum]:
+    """The spectra of several populations from one pass (with ``exclude``, one each)."""
+    names = list(populations)
+    if missing_data != "include":
+        return {p: FrequencySpectrum(panel, p, missing_data, n_total_sites=0) for p in names}
+    sc = panel.site_counts(*names)
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"n{k}").alias("n"), F.col(f"d{k}").alias("d")) for k in range(len(names))])).alias("x")
+    rows = sc.select(each).groupBy("x.k", "x.n", "x.d").agg(F.count("*").alias("sites")).collect()
+    return {p: FrequencySpectrum(table=[(r.n, r.d, r.sites) for r in rows if r.k == k]) for k, p in enumerate(names)}
+
+
 class FrequencySpectrum:
     """Sites grouped by sample size; spectra, estimators and tests follow from it."""
 
@@ -199,12 +210,12 @@ _STATISTICS = {
 }
 
 
-def diversity_stats(panel, population=None, statistics=("pi", "theta_w", "tajimas_d"), span_normalize=True, missing_data="include") -> dict:
-    """Several statistics from one pass over the panel."""
+def diversity_stats(panel, population=None, statistics=("pi", "theta_w", "tajimas_d"), span_normalize=True, missing_data="include", spectrum: FrequencySpectrum | None = None) -> dict:
+    """Several statistics from one pass over the panel, or from a spectrum at hand."""
     unknown = set(statistics) - set(_STATISTICS) - {"haplotype_diversity"}
     if unknown:
         raise ValueError(f"unknown statistics {sorted(unknown)}")
-    s = _spectrum(panel, population, missing_data)
+    s = spectrum if spectrum is not None else _spectrum(panel, population, missing_data)
     span = 1.0 if span_normalize is False else panel.get_span("auto" if span_normalize is True else span_normalize)
     return {k: haplotype_diversity(panel, population, missing_data) if k == "haplotype_diversity" else _STATISTICS[k](s, span) for k in statistics}
 

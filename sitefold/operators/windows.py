@@ -43,14 +43,12 @@ class WindowParams:
         return self.step_size or self.window_size
 
 
-def _bounds(panel: Panel, chrom_start: int | None, chrom_end: int | None) -> DataFrame:
-    """``chrom, lo, hi`` of each chromosome with variants."""
-    b = panel.variants.groupBy("chrom").agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"))
-    if chrom_start is not None:
-        b = b.withColumn("lo", F.lit(chrom_start).cast("long"))
-    if chrom_end is not None:
-        b = b.withColumn("hi", F.lit(chrom_end).cast("long"))
-    return b
+def _bounds(panel: Panel, chrom_start: int | None, chrom_end: int | None) -> list[tuple[str, int, int]]:
+    """Name, first and last position of each chromosome with variants; one pass for all that ask."""
+    if "_chromosomes" not in panel.__dict__:
+        rows = panel.variants.groupBy("chrom").agg(F.min("pos").alias("lo"), F.max("pos").alias("hi")).collect()
+        object.__setattr__(panel, "_chromosomes", sorted((r.chrom, r.lo, r.hi) for r in rows))
+    return [(c, lo if chrom_start is None else chrom_start, hi if chrom_end is None else chrom_end) for c, lo, hi in panel.__dict__["_chromosomes"]]
 
 
 def window_list(panel: Panel, params: WindowParams, from_first_variant: bool = False) -> DataFrame:
@@ -59,7 +57,7 @@ def window_list(panel: Panel, params: WindowParams, from_first_variant: bool = F
         rows = [(str(r[0]), i, int(r[1]), int(r[2])) for i, r in enumerate(params.regions)]
         return panel.spark.createDataFrame(rows, "chrom string, window_id long, start long, end long")
     lo, hi = (None, None) if from_first_variant else (panel.chrom_start, panel.chrom_end)
-    bounds = sorted((r.chrom, r.lo, r.hi) for r in _bounds(panel, lo, hi).collect())  # a row per chromosome
+    bounds = _bounds(panel, lo, hi)
     rows, at = [], 0
     for chrom, lo, hi in bounds:
         n = max(1, -(-(hi - lo) // params.step))
@@ -77,7 +75,7 @@ def _members(df: DataFrame, panel: Panel, params: WindowParams, from_first_varia
         w = F.broadcast(window_list(panel, params).withColumnRenamed("chrom", "_c"))  # as given by the caller
         return df.join(w, (df.chrom == w._c) & (df.pos >= w.start) & (df.pos < w.end)).drop("_c", "start", "end")
     lo, hi = (None, None) if from_first_variant else (panel.chrom_start, panel.chrom_end)
-    bounds = sorted((r.chrom, r.lo, r.hi) for r in _bounds(panel, lo, hi).collect())
+    bounds = _bounds(panel, lo, hi)
     if not bounds:
         return df.withColumn("window_id", F.lit(0).cast("long")).where("false")
     low, first, count, at = [], [], [], 0
@@ -147,7 +145,7 @@ def windowed(panel: Panel, params: WindowParams, statistics=("pi",), populations
     out = out.select("chrom", "window_id", "start", "end", *zero)
     end = F.col("end") if panel.chrom_end is None or params.window_type != "bp" else F.least("end", F.lit(panel.chrom_end))
     if panel.chrom_end is None and params.window_type == "bp" and not from_first_variant:
-        last = {r.chrom: r.hi for r in _bounds(base, None, None).collect()}
+        last = {c: hi for c, _, hi in _bounds(base, None, None)}
         if last:
             end = F.least("end", F.element_at(F.create_map(*[x for c, h in last.items() for x in (F.lit(c), F.lit(h).cast("long"))]), F.col("chrom")))
     out = out.withColumn("stop", F.col("end")).withColumn("end", end)

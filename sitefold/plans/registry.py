@@ -73,8 +73,8 @@ TAJIMA = """LATERAL (SELECT sum(1.0e0/i) AS a1, sum(1.0e0/(i*i)) AS a2 FROM rang
 def diversity_by_population(spark, sf_dir):
     p = panel(spark, sf_dir)
     rows = []
-    for name in p.pops:
-        s = diversity.diversity_stats(p, name, ("segregating_sites", "pi", "theta_w", "theta_h", "theta_l", "singletons"), span_normalize=False)
+    for name, spectrum in diversity.frequency_spectra(p, p.pops).items():
+        s = diversity.diversity_stats(p, name, ("segregating_sites", "pi", "theta_w", "theta_h", "theta_l", "singletons"), span_normalize=False, spectrum=spectrum)
         rows.append((name, s["segregating_sites"], s["pi"], s["theta_w"], s["theta_h"], s["theta_l"], s["pi"] - s["theta_h"], s["singletons"]))
     return tidy(spark.createDataFrame(rows, "pop string, segregating_sites long, pi double, theta_w double, theta_h double, theta_l double, fay_wus_h double, singletons long"))
 
@@ -85,7 +85,7 @@ def diversity_by_population(spark, sf_dir):
 )
 def tajimas_d_by_population(spark, sf_dir):
     p = panel(spark, sf_dir)
-    return tidy(spark.createDataFrame([(name, diversity.tajimas_d(p, name)) for name in p.pops], "pop string, tajimas_d double"))
+    return tidy(spark.createDataFrame([(name, s.test("pi", "watterson")) for name, s in diversity.frequency_spectra(p, p.pops).items()], "pop string, tajimas_d double"))
 
 
 @query()

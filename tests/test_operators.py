@@ -368,3 +368,14 @@ def test_enclosing_circle():
         c, r = decomposition.enclosing_circle(x)
         d = np.linalg.norm(x - c, axis=1)
         assert d.max() <= r + 1e-9 and (n == 1 or (np.abs(d - r) < 1e-6).sum() >= 2)
+
+
+def test_one_pass_equals_many(holes):
+    p, *_ = holes
+    names = ("fst_hudson", "fst_nei", "fst_wc", "dxy", "da", "pi1", "pi2")
+    for span in (True, False):
+        got = divergence.divergence_stats(p, "a", "b", names, span_normalize=span)
+        for s in names:
+            assert math.isclose(got[s], divergence.divergence_stats(p, "a", "b", (s,), span_normalize=span)[s], rel_tol=1e-12), s
+    for name, s in diversity.frequency_spectra(p, ["a", "b"]).items():
+        assert math.isclose(s.test("pi", "watterson"), diversity.tajimas_d(p, name), rel_tol=1e-12)
