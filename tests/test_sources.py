@@ -101,3 +101,18 @@ def test_stream_equals_batch(spark, tmp_path):
     got = sorted((r.window, r.sites, round(r.pi, 9)) for r in spark.table("sums").collect())
     want = sorted((r.window, r.sites, round(r.pi, 9)) for r in stream.windowed_sums(p.variants, p.individual, 1000).collect())
     assert got == want and abs(sum(x[2] for x in got) - diversity.pi(p, span_normalize=False)) < 1e-6
+
+
+def test_command_line(spark, vcf, tmp_path):
+    from sitefold import api, cli
+
+    pops = tmp_path / "pops.txt"
+    pops.write_text("sample pop\ns0 x\ns1 y\n")
+    cli.main(["scan", vcf, str(tmp_path / "out"), "--pops", str(pops), "--window", "100", "--region", "1:1-300"])
+    w = spark.read.parquet(str(tmp_path / "out" / "windows"))
+    assert w.count() == 3 and {"pi", "fst", "garud_h1"} <= set(w.columns)
+    scalars = {(r.population, r.statistic): r.value for r in spark.read.parquet(str(tmp_path / "out" / "scalars")).collect()}
+    assert scalars["x", "segregating_sites"] == 1 and ("x,y", "dxy") in scalars
+    cli.main(["convert", vcf, str(tmp_path / "store")])
+    assert spark.read.parquet(str(tmp_path / "store")).count() == 3
+    assert callable(api.ihs) and callable(api.lostruct)
