@@ -29,6 +29,8 @@ from .common import cut, small_batches, table, worker
 WORDS, RADIUS, SEED = 4, 4, 42
 #: Fingerprints in a tile; a pair of tiles takes some 20 MB in its task.
 TILE = 8192
+#: Documents of a class that meet its first document in one task.
+SHARE = 200
 
 
 def fingerprint(text: str | None, words: int = WORDS) -> int:
@@ -275,10 +277,16 @@ def drop_near_duplicates(documents: DataFrame, words: int = 5, radius: int = 7,
     small_batches(documents.sparkSession)
     d = documents.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     members = near_duplicates(d, words, radius).select("doc_id", "component_id").distinct()
-    many = members.where("doc_id <> component_id").select("component_id").distinct()
-    members = cut(members.join(many, "component_id"))
-    texts = d.join(members, "doc_id").select("component_id", "doc_id", "text").mapInArrow(_shingles(words), "component_id long, doc_id long, s binary")
-    first = texts.where("doc_id = component_id").dropDuplicates(["component_id"]).select(F.col("component_id").alias("c"), F.col("s").alias("first"))
-    pairs = texts.where("doc_id <> component_id").join(first, F.col("component_id") == F.col("c")).select("doc_id", "s", "first")
+    # a large class is dealt over several shares, each of which gets the first document's shingles
+    sizes = members.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1").select("component_id", F.ceil(F.col("n") / SHARE).cast("int").alias("shares"))
+    members = cut(members.join(sizes, "component_id"))
+    texts = d.join(members.drop("shares"), "doc_id").select("component_id", "doc_id", "text").mapInArrow(_shingles(words), "component_id long, doc_id long, s binary")
+    texts = cut(texts)
+    heads = members.where("doc_id = component_id").select("component_id", "shares")
+    first = texts.where("doc_id = component_id").dropDuplicates(["component_id"]).join(heads, "component_id")
+    first = first.select(F.col("component_id").alias("c"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.col("s").alias("first"))
+    rest = members.where("doc_id <> component_id").select("doc_id", F.pmod(F.xxhash64("doc_id"), F.col("shares")).cast("int").alias("own"))
+    rest = texts.where("doc_id <> component_id").join(rest, "doc_id")
+    pairs = rest.join(first, (F.col("component_id") == F.col("c")) & (F.col("own") == F.col("share"))).select("doc_id", "s", "first")
     gone = cut(pairs.mapInArrow(_similar(similarity), "doc_id long").distinct().withColumnRenamed("doc_id", "_id"))
     return documents.join(gone, F.col("doc_id").cast("long") == F.col("_id"), "left_anti")
