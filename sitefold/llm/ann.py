@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import cut, table, worker
 
 TRAIN, CODES, PROBE = 16_384, 64, 0.55
-BLOCK_ROWS, BLOCK_QUERIES, K = 2048, 256, 10
+BLOCK_ROWS, BLOCK_QUERIES, PAIR_ROWS, K = 2048, 256, 16, 10
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -186,7 +186,14 @@ def search(vectors: DataFrame, every: int = 100, k: int = K, probe: float = PROB
     qb = asked.groupBy("i", F.pmod(F.xxhash64("query_id"), F.element_at(lookup_q, F.col("i"))).alias("qpart")).agg(F.collect_list(F.struct("query_id", "cells", "q")).alias("queries"))
     # a pair of blocks a task at a time; the exchange spreads hot codes
     pairs = eb.join(qb.withColumnRenamed("i", "qi"), F.col("i") == F.col("qi")).select("entries", "queries")
-    found = pairs.mapInArrow(_rank(k), "query_id long, vec_id long, score double")
+    # a row is a pair of blocks, so a few of them make a batch
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, PAIR_ROWS)
+    try:
+        found = cut(pairs.mapInArrow(_rank(k), "query_id long, vec_id long, score double"))
+    finally:
+        spark.conf.set(setting, before)
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
