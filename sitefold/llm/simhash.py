@@ -134,6 +134,52 @@ def compare(a: np.ndarray, b: np.ndarray, radius: int = RADIUS) -> tuple[np.ndar
     return (np.concatenate(left), np.concatenate(right)) if left else (a[:0], b[:0])
 
 
+def closest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of links a-b some that span all classes, fewer differing bits before more; none is made up."""
+    if not len(a):
+        return a, b
+    nodes, code = np.unique(np.concatenate((a, b)), return_inverse=True)
+    x, y = code[: len(a)], code[len(a) :]
+    bits = np.bitwise_count(a ^ b)
+    root, keep = np.arange(len(nodes)), []
+    for n in np.unique(bits):
+        left = np.flatnonzero(bits == n)
+        while True:
+            left = left[root[x[left]] != root[y[left]]]
+            if not len(left):
+                break
+            # each class takes one link out of it; the classes so linked become one
+            ends = np.concatenate((root[x[left]], root[y[left]]))
+            first = np.unique(np.unique(ends, return_index=True)[1] % len(left))
+            taken = left[first]
+            keep.append(taken)
+            u, v = root[x[taken]], root[y[taken]]
+            child, low = forest(u, v)
+            to = np.arange(len(nodes))
+            to[child] = low
+            root = to[root]
+    keep = np.concatenate(keep) if keep else np.zeros(0, np.int64)
+    return a[keep], b[keep]
+
+
+def compare_all(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """As :func:`compare`, for radii at which hardly a run could be skipped; links as :func:`closest` keeps them."""
+    left, right, held = [a[:0]], [b[:0]], 0
+    for lo in range(0, len(a), 128):
+        own = a[lo : lo + 128]
+        i, j = np.nonzero(np.bitwise_count(own[:, None] ^ b[None, :]) <= radius)
+        if len(i):
+            left.append(own[i])
+            right.append(b[j])
+            held += len(i)
+        if held > 1 << 20:
+            x, y = closest(np.concatenate(left), np.concatenate(right))
+            left, right, held = [x], [y], 0
+    x, y = np.concatenate(left), np.concatenate(right)
+    different = x != y
+    return closest(x[different], y[different])
+
+
 @worker
 def _pack(batches):
     """Rows of a tile, in order of tiles, to one binary row for each."""
@@ -157,22 +203,28 @@ def _pack(batches):
         yield out()
 
 
-def _links(radius: int):
+def _links(radius: int, real: bool):
     def run(batches):
         for batch in batches:
-            for x, y, same in zip(batch.column("x"), batch.column("y"), batch.column("same").to_pylist()):
+            for x, y in zip(batch.column("x"), batch.column("y")):
                 a, b = (np.frombuffer(v.as_py(), np.uint64) for v in (x, y))
-                u, v = compare(a, b, radius)
-                keep = u != v
-                u, v = forest(u[keep], v[keep])
+                if real:
+                    u, v = compare_all(a, b, radius)
+                else:
+                    u, v = compare(a, b, radius)
+                    keep = u != v
+                    u, v = forest(u[keep], v[keep])
                 if len(u):
                     yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
 
     return worker(run)
 
 
-def tile_links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """Links ``u, v`` between the distinct fingerprints ``fp``: every class, not every pair."""
+def tile_links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE, real: bool = False) -> DataFrame:
+    """Links ``u, v`` between the distinct fingerprints ``fp``: every class, not every pair.
+
+    With ``real`` each is a pair within the radius, and the closest come first.
+    """
     d = distinct.select("fp", F.bit_count("fp").cast("int").alias("pop"))
     sizes = {r.pop: r.n for r in d.groupBy("pop").agg(F.count("*").alias("n")).collect()}  # 65 rows at most
     parts = {p: -(-n // tile) for p, n in sizes.items()}
@@ -189,8 +241,7 @@ def tile_links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> D
     a = tiles.select("pop", "part", F.col("fps").alias("x"))
     b = tiles.select(F.col("pop").alias("q"), F.col("part").alias("r"), F.col("fps").alias("y"))
     pairs = up.join(a, ["pop", "part"]).repartition(max(1, min(total * 4, 4096)), "pop", "part", "q", "r").join(b, ["q", "r"])
-    same = (F.col("pop") == F.col("q")) & (F.col("part") == F.col("r"))
-    return pairs.select("x", "y", same.alias("same")).mapInArrow(_links(radius), "u long, v long")
+    return pairs.select("x", "y").mapInArrow(_links(radius, real), "u long, v long")
 
 
 def classes(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -266,27 +317,43 @@ def _similar(least: float):
     return worker(run)
 
 
-def drop_near_duplicates(documents: DataFrame, words: int = 5, radius: int = 7, similarity: float = 0.8) -> DataFrame:
-    """The documents without those that repeat the first of their class.
+def _alike(fps: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Of links ``u, v`` those whose texts' shingles are alike; ``texts`` has ``fp, s``."""
+    left, right = (texts.select(F.col("fp").alias(k), F.col("s").alias(n)) for k, n in (("u", "s"), ("v", "first")))
+    both = fps.select("u", "v", F.monotonically_increasing_id().alias("doc_id")).join(left, "u").join(right, "v")
+    return both.select(F.struct("u", "v").alias("doc_id"), "s", "first").mapInArrow(_similar(similarity), "doc_id struct<u:long,v:long>").select("doc_id.u", "doc_id.v")
+
+
+def drop_near_duplicates(documents: DataFrame, words: int = 5, radius: int = 12, similarity: float = 0.8) -> DataFrame:
+    """The documents without those that repeat another of their group.
 
-    A document goes if its fingerprint links it to a class and its shingles have
-    a Jaccard similarity of ``similarity`` or more with those of the class's
-    smallest doc_id, which stays. Two texts without words are equal. Rows that
-    repeat a doc_id stay or go together; a null doc_id stays.
+    Two texts are linked if their fingerprints differ in ``radius`` bits at most and
+    the Jaccard similarity of their shingles is ``similarity`` or more; of each group
+    so linked the smallest doc_id stays. Of texts with equal fingerprints the smallest
+    doc_id stands for those that are alike to it. Two texts without words are equal.
+    Rows that repeat a doc_id stay or go together; a null doc_id stays.
     """
     small_batches(documents.sparkSession)
     d = documents.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    members = near_duplicates(d, words, radius).select("doc_id", "component_id").distinct()
-    # a large class is dealt over several shares, each of which gets the first document's shingles
-    sizes = members.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1").select("component_id", F.ceil(F.col("n") / SHARE).cast("int").alias("shares"))
-    members = cut(members.join(sizes, "component_id"))
-    texts = d.join(members.drop("shares"), "doc_id").select("component_id", "doc_id", "text").mapInArrow(_shingles(words), "component_id long, doc_id long, s binary")
-    texts = cut(texts)
-    heads = members.where("doc_id = component_id").select("component_id", "shares")
-    first = texts.where("doc_id = component_id").dropDuplicates(["component_id"]).join(heads, "component_id")
-    first = first.select(F.col("component_id").alias("c"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.col("s").alias("first"))
-    rest = members.where("doc_id <> component_id").select("doc_id", F.pmod(F.xxhash64("doc_id"), F.col("shares")).cast("int").alias("own"))
-    rest = texts.where("doc_id <> component_id").join(rest, "doc_id")
-    pairs = rest.join(first, (F.col("component_id") == F.col("c")) & (F.col("own") == F.col("share"))).select("doc_id", "s", "first")
-    gone = cut(pairs.mapInArrow(_similar(similarity), "doc_id long").distinct().withColumnRenamed("doc_id", "_id"))
+    prints = cut(fingerprints(d, words).distinct())
+    groups = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
+    # a large group of equal fingerprints is dealt over several shares, each of which gets its first text
+    groups = groups.withColumn("shares", F.ceil(F.col("n") / SHARE).cast("int"))
+    links = cut(tile_links(groups.select("fp"), radius, real=True).distinct())
+    ends = links.select(F.col("u").alias("fp")).union(links.select("v")).distinct()
+    asked = groups.join(ends.withColumn("linked", F.lit(True)), "fp", "left").where("linked OR n > 1")
+    asked = cut(prints.join(asked, "fp").where("n > 1 OR doc_id = first").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("shares")).cast("int")))
+    texts = d.join(asked, "doc_id").select(F.col("fp").alias("component_id"), "doc_id", "text").mapInArrow(_shingles(words), "component_id long, doc_id long, s binary")
+    texts = cut(texts.withColumnRenamed("component_id", "fp"))
+    heads = texts.join(asked.where("doc_id = first").select("doc_id", "shares"), "doc_id").dropDuplicates(["fp"])
+    heads = cut(heads.select("fp", "s", "shares"))
+    first = heads.where("shares > 0").select(F.col("fp").alias("c"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.col("s").alias("first"))
+    rest = texts.join(asked.where("doc_id <> first").select("doc_id", "own"), "doc_id")
+    pairs = rest.join(first, (F.col("fp") == F.col("c")) & (F.col("own") == F.col("share"))).select("doc_id", "s", "first")
+    copies = pairs.mapInArrow(_similar(similarity), "doc_id long").distinct()
+    found = classes(_alike(links, heads.select("fp", "s"), similarity))
+    linked = groups.join(found, groups.fp == found.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    lowest = linked.groupBy("root").agg(F.min("first").alias("lowest"))
+    others = linked.join(lowest, "root").where("first <> lowest").select("first")
+    gone = cut(copies.union(others).distinct().withColumnRenamed("doc_id", "_id"))
     return documents.join(gone, F.col("doc_id").cast("long") == F.col("_id"), "left_anti")

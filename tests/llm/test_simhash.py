@@ -109,3 +109,41 @@ def test_near_copies_go_and_others_stay(spark, docs_of):
     d = docs_of([a, b, a, " ".join(w), "", "", None, "short one", "short one"], [5, 6, 7, 8, 9, 10, 11, 12, 12], source=list("abcdefghi"))
     kept = simhash.drop_near_duplicates(d)
     assert kept.columns == d.columns and sorted(r.doc_id for r in kept.collect()) == [5, 6, 9, 12, 12]
+
+
+def test_closest_links_span_all_classes():
+    rng = np.random.default_rng(3)
+    for _ in range(30):
+        x = np.unique(rng.integers(0, 1 << 12, 40, dtype=np.uint64))
+        i, j = np.nonzero(np.bitwise_count(x[:, None] ^ x[None]) <= 3)
+        a, b = x[i], x[j]
+        u, v = simhash.closest(a[a != b], b[a != b])
+        assert len(u) <= 2 * len(x) and (np.bitwise_count(u ^ v) <= 3).all()
+        at = {int(k): n for n, k in enumerate(x)}
+        links = lambda p, q: brute_classes_of(len(x), [(at[int(s)], at[int(t)]) for s, t in zip(p, q)])
+        assert links(a, b) == links(u, v)
+        p, q = simhash.compare_all(x, x, 3)
+        assert links(a, b) == links(p, q)
+
+
+def test_near_copies_up_to_the_similarity_go(spark, docs_of):
+    rng = random.Random(8)
+    vocab = [f"w{i}" for i in range(3000)]
+    texts, near = [], {}
+    for g in range(40):
+        base = rng.choices(vocab, k=250)
+        texts.append(base)
+        for changes in (1, 2, 3, 12):
+            w = list(base)
+            for k in rng.sample(range(len(w)), changes):
+                w[k] = "changed"
+            near[len(texts)] = g * 5
+            texts.append(w)
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    jaccard = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    kept = {r.doc_id for r in simhash.drop_near_duplicates(docs_of([" ".join(t) for t in texts])).collect()}
+    assert all(g * 5 in kept for g in range(40))
+    alike = [k for k, g in near.items() if jaccard(k, g) >= 0.9]
+    assert np.mean([k not in kept for k in alike]) > 0.9
+    apart = [k for k, g in near.items() if max(jaccard(k, o) for o in range(g, g + 5) if o != k) < 0.8]
+    assert apart and all(k in kept for k in apart)
