@@ -96,7 +96,12 @@ def garud(f: np.ndarray) -> tuple[float, float, float, float]:
     return h1, merged(2), merged(3), (h1 - float(sq[:1].sum())) / h1 if h1 else float("nan")
 
 
-def garud_h(panel: Panel, population=None, missing_data: str = "include"):
+def garud_h(panel: Panel, population=None, missing_data: str = "include", diploid: bool = False):
+    """H1, H12, H123 and H2/H1 of haplotypes, or of multi-site dosages."""
     if missing_data == "exclude":
         panel = panel.complete_only(population)
+    if diploid:
+        from .panel import dosages
+
+        return garud(cluster_frequencies(rows_of(dosages(panel, population), "g")))
     return garud(haplotype_frequencies(panel, population))

@@ -334,7 +334,15 @@ def omega_of(r2: np.ndarray) -> float:
     return float(best)
 
 
-def omega(panel: Panel, missing_data: str = "include", estimator: str = "auto") -> float:
+def omega(panel: Panel, missing_data: str = "include", estimator: str = "auto", kind: str = "hap") -> float:
+    """Of haplotypes by ``sigma_d2`` or ``r2``; of dosages by their squared correlation."""
+    if kind == "geno":
+        if missing_data == "exclude":
+            panel = panel.complete_only(None)
+        t = dosages(segregating(panel)).orderBy("chrom", "pos").select("g").toArrow()
+        m = allele_matrix(t["g"])
+        every = np.arange(len(m))
+        return omega_of(_dosage_r2(m, every, every)) if len(m) else 0.0
     return omega_of(ld_matrix(panel, missing_data, "sigma_d2" if estimator == "auto" else estimator))
 
 

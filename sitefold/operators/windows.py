@@ -26,7 +26,7 @@ from .panel import Panel, allele_matrix
 PREFIX = ("chrom", "start", "end", "center", "n_variants", "window_id")
 SINGLE = ("pi", "theta_w", "tajimas_d", "segregating_sites", "theta_h", "theta_l", "fay_wu_h", "singletons", "normalized_fay_wu_h", "zeng_e", "zeng_dh", "max_daf", "mu_var", "mu_sfs", "snp_dist_mean", "snp_dist_var", "snp_dist_min", "snp_dist_max", "het_expected", "n_singletons")
 TWO = ("fst", "fst_hudson", "fst_wc", "dxy", "da")
-MATRIX = ("garud_h1", "garud_h12", "garud_h123", "garud_h2h1", "haplotype_count", "haplotype_diversity", "zns", "omega", "mu_ld", "dist_var", "dist_skew", "dist_kurt", "mean_nsl", "mean_r2", "daf_hist")
+MATRIX = ("garud_h1", "garud_h12", "garud_h123", "garud_h2h1", "haplotype_count", "haplotype_diversity", "zns", "omega", "mu_ld", "dist_var", "dist_skew", "dist_kurt", "mean_nsl", "mean_r2", "ld_decay", "daf_hist")
 
 
 @dataclass(frozen=True)
@@ -305,10 +305,11 @@ def _matrix_statistics(panel: Panel, params: WindowParams, names, calls, pop, fr
             r2 = ld_block(m[seg])
             k = len(r2)
             found |= {"zns": float(r2.sum() / (k * (k - 1))) if k > 1 else 0.0, "omega": omega_of(r2)}
-        if "mean_r2" in names:
+        if set(names) & {"mean_r2", "ld_decay"}:  # two names of one statistic
             r2, at = ld_block(m[seg], "r2"), pos[seg]
             near = np.triu(np.abs(at[:, None] - at[None, :]) <= limit, 1)
-            found["mean_r2"] = float(r2[near].mean()) if near.any() else NAN
+            mean = float(r2[near].mean()) if near.any() else NAN
+            found |= {k: mean for k in ("mean_r2", "ld_decay") if k in names}
         if "mu_ld" in names:
             found["mu_ld"] = mu_ld_of(m)
         if set(names) & {"dist_var", "dist_skew", "dist_kurt"}:

@@ -379,3 +379,17 @@ def test_one_pass_equals_many(holes):
             assert math.isclose(got[s], divergence.divergence_stats(p, "a", "b", (s,), span_normalize=span)[s], rel_tol=1e-12), s
     for name, s in diversity.frequency_spectra(p, ["a", "b"]).items():
         assert math.isclose(s.test("pi", "watterson"), diversity.tajimas_d(p, name), rel_tol=1e-12)
+
+
+def test_statistics_of_dosages(complete):
+    p, h, _ = complete
+    g = h[0::2] + h[1::2]
+    f, n = diversity.diplotype_frequency_spectrum(p)
+    assert n == len(np.unique(g, axis=0)) and math.isclose(haplotypes.garud_h(p, diploid=True)[0], (f**2).sum())
+    seg = (h.sum(axis=0) > 0) & (h.sum(axis=0) < 12)
+    with np.errstate(all="ignore"):
+        r2 = np.nan_to_num(np.corrcoef(g[:, seg].T) ** 2)
+    assert math.isclose(ld.zns(p, kind="geno"), r2[np.triu_indices(len(r2), 1)].mean(), rel_tol=1e-6)
+    assert ld.omega(p, kind="geno") > 0
+    w = windows.windowed(p, windows.WindowParams("snp", 10), ("mean_r2", "ld_decay")).toPandas()
+    assert np.allclose(w.mean_r2, w.ld_decay, equal_nan=True)
