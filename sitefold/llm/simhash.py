@@ -24,11 +24,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches, table, worker
+from .common import cut, discard, small_batches, table, worker
 
 WORDS, RADIUS, SEED = 4, 4, 42
 #: Fingerprints in a tile; a pair of tiles takes some 20 MB in its task.
 TILE = 8192
+#: Smallest hashes that stand for a text's shingles where a pair may be ruled out; it is
+#: ruled out if they put its similarity below the wanted one by this much (six standard errors).
+SKETCH, SLACK = 64, 0.3
 #: Documents of a class that meet its first document in one task.
 SHARE = 200
 
@@ -298,18 +301,24 @@ def _shingles(words: int):
                 parts = (x.as_py() or "").encode().lower().split()
                 n = max(1, len(parts) - words + 1) if parts else 0
                 out.append(np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(parts[i : i + words]), SEED) for i in range(n)], np.uint64)).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column("component_id"), b.column("doc_id"), pa.array(out, pa.binary())], ["component_id", "doc_id", "s"])
+            small = [x[: 8 * SKETCH] for x in out]
+            yield pa.RecordBatch.from_arrays([b.column("component_id"), b.column("doc_id"), pa.array(out, pa.binary()), pa.array(small, pa.binary())], ["component_id", "doc_id", "s", "sketch"])
 
     return worker(run)
 
 
-def _similar(least: float):
+def _similar(least: float, sketches: bool = False):
     def run(batches):
         for b in batches:
             keep = []
             for x, y in zip(b.column("s"), b.column("first")):
                 u, v = (np.frombuffer(t.as_py(), np.uint64) for t in (x, y))
                 both = len(np.intersect1d(u, v, assume_unique=True))
+                if sketches:  # of the smallest hashes of both, the share that both have
+                    low = np.union1d(u, v)[:SKETCH]
+                    both = len(np.intersect1d(np.intersect1d(u, v, assume_unique=True), low, assume_unique=True))
+                    keep.append(both >= least * len(low))
+                    continue
                 keep.append(not len(u) and not len(v) or both >= least * (len(u) + len(v) - both))
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column("doc_id").filter(mask)], ["doc_id"])
@@ -319,9 +328,13 @@ def _similar(least: float):
 
 def _alike(fps: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """Of links ``u, v`` those whose texts' shingles are alike; ``texts`` has ``fp, s``."""
-    left, right = (texts.select(F.col("fp").alias(k), F.col("s").alias(n)) for k, n in (("u", "s"), ("v", "first")))
-    both = fps.select("u", "v", F.monotonically_increasing_id().alias("doc_id")).join(left, "u").join(right, "v")
-    return both.select(F.struct("u", "v").alias("doc_id"), "s", "first").mapInArrow(_similar(similarity), "doc_id struct<u:long,v:long>").select("doc_id.u", "doc_id.v")
+    links = fps.select("u", "v")
+    # most candidates are no near-duplicates: sketches, a tenth of the size, rule those out first
+    for column, least, sketches in (("sketch", similarity - SLACK, True), ("s", similarity, False)):
+        left, right = (texts.select(F.col("fp").alias(k), F.col(column).alias(n)) for k, n in (("u", "s"), ("v", "first")))
+        both = links.join(left, "u").join(right, "v").select(F.struct("u", "v").alias("doc_id"), "s", "first")
+        links = cut(both.mapInArrow(_similar(least, sketches), "doc_id struct<u:long,v:long>").select("doc_id.u", "doc_id.v"))
+    return links
 
 
 def drop_near_duplicates(documents: DataFrame, words: int = 5, radius: int = 12, similarity: float = 0.8) -> DataFrame:
@@ -343,17 +356,18 @@ def drop_near_duplicates(documents: DataFrame, words: int = 5, radius: int = 12,
     ends = links.select(F.col("u").alias("fp")).union(links.select("v")).distinct()
     asked = groups.join(ends.withColumn("linked", F.lit(True)), "fp", "left").where("linked OR n > 1")
     asked = cut(prints.join(asked, "fp").where("n > 1 OR doc_id = first").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("shares")).cast("int")))
-    texts = d.join(asked, "doc_id").select(F.col("fp").alias("component_id"), "doc_id", "text").mapInArrow(_shingles(words), "component_id long, doc_id long, s binary")
+    texts = d.join(asked, "doc_id").select(F.col("fp").alias("component_id"), "doc_id", "text").mapInArrow(_shingles(words), "component_id long, doc_id long, s binary, sketch binary")
     texts = cut(texts.withColumnRenamed("component_id", "fp"))
     heads = texts.join(asked.where("doc_id = first").select("doc_id", "shares"), "doc_id").dropDuplicates(["fp"])
-    heads = cut(heads.select("fp", "s", "shares"))
+    heads = cut(heads.select("fp", "s", "sketch", "shares"))
     first = heads.where("shares > 0").select(F.col("fp").alias("c"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.col("s").alias("first"))
     rest = texts.join(asked.where("doc_id <> first").select("doc_id", "own"), "doc_id")
     pairs = rest.join(first, (F.col("fp") == F.col("c")) & (F.col("own") == F.col("share"))).select("doc_id", "s", "first")
     copies = pairs.mapInArrow(_similar(similarity), "doc_id long").distinct()
-    found = classes(_alike(links, heads.select("fp", "s"), similarity))
+    found = classes(_alike(links, heads, similarity))
     linked = groups.join(found, groups.fp == found.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     lowest = linked.groupBy("root").agg(F.min("first").alias("lowest"))
     others = linked.join(lowest, "root").where("first <> lowest").select("first")
     gone = cut(copies.union(others).distinct().withColumnRenamed("doc_id", "_id"))
+    discard(texts, heads, asked)
     return documents.join(gone, F.col("doc_id").cast("long") == F.col("_id"), "left_anti")

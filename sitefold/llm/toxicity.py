@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, small_batches, table, worker
+from .common import cut, discard, small_batches, table, worker
 
 SAMPLE, LEXICON, GAP = 40_000, 20_000, 0.05
 PREFIXES = (4, 5, 6)
@@ -212,6 +212,7 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     model.k = min(1.0, (n_seg + 0.5) / (n_words * math.exp(-model.lam * mean) + 1e-12)) if n_seg else 0.1
     rows = check.mapInArrow(_evidence(model), "toxic int, evidence double, n_words long, n_segments long").select("toxic", "evidence").toPandas()  # sample / 4 rows at most
     model.intercept, model.slope = _logistic(np.log1p(rows.evidence.to_numpy()), rows.toxic.to_numpy())
+    discard(d)
     return model
 
 
