@@ -17,6 +17,7 @@ from ..streaming.windows import windowed_sums
 from .fixture import calls_sql, panel
 
 A, B, C, D = "EUROPE", "AFRICA", "AMERICA", "ASIA"
+#: Sites that the SQL of some queries is restricted to; the queries read all sites.
 SMALL = "p_partkey < 200"
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -271,7 +272,7 @@ def pbs(spark, sf_dir):
     return tidy(divergence.pbs(panel(spark, sf_dir), A, B, C, 100))
 
 
-#: Pairs of small-fixture sites up to 1 kb apart, EUROPE.
+#: Pairs of sites up to 1 kb apart, EUROPE.
 LD = f"""e AS (SELECT pos, hap, allele FROM calls WHERE pop = '{A}' AND allele >= 0),
 ld AS (SELECT a.pos AS pos_i, b.pos AS pos_j, CAST(count(*) FILTER (a.allele = 1 AND b.allele = 1) AS DOUBLE) AS x, CAST(count(*) FILTER (a.allele = 1 AND b.allele = 0) AS DOUBLE) AS y,
   CAST(count(*) FILTER (a.allele = 0 AND b.allele = 1) AS DOUBLE) AS z, CAST(count(*) FILTER (a.allele = 0 AND b.allele = 0) AS DOUBLE) AS w, CAST(count(*) AS DOUBLE) AS n
@@ -280,7 +281,7 @@ lq AS (SELECT *, (x+y)*(z+w)*(x+z)*(y+w) AS den, x*w - y*z AS num FROM ld)"""
 
 
 def _ld_panel(spark, sf_dir):
-    return panel(spark, sf_dir, SMALL).population(A)
+    return panel(spark, sf_dir).population(A)
 
 
 @query(
@@ -311,7 +312,7 @@ def ld_binned_sums(spark, sf_dir):
 
 @query()
 def ld_by_distance_two_populations(spark, sf_dir):
-    return tidy(ld.ld_by_distance(panel(spark, sf_dir, SMALL), [0, 200, 500, 1000], [A, B], ac_filter=False).select("bin", "statistic", "value", "pairs"))
+    return tidy(ld.ld_by_distance(panel(spark, sf_dir), [0, 200, 500, 1000], [A, B], ac_filter=False).select("bin", "statistic", "value", "pairs"))
 
 
 @query(
@@ -326,7 +327,7 @@ def zns(spark, sf_dir):
 
 @query()
 def zns_sigma_d2_and_omega(spark, sf_dir):
-    p = panel(spark, sf_dir, "p_partkey < 60").population(A)
+    p = panel(spark, sf_dir).population(A)
     return row(spark, zns=ld.zns(p), omega=ld.omega(p), mu_ld=ld.mu_ld(p))
 
 
@@ -335,13 +336,13 @@ def zns_sigma_d2_and_omega(spark, sf_dir):
     f"SELECT pos_i, pos_j, {r8('CASE WHEN NOT isnan(r) THEN r*r END')} AS r2 FROM c"
 )
 def rogers_huff_r_squared(spark, sf_dir):
-    p = panel(spark, sf_dir, SMALL, True).population(A)
+    p = panel(spark, sf_dir, complete=True).population(A)
     return tidy(ld.rogers_huff_r_squared(p, 1000).drop("chrom"))
 
 
 @query()
 def sigma_d2_of_dosages(spark, sf_dir):
-    return tidy(ld.sigma_d2_geno(panel(spark, sf_dir, SMALL, True).population(A), 1000).drop("chrom"))
+    return tidy(ld.sigma_d2_geno(panel(spark, sf_dir, complete=True).population(A), 1000).drop("chrom"))
 
 
 @query(
@@ -349,14 +350,14 @@ def sigma_d2_of_dosages(spark, sf_dir):
     f"SELECT CAST(count(*) AS BIGINT) AS haplotypes, {r8('(1 - sum(f*f))*max(n)/(max(n)-1)')} AS diversity, {r8('sum(f*f)')} AS h1, {r8('pow(sum(f) FILTER (i <= 2), 2) + coalesce(sum(f*f) FILTER (i > 2), 0)')} AS h12, {r8('pow(sum(f) FILTER (i <= 3), 2) + coalesce(sum(f*f) FILTER (i > 3), 0)')} AS h123, {r8('(sum(f*f) - max(f)*max(f))/sum(f*f)')} AS h2_h1 FROM f"
 )
 def haplotype_statistics(spark, sf_dir):
-    p = panel(spark, sf_dir, "p_partkey < 12", True)
+    p = panel(spark, sf_dir, complete=True)
     h1, h12, h123, h2 = haplotypes.garud_h(p, A)
     return row(spark, haplotypes=diversity.haplotype_count(p, A), diversity=diversity.haplotype_diversity(p, A), h1=h1, h12=h12, h123=h123, h2_h1=h2)
 
 
 @query()
 def moving_garud_h(spark, sf_dir):
-    return tidy(scans.moving_garud_h(panel(spark, sf_dir, SMALL), 20, population=A))
+    return tidy(scans.moving_garud_h(panel(spark, sf_dir), 20, population=A))
 
 
 @query(
@@ -364,7 +365,7 @@ def moving_garud_h(spark, sf_dir):
     SELECT pos, {r8('CASE WHEN n >= 2 THEN 2.0e0*d/n*(1 - d/CAST(n AS DOUBLE)) END')} AS he, {r8('ho')} AS ho, {r8('CASE WHEN n >= 2 AND d > 0 AND d < n THEN 1 - ho/(2.0e0*d/n*(1 - d/CAST(n AS DOUBLE))) END')} AS f FROM sc LEFT JOIN o USING (pos) WHERE pop = '{A}'"""
 )
 def heterozygosity(spark, sf_dir):
-    p = panel(spark, sf_dir, SMALL)
+    p = panel(spark, sf_dir)
     he, ho, f = diversity.heterozygosity_expected(p, A), diversity.heterozygosity_observed(p, A), diversity.inbreeding_coefficient(p, A)
     return tidy(he.join(ho, ["chrom", "pos"]).join(f, ["chrom", "pos"]).drop("chrom"))
 
@@ -395,7 +396,7 @@ def site_filters(spark, sf_dir):
     f"SELECT CAST(count(*) AS BIGINT) AS pairs, {r8('sum(d)')} AS total, {r8('var_samp(d)')} AS variance, {r8('min(d)')} AS low, {r8('max(d)')} AS high FROM x"
 )
 def pairwise_diffs_haploid(spark, sf_dir):
-    d = distance.pairwise_diffs(panel(spark, sf_dir, SMALL), B)
+    d = distance.pairwise_diffs(panel(spark, sf_dir), B)
     return row(spark, pairs=len(d), total=float(d.sum()), variance=distance.moments(d)[0], low=float(d.min()), high=float(d.max()))
 
 
@@ -404,7 +405,7 @@ def pairwise_diffs_haploid(spark, sf_dir):
     f"SELECT i, j, {r8('CASE WHEN i = j THEN 1 ELSE ibs END')} AS ibs FROM x"
 )
 def identity_by_state(spark, sf_dir):
-    p = panel(spark, sf_dir, SMALL)
+    p = panel(spark, sf_dir)
     ids = [p.individual[c] for c in p.columns(B)][::2]
     m = relatedness.ibs(p, B)
     return tidy(spark.createDataFrame([(a, b, float(m[i, j])) for i, a in enumerate(ids) for j, b in enumerate(ids) if i <= j], "i long, j long, ibs double"))
@@ -415,7 +416,7 @@ def identity_by_state(spark, sf_dir):
     f"SELECT a.ind AS i, b.ind AS j, {r8('sum(a.z*b.z)/(SELECT count(*) FROM f WHERE p > 0 AND p < 1)')} AS a FROM z a JOIN z b ON a.pos = b.pos AND a.ind <= b.ind GROUP BY 1, 2"
 )
 def genetic_relationship(spark, sf_dir):
-    p = panel(spark, sf_dir, SMALL)
+    p = panel(spark, sf_dir)
     ids = [p.individual[c] for c in p.columns(B)][::2]
     m = relatedness.grm(p, B)
     return tidy(spark.createDataFrame([(a, b, float(m[i, j])) for i, a in enumerate(ids) for j, b in enumerate(ids) if i <= j], "i long, j long, a double"))
@@ -428,7 +429,7 @@ def genetic_relationship(spark, sf_dir):
     {r8(f"(SELECT avg(CASE WHEN d <= lo THEN 1.0e0 ELSE 0 END) FROM x WHERE p = '{A}' AND q = '{A}')")} AS dd_rank1, {r8(f"(SELECT avg(CASE WHEN d <= lo THEN 1.0e0 ELSE 0 END) FROM x WHERE p = '{B}' AND q = '{B}')")} AS dd_rank2 FROM b"""
 )
 def distance_based_stats(spark, sf_dir):
-    return row(spark, **divergence.distance_based_stats(panel(spark, sf_dir, SMALL, True), A, B))
+    return row(spark, **divergence.distance_based_stats(panel(spark, sf_dir, complete=True), A, B))
 
 
 def _nsl_sql(where: str) -> str:
@@ -442,30 +443,30 @@ def _nsl_sql(where: str) -> str:
     f"WITH {_nsl_sql('p_partkey < 100')}, t AS (SELECT pos, avg(f) FILTER (x = 0 AND y = 0) + avg(r) FILTER (x = 0 AND y = 0) AS z, avg(f) FILTER (x = 1 AND y = 1) + avg(r) FILTER (x = 1 AND y = 1) AS o FROM l GROUP BY pos) SELECT pos, {r8('CASE WHEN z IS NOT NULL AND o IS NOT NULL THEN ln(o/z) END')} AS nsl FROM t"
 )
 def nsl(spark, sf_dir):
-    return tidy(scans.nsl(panel(spark, sf_dir, "p_partkey < 100"), B).drop("chrom"))
+    return tidy(scans.nsl(panel(spark, sf_dir), B).drop("chrom"))
 
 
 @query(
     f"WITH {_nsl_sql('p_partkey < 100')}, t AS (SELECT i, count(*) FILTER (b > i)/CAST(count(*) AS DOUBLE) AS ehh FROM (SELECT h, k, coalesce(min(CASE WHEN brk THEN i END), 1000000000) AS b FROM p GROUP BY h, k), (SELECT DISTINCT i FROM s) GROUP BY i) SELECT CAST(i - 1 AS BIGINT) AS variant, {r8('ehh')} AS ehh FROM t"
 )
 def ehh_decay(spark, sf_dir):
-    e = scans.ehh_decay(panel(spark, sf_dir, "p_partkey < 100"), population=B)
+    e = scans.ehh_decay(panel(spark, sf_dir), population=B)
     return tidy(spark.createDataFrame([(k, float(x)) for k, x in enumerate(e)], "variant long, ehh double"))
 
 
 @query()
 def xpnsl(spark, sf_dir):
-    return tidy(scans.xpnsl(panel(spark, sf_dir, SMALL), A, B).drop("chrom"))
+    return tidy(scans.xpnsl(panel(spark, sf_dir), A, B).drop("chrom"))
 
 
 @query()
 def ihs(spark, sf_dir):
-    return tidy(scans.ihs(panel(spark, sf_dir, SMALL), population=A, include_edges=True).drop("chrom"))
+    return tidy(scans.ihs(panel(spark, sf_dir), population=A, include_edges=True).drop("chrom"))
 
 
 @query()
 def xpehh(spark, sf_dir):
-    return tidy(scans.xpehh(panel(spark, sf_dir, SMALL), A, B, include_edges=True).drop("chrom"))
+    return tidy(scans.xpehh(panel(spark, sf_dir), A, B, include_edges=True).drop("chrom"))
 
 
 @query(
@@ -524,7 +525,7 @@ def windows_of_regions(spark, sf_dir):
 @query()
 def windowed_haplotype_statistics(spark, sf_dir):
     names = ("garud_h1", "garud_h12", "haplotype_count", "zns", "omega", "mu_ld", "dist_var", "mean_nsl")
-    return tidy(windows.windowed_analysis(panel(spark, sf_dir, SMALL), 4_000, statistics=names, populations=[A]).drop("chrom", "center"))
+    return tidy(windows.windowed_analysis(panel(spark, sf_dir), 4_000, statistics=names, populations=[A]).drop("chrom", "center"))
 
 
 @query(
@@ -537,7 +538,7 @@ def heterozygosity_sums(spark, sf_dir):
 
 @query()
 def ld_sums_by_recombination(spark, sf_dir):
-    p = panel(spark, sf_dir, SMALL)
+    p = panel(spark, sf_dir)
     found = moments.compute_ld_statistics(p, [A, B], r_bins=[0, 2e-6, 5e-6, 1e-5], genetic_map=[(0, 0.0), (10_000, 0.01), (1_000_000, 2.0)], ac_filter=False)
     rows = [(k, s, float(v)) for k, sums in enumerate(found["sums"][:-1]) for s, v in zip(found["stats"][0], sums)]
     return tidy(spark.createDataFrame(rows, "bin long, statistic string, total double"))
@@ -545,7 +546,7 @@ def ld_sums_by_recombination(spark, sf_dir):
 
 @query(f"WITH {calls_sql(SMALL)}, i AS (SELECT pos, ind, CASE WHEN min(allele) < 0 THEN -1 ELSE sum(allele) END AS g FROM calls WHERE pop = '{A}' GROUP BY pos, ind) SELECT pos, CAST(count(*) FILTER (g = 0) AS BIGINT) AS hom_ref, CAST(count(*) FILTER (g = 1) AS BIGINT) AS het, CAST(count(*) FILTER (g = 2) AS BIGINT) AS hom_alt, CAST(count(*) FILTER (g < 0) AS BIGINT) AS missing FROM i GROUP BY pos")
 def dosage_counts(spark, sf_dir):
-    g = dosages(panel(spark, sf_dir, SMALL), A)
+    g = dosages(panel(spark, sf_dir), A)
     n = lambda k: F.size(F.filter("g", lambda x: x == k)).cast("long")
     return g.select("pos", n(0).alias("hom_ref"), n(1).alias("het"), n(2).alias("hom_alt"), n(-1).alias("missing"))
 
