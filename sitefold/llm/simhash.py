@@ -18,6 +18,8 @@ are ignored.
 
 from __future__ import annotations
 
+from itertools import islice
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -50,7 +52,7 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
     digest = xxhash.xxh64_intdigest
     spans = zip(starts[:count].tolist(), ends[words - 1 :].tolist())
     while True:  # in pieces, so that memory doesn't follow the longest text
-        h = np.array([digest(joined[a:b], SEED) for (a, b), _ in zip(spans, range(1 << 16))], np.uint64)
+        h = np.array([digest(joined[a:b], SEED) for a, b in islice(spans, 1 << 16)], np.uint64)
         if not h.size:
             break
         ones += _bit_sums(h)

@@ -42,6 +42,13 @@ def test_a_long_text_in_pieces():
     assert simhash.fingerprint(text) == brute_print(text)
 
 
+@pytest.mark.parametrize("last", range(32_766, 32_770))
+def test_no_shingle_is_lost_between_pieces(last):
+    """65,537 shingles, so that one of them decides bits."""
+    text = " ".join(["a"] * (65_537 - last) + ["b"] * (last + 3))
+    assert len(text.split()) == 65_540 and simhash.fingerprint(text) == brute_print(text)
+
+
 def test_native_hash_is_the_same(spark):
     from pyspark.sql import functions as F
 
