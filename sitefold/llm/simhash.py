@@ -252,7 +252,8 @@ def tile_links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE, real
 def classes(links: DataFrame, rounds: int = 60) -> DataFrame:
     """``node, root`` of every linked node; ``root`` is the smallest node of its class.
 
-    Large-star and small-star steps in turn, until nothing changes. A node's
+    Large-star and small-star steps in turn, until nothing changes; if that takes
+    more than ``rounds``, an error. A node's
     minimum is aggregated on the map side, so hubs send one row per task.
     """
     edges = cut(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
@@ -269,6 +270,8 @@ def classes(links: DataFrame, rounds: int = 60) -> DataFrame:
         if now == state:
             break
         state = now
+    else:
+        raise RuntimeError(f"classes still changed after {rounds} rounds")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 

@@ -107,6 +107,12 @@ def test_a_chain_is_one_class(spark):
     assert {r.component_id for r in simhash.components(df).collect()} == {0}
 
 
+def test_unfinished_classes_are_an_error(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(64)], "u long, v long")
+    with pytest.raises(RuntimeError, match="rounds"):
+        simhash.classes(links, rounds=1)
+
+
 def test_near_copies_go_and_others_stay(spark, docs_of):
     rng = random.Random(2)
     text = lambda k: " ".join(rng.choices([f"w{i}" for i in range(500)], k=k))
