@@ -27,11 +27,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without strings of an earlier document; ``n_chars`` follows, empty texts go."""
-    kept = repeats.drop_repeats(docs)
+    """Texts without strings of an earlier document; ``n_chars`` follows, texts of which nothing is left go."""
+    kept = repeats.drop_repeats(docs.withColumn("_was_empty", F.expr("coalesce(text = '', false)")))
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return kept.where("text IS NULL OR text <> ''")
+    return kept.where("text IS NULL OR text <> '' OR _was_empty").drop("_was_empty")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

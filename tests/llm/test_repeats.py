@@ -129,3 +129,12 @@ def test_a_range_may_end_inside_a_character(spark, docs_of):
     a, b = "q" * 49 + "é", "q" * 49 + "è"  # both start with the same 50 bytes
     got = {r.doc_id: r.text for r in repeats.drop_repeats(docs_of([a + "end", b + "end"])).collect()}
     assert got == {0: a + "end", 1: "end"}
+
+
+def test_the_stage_drops_only_texts_that_lost_all(spark, docs_of):
+    import corpus_pipeline
+
+    line = " ".join(f"w{i}" for i in range(100))
+    docs = docs_of([line, line, "", None], [1, 2, 3, 4], source=list("abcd"))
+    got = corpus_pipeline.drop_repeated_strings(spark, docs, "")
+    assert got.columns == docs.columns and sorted((r.doc_id, r.text) for r in got.collect()) == [(1, line), (3, ""), (4, None)]
