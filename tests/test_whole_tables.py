@@ -30,3 +30,13 @@ def test_no_site_is_filtered(name, spark, sf_dir, monkeypatch):
     assert QUERIES[name](spark, sf_dir).count()
     sites = spark.read.parquet(f"{sf_dir}/part.parquet").count()
     assert made and all(p.variants.count() == sites for p in made)
+
+
+def test_the_mask_reaches_the_last_site(spark, sf_dir, tmp_path):
+    """Beyond position 20,000,000, where the SQL's mask ends."""
+    for t in ("supplier", "nation", "region"):
+        spark.read.parquet(f"{sf_dir}/{t}.parquet").write.parquet(f"{tmp_path}/{t}.parquet")
+    parts = [(k, 1) for k in (1, 3, 205_000, 205_001, 205_003)]
+    spark.createDataFrame(parts, "p_partkey long, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    rows = sorted(QUERIES["windowed_pi_masked"](spark, str(tmp_path)).collect())
+    assert len(rows) > 1000 and all(r.bases > 0 and r.pi is not None for r in rows) and rows[-1].pi > 0
