@@ -6,7 +6,8 @@ if their counts differ by at most the radius, since that difference bounds the
 number of differing bits from below. Within a pair of tiles numpy compares runs
 with equal counts per 16 bits, skipping runs by the same bound applied to the
 four parts, and takes exclusive-or and bit counts of the rest. A task returns a
-spanning forest of the links it found: all classes, few rows. Classes are joined
+spanning forest of the links it found: all classes, few rows. Of candidates
+that are yet to be verified a dense pair of tiles returns some that span all. Classes are joined
 by star contraction on the distinct fingerprints.
 
 Defined cases: null text is empty; a text without words has fingerprint zero
@@ -34,8 +35,8 @@ TILE = 8192
 #: Smallest hashes that stand for a text's shingles where a pair may be ruled out; it is
 #: ruled out if they put its similarity below the wanted one by this much (six standard errors).
 SKETCH, SLACK = 64, 0.3
-#: Documents of a class that meet its first document in one task.
-SHARE = 200
+#: A pair of tiles with more candidates a node than this returns some that span all classes.
+DENSE = 4
 
 
 def fingerprint(text: str | None, words: int = WORDS) -> int:
@@ -141,14 +142,20 @@ def compare(a: np.ndarray, b: np.ndarray, radius: int = RADIUS) -> tuple[np.ndar
 
 def closest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of links a-b some that span all classes, fewer differing bits before more; none is made up."""
+    keep = spanning(a, b, np.bitwise_count(a ^ b))
+    return a[keep], b[keep]
+
+
+def spanning(a: np.ndarray, b: np.ndarray, bits: np.ndarray, seed: int = 0) -> np.ndarray:
+    """As :func:`closest`, the links' places; among equals ``seed`` chooses, so that no node is in most."""
     if not len(a):
-        return a, b
+        return np.zeros(0, np.int64)
+    rng = np.random.default_rng(seed)
     nodes, code = np.unique(np.concatenate((a, b)), return_inverse=True)
     x, y = code[: len(a)], code[len(a) :]
-    bits = np.bitwise_count(a ^ b)
     root, keep = np.arange(len(nodes)), []
     for n in np.unique(bits):
-        left = np.flatnonzero(bits == n)
+        left = rng.permutation(np.flatnonzero(bits == n))
         while True:
             left = left[root[x[left]] != root[y[left]]]
             if not len(left):
@@ -163,38 +170,73 @@ def closest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             to = np.arange(len(nodes))
             to[child] = low
             root = to[root]
-    keep = np.concatenate(keep) if keep else np.zeros(0, np.int64)
-    return a[keep], b[keep]
+    return np.concatenate(keep) if keep else np.zeros(0, np.int64)
 
 
 def compare_all(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """As :func:`compare`, for radii at which hardly a run could be skipped; links as :func:`closest` keeps them."""
     left, right, held = [a[:0]], [b[:0]], 0
-    for lo in range(0, len(a), 128):
-        own = a[lo : lo + 128]
-        i, j = np.nonzero(np.bitwise_count(own[:, None] ^ b[None, :]) <= radius)
-        if len(i):
-            left.append(own[i])
-            right.append(b[j])
-            held += len(i)
+    for i, j in _within(a, b, a, b, radius):
+        left.append(a[i])
+        right.append(b[j])
+        held += len(i)
         if held > 1 << 20:
             x, y = closest(np.concatenate(left), np.concatenate(right))
             left, right, held = [x], [y], 0
-    x, y = np.concatenate(left), np.concatenate(right)
-    different = x != y
-    return closest(x[different], y[different])
+    return closest(np.concatenate(left), np.concatenate(right))
+
+
+def _within(a, b, own, other, radius: int):
+    """Places of pairs within the radius and of different classes, some at a time."""
+    for lo in range(0, len(a), 128):
+        hi = lo + 128
+        i, j = np.nonzero((np.bitwise_count(a[lo:hi, None] ^ b[None, :]) <= radius) & (own[lo:hi, None] != other[None, :]))
+        if len(i):
+            yield i + lo, j
+
+
+def candidates(x: np.ndarray, y: np.ndarray, radius: int, seed: int, every: bool):
+    """Pairs of nodes of two tiles within the radius and of different classes, ``u < v``, and if any were left out.
+
+    A tile has rows ``fp, node, cls``. Unless ``every``, of many pairs those that :func:`spanning` keeps.
+    """
+    (a, n, own), (b, m, other) = np.ascontiguousarray(x.T), np.ascontiguousarray(y.T)
+    a, b = a.view(np.uint64), b.view(np.uint64)  # bits of a signed number are counted without its sign
+    held, size, more = [], 0, False
+
+    def reduced():
+        u, v, bits = (np.concatenate(t) for t in zip(*held))
+        if len(u) <= DENSE * len(np.unique(np.concatenate((u, v)))):
+            return u, v, bits, False
+        keep = spanning(u, v, bits, seed)
+        return u[keep], v[keep], bits[keep], True
+
+    for i, j in _within(a, b, own, other, radius):
+        u, v = np.minimum(n[i], m[j]), np.maximum(n[i], m[j])
+        if every:
+            yield u, v, False
+            continue
+        held.append((u, v, np.bitwise_count(a[i] ^ b[j])))
+        size += len(u)
+        if size > 1 << 20:
+            u, v, bits, cut_ = reduced()
+            held, size, more = [(u, v, bits)], 0, more or cut_
+    if held:
+        u, v, _, cut_ = reduced()
+        yield u, v, more or cut_
 
 
 @worker
 def _pack(batches):
-    """Rows of a tile, in order of tiles, to one binary row for each."""
+    """Rows of a tile (all columns but ``pop, part``), in order of tiles, to one binary row for each."""
     key, held = None, []
 
     def out():
         return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([np.concatenate(held).tobytes()], pa.binary())], ["pop", "part", "fps"])
 
     for b in batches:
-        pop, part, fp = (b.column(c).to_numpy(zero_copy_only=False) for c in ("pop", "part", "fp"))
+        pop, part = (b.column(c).to_numpy(zero_copy_only=False) for c in ("pop", "part"))
+        fp = np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in b.schema.names if c not in ("pop", "part")], axis=1)
         if not len(pop):
             continue
         cuts = np.flatnonzero((pop[1:] != pop[:-1]) | (part[1:] != part[:-1])) + 1
@@ -208,35 +250,51 @@ def _pack(batches):
         yield out()
 
 
-def _links(radius: int, real: bool):
+def _links(radius: int):
     def run(batches):
         for batch in batches:
             for x, y in zip(batch.column("x"), batch.column("y")):
-                a, b = (np.frombuffer(v.as_py(), np.uint64) for v in (x, y))
-                if real:
-                    u, v = compare_all(a, b, radius)
-                else:
-                    u, v = compare(a, b, radius)
-                    keep = u != v
-                    u, v = forest(u[keep], v[keep])
+                u, v = compare(*(np.frombuffer(t.as_py(), np.uint64) for t in (x, y)), radius)
+                keep = u != v
+                u, v = forest(u[keep], v[keep])
                 if len(u):
                     yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
 
     return worker(run)
 
 
-def tile_links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE, real: bool = False) -> DataFrame:
-    """Links ``u, v`` between the distinct fingerprints ``fp``: every class, not every pair.
+def _candidates(radius: int, seed: int, every: bool):
+    def run(batches):
+        for batch in batches:
+            for x, y in zip(batch.column("x"), batch.column("y")):
+                for u, v, more in candidates(*(np.frombuffer(t.as_py(), np.int64).reshape(-1, 3) for t in (x, y)), radius, seed, every):
+                    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(np.full(len(u), more))], ["u", "v", "more"])
+
+    return worker(run)
+
 
-    With ``real`` each is a pair within the radius, and the closest come first.
+def tile_links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+    """Links ``u, v`` between the distinct fingerprints ``fp``: every class, not every pair."""
+    return _tiled(distinct.select("fp"), "fp", tile, radius, _links(radius), "u long, v long")
+
+
+def tile_candidates(nodes: DataFrame, radius: int, seed: int = 0, every: bool = True, tile: int = TILE) -> DataFrame:
+    """Pairs ``u, v`` of ``nodes(fp, node, cls)`` within the radius and of different classes.
+
+    ``more`` says that a pair of tiles had more than it returned; not so with ``every``.
     """
-    d = distinct.select("fp", F.bit_count("fp").cast("int").alias("pop"))
+    return _tiled(nodes.select("fp", "node", "cls"), "node", tile, radius, _candidates(radius, seed, every), "u long, v long, more boolean")
+
+
+def _tiled(rows: DataFrame, key: str, tile: int, radius: int, run, schema: str) -> DataFrame:
+    """What ``run`` finds in the pairs of tiles of ``rows`` (``fp`` and further longs) that may hold a pair within the radius."""
+    d = rows.withColumn("pop", F.bit_count("fp").cast("int"))
     sizes = {r.pop: r.n for r in d.groupBy("pop").agg(F.count("*").alias("n")).collect()}  # 65 rows at most
     parts = {p: -(-n // tile) for p, n in sizes.items()}
     if not parts:
-        return distinct.sparkSession.createDataFrame([], "u long, v long")
+        return rows.sparkSession.createDataFrame([], schema)
     lookup = F.create_map(*[F.lit(x) for p, n in parts.items() for x in (p, n)])
-    d = d.withColumn("part", F.pmod(F.xxhash64("fp"), F.element_at(lookup, F.col("pop"))).cast("int"))
+    d = d.withColumn("part", F.pmod(F.xxhash64(key), F.element_at(lookup, F.col("pop"))).cast("int"))
     total = sum(parts.values())
     tiles = cut(d.repartition(max(1, min(total, 4096)), "pop", "part").sortWithinPartitions("pop", "part").mapInArrow(_pack, "pop int, part int, fps binary"))
     # which tiles meet: from the smaller count, each tile is sent to those up to the radius above
@@ -246,7 +304,7 @@ def tile_links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE, real
     a = tiles.select("pop", "part", F.col("fps").alias("x"))
     b = tiles.select(F.col("pop").alias("q"), F.col("part").alias("r"), F.col("fps").alias("y"))
     pairs = up.join(a, ["pop", "part"]).repartition(max(1, min(total * 4, 4096)), "pop", "part", "q", "r").join(b, ["q", "r"])
-    return pairs.select("x", "y").mapInArrow(_links(radius, real), "u long, v long")
+    return pairs.select("x", "y").mapInArrow(run, schema)
 
 
 def classes(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -296,18 +354,43 @@ def op6_simhash_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _hashes(text: str | None, words: int) -> tuple[int, int, np.ndarray]:
+    """Of a text the fingerprint, the distinct shingles' sorted hashes and a digest of both."""
+    parts = (text or "").encode().lower().split()
+    n = max(1, len(parts) - words + 1) if parts else 0
+    h = np.array([xxhash.xxh64_intdigest(b" ".join(parts[i : i + words]), SEED) for i in range(n)], np.uint64)
+    ones = sum((_bit_sums(h[k : k + (1 << 16)]) for k in range(0, n, 1 << 16)), np.zeros(64, np.int64))
+    fp = int(np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0])
+    s = np.unique(h)
+    return fp, xxhash.xxh64_intdigest(s.tobytes(), fp), s
+
+
+def _longs(values) -> pa.Array:
+    return pa.array(np.array(values, np.uint64).view(np.int64), pa.int64())
+
+
+def _prints(words: int):
+    """Each document's fingerprint and node: texts of equal fingerprints and shingles are one."""
+
+    def run(batches):
+        for b in batches:
+            found = [_hashes(x.as_py(), words)[:2] for x in b.column("text")]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), _longs([f for f, _ in found]), _longs([n for _, n in found])], ["doc_id", "fp", "node"])
+
+    return worker(run)
+
+
 def _shingles(words: int):
-    """Sorted distinct shingle hashes of each text, packed."""
+    """Sorted distinct shingle hashes of the texts that are the wanted node's, packed."""
 
     def run(batches):
         for b in batches:
-            out = []
-            for x in b.column("text"):
-                parts = (x.as_py() or "").encode().lower().split()
-                n = max(1, len(parts) - words + 1) if parts else 0
-                out.append(np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(parts[i : i + words]), SEED) for i in range(n)], np.uint64)).tobytes())
+            found = [_hashes(x.as_py(), words)[1:] for x in b.column("text")]
+            out = [s.tobytes() for _, s in found]
             small = [x[: 8 * SKETCH] for x in out]
-            yield pa.RecordBatch.from_arrays([b.column("component_id"), b.column("doc_id"), pa.array(out, pa.binary()), pa.array(small, pa.binary())], ["component_id", "doc_id", "s", "sketch"])
+            nodes = _longs([n for n, _ in found])
+            rows = pa.RecordBatch.from_arrays([nodes, pa.array(out, pa.binary()), pa.array(small, pa.binary())], ["node", "s", "sketch"])
+            yield rows.filter(pa.array(nodes.to_numpy() == b.column("node").to_numpy()))
 
     return worker(run)
 
@@ -331,48 +414,61 @@ def _similar(least: float, sketches: bool = False):
     return worker(run)
 
 
-def _alike(fps: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Of links ``u, v`` those whose texts' shingles are alike; ``texts`` has ``fp, s``."""
-    links = fps.select("u", "v")
+def _alike(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Of pairs ``u, v`` those whose texts' shingles are alike; ``texts`` has ``node, s, sketch``."""
+    links = pairs.select("u", "v")
     # most candidates are no near-duplicates: sketches, a tenth of the size, rule those out first
     for column, least, sketches in (("sketch", similarity - SLACK, True), ("s", similarity, False)):
-        left, right = (texts.select(F.col("fp").alias(k), F.col(column).alias(n)) for k, n in (("u", "s"), ("v", "first")))
+        left, right = (texts.select(F.col("node").alias(k), F.col(column).alias(n)) for k, n in (("u", "s"), ("v", "first")))
         both = links.join(left, "u").join(right, "v").select(F.struct("u", "v").alias("doc_id"), "s", "first")
         links = cut(both.mapInArrow(_similar(least, sketches), "doc_id struct<u:long,v:long>").select("doc_id.u", "doc_id.v"))
     return links
 
 
+def _verified(d: DataFrame, nodes: DataFrame, words: int, radius: int, similarity: float) -> DataFrame | None:
+    """``node, root`` of nodes linked by verified pairs of ``nodes`` within the radius.
+    """
+    found = tested = texts = links = None
+    for k in range(1):
+        state = nodes.select("fp", "node", F.col("node").alias("cls"))
+        if found is not None:
+            state = nodes.join(found, "node", "left").select("fp", "node", F.coalesce("root", "node").alias("cls"))
+        near = cut(tile_candidates(state, radius, k, False).groupBy("u", "v").agg(F.max("more").alias("more")))
+        more = near.agg(F.max("more")).first()[0]
+        if more is None:  # no pair at all
+            break
+        if texts is None:  # later pairs are among the ends of these
+            ends = near.select(F.col("u").alias("node")).union(near.select("v")).distinct()
+            wanted = nodes.join(ends, "node").select(F.col("first").alias("doc_id"), "node")
+            texts = d.join(wanted, "doc_id").select("node", "text").mapInArrow(_shingles(words), "node long, s binary, sketch binary")
+            texts = cut(texts.dropDuplicates(["node"]))
+        new = near.select("u", "v") if tested is None else near.select("u", "v").join(tested, ["u", "v"], "left_anti")
+        tested = near.select("u", "v") if tested is None else tested.union(near.select("u", "v"))
+        alike = _alike(new, texts, similarity)
+        links = alike if links is None else links.union(alike)
+        found = classes(links)
+    if texts is not None:
+        discard(texts)
+    return found
+
+
 def drop_near_duplicates(documents: DataFrame, words: int = 5, radius: int = 12, similarity: float = 0.8) -> DataFrame:
     """The documents without those that repeat another of their group.
 
     Two texts are linked if their fingerprints differ in ``radius`` bits at most and
     the Jaccard similarity of their shingles is ``similarity`` or more; of each group
-    so linked the smallest doc_id stays. Of texts with equal fingerprints the smallest
-    doc_id stands for those that are alike to it. Two texts without words are equal.
+    so linked the smallest doc_id stays. Two texts without words are equal.
     Rows that repeat a doc_id stay or go together; a null doc_id stays.
     """
     small_batches(documents.sparkSession)
     d = documents.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    prints = cut(fingerprints(d, words).distinct())
-    groups = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
-    # a large group of equal fingerprints is dealt over several shares, each of which gets its first text
-    groups = groups.withColumn("shares", F.ceil(F.col("n") / SHARE).cast("int"))
-    links = cut(tile_links(groups.select("fp"), radius, real=True).distinct())
-    ends = links.select(F.col("u").alias("fp")).union(links.select("v")).distinct()
-    asked = groups.join(ends.withColumn("linked", F.lit(True)), "fp", "left").where("linked OR n > 1")
-    asked = cut(prints.join(asked, "fp").where("n > 1 OR doc_id = first").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("shares")).cast("int")))
-    texts = d.join(asked, "doc_id").select(F.col("fp").alias("component_id"), "doc_id", "text").mapInArrow(_shingles(words), "component_id long, doc_id long, s binary, sketch binary")
-    texts = cut(texts.withColumnRenamed("component_id", "fp"))
-    heads = texts.join(asked.where("doc_id = first").select("doc_id", "shares"), "doc_id").dropDuplicates(["fp"])
-    heads = cut(heads.select("fp", "s", "sketch", "shares"))
-    first = heads.where("shares > 0").select(F.col("fp").alias("c"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.col("s").alias("first"))
-    rest = texts.join(asked.where("doc_id <> first").select("doc_id", "own"), "doc_id")
-    pairs = rest.join(first, (F.col("fp") == F.col("c")) & (F.col("own") == F.col("share"))).select("doc_id", "s", "first")
-    copies = pairs.mapInArrow(_similar(similarity), "doc_id long").distinct()
-    found = classes(_alike(links, heads, similarity))
-    linked = groups.join(found, groups.fp == found.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    lowest = linked.groupBy("root").agg(F.min("first").alias("lowest"))
-    others = linked.join(lowest, "root").where("first <> lowest").select("first")
-    gone = cut(copies.union(others).distinct().withColumnRenamed("doc_id", "_id"))
-    discard(texts, heads, asked)
+    prints = cut(d.mapInArrow(_prints(words), "doc_id long, fp long, node long").distinct())
+    nodes = cut(prints.groupBy("fp", "node").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
+    found = _verified(d, nodes, words, radius, similarity)
+    linked = nodes.withColumn("root", F.col("node"))
+    if found is not None:
+        linked = nodes.join(found, "node", "left").select(*nodes.columns, F.coalesce("root", "node").alias("root"))
+    lowest = linked.groupBy("root").agg(F.min("first").alias("lowest"), F.sum("n").alias("docs")).where("docs > 1")
+    asked = linked.join(lowest, "root").select("node", "lowest")
+    gone = cut(prints.join(asked, "node").where("doc_id <> lowest").select(F.col("doc_id").alias("_id")).distinct())
     return documents.join(gone, F.col("doc_id").cast("long") == F.col("_id"), "left_anti")

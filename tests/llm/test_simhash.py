@@ -160,3 +160,13 @@ def test_near_copies_up_to_the_similarity_go(spark, docs_of):
     assert np.mean([k not in kept for k in alike]) > 0.9
     apart = [k for k, g in near.items() if max(jaccard(k, o) for o in range(g, g + 5) if o != k) < 0.8]
     assert apart and all(k in kept for k in apart)
+
+
+def test_texts_of_one_fingerprint_that_are_not_like_the_first(spark, docs_of):
+    line = "one two three four five"
+    own = lambda k: " ".join(f"{k}{i}" for i in range(100))
+    a, b = (" ".join([line] * 1000) + " " + own(k) for k in "ab")
+    near = b.replace("b50 ", "changed ")
+    assert simhash.fingerprint(a, 5) == simhash.fingerprint(b, 5) == simhash.fingerprint(near, 5)
+    kept = simhash.drop_near_duplicates(docs_of([a, b, b, near, a], [1, 2, 3, 4, 5]))
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 2]
