@@ -6,8 +6,8 @@ if their counts differ by at most the radius, since that difference bounds the
 number of differing bits from below. Within a pair of tiles numpy compares runs
 with equal counts per 16 bits, skipping runs by the same bound applied to the
 four parts, and takes exclusive-or and bit counts of the rest. A task returns a
-spanning forest of the links it found: all classes, few rows. Of candidates
-that are yet to be verified a dense pair of tiles returns some that span all. Classes are joined
+spanning forest of the links it found: all classes, few rows. (Candidates that are
+yet to be verified are no links: of those every pair is verified in the end.) Classes are joined
 by star contraction on the distinct fingerprints.
 
 Defined cases: null text is empty; a text without words has fingerprint zero
@@ -35,8 +35,9 @@ TILE = 8192
 #: Smallest hashes that stand for a text's shingles where a pair may be ruled out; it is
 #: ruled out if they put its similarity below the wanted one by this much (six standard errors).
 SKETCH, SLACK = 64, 0.3
-#: A pair of tiles with more candidates a node than this returns some that span all classes.
-DENSE = 4
+#: Rounds in which a pair of tiles with more than DENSE candidates a node returns some that
+#: span all classes; what those verify is no candidate later. The round after returns all.
+SPARE, DENSE = 3, 4
 
 
 def fingerprint(text: str | None, words: int = WORDS) -> int:
@@ -426,14 +427,16 @@ def _alike(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
 
 
 def _verified(d: DataFrame, nodes: DataFrame, words: int, radius: int, similarity: float) -> DataFrame | None:
-    """``node, root`` of nodes linked by verified pairs of ``nodes`` within the radius.
+    """``node, root`` of nodes linked by verified pairs, of all pairs of ``nodes`` within the radius.
+
+    Only pairs whose ends verified links already put in one class are spared.
     """
     found = tested = texts = links = None
-    for k in range(1):
+    for k in range(SPARE + 1):
         state = nodes.select("fp", "node", F.col("node").alias("cls"))
         if found is not None:
             state = nodes.join(found, "node", "left").select("fp", "node", F.coalesce("root", "node").alias("cls"))
-        near = cut(tile_candidates(state, radius, k, False).groupBy("u", "v").agg(F.max("more").alias("more")))
+        near = cut(tile_candidates(state, radius, k, k == SPARE).groupBy("u", "v").agg(F.max("more").alias("more")))
         more = near.agg(F.max("more")).first()[0]
         if more is None:  # no pair at all
             break
@@ -447,6 +450,8 @@ def _verified(d: DataFrame, nodes: DataFrame, words: int, radius: int, similarit
         alike = _alike(new, texts, similarity)
         links = alike if links is None else links.union(alike)
         found = classes(links)
+        if not more:
+            break
     if texts is not None:
         discard(texts)
     return found

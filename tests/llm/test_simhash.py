@@ -170,3 +170,41 @@ def test_texts_of_one_fingerprint_that_are_not_like_the_first(spark, docs_of):
     assert simhash.fingerprint(a, 5) == simhash.fingerprint(b, 5) == simhash.fingerprint(near, 5)
     kept = simhash.drop_near_duplicates(docs_of([a, b, b, near, a], [1, 2, 3, 4, 5]))
     assert sorted(r.doc_id for r in kept.collect()) == [1, 2]
+
+
+def jaccard_rest(texts, words=5, radius=12, similarity=0.8):
+    """What stays, by comparing every pair."""
+    sets = [{tuple(t.split()[i : i + words]) for i in range(len(t.split()) - words + 1)} for t in texts]
+    fps = [simhash.fingerprint(t, words) for t in texts]
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= radius]
+    links = [(i, j) for i, j in pairs if len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j])]
+    return {min(c) for c in brute_groups(len(texts), links)}, pairs, links
+
+
+def brute_groups(n, links):
+    group = {i: {i} for i in range(n)}
+    for i, j in links:
+        if group[i] is not group[j]:
+            group[i] |= group[j]
+            for k in group[j]:
+                group[k] = group[i]
+    return list({id(g): g for g in group.values()}.values())
+
+
+@pytest.mark.parametrize("dense", [0, simhash.DENSE])
+def test_every_candidate_is_verified_whatever_others_fail(spark, docs_of, monkeypatch, dense):
+    """Many texts share most shingles, so candidates that fail connect all of them."""
+    monkeypatch.setattr(simhash, "DENSE", dense)
+    rng = random.Random(14)
+    vocab = [f"w{i}" for i in range(3000)]
+    lists = [rng.choices(vocab, k=240)]
+    for _ in range(120):
+        w = list(rng.choice(lists))
+        for k in rng.sample(range(240), rng.choice([4, 5, 7, 8, 9])):
+            w[k] = rng.choice(vocab)
+        lists.append(w)
+    texts = [" ".join(w) for w in lists]
+    want, pairs, links = jaccard_rest(texts)
+    assert 0 < len(links) < len(pairs) / 3 and len(want) > 5
+    kept = {r.doc_id for r in simhash.drop_near_duplicates(docs_of(texts)).collect()}
+    assert kept == want
