@@ -17,8 +17,6 @@ from ..streaming.windows import windowed_sums
 from .fixture import calls_sql, panel
 
 A, B, C, D = "EUROPE", "AFRICA", "AMERICA", "ASIA"
-#: Sites that the SQL of some queries is restricted to; the queries read all sites.
-SMALL = "p_partkey < 200"
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
@@ -231,12 +229,12 @@ def patterson_d(spark, sf_dir):
     return tidy(fstats.patterson_d(panel(spark, sf_dir), A, B, C, D).drop("chrom"))
 
 
-@query(f"WITH {calls_sql()}, {FSTAT} SELECT k AS window_id, {r8('sum((pc-pa)*(pc-pb) - hc/nc)/sum(2*hc)')} AS value FROM v JOIN range(0, 10000) t(k) ON i >= k*50 AND i < k*50 + 100 WHERE k*50 + 100 <= (SELECT max(i) + 1 FROM v) GROUP BY k")
+@query(f"WITH {calls_sql()}, {FSTAT} SELECT k AS window_id, {r8('sum((pc-pa)*(pc-pb) - hc/nc)/sum(2*hc)')} AS value FROM v JOIN (SELECT unnest(range(0, (SELECT max(i) FROM v) // 25 + 1)) AS k) ON i >= k*50 AND i < k*50 + 100 WHERE k*50 + 100 <= (SELECT max(i) + 1 FROM v) GROUP BY k")
 def moving_patterson_f3(spark, sf_dir):
     return tidy(fstats.moving_patterson_f3(panel(spark, sf_dir), C, A, B, 100, step=50))
 
 
-@query(f"WITH {calls_sql()}, {FSTAT} SELECT k AS window_id, {r8('sum((pa-pb)*(pc-pd))/sum((pa+pb-2*pa*pb)*(pc+pd-2*pc*pd))')} AS value FROM v JOIN range(0, 10000) t(k) ON i >= k*50 AND i < k*50 + 50 WHERE k*50 + 50 <= (SELECT max(i) + 1 FROM v) GROUP BY k")
+@query(f"WITH {calls_sql()}, {FSTAT} SELECT k AS window_id, {r8('sum((pa-pb)*(pc-pd))/sum((pa+pb-2*pa*pb)*(pc+pd-2*pc*pd))')} AS value FROM v JOIN (SELECT unnest(range(0, (SELECT max(i) FROM v) // 25 + 1)) AS k) ON i >= k*50 AND i < k*50 + 50 WHERE k*50 + 50 <= (SELECT max(i) + 1 FROM v) GROUP BY k")
 def moving_patterson_d(spark, sf_dir):
     return tidy(fstats.moving_patterson_d(panel(spark, sf_dir), A, B, C, D, 50))
 
@@ -265,7 +263,7 @@ _HUD = lambda a, b: f"greatest(0, least(0.99999e0, sum((p{a}*(1-p{b}) + p{b}*(1-
 
 
 @query(
-    f"WITH {calls_sql()}, {FSTAT}, x AS (SELECT k, -ln(1 - {_HUD('a', 'b')}) AS t12, -ln(1 - {_HUD('a', 'c')}) AS t13, -ln(1 - {_HUD('b', 'c')}) AS t23 FROM (SELECT pos, i, pa, pb, pc, coalesce(ha, 0) AS ha, coalesce(hb, 0) AS hb, coalesce(hc, 0) AS hc FROM v) JOIN range(0, 10000) t(k) ON i >= k*100 AND i < k*100 + 100 WHERE k*100 + 100 <= (SELECT max(i) + 1 FROM v) GROUP BY k) "
+    f"WITH {calls_sql()}, {FSTAT}, x AS (SELECT k, -ln(1 - {_HUD('a', 'b')}) AS t12, -ln(1 - {_HUD('a', 'c')}) AS t13, -ln(1 - {_HUD('b', 'c')}) AS t23 FROM (SELECT pos, i, pa, pb, pc, coalesce(ha, 0) AS ha, coalesce(hb, 0) AS hb, coalesce(hc, 0) AS hc FROM v) JOIN (SELECT unnest(range(0, (SELECT max(i) FROM v) // 25 + 1)) AS k) ON i >= k*100 AND i < k*100 + 100 WHERE k*100 + 100 <= (SELECT max(i) + 1 FROM v) GROUP BY k) "
     f"SELECT k AS window_id, {r8('((t12 + t13 - t23)/2)/(1 + (t12+t13+t23)/2)')} AS pbs FROM x"
 )
 def pbs(spark, sf_dir):
@@ -285,7 +283,7 @@ def _ld_panel(spark, sf_dir):
 
 
 @query(
-    f"WITH {calls_sql(SMALL)}, {LD} SELECT pos_i, pos_j, CAST(x AS BIGINT) AS n11, CAST(y AS BIGINT) AS n10, CAST(z AS BIGINT) AS n01, CAST(w AS BIGINT) AS n00, {r8('CASE WHEN den > 0 THEN num/sqrt(den) END')} AS r, {r8('CASE WHEN den > 0 THEN num*num/den END')} AS r2, "
+    f"WITH {calls_sql()}, {LD} SELECT pos_i, pos_j, CAST(x AS BIGINT) AS n11, CAST(y AS BIGINT) AS n10, CAST(z AS BIGINT) AS n01, CAST(w AS BIGINT) AS n00, {r8('CASE WHEN den > 0 THEN num/sqrt(den) END')} AS r, {r8('CASE WHEN den > 0 THEN num*num/den END')} AS r2, "
     f"{r8('CASE WHEN num >= 0 AND least((x+y)*(y+w), (z+w)*(x+z)) > 0 THEN num/least((x+y)*(y+w), (z+w)*(x+z)) WHEN num < 0 AND least((x+y)*(x+z), (z+w)*(y+w)) > 0 THEN num/least((x+y)*(x+z), (z+w)*(y+w)) END')} AS d_prime, "
     f"{r8('CASE WHEN n >= 4 THEN (x*(x-1)*w*(w-1) + y*(y-1)*z*(z-1) - 2*x*y*z*w)/(n*(n-1)*(n-2)*(n-3)) ELSE 0 END')} AS dd FROM lq"
 )
@@ -295,14 +293,14 @@ def ld_pairs(spark, sf_dir):
 
 
 @query(
-    f"WITH {calls_sql(SMALL)}, {LD} SELECT CAST(CASE WHEN pos_j - pos_i < 200 THEN 0 WHEN pos_j - pos_i < 500 THEN 1 ELSE 2 END AS BIGINT) AS bin, {r8('quantile_cont(num*num/den, 0.5)')} AS p50, {r8('quantile_cont(num*num/den, 0.9)')} AS p90, CAST(count(*) AS BIGINT) AS pairs FROM lq WHERE den > 0 AND pos_j - pos_i < 1000 GROUP BY 1"
+    f"WITH {calls_sql()}, {LD} SELECT CAST(CASE WHEN pos_j - pos_i < 200 THEN 0 WHEN pos_j - pos_i < 500 THEN 1 ELSE 2 END AS BIGINT) AS bin, {r8('quantile_cont(num*num/den, 0.5)')} AS p50, {r8('quantile_cont(num*num/den, 0.9)')} AS p90, CAST(count(*) AS BIGINT) AS pairs FROM lq WHERE den > 0 AND pos_j - pos_i < 1000 GROUP BY 1"
 )
 def windowed_r_squared(spark, sf_dir):
     return tidy(ld.windowed_r_squared(_ld_panel(spark, sf_dir), [0, 200, 500, 1000], [50, 90]).select("bin", "p50", "p90", "pairs"))
 
 
 @query(
-    f"WITH {calls_sql(SMALL)}, {LD} SELECT CAST(CASE WHEN pos_j - pos_i < 200 THEN 0 WHEN pos_j - pos_i < 500 THEN 1 ELSE 2 END AS BIGINT) AS bin, "
+    f"WITH {calls_sql()}, {LD} SELECT CAST(CASE WHEN pos_j - pos_i < 200 THEN 0 WHEN pos_j - pos_i < 500 THEN 1 ELSE 2 END AS BIGINT) AS bin, "
     f"{r8('sum(CASE WHEN n >= 4 THEN (x*(x-1)*w*(w-1) + y*(y-1)*z*(z-1) - 2*x*y*z*w)/(n*(n-1)*(n-2)*(n-3)) ELSE 0 END)')} AS dd, CAST(count(*) AS BIGINT) AS pairs FROM ld WHERE pos_j - pos_i < 1000 GROUP BY 1"
 )
 def ld_binned_sums(spark, sf_dir):
@@ -316,7 +314,7 @@ def ld_by_distance_two_populations(spark, sf_dir):
 
 
 @query(
-    f"WITH {calls_sql(SMALL)}, e AS (SELECT pos, hap, allele FROM calls JOIN sc USING (pop, pos) WHERE pop = '{A}' AND allele >= 0 AND d > 0 AND d < n), "
+    f"WITH {calls_sql()}, e AS (SELECT pos, hap, allele FROM calls JOIN sc USING (pop, pos) WHERE pop = '{A}' AND allele >= 0 AND d > 0 AND d < n), "
     "p AS (SELECT CAST(count(*) FILTER (a.allele = 1 AND b.allele = 1) AS DOUBLE) AS x, CAST(count(*) FILTER (a.allele = 1 AND b.allele = 0) AS DOUBLE) AS y, CAST(count(*) FILTER (a.allele = 0 AND b.allele = 1) AS DOUBLE) AS z, CAST(count(*) FILTER (a.allele = 0 AND b.allele = 0) AS DOUBLE) AS w "
     "FROM e a JOIN e b ON a.hap = b.hap AND b.pos > a.pos GROUP BY a.pos, b.pos) "
     f"SELECT {r8('avg(CASE WHEN (x+y)*(z+w)*(x+z)*(y+w) > 0 THEN (x*w-y*z)*(x*w-y*z)/((x+y)*(z+w)*(x+z)*(y+w)) ELSE 0 END)')} AS zns FROM p"
@@ -332,7 +330,7 @@ def zns_sigma_d2_and_omega(spark, sf_dir):
 
 
 @query(
-    f"WITH {calls_sql(SMALL, True)}, g AS (SELECT pos, ind, CAST(sum(allele) AS DOUBLE) AS g FROM calls WHERE pop = '{A}' GROUP BY pos, ind), c AS (SELECT a.pos AS pos_i, b.pos AS pos_j, corr(a.g, b.g) AS r FROM g a JOIN g b ON a.ind = b.ind AND b.pos > a.pos AND b.pos - a.pos <= 1000 GROUP BY 1, 2) "
+    f"WITH {calls_sql(complete=True)}, g AS (SELECT pos, ind, CAST(sum(allele) AS DOUBLE) AS g FROM calls WHERE pop = '{A}' GROUP BY pos, ind), c AS (SELECT a.pos AS pos_i, b.pos AS pos_j, corr(a.g, b.g) AS r FROM g a JOIN g b ON a.ind = b.ind AND b.pos > a.pos AND b.pos - a.pos <= 1000 GROUP BY 1, 2) "
     f"SELECT pos_i, pos_j, {r8('CASE WHEN NOT isnan(r) THEN r*r END')} AS r2 FROM c"
 )
 def rogers_huff_r_squared(spark, sf_dir):
@@ -346,7 +344,7 @@ def sigma_d2_of_dosages(spark, sf_dir):
 
 
 @query(
-    f"WITH {calls_sql('p_partkey < 12', True)}, k AS (SELECT hap, string_agg(CAST(allele AS VARCHAR), '' ORDER BY pos) AS s FROM calls WHERE pop = '{A}' GROUP BY hap), f AS (SELECT count(*)/CAST(sum(count(*)) OVER () AS DOUBLE) AS f, sum(count(*)) OVER () AS n, row_number() OVER (ORDER BY count(*) DESC) AS i FROM k GROUP BY s) "
+    f"WITH {calls_sql(complete=True)}, k AS (SELECT hap, string_agg(CAST(allele AS VARCHAR), '' ORDER BY pos) AS s FROM calls WHERE pop = '{A}' GROUP BY hap), f AS (SELECT count(*)/CAST(sum(count(*)) OVER () AS DOUBLE) AS f, sum(count(*)) OVER () AS n, row_number() OVER (ORDER BY count(*) DESC) AS i FROM k GROUP BY s) "
     f"SELECT CAST(count(*) AS BIGINT) AS haplotypes, {r8('(1 - sum(f*f))*max(n)/(max(n)-1)')} AS diversity, {r8('sum(f*f)')} AS h1, {r8('pow(sum(f) FILTER (i <= 2), 2) + coalesce(sum(f*f) FILTER (i > 2), 0)')} AS h12, {r8('pow(sum(f) FILTER (i <= 3), 2) + coalesce(sum(f*f) FILTER (i > 3), 0)')} AS h123, {r8('(sum(f*f) - max(f)*max(f))/sum(f*f)')} AS h2_h1 FROM f"
 )
 def haplotype_statistics(spark, sf_dir):
@@ -361,7 +359,7 @@ def moving_garud_h(spark, sf_dir):
 
 
 @query(
-    f"""WITH {calls_sql(SMALL)}, i AS (SELECT pos, ind, sum(allele) AS g FROM calls WHERE pop = '{A}' GROUP BY ALL HAVING min(allele) >= 0), o AS (SELECT pos, count(*) FILTER (g = 1)/CAST(count(*) AS DOUBLE) AS ho FROM i GROUP BY pos)
+    f"""WITH {calls_sql()}, i AS (SELECT pos, ind, sum(allele) AS g FROM calls WHERE pop = '{A}' GROUP BY ALL HAVING min(allele) >= 0), o AS (SELECT pos, count(*) FILTER (g = 1)/CAST(count(*) AS DOUBLE) AS ho FROM i GROUP BY pos)
     SELECT pos, {r8('CASE WHEN n >= 2 THEN 2.0e0*d/n*(1 - d/CAST(n AS DOUBLE)) END')} AS he, {r8('ho')} AS ho, {r8('CASE WHEN n >= 2 AND d > 0 AND d < n THEN 1 - ho/(2.0e0*d/n*(1 - d/CAST(n AS DOUBLE))) END')} AS f FROM sc LEFT JOIN o USING (pos) WHERE pop = '{A}'"""
 )
 def heterozygosity(spark, sf_dir):
@@ -392,7 +390,7 @@ def site_filters(spark, sf_dir):
 
 
 @query(
-    f"WITH {calls_sql(SMALL)}, e AS (SELECT pos, hap, allele FROM calls WHERE pop = '{B}' AND allele >= 0), x AS (SELECT a.hap AS i, b.hap AS j, sum(CASE WHEN a.allele <> b.allele THEN 1.0e0 ELSE 0 END)/count(*) AS d FROM e a JOIN e b ON a.pos = b.pos AND a.hap < b.hap GROUP BY 1, 2) "
+    f"WITH {calls_sql()}, e AS (SELECT pos, hap, allele FROM calls WHERE pop = '{B}' AND allele >= 0), x AS (SELECT a.hap AS i, b.hap AS j, sum(CASE WHEN a.allele <> b.allele THEN 1.0e0 ELSE 0 END)/count(*) AS d FROM e a JOIN e b ON a.pos = b.pos AND a.hap < b.hap GROUP BY 1, 2) "
     f"SELECT CAST(count(*) AS BIGINT) AS pairs, {r8('sum(d)')} AS total, {r8('var_samp(d)')} AS variance, {r8('min(d)')} AS low, {r8('max(d)')} AS high FROM x"
 )
 def pairwise_diffs_haploid(spark, sf_dir):
@@ -401,7 +399,7 @@ def pairwise_diffs_haploid(spark, sf_dir):
 
 
 @query(
-    f"WITH {calls_sql(SMALL)}, e AS (SELECT pos, ind, sum(allele) AS g FROM calls WHERE pop = '{B}' GROUP BY ALL HAVING min(allele) >= 0), x AS (SELECT a.ind AS i, b.ind AS j, count(*) AS n, sum(CASE WHEN a.g = b.g THEN 2 WHEN abs(a.g - b.g) = 1 THEN 1 ELSE 0 END)/(2.0e0*count(*)) AS ibs FROM e a JOIN e b ON a.pos = b.pos AND a.ind <= b.ind GROUP BY 1, 2) "
+    f"WITH {calls_sql()}, e AS (SELECT pos, ind, sum(allele) AS g FROM calls WHERE pop = '{B}' GROUP BY ALL HAVING min(allele) >= 0), x AS (SELECT a.ind AS i, b.ind AS j, count(*) AS n, sum(CASE WHEN a.g = b.g THEN 2 WHEN abs(a.g - b.g) = 1 THEN 1 ELSE 0 END)/(2.0e0*count(*)) AS ibs FROM e a JOIN e b ON a.pos = b.pos AND a.ind <= b.ind GROUP BY 1, 2) "
     f"SELECT i, j, {r8('CASE WHEN i = j THEN 1 ELSE ibs END')} AS ibs FROM x"
 )
 def identity_by_state(spark, sf_dir):
@@ -412,7 +410,7 @@ def identity_by_state(spark, sf_dir):
 
 
 @query(
-    f"WITH {calls_sql(SMALL)}, e AS (SELECT pos, ind, sum(allele) AS g FROM calls WHERE pop = '{B}' GROUP BY ALL HAVING min(allele) >= 0), f AS (SELECT pos, sum(g)/(2.0e0*count(*)) AS p FROM e GROUP BY pos), z AS (SELECT pos, ind, (g - 2*p)/sqrt(2*p*(1-p)) AS z FROM e JOIN f USING (pos) WHERE p > 0 AND p < 1) "
+    f"WITH {calls_sql()}, e AS (SELECT pos, ind, sum(allele) AS g FROM calls WHERE pop = '{B}' GROUP BY ALL HAVING min(allele) >= 0), f AS (SELECT pos, sum(g)/(2.0e0*count(*)) AS p FROM e GROUP BY pos), z AS (SELECT pos, ind, (g - 2*p)/sqrt(2*p*(1-p)) AS z FROM e JOIN f USING (pos) WHERE p > 0 AND p < 1) "
     f"SELECT a.ind AS i, b.ind AS j, {r8('sum(a.z*b.z)/(SELECT count(*) FROM f WHERE p > 0 AND p < 1)')} AS a FROM z a JOIN z b ON a.pos = b.pos AND a.ind <= b.ind GROUP BY 1, 2"
 )
 def genetic_relationship(spark, sf_dir):
@@ -423,7 +421,7 @@ def genetic_relationship(spark, sf_dir):
 
 
 @query(
-    f"""WITH {calls_sql(SMALL, True)}, x AS (SELECT a.hap AS i, b.hap AS j, a.pop AS p, b.pop AS q, CAST(sum(abs(a.allele - b.allele)) AS DOUBLE) AS d FROM calls a JOIN calls b ON a.pos = b.pos AND a.hap <> b.hap WHERE a.pop IN ('{A}', '{B}') AND b.pop IN ('{A}', '{B}') GROUP BY ALL),
+    f"""WITH {calls_sql(complete=True)}, x AS (SELECT a.hap AS i, b.hap AS j, a.pop AS p, b.pop AS q, CAST(sum(abs(a.allele - b.allele)) AS DOUBLE) AS d FROM calls a JOIN calls b ON a.pos = b.pos AND a.hap <> b.hap WHERE a.pop IN ('{A}', '{B}') AND b.pop IN ('{A}', '{B}') GROUP BY ALL),
     m AS (SELECT i, min(d) AS lo FROM x GROUP BY i), s AS (SELECT x.i, count(*) FILTER (p = q)/CAST(count(*) AS DOUBLE) AS s FROM x JOIN m ON x.i = m.i AND d = lo GROUP BY x.i), b AS (SELECT min(d) AS lo, avg(d) AS mean FROM x WHERE p <> q)
     SELECT {r8('(SELECT avg(s) FROM s)')} AS snn, lo AS dxy_min, {r8('lo/mean')} AS gmin, {r8(f"lo/(SELECT avg(d) FROM x WHERE p = '{A}' AND q = '{A}')")} AS dd1, {r8(f"lo/(SELECT avg(d) FROM x WHERE p = '{B}' AND q = '{B}')")} AS dd2,
     {r8(f"(SELECT avg(CASE WHEN d <= lo THEN 1.0e0 ELSE 0 END) FROM x WHERE p = '{A}' AND q = '{A}')")} AS dd_rank1, {r8(f"(SELECT avg(CASE WHEN d <= lo THEN 1.0e0 ELSE 0 END) FROM x WHERE p = '{B}' AND q = '{B}')")} AS dd_rank2 FROM b"""
@@ -432,22 +430,22 @@ def distance_based_stats(spark, sf_dir):
     return row(spark, **divergence.distance_based_stats(panel(spark, sf_dir, complete=True), A, B))
 
 
-def _nsl_sql(where: str) -> str:
+def _nsl_sql() -> str:
     """Runs of agreement as differences of row numbers, per pair and direction."""
-    return f"""{calls_sql(where)}, s AS (SELECT *, row_number() OVER (PARTITION BY hap ORDER BY pos) AS i FROM calls WHERE pop = '{B}'),
+    return f"""{calls_sql()}, s AS (SELECT *, row_number() OVER (PARTITION BY hap ORDER BY pos) AS i FROM calls WHERE pop = '{B}'),
     p AS (SELECT a.hap AS h, b.hap AS k, a.i, a.pos, a.allele AS x, b.allele AS y, a.allele <> b.allele AND a.allele >= 0 AND b.allele >= 0 AS brk FROM s a JOIN s b ON a.i = b.i AND a.hap < b.hap),
     l AS (SELECT *, i - coalesce(max(CASE WHEN brk THEN i END) OVER (PARTITION BY h, k ORDER BY i), 0) AS f, coalesce(min(CASE WHEN brk THEN i END) OVER (PARTITION BY h, k ORDER BY i DESC), (SELECT max(i) + 1 FROM s)) - i AS r FROM p)"""
 
 
 @query(
-    f"WITH {_nsl_sql('p_partkey < 100')}, t AS (SELECT pos, avg(f) FILTER (x = 0 AND y = 0) + avg(r) FILTER (x = 0 AND y = 0) AS z, avg(f) FILTER (x = 1 AND y = 1) + avg(r) FILTER (x = 1 AND y = 1) AS o FROM l GROUP BY pos) SELECT pos, {r8('CASE WHEN z IS NOT NULL AND o IS NOT NULL THEN ln(o/z) END')} AS nsl FROM t"
+    f"WITH {_nsl_sql()}, t AS (SELECT pos, avg(f) FILTER (x = 0 AND y = 0) + avg(r) FILTER (x = 0 AND y = 0) AS z, avg(f) FILTER (x = 1 AND y = 1) + avg(r) FILTER (x = 1 AND y = 1) AS o FROM l GROUP BY pos) SELECT pos, {r8('CASE WHEN z IS NOT NULL AND o IS NOT NULL THEN ln(o/z) END')} AS nsl FROM t"
 )
 def nsl(spark, sf_dir):
     return tidy(scans.nsl(panel(spark, sf_dir), B).drop("chrom"))
 
 
 @query(
-    f"WITH {_nsl_sql('p_partkey < 100')}, t AS (SELECT i, count(*) FILTER (b > i)/CAST(count(*) AS DOUBLE) AS ehh FROM (SELECT h, k, coalesce(min(CASE WHEN brk THEN i END), 1000000000) AS b FROM p GROUP BY h, k), (SELECT DISTINCT i FROM s) GROUP BY i) SELECT CAST(i - 1 AS BIGINT) AS variant, {r8('ehh')} AS ehh FROM t"
+    f"WITH {_nsl_sql()}, t AS (SELECT i, count(*) FILTER (b > i)/CAST(count(*) AS DOUBLE) AS ehh FROM (SELECT h, k, coalesce(min(CASE WHEN brk THEN i END), 1000000000) AS b FROM p GROUP BY h, k), (SELECT DISTINCT i FROM s) GROUP BY i) SELECT CAST(i - 1 AS BIGINT) AS variant, {r8('ehh')} AS ehh FROM t"
 )
 def ehh_decay(spark, sf_dir):
     e = scans.ehh_decay(panel(spark, sf_dir), population=B)
@@ -487,7 +485,7 @@ def daf_histogram(spark, sf_dir):
 
 
 @query(
-    f"WITH {_windows_sql(20_000, 20_000)}, m AS (SELECT 20000*k AS s, 20000*k + 15000 AS e FROM range(0, 1000) t(k)), x AS (SELECT window_id, {SUMS} FROM w JOIN (SELECT site.* FROM site JOIN m ON pos > s AND pos <= e WHERE pop = '{A}') site ON pos >= wstart AND pos < wstop GROUP BY window_id), "
+    f"WITH {_windows_sql(20_000, 20_000)}, m AS (SELECT 20000*k AS s, 20000*k + 15000 AS e FROM (SELECT unnest(range(0, (SELECT max(pos) FROM calls) // 20000 + 2)) AS k)), x AS (SELECT window_id, {SUMS} FROM w JOIN (SELECT site.* FROM site JOIN m ON pos > s AND pos <= e WHERE pop = '{A}') site ON pos >= wstart AND pos < wstop GROUP BY window_id), "
     f"c AS (SELECT window_id, sum(greatest(0, least(wend - 1, e) - greatest(wstart - 1, s))) AS bases FROM w JOIN m ON e > wstart - 1 AND s < wend - 1 GROUP BY window_id) SELECT window_id, {r8('CASE WHEN bases > 0 THEN coalesce(pi, 0)/bases END')} AS pi, CAST(coalesce(bases, 0) AS BIGINT) AS bases FROM w LEFT JOIN x USING (window_id) LEFT JOIN c USING (window_id)"
 )
 def windowed_pi_masked(spark, sf_dir):
@@ -505,7 +503,7 @@ def windowed_pi_masked(spark, sf_dir):
 
 
 @query(
-    f"WITH {calls_sql()}, v AS (SELECT pos, row_number() OVER (ORDER BY pos) - 1 AS i, n, d, n >= 2 AND d > 0 AND d < n AS seg FROM sc WHERE pop = '{A}') SELECT k AS window_id, min(pos) AS start, CAST(count(*) AS BIGINT) AS n_variants, {r8('sum(CASE WHEN seg THEN 2.0e0*d*(n-d)/(CAST(n AS DOUBLE)*(n-1)) ELSE 0 END)')} AS pi FROM v JOIN range(0, 10000) t(k) ON i >= k*25 AND i < k*25 + 50 WHERE k*25 + 50 <= (SELECT max(i) + 1 FROM v) GROUP BY k"
+    f"WITH {calls_sql()}, v AS (SELECT pos, row_number() OVER (ORDER BY pos) - 1 AS i, n, d, n >= 2 AND d > 0 AND d < n AS seg FROM sc WHERE pop = '{A}') SELECT k AS window_id, min(pos) AS start, CAST(count(*) AS BIGINT) AS n_variants, {r8('sum(CASE WHEN seg THEN 2.0e0*d*(n-d)/(CAST(n AS DOUBLE)*(n-1)) ELSE 0 END)')} AS pi FROM v JOIN (SELECT unnest(range(0, (SELECT max(i) FROM v) // 25 + 1)) AS k) ON i >= k*25 AND i < k*25 + 50 WHERE k*25 + 50 <= (SELECT max(i) + 1 FROM v) GROUP BY k"
 )
 def windows_of_variants(spark, sf_dir):
     out = windows.windowed(panel(spark, sf_dir), windows.WindowParams("snp", 50, 25), ("pi",), [A], span_normalize=False)
@@ -545,7 +543,7 @@ def ld_sums_by_recombination(spark, sf_dir):
     return tidy(spark.createDataFrame(rows, "bin long, statistic string, total double"))
 
 
-@query(f"WITH {calls_sql(SMALL)}, i AS (SELECT pos, ind, CASE WHEN min(allele) < 0 THEN -1 ELSE sum(allele) END AS g FROM calls WHERE pop = '{A}' GROUP BY pos, ind) SELECT pos, CAST(count(*) FILTER (g = 0) AS BIGINT) AS hom_ref, CAST(count(*) FILTER (g = 1) AS BIGINT) AS het, CAST(count(*) FILTER (g = 2) AS BIGINT) AS hom_alt, CAST(count(*) FILTER (g < 0) AS BIGINT) AS missing FROM i GROUP BY pos")
+@query(f"WITH {calls_sql()}, i AS (SELECT pos, ind, CASE WHEN min(allele) < 0 THEN -1 ELSE sum(allele) END AS g FROM calls WHERE pop = '{A}' GROUP BY pos, ind) SELECT pos, CAST(count(*) FILTER (g = 0) AS BIGINT) AS hom_ref, CAST(count(*) FILTER (g = 1) AS BIGINT) AS het, CAST(count(*) FILTER (g = 2) AS BIGINT) AS hom_alt, CAST(count(*) FILTER (g < 0) AS BIGINT) AS missing FROM i GROUP BY pos")
 def dosage_counts(spark, sf_dir):
     g = dosages(panel(spark, sf_dir), A)
     n = lambda k: F.size(F.filter("g", lambda x: x == k)).cast("long")

@@ -37,9 +37,19 @@ def test_plans_prune_and_do_not_join_everything(spark, sf_dir):
     assert "Cartesian" not in plan and "NestedLoop" not in plan
 
 
-def test_entry_works_without_the_optional_parts(monkeypatch):
-    import __spark_entry__ as entry
-
-    real = entry._optional
-    monkeypatch.setattr(entry, "_optional", lambda n: None if "llm" in n or n == "corpus_pipeline" else real(n))
-    assert "windowed_diversity" in entry.queries() and not any(q.startswith("op") for q in entry.queries())
+def test_entry_works_without_the_optional_parts(tmp_path):
+    """In a copy of the repository without the subpackage, with and without the pipeline's file."""
+    import os
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(verify.__file__).resolve().parent
+    skip = shutil.ignore_patterns("llm", ".git", "__pycache__", ".pytest_cache")
+    shutil.copytree(root, tmp_path / "copy", ignore=skip)
+    code = "import __spark_entry__ as e; q = e.queries(); assert 'windowed_diversity' in q and not any(k.startswith('op') or k == 'pipeline' for k in q); assert set(e.oracle_sql()) <= set(q)"
+    for name in ("corpus_pipeline.py", None):
+        subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "copy", env={**os.environ, "PYTHONPATH": str(tmp_path / "copy")}, check=True)
+        if name and (tmp_path / "copy" / name).exists():
+            (tmp_path / "copy" / name).unlink()
