@@ -1,24 +1,30 @@
 """SimHash near-duplicates by tiled exact comparison.
 
-Fingerprints are computed in Arrow batches and reduced to the distinct ones.
-These are cut into tiles of equal population count; a tile meets another only
-if their counts differ by at most the radius, since that difference bounds the
-number of differing bits from below. Within a pair of tiles numpy compares runs
-with equal counts per 16 bits, skipping runs by the same bound applied to the
-four parts, and takes exclusive-or and bit counts of the rest. A task returns a
-spanning forest of the links it found: all classes, few rows. (Candidates that are
-yet to be verified are no links: of those every pair is verified in the end.) Classes are joined
-by star contraction on the distinct fingerprints.
+Fingerprints are computed in Arrow batches and reduced to the distinct ones. These
+are cut into tiles in order of a number that near ones can't differ much in: the
+population count, which differs by at most as many as bits differ. Two tiles meet
+only if their ranges of that number allow it; a pair of tiles is a cell, a task of
+its own, and each tile is sent to the cells of its row and column. In a cell numpy
+takes exclusive-or and bit counts. A cell returns a spanning forest of the links it
+found: all classes, few rows. Classes are joined by star contraction (few links in one task).
+
+:func:`drop_near_duplicates` removes documents whose texts' word shingles are alike
+(Jaccard similarity). Its fingerprints have 512 bits, so that hardly a pair at the
+similarity lies beyond the radius (see ``WIDE``) and few others lie within, and its
+tiles are in order of the number of shingles, which bounds the similarity. What
+lies within is a candidate; every candidate pair is verified on whole shingle sets,
+unless verified links already put both in one class.
 
 Defined cases: null text is empty; a text without words has fingerprint zero
 and is linked like any other; texts of fewer words than a shingle are one
 shingle; repeated doc_ids each get a row; a null doc_id gets a row, and is never
 chosen as the smallest; an empty table gives an empty result; further columns
-are ignored.
+are ignored by :func:`near_duplicates` and kept by :func:`drop_near_duplicates`.
 """
 
 from __future__ import annotations
 
+import re
 from itertools import islice
 
 import numpy as np
@@ -27,42 +33,65 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, discard, small_batches, table, worker
+from .common import broadcast_if_small, cut, discard, small_batches, table, unused, worker
 
 WORDS, RADIUS, SEED = 4, 4, 42
-#: Fingerprints in a tile; a pair of tiles takes some 20 MB in its task.
-TILE = 8192
-#: Smallest hashes that stand for a text's shingles where a pair may be ruled out; it is
-#: ruled out if they put its similarity below the wanted one by this much (six standard errors).
-SKETCH, SLACK = 64, 0.3
-#: Rounds in which a pair of tiles with more than DENSE candidates a node returns some that
-#: span all classes; what those verify is no candidate later. The round after returns all.
+#: Fingerprints in a tile (a cell holds two), and rows of a tile that travel together.
+TILE, CHUNK = 1 << 16, 1024
+#: Pairs compared at once.
+PAIRS = 1 << 18
+#: Words of 64 bits in a wide fingerprint. A bit differs with probability 0.152 between two
+#: texts of similarity 0.8 (0.162 at most, by the exact distribution for small sets; 0.1875
+#: for 4 and 5 shingles). A pair is a candidate if the first word differs in FIRST bits at
+#: most and all in NEAR: 4.2 standard deviations above the mean, for sets of FEW or less ALIKE.
+WIDE, FIRST, NEAR, FEW, ALIKE = 8, 22, 112, 8, 130
+#: Distinct links whose classes one task finds, in some 100 MB.
+AT_ONCE = 1 << 20
+#: Rounds in which a cell with more than DENSE candidates a node returns some that span all
+#: classes; what those verify is no candidate later. The round after returns all.
 SPARE, DENSE = 3, 4
+#: Characters split into words at once.
+PIECE = 1 << 20
+_SPACE = re.compile("[\\x09-\\x0d\\x20]")
+_C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD)]
+_ODD = np.array([(0x9E3779B97F4A7C15 * (2 * k + 1)) & (2**64 - 1) for k in range(WIDE)], np.uint64)
+
+
+def word_lists(text: str | None):
+    """Words (bytes, A-Z lower-cased) piece by piece; pieces end at white space."""
+    text, at = text or "", 0
+    while at < len(text):
+        end = _SPACE.search(text, at + PIECE)
+        end = end.start() if end else len(text)
+        yield text[at:end].encode().lower().split()
+        at = end
 
 
 def fingerprint(text: str | None, words: int = WORDS) -> int:
     """64 bits; bit set if it is in over half of the shingles' hashes."""
-    parts = (text or "").encode().lower().split()
-    if not parts:
-        return 0
-    if len(parts) <= words:
-        return xxhash.xxh64_intdigest(b" ".join(parts), SEED)
-    joined = b" ".join(parts)
-    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    count, ones = len(parts) - words + 1, np.zeros(64, np.int64)
-    digest = xxhash.xxh64_intdigest
-    spans = zip(starts[:count].tolist(), ends[words - 1 :].tolist())
-    while True:  # in pieces, so that memory doesn't follow the longest text
-        h = np.array([digest(joined[a:b], SEED) for a, b in islice(spans, 1 << 16)], np.uint64)
-        if not h.size:
-            break
-        ones += _bit_sums(h)
+    digest, ones, count, tail = xxhash.xxh64_intdigest, np.zeros(64, np.int64), 0, []
+    for parts in word_lists(text):
+        parts = tail + parts
+        n = len(parts) - words + 1
+        if n > 0:
+            joined = b" ".join(parts)
+            ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
+            starts = np.concatenate(([0], ends[:-1] + 1))
+            spans = zip(starts[:n].tolist(), ends[words - 1 :].tolist())
+            while piece := [digest(joined[a:b], SEED) for a, b in islice(spans, 1 << 15)]:
+                ones += bit_sums(np.array(piece, np.uint64)[:, None])
+            count += n
+        tail = parts[max(0, n) :]
+    if not count:
+        return digest(b" ".join(tail), SEED) if tail else 0
     return int(np.packbits(ones * 2 > count, bitorder="little").view(np.uint64)[0])
 
 
-def _bit_sums(h: np.ndarray) -> np.ndarray:
-    return np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+def bit_sums(h: np.ndarray) -> np.ndarray:
+    """How often each bit is set in the rows of ``h`` (rows by 64-bit words)."""
+    bits = np.unpackbits(h.view(np.uint8).ravel(), bitorder="little").view(np.uint64).reshape(len(h), -1)
+    # eight counters of a byte in each number
+    return sum(bits[k : k + 255].sum(axis=0).view(np.uint8).astype(np.int64) for k in range(0, len(h), 255))
 
 
 def _fingerprints(words: int):
@@ -80,6 +109,9 @@ def fingerprints(documents: DataFrame, words: int = WORDS) -> DataFrame:
     return d.mapInArrow(_fingerprints(words), "doc_id long, fp long")
 
 
+# -- links and classes ------------------------------------------------------------
+
+
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of links a-b (values of any kind) a spanning forest: each node but a root, and its class's root."""
     nodes, code = np.unique(np.concatenate((a, b)), return_inverse=True)
@@ -102,53 +134,8 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[child], nodes[root[child]]
 
 
-def _parts(fp: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(np.ascontiguousarray(fp).view(np.uint16).reshape(-1, 4)).astype(np.int8)
-
-
-def _runs(fp: np.ndarray):
-    """``fp`` ordered by its parts' counts; the runs' counts and bounds."""
-    p = _parts(fp)
-    order = np.lexsort(p.T)
-    p, fp = p[order], fp[order]
-    first = np.flatnonzero(np.concatenate(([True], (p[1:] != p[:-1]).any(axis=1))))
-    return fp, p[first], first, np.append(first[1:], len(fp))
-
-
-def compare(a: np.ndarray, b: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs of a tile with another (or itself) at ``radius`` or fewer differing bits."""
-    if not len(a) or not len(b):
-        return a[:0], b[:0]
-    a, pa_, s, e = _runs(a)
-    b, pb, bs, be = _runs(b)
-    left, right = [], []
-    for k in range(len(s)):
-        near = np.flatnonzero(np.abs(pb - pa_[k]).sum(axis=1, dtype=np.int16) <= radius)
-        if not len(near):
-            continue
-        n = be[near] - bs[near]
-        at = np.repeat(bs[near] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-        other = b[at]
-        for lo in range(s[k], e[k], max(1, (1 << 20) // len(other))):
-            own = a[lo : min(e[k], lo + max(1, (1 << 20) // len(other)))]
-            i, j = np.nonzero(np.bitwise_count(own[:, None] ^ other[None, :]) <= radius)
-            if len(i):
-                left.append(own[i])
-                right.append(other[j])
-        if sum(map(len, left)) > 1 << 20:  # dense classes: keep their forest only
-            x, y = forest(np.concatenate(left), np.concatenate(right))
-            left, right = [x], [y]
-    return (np.concatenate(left), np.concatenate(right)) if left else (a[:0], b[:0])
-
-
-def closest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of links a-b some that span all classes, fewer differing bits before more; none is made up."""
-    keep = spanning(a, b, np.bitwise_count(a ^ b))
-    return a[keep], b[keep]
-
-
 def spanning(a: np.ndarray, b: np.ndarray, bits: np.ndarray, seed: int = 0) -> np.ndarray:
-    """As :func:`closest`, the links' places; among equals ``seed`` chooses, so that no node is in most."""
+    """Places of some of the links a-b that span all classes, fewer bits before more; among equals ``seed`` chooses."""
     if not len(a):
         return np.zeros(0, np.int64)
     rng = np.random.default_rng(seed)
@@ -174,177 +161,249 @@ def spanning(a: np.ndarray, b: np.ndarray, bits: np.ndarray, seed: int = 0) -> n
     return np.concatenate(keep) if keep else np.zeros(0, np.int64)
 
 
-def compare_all(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """As :func:`compare`, for radii at which hardly a run could be skipped; links as :func:`closest` keeps them."""
-    left, right, held = [a[:0]], [b[:0]], 0
-    for i, j in _within(a, b, a, b, radius):
-        left.append(a[i])
-        right.append(b[j])
-        held += len(i)
-        if held > 1 << 20:
-            x, y = closest(np.concatenate(left), np.concatenate(right))
-            left, right, held = [x], [y], 0
-    return closest(np.concatenate(left), np.concatenate(right))
-
+@worker
+def _roots(batches):
+    """All links in one task: each linked node and the smallest of its class."""
+    links = [(b.column("u").to_numpy(), b.column("v").to_numpy()) for b in batches]
+    if links:
+        node, root = forest(*(np.concatenate(x) for x in zip(*links)))
+        # a root's children all name it, the smallest; itself is no child
+        for k in range(0, len(node), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(node[k : k + (1 << 16)]), pa.array(root[k : k + (1 << 16)])], ["node", "root"])
+
+
+def classes(links: DataFrame, rounds: int = 60, at_once: int = AT_ONCE) -> DataFrame:
+    """``node, root`` of every linked node but the roots; ``root`` is the smallest node of its class.
+
+    Up to ``at_once`` distinct links (counted) are joined up in one task. More take
+    large-star and small-star steps in turn, until nothing changes; if that takes
+    more than ``rounds``, an error. A node's minimum is aggregated on the map side
+    and written, so that a hub's rows meet it in a join of two scanned tables, whose
+    large partitions Spark splits (``spark.sql.adaptive.skewJoin.enabled``).
+    """
+    edges = cut(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
+    if edges.count() <= at_once:
+        out = cut(edges.coalesce(1).mapInArrow(_roots, "node long, root long"))
+        discard(edges)
+        return out
+    state = None
+    for _ in range(rounds):
+        both = edges.union(edges.select("v", "u"))
+        low = cut(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
+        large = cut(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        least = cut(large.groupBy("u").agg(F.min("v").alias("m")))
+        small = large.join(least, "u")
+        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
+        new = cut(small.where("u <> v").distinct())
+        discard(edges, low, large, least)
+        edges = new
+        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if now == state:
+            break
+        state = now
+    else:
+        raise RuntimeError(f"classes still changed after {rounds} rounds")
+    out = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    out._cut_path = edges._cut_path
+    return out
 
-def _within(a, b, own, other, radius: int):
-    """Places of pairs within the radius and of different classes, some at a time."""
-    for lo in range(0, len(a), 128):
-        hi = lo + 128
-        i, j = np.nonzero((np.bitwise_count(a[lo:hi, None] ^ b[None, :]) <= radius) & (own[lo:hi, None] != other[None, :]))
-        if len(i):
-            yield i + lo, j
 
+# -- tiles and cells ----------------------------------------------------------------
 
-def candidates(x: np.ndarray, y: np.ndarray, radius: int, seed: int, every: bool):
-    """Pairs of nodes of two tiles within the radius and of different classes, ``u < v``, and if any were left out.
 
-    A tile has rows ``fp, node, cls``. Unless ``every``, of many pairs those that :func:`spanning` keeps.
-    """
-    (a, n, own), (b, m, other) = np.ascontiguousarray(x.T), np.ascontiguousarray(y.T)
-    a, b = a.view(np.uint64), b.view(np.uint64)  # bits of a signed number are counted without its sign
-    held, size, more = [], 0, False
+@worker
+def _packed(batches):
+    """Rows of a tile (all columns but the first, ``tile``, are longs), ``CHUNK`` at a time: ``tile, data``."""
+    held: dict[int, list] = {}
+    size: dict[int, int] = {}
+    total = 0
 
-    def reduced():
-        u, v, bits = (np.concatenate(t) for t in zip(*held))
-        if len(u) <= DENSE * len(np.unique(np.concatenate((u, v)))):
-            return u, v, bits, False
-        keep = spanning(u, v, bits, seed)
-        return u[keep], v[keep], bits[keep], True
+    def out(tiles):
+        rows = [(t, np.concatenate(held.pop(t)).tobytes()) for t in tiles]
+        return pa.RecordBatch.from_arrays([pa.array([t for t, _ in rows], pa.int32()), pa.array([d for _, d in rows], pa.binary())], ["tile", "data"])
 
-    for i, j in _within(a, b, own, other, radius):
-        u, v = np.minimum(n[i], m[j]), np.maximum(n[i], m[j])
-        if every:
-            yield u, v, False
+    for b in batches:
+        if not b.num_rows:
             continue
-        held.append((u, v, np.bitwise_count(a[i] ^ b[j])))
-        size += len(u)
-        if size > 1 << 20:
-            u, v, bits, cut_ = reduced()
-            held, size, more = [(u, v, bits)], 0, more or cut_
+        tile = b.column(0).to_numpy(zero_copy_only=False)
+        rows = np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns[1:]], axis=1)
+        order = np.argsort(tile, kind="stable")
+        tile, rows = tile[order], rows[order]
+        cuts = np.flatnonzero(tile[1:] != tile[:-1]) + 1
+        for lo, hi in zip(np.concatenate(([0], cuts)).tolist(), np.append(cuts, len(tile)).tolist()):
+            t = int(tile[lo])
+            held.setdefault(t, []).append(rows[lo:hi])
+            size[t] = size.get(t, 0) + hi - lo
+            total += hi - lo
+        full = [t for t, n in size.items() if n >= CHUNK]
+        if total > 64 * CHUNK:
+            full = [*size]
+        if full:
+            total -= sum(size.pop(t) for t in full)
+            yield out(full)
     if held:
-        u, v, _, cut_ = reduced()
-        yield u, v, more or cut_
+        yield out([*held])
 
 
-@worker
-def _pack(batches):
-    """Rows of a tile (all columns but ``pop, part``), in order of tiles, to one binary row for each."""
-    key, held = None, []
+def _by_cell(batches, width: int):
+    """Rows of a cell's two tiles, one cell after the other; the second is None where a tile meets itself."""
+    now, parts = None, ([], [])
 
-    def out():
-        return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([np.concatenate(held).tobytes()], pa.binary())], ["pop", "part", "fps"])
+    def tiles():
+        x, y = (np.concatenate(p).reshape(-1, width) if p else None for p in parts)
+        return x, y
 
     for b in batches:
-        pop, part = (b.column(c).to_numpy(zero_copy_only=False) for c in ("pop", "part"))
-        fp = np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in b.schema.names if c not in ("pop", "part")], axis=1)
-        if not len(pop):
-            continue
-        cuts = np.flatnonzero((pop[1:] != pop[:-1]) | (part[1:] != part[:-1])) + 1
-        for lo, hi in zip(np.concatenate(([0], cuts)), np.append(cuts, len(pop))):
-            if key != (pop[lo], part[lo]) and held:
-                yield out()
-                held = []
-            key = (pop[lo], part[lo])
-            held.append(fp[lo:hi].copy())
-    if held:
-        yield out()
+        for cell, side, data in zip(b.column("cell").to_pylist(), b.column("side").to_pylist(), b.column("data")):
+            if cell != now and now is not None:
+                yield tiles()
+                parts = ([], [])
+            now = cell
+            parts[side].append(np.frombuffer(data.as_py(), np.int64))
+    if now is not None:
+        yield tiles()
+
+
+def grid(rows: DataFrame, band, meets, run, schema: str, tile: int = TILE) -> DataFrame:
+    """What ``run`` finds in the cells of ``rows``, whose columns are longs.
+
+    ``band`` is a small whole number by which tiles are ordered (of few values, which
+    the driver counts), and ``meets(a, b)`` says if rows of band ``a`` may be near some
+    of band ``b >= a``; if not, none of ``a`` is near any above ``b``. ``run`` gets pairs
+    of matrices.
+    """
+    spark, columns = rows.sparkSession, rows.columns
+    b, t = unused(columns, "band"), unused(columns, "tile")
+    d = rows.select(band.cast("int").alias(b), *columns)
+    count = {r[b]: r.n for r in d.groupBy(b).agg(F.count("*").alias("n")).collect()}
+    if not count:
+        return spark.createDataFrame([], schema)
+    total = sum(count.values())
+    # as many tiles as their size asks for, or as keep the cores busy
+    n_tiles = max(-(-total // tile), min(-(-total // 512), int(2 * spark.sparkContext.defaultParallelism**0.5) + 2))
+    low, high, start, at = [None] * n_tiles, [None] * n_tiles, [], 0
+    for k in sorted(count):
+        start += [F.lit(k), F.struct(F.lit(float(at)), F.lit(float(count[k])))]
+        for i in range(at * n_tiles // total, min(n_tiles - 1, (at + count[k]) * n_tiles // total) + 1):
+            low[i] = k if low[i] is None else low[i]
+            high[i] = k
+        at += count[k]
+    last, u = [], 0
+    for i in range(n_tiles):
+        u = max(u, i)
+        while u + 1 < n_tiles and meets(high[i], low[u + 1]):
+            u += 1
+        last.append(u)
+    first, base, s = [], [], 0
+    for i in range(n_tiles):
+        while last[s] < i:
+            s += 1
+        first.append(s)
+        base.append(sum(last[j] - j + 1 for j in range(max(0, i - 1), i)) + (base[-1] if base else 0))
+    n_cells = base[-1] + last[-1] - n_tiles + 2
+    here = F.element_at(F.create_map(*start), F.col(b))
+    share = F.pmod(F.xxhash64(*columns), F.lit(1 << 20)) / float(1 << 20)
+    place = F.floor((here["col1"] + share * here["col2"]) * n_tiles / total)
+    d = d.select(F.least(place, F.lit(n_tiles - 1)).cast("int").alias(t), *columns)
+    chunks = d.mapInArrow(_packed, "tile int, data binary")
+    info = F.broadcast(spark.createDataFrame([(i, first[i], last[i], base[i] - i) for i in range(n_tiles)], "tile int, first int, last int, base long"))
+    own = chunks.join(info, "tile").select("base", F.explode(F.sequence("tile", "last")).alias("to"), "data").select((F.col("base") + F.col("to")).alias("cell"), F.lit(0).alias("side"), "data")
+    other = chunks.join(info, "tile").where("first < tile").select(F.explode(F.sequence("first", F.col("tile") - 1)).alias("row"), F.col("tile").alias("to"), "data")
+    rows_info = F.broadcast(spark.createDataFrame([(i, base[i] - i) for i in range(n_tiles)], "row int, base long"))
+    other = other.join(rows_info, "row").select((F.col("base") + F.col("to")).alias("cell"), F.lit(1).alias("side"), "data")
+    # a cell is a partition of its own
+    p = min(n_cells, 20_000)
+    dealt = own.unionByName(other).withColumn("p", (F.col("cell") % p).cast("int")).repartitionById(p, "p")
+    return dealt.sortWithinPartitions("cell", "side").select("cell", "side", "data").mapInArrow(_cells(run, len(columns)), schema)
+
+
+def _cells(run, width: int):
+    def task(batches):
+        for x, y in _by_cell(batches, width):
+            if x is not None:
+                yield from run(x, y)
+
+    return worker(task)
+
+
+# -- 64 bits: the operator ------------------------------------------------------------
 
 
-def _links(radius: int):
-    def run(batches):
-        for batch in batches:
-            for x, y in zip(batch.column("x"), batch.column("y")):
-                u, v = compare(*(np.frombuffer(t.as_py(), np.uint64) for t in (x, y)), radius)
-                keep = u != v
-                u, v = forest(u[keep], v[keep])
-                if len(u):
-                    yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
+def _parts(fp: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(np.ascontiguousarray(fp).view(np.uint16).reshape(-1, 4)).astype(np.int8)
 
-    return worker(run)
 
+def _runs(fp: np.ndarray):
+    """``fp`` ordered by its parts' counts; the runs' counts and bounds."""
+    p = _parts(fp)
+    order = np.lexsort(p.T)
+    p, fp = p[order], fp[order]
+    first = np.flatnonzero(np.concatenate(([True], (p[1:] != p[:-1]).any(axis=1))))
+    return fp, p[first], first, np.append(first[1:], len(fp))
 
-def _candidates(radius: int, seed: int, every: bool):
-    def run(batches):
-        for batch in batches:
-            for x, y in zip(batch.column("x"), batch.column("y")):
-                for u, v, more in candidates(*(np.frombuffer(t.as_py(), np.int64).reshape(-1, 3) for t in (x, y)), radius, seed, every):
-                    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(np.full(len(u), more))], ["u", "v", "more"])
 
-    return worker(run)
+def compare(a: np.ndarray, b: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of a tile with another (or itself) at ``radius`` or fewer differing bits.
 
+    Runs of equal counts in the four parts of 16 bits are skipped by the same bound
+    that rules out tiles: the counts' differences add up to no more than the bits'.
+    """
+    if not len(a) or not len(b):
+        return a[:0], b[:0]
+    a, pa_, s, e = _runs(a)
+    b, pb, bs, be = _runs(b)
+    left, right = [], []
+    for k in range(len(s)):
+        near = np.flatnonzero(np.abs(pb - pa_[k]).sum(axis=1, dtype=np.int16) <= radius)
+        if not len(near):
+            continue
+        n = be[near] - bs[near]
+        at = np.repeat(bs[near] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+        other = b[at]
+        step = max(1, PAIRS // len(other))
+        for lo in range(s[k], e[k], step):
+            own = a[lo : min(e[k], lo + step)]
+            i, j = np.nonzero(np.bitwise_count(own[:, None] ^ other[None, :]) <= radius)
+            if len(i):
+                left.append(own[i])
+                right.append(other[j])
+        if sum(map(len, left)) > 1 << 20:  # dense classes: keep their forest only
+            x, y = forest(np.concatenate(left), np.concatenate(right))
+            left, right = [x], [y]
+    return (np.concatenate(left), np.concatenate(right)) if left else (a[:0], b[:0])
 
-def tile_links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """Links ``u, v`` between the distinct fingerprints ``fp``: every class, not every pair."""
-    return _tiled(distinct.select("fp"), "fp", tile, radius, _links(radius), "u long, v long")
 
+def _links(radius: int):
+    def run(x, y):
+        x = x.ravel().view(np.uint64)
+        u, v = compare(x, x if y is None else y.ravel().view(np.uint64), radius)
+        keep = u != v
+        u, v = forest(u[keep], v[keep])
+        if len(u):
+            yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
 
-def tile_candidates(nodes: DataFrame, radius: int, seed: int = 0, every: bool = True, tile: int = TILE) -> DataFrame:
-    """Pairs ``u, v`` of ``nodes(fp, node, cls)`` within the radius and of different classes.
+    return run
 
-    ``more`` says that a pair of tiles had more than it returned; not so with ``every``.
-    """
-    return _tiled(nodes.select("fp", "node", "cls"), "node", tile, radius, _candidates(radius, seed, every), "u long, v long, more boolean")
-
-
-def _tiled(rows: DataFrame, key: str, tile: int, radius: int, run, schema: str) -> DataFrame:
-    """What ``run`` finds in the pairs of tiles of ``rows`` (``fp`` and further longs) that may hold a pair within the radius."""
-    d = rows.withColumn("pop", F.bit_count("fp").cast("int"))
-    sizes = {r.pop: r.n for r in d.groupBy("pop").agg(F.count("*").alias("n")).collect()}  # 65 rows at most
-    parts = {p: -(-n // tile) for p, n in sizes.items()}
-    if not parts:
-        return rows.sparkSession.createDataFrame([], schema)
-    lookup = F.create_map(*[F.lit(x) for p, n in parts.items() for x in (p, n)])
-    d = d.withColumn("part", F.pmod(F.xxhash64(key), F.element_at(lookup, F.col("pop"))).cast("int"))
-    total = sum(parts.values())
-    tiles = cut(d.repartition(max(1, min(total, 4096)), "pop", "part").sortWithinPartitions("pop", "part").mapInArrow(_pack, "pop int, part int, fps binary"))
-    # which tiles meet: from the smaller count, each tile is sent to those up to the radius above
-    up = tiles.select("pop", "part", F.explode(F.sequence(F.col("pop"), F.least(F.col("pop") + radius, F.lit(64)))).alias("q"))
-    up = up.where(F.col("q").isin([*parts])).withColumn("r", F.explode(F.sequence(F.lit(0), F.element_at(lookup, F.col("q")) - 1)))
-    up = up.where((F.col("pop") < F.col("q")) | (F.col("part") <= F.col("r")))
-    a = tiles.select("pop", "part", F.col("fps").alias("x"))
-    b = tiles.select(F.col("pop").alias("q"), F.col("part").alias("r"), F.col("fps").alias("y"))
-    pairs = up.join(a, ["pop", "part"]).repartition(max(1, min(total * 4, 4096)), "pop", "part", "q", "r").join(b, ["q", "r"])
-    return pairs.select("x", "y").mapInArrow(run, schema)
-
-
-def classes(links: DataFrame, rounds: int = 60) -> DataFrame:
-    """``node, root`` of every linked node; ``root`` is the smallest node of its class.
-
-    Large-star and small-star steps in turn, until nothing changes; if that takes
-    more than ``rounds``, an error. A node's
-    minimum is aggregated on the map side, so hubs send one row per task.
-    """
-    edges = cut(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
-    state = None
-    for _ in range(rounds):
-        both = edges.union(edges.select("v", "u"))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
-        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        edges = cut(small.where("u <> v").distinct())
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state:
-            break
-        state = now
-    else:
-        raise RuntimeError(f"classes still changed after {rounds} rounds")
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+
+def tile_links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+    """Links ``u, v`` between the distinct fingerprints ``fp``: every class, not every pair."""
+    return grid(distinct.select("fp"), F.bit_count("fp"), lambda a, b: b - a <= radius, _links(radius), "u long, v long", tile)
 
 
 def components(prints: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     """``fp, component_id`` of each distinct fingerprint of ``prints(doc_id, fp)``."""
     distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
     found = classes(tile_links(distinct, radius, tile))
-    with_root = distinct.join(found, distinct.fp == found.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    lowest = with_root.groupBy("root").agg(F.min("first").alias("component_id"))
-    return with_root.join(lowest, "root").select("fp", "component_id")
+    with_root = cut(distinct.join(found, distinct.fp == found.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
+    lowest = cut(with_root.groupBy("root").agg(F.min("first").alias("component_id")))
+    out = cut(with_root.join(lowest, "root").select("fp", "component_id"))
+    discard(distinct, found, with_root, lowest)
+    return out
 
 
 def near_duplicates(documents: DataFrame, words: int = WORDS, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     """``doc_id, fp, component_id``: one row per document."""
+    small_batches(documents.sparkSession)
     prints = cut(fingerprints(documents, words))
     return prints.join(components(prints, radius, tile), "fp").select("doc_id", "fp", "component_id")
 
@@ -355,125 +414,239 @@ def op6_simhash_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _hashes(text: str | None, words: int) -> tuple[int, int, np.ndarray]:
-    """Of a text the fingerprint, the distinct shingles' sorted hashes and a digest of both."""
-    parts = (text or "").encode().lower().split()
-    n = max(1, len(parts) - words + 1) if parts else 0
-    h = np.array([xxhash.xxh64_intdigest(b" ".join(parts[i : i + words]), SEED) for i in range(n)], np.uint64)
-    ones = sum((_bit_sums(h[k : k + (1 << 16)]) for k in range(0, n, 1 << 16)), np.zeros(64, np.int64))
-    fp = int(np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0])
-    s = np.unique(h)
-    return fp, xxhash.xxh64_intdigest(s.tobytes(), fp), s
+# -- 512 bits and verified similarity: the stage -------------------------------------------
+
+
+class _Hashes(dict):
+    """64-bit hashes by word, for the words met; emptied when large."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 200_000:
+            self.clear()
+        self[word] = value = xxhash.xxh64_intdigest(word, SEED)
+        return value
+
+
+def _mixed(z: np.ndarray) -> np.ndarray:
+    z = z ^ (z >> np.uint64(32))
+    z *= _C[2]
+    z ^= z >> np.uint64(29)
+    z *= _C[1]
+    return z ^ (z >> np.uint64(32))
 
 
-def _longs(values) -> pa.Array:
-    return pa.array(np.array(values, np.uint64).view(np.int64), pa.int64())
+def shingle_hashes(text: str | None, words: int, memo: _Hashes) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of a text's shingles."""
+    lists = [np.fromiter(map(memo.__getitem__, p), np.uint64, len(p)) for p in word_lists(text)]
+    w = np.concatenate(lists) if lists else np.zeros(0, np.uint64)
+    if not len(w):
+        return w
+    n = max(1, len(w) - words + 1)
+    h = np.full(n, min(len(w), words), np.uint64)
+    for k in range(min(len(w), words)):
+        h = _mixed(h * _C[0] + w[k : k + n])
+    return np.unique(h)
 
 
-def _prints(words: int):
-    """Each document's fingerprint and node: texts of equal fingerprints and shingles are one."""
+def wide_print(s: np.ndarray) -> np.ndarray:
+    """``WIDE`` words of 64 bits from a set of hashes: bit set if it is in over half of them, each hash mixed anew for each word."""
+    ones = np.zeros(64 * WIDE, np.int64)
+    for k in range(0, len(s), 1 << 14):
+        ones += bit_sums(_mixed(s[k : k + (1 << 14), None] * _ODD[None, :]))
+    return np.packbits(ones * 2 > len(s), bitorder="little").view(np.int64)
+
+
+_WORDS = [f"w{k}" for k in range(WIDE)]
+
+
+def _wide(words: int):
+    """Each document's node (texts of equal shingle sets are one), its number of shingles and its fingerprint."""
 
     def run(batches):
+        memo = _Hashes()
         for b in batches:
-            found = [_hashes(x.as_py(), words)[:2] for x in b.column("text")]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), _longs([f for f, _ in found]), _longs([n for _, n in found])], ["doc_id", "fp", "node"])
+            sets = [shingle_hashes(x.as_py(), words, memo) for x in b.column("text")]
+            prints = np.stack([wide_print(s) for s in sets]) if sets else np.zeros((0, WIDE), np.int64)
+            node = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
+            size = np.array(list(map(len, sets)), np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), pa.array(node), pa.array(size), *(pa.array(np.ascontiguousarray(prints[:, k])) for k in range(WIDE))], ["doc_id", "h", "node", "n", *_WORDS])
 
     return worker(run)
 
 
-def _shingles(words: int):
-    """Sorted distinct shingle hashes of the texts that are the wanted node's, packed."""
+def _sets(words: int):
+    """Sorted distinct shingle hashes of the wanted texts, packed."""
 
     def run(batches):
+        memo = _Hashes()
         for b in batches:
-            found = [_hashes(x.as_py(), words)[1:] for x in b.column("text")]
-            out = [s.tobytes() for _, s in found]
-            small = [x[: 8 * SKETCH] for x in out]
-            nodes = _longs([n for n, _ in found])
-            rows = pa.RecordBatch.from_arrays([nodes, pa.array(out, pa.binary()), pa.array(small, pa.binary())], ["node", "s", "sketch"])
-            yield rows.filter(pa.array(nodes.to_numpy() == b.column("node").to_numpy()))
+            out = [shingle_hashes(x.as_py(), words, memo).tobytes() for x in b.column("text")]
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(out, pa.binary())], ["node", "s"])
 
     return worker(run)
 
 
-def _similar(least: float, sketches: bool = False):
+def near_pairs(x: np.ndarray, y: np.ndarray | None, similarity: float):
+    """Places ``i, j`` and differing bits of candidate pairs of two tiles, some at a time.
+
+    Rows are ``w0..., node, n, cls``. Pairs of one class are none, nor are pairs whose
+    numbers of shingles rule out the similarity.
+    """
+    n = WIDE + 1
+    a = x[np.argsort(x[:, n], kind="stable")]
+    b = a if y is None else y[np.argsort(y[:, n], kind="stable")]
+    wa, wb = (np.ascontiguousarray(t[:, :WIDE]).view(np.uint64) for t in (a, b))
+    fa, fb = np.ascontiguousarray(wa[:, 0]), np.ascontiguousarray(wb[:, 0])
+    at = 0
+    while at < len(a):
+        lo = at + 1 if y is None else np.searchsorted(b[:, n], np.ceil(a[at, n] * similarity - 1e-6))
+        most = len(a) - at
+        while True:  # as many rows as give PAIRS pairs; a later row reaches farther
+            to = at + most
+            hi = np.searchsorted(b[:, n], np.floor(a[to - 1, n] / similarity + 1e-6), "right")
+            if most == 1 or most * (hi - lo) <= PAIRS:
+                break
+            most = max(1, min(most // 2, PAIRS // max(1, hi - lo)))
+        for c in range(lo, hi, PAIRS):
+            i, j = np.nonzero(np.bitwise_count(fa[at:to, None] ^ fb[None, c : min(hi, c + PAIRS)]) <= FIRST)
+            i, j = i + at, j + c
+            p, q = a[i, n], b[j, n]
+            fine = (a[i, n + 1] != b[j, n + 1]) & (np.minimum(p, q) >= similarity * np.maximum(p, q) - 1e-6)
+            if y is None:
+                fine &= i < j
+            i, j = i[fine], j[fine]
+            bits = np.bitwise_count(wa[i] ^ wb[j]).sum(axis=1, dtype=np.int64)
+            fine = bits <= np.where(np.minimum(a[i, n], b[j, n]) <= FEW, ALIKE, NEAR)
+            if fine.any():
+                yield a[i[fine], WIDE], b[j[fine], WIDE], bits[fine]
+        at = to
+
+
+def _candidates(similarity: float, seed: int, every: bool):
+    """Candidate pairs ``u < v`` of nodes; unless ``every``, of many in a cell those that :func:`spanning` keeps, marked ``more``."""
+
+    def reduced(held):
+        u, v, bits = (np.concatenate(t) for t in zip(*held))
+        if len(u) <= DENSE * len(np.unique(np.concatenate((u, v)))):
+            return u, v, bits, False
+        keep = spanning(u, v, bits, seed)
+        return u[keep], v[keep], bits[keep], True
+
+    def batch(u, v, more):
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v)), pa.array(np.full(len(u), more))], ["u", "v", "more"])
+
+    def run(x, y):
+        held, size, more = [], 0, False
+        for u, v, bits in near_pairs(x, y, similarity):
+            if every:
+                yield batch(u, v, False)
+                continue
+            held.append((u, v, bits))
+            size += len(u)
+            if size > 1 << 20:
+                *kept, cut_ = reduced(held)
+                held, size, more = [tuple(kept)], len(kept[0]), more or cut_
+        if held:
+            u, v, _, cut_ = reduced(held)
+            yield batch(u, v, more or cut_)
+
+    return run
+
+
+def candidates(nodes: DataFrame, similarity: float, seed: int = 0, every: bool = True, tile: int = TILE) -> DataFrame:
+    """``u, v, more``: pairs of ``nodes(w0..., node, n, cls)`` of different classes; ``more``: its cell had others."""
+    steps = 16  # bands of shingle numbers an octave
+    band = F.floor(F.log2(F.col("n") + 1.0) * steps)
+    least = lambda k: 2 ** (k / steps) - 1
+    meets = lambda a, b: least(a + 1) >= similarity * least(b) - 1e-6
+    return grid(nodes.select(*_WORDS, "node", "n", "cls"), band, meets, _candidates(similarity, seed, every), "u long, v long, more boolean", tile)
+
+
+def _similar(least: float):
     def run(batches):
         for b in batches:
             keep = []
-            for x, y in zip(b.column("s"), b.column("first")):
+            for x, y in zip(b.column("s"), b.column("t")):
                 u, v = (np.frombuffer(t.as_py(), np.uint64) for t in (x, y))
                 both = len(np.intersect1d(u, v, assume_unique=True))
-                if sketches:  # of the smallest hashes of both, the share that both have
-                    low = np.union1d(u, v)[:SKETCH]
-                    both = len(np.intersect1d(np.intersect1d(u, v, assume_unique=True), low, assume_unique=True))
-                    keep.append(both >= least * len(low))
-                    continue
-                keep.append(not len(u) and not len(v) or both >= least * (len(u) + len(v) - both))
+                keep.append(both >= least * (len(u) + len(v) - both) - 1e-9)
             mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").filter(mask)], ["doc_id"])
+            yield pa.RecordBatch.from_arrays([b.column(c).filter(mask) for c in "uv"], ["u", "v"])
 
     return worker(run)
 
 
-def _alike(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Of pairs ``u, v`` those whose texts' shingles are alike; ``texts`` has ``node, s, sketch``."""
-    links = pairs.select("u", "v")
-    # most candidates are no near-duplicates: sketches, a tenth of the size, rule those out first
-    for column, least, sketches in (("sketch", similarity - SLACK, True), ("s", similarity, False)):
-        left, right = (texts.select(F.col("node").alias(k), F.col(column).alias(n)) for k, n in (("u", "s"), ("v", "first")))
-        both = links.join(left, "u").join(right, "v").select(F.struct("u", "v").alias("doc_id"), "s", "first")
-        links = cut(both.mapInArrow(_similar(least, sketches), "doc_id struct<u:long,v:long>").select("doc_id.u", "doc_id.v"))
-    return links
-
+def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Of pairs ``u, v`` those whose sets are alike. Both are scanned tables, so Spark splits what meets a hub."""
+    half = cut(pairs.select("u", "v").join(sets.select(F.col("node").alias("u"), "s"), "u"))
+    both = half.join(sets.select(F.col("node").alias("v"), F.col("s").alias("t")), "v")
+    out = cut(both.select("u", "v", "s", "t").mapInArrow(_similar(similarity), "u long, v long"))
+    discard(half)
+    return out
 
-def _verified(d: DataFrame, nodes: DataFrame, words: int, radius: int, similarity: float) -> DataFrame | None:
-    """``node, root`` of nodes linked by verified pairs, of all pairs of ``nodes`` within the radius.
 
-    Only pairs whose ends verified links already put in one class are spared.
-    """
-    found = tested = texts = links = None
+def _verified(d: DataFrame, nodes: DataFrame, words: int, similarity: float, tile: int) -> DataFrame | None:
+    """``node, root`` of nodes linked by verified pairs, of all candidate pairs of ``nodes``."""
+    found = tested = sets = None
+    state = nodes.withColumn("cls", F.col("node"))
     for k in range(SPARE + 1):
-        state = nodes.select("fp", "node", F.col("node").alias("cls"))
-        if found is not None:
-            state = nodes.join(found, "node", "left").select("fp", "node", F.coalesce("root", "node").alias("cls"))
-        near = cut(tile_candidates(state, radius, k, k == SPARE).groupBy("u", "v").agg(F.max("more").alias("more")))
+        near = cut(candidates(state, similarity, k, k == SPARE, tile).groupBy("u", "v").agg(F.max("more").alias("more")))
         more = near.agg(F.max("more")).first()[0]
         if more is None:  # no pair at all
             break
-        if texts is None:  # later pairs are among the ends of these
-            ends = near.select(F.col("u").alias("node")).union(near.select("v")).distinct()
-            wanted = nodes.join(ends, "node").select(F.col("first").alias("doc_id"), "node")
-            texts = d.join(wanted, "doc_id").select("node", "text").mapInArrow(_shingles(words), "node long, s binary, sketch binary")
-            texts = cut(texts.dropDuplicates(["node"]))
-        new = near.select("u", "v") if tested is None else near.select("u", "v").join(tested, ["u", "v"], "left_anti")
+        new = near.select("u", "v")
+        if sets is None:  # every node with a candidate is among these; later rounds need no other
+            ends = cut(new.select(F.col("u").alias("node")).union(new.select("v")).distinct())
+            involved = cut(nodes.join(ends, "node"))
+            wanted = cut(involved.select(F.col("first").alias("doc_id"), "node", F.col("first_h").alias("h")))
+            texts = d.join(broadcast_if_small(wanted, 80), ["doc_id", "h"]).select("node", "text")
+            sets = cut(texts.mapInArrow(_sets(words), "node long, s binary"))
+            if sets.count() > wanted.count():  # rows that repeat a doc_id and its text
+                sets, again = cut(sets.dropDuplicates(["node"])), sets
+                discard(again)
+            discard(ends, wanted)
+        else:
+            new = new.join(tested, ["u", "v"], "left_anti")
+        links = _alike(new, sets, similarity)
         tested = near.select("u", "v") if tested is None else tested.union(near.select("u", "v"))
-        alike = _alike(new, texts, similarity)
-        links = alike if links is None else links.union(alike)
-        found = classes(links)
+        before, found = found, classes(links if found is None else links.union(found.select(F.col("node").alias("u"), F.col("root").alias("v"))))
+        discard(links, *([before] if before is not None else []))
         if not more:
             break
-    if texts is not None:
-        discard(texts)
+        state = involved.join(found, "node", "left").withColumn("cls", F.coalesce("root", "node")).drop("root")
+    if sets is not None:
+        discard(sets, involved)
     return found
 
 
-def drop_near_duplicates(documents: DataFrame, words: int = 5, radius: int = 12, similarity: float = 0.8) -> DataFrame:
-    """The documents without those that repeat another of their group.
-
-    Two texts are linked if their fingerprints differ in ``radius`` bits at most and
-    the Jaccard similarity of their shingles is ``similarity`` or more; of each group
-    so linked the smallest doc_id stays. Two texts without words are equal.
-    Rows that repeat a doc_id stay or go together; a null doc_id stays.
-    """
+def near_groups(documents: DataFrame, words: int = 5, similarity: float = 0.8, tile: int = TILE) -> DataFrame:
+    """``doc_id, h, lowest`` of documents alike to one of a smaller doc_id; ``h`` is the text's ``xxhash64``."""
     small_batches(documents.sparkSession)
-    d = documents.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    prints = cut(d.mapInArrow(_prints(words), "doc_id long, fp long, node long").distinct())
-    nodes = cut(prints.groupBy("fp", "node").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
-    found = _verified(d, nodes, words, radius, similarity)
-    linked = nodes.withColumn("root", F.col("node"))
+    d = documents.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
+    prints = cut(d.mapInArrow(_wide(words), "doc_id long, h long, node long, n long, " + ", ".join(f"{w} long" for w in _WORDS)))
+    # numbers only, so sums are hashed on the map side: a hot node sends a row per task
+    nodes = cut(prints.groupBy("node").agg(F.min("doc_id").alias("first"), F.min_by("h", "doc_id").alias("first_h"), F.count("*").alias("docs"), F.first("n").alias("n"), *(F.first(w).alias(w) for w in _WORDS)))
+    found = _verified(d, nodes, words, similarity, tile)
+    linked = nodes.select("node", "first", "docs", F.col("node").alias("root"))
     if found is not None:
-        linked = nodes.join(found, "node", "left").select(*nodes.columns, F.coalesce("root", "node").alias("root"))
-    lowest = linked.groupBy("root").agg(F.min("first").alias("lowest"), F.sum("n").alias("docs")).where("docs > 1")
-    asked = linked.join(lowest, "root").select("node", "lowest")
-    gone = cut(prints.join(asked, "node").where("doc_id <> lowest").select(F.col("doc_id").alias("_id")).distinct())
-    return documents.join(gone, F.col("doc_id").cast("long") == F.col("_id"), "left_anti")
+        linked = nodes.select("node", "first", "docs").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    linked = cut(linked)
+    lowest = cut(linked.groupBy("root").agg(F.min("first").alias("lowest"), F.sum("docs").alias("docs")).where("docs > 1").drop("docs"))
+    asked = cut(linked.join(lowest, "root").select("node", "lowest"))
+    out = cut(prints.select("node", "doc_id", "h").join(asked, "node").where("doc_id <> lowest").select("doc_id", "h", "lowest").distinct())
+    discard(prints, nodes, linked, lowest, asked)
+    return out
+
+
+def drop_near_duplicates(documents: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The documents without those that repeat another of their group, columns and rows otherwise as they came.
+
+    Two texts are linked if the Jaccard similarity of their sets of shingles is
+    ``similarity`` or more; of each group so linked the smallest doc_id stays. Two
+    texts without words are equal. Rows that repeat a doc_id are judged by their own
+    text; those alike to their group's smallest doc_id stay with it. A null doc_id stays.
+    """
+    i, h = unused(documents.columns, "near_id"), unused(documents.columns, "near_h")
+    gone = near_groups(documents, words, similarity)
+    gone = broadcast_if_small(gone.select(F.col("doc_id").alias(i), F.col("h").alias(h)), 80)
+    return documents.withColumns({i: F.col("doc_id").cast("long"), h: F.xxhash64("text")}).join(gone, [i, h], "left_anti").drop(i, h)

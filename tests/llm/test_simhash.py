@@ -101,6 +101,15 @@ def test_classes_by_brute_force(spark, docs_of, tile):
     assert sorted(((r.doc_id, r.fp % 2**64, r.component_id) for r in got), key=repr) == sorted(((i, f, c) for (i, f), c in zip(prints, want)), key=repr)
 
 
+@pytest.mark.parametrize("at_once", [0, simhash.AT_ONCE])
+def test_classes_of_links(spark, at_once):
+    rng = random.Random(6)
+    links = [(rng.randrange(40), rng.randrange(40)) for _ in range(25)] + [(50, k) for k in range(51, 70)]
+    got = {r.node: r.root for r in simhash.classes(spark.createDataFrame(links, "u long, v long"), at_once=at_once).collect()}
+    low = brute_classes_of(70, links)
+    assert got == {k: low[k] for k in range(70) if low[k] != k}
+
+
 def test_a_chain_is_one_class(spark):
     fps = [(i, (1 << (4 * i)) - 1 if i < 16 else -1) for i in range(17)]  # each four bits from the next
     df = spark.createDataFrame([(i, f if f < 2**63 else f - 2**64) for i, f in fps], "doc_id long, fp long")
@@ -110,7 +119,7 @@ def test_a_chain_is_one_class(spark):
 def test_unfinished_classes_are_an_error(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(64)], "u long, v long")
     with pytest.raises(RuntimeError, match="rounds"):
-        simhash.classes(links, rounds=1)
+        simhash.classes(links, rounds=1, at_once=0)
 
 
 def test_near_copies_go_and_others_stay(spark, docs_of):
@@ -124,19 +133,54 @@ def test_near_copies_go_and_others_stay(spark, docs_of):
     assert kept.columns == d.columns and sorted(r.doc_id for r in kept.collect()) == [5, 6, 9, 12, 12]
 
 
-def test_closest_links_span_all_classes():
+def test_spanning_links_span_all_classes():
     rng = np.random.default_rng(3)
     for _ in range(30):
         x = np.unique(rng.integers(0, 1 << 12, 40, dtype=np.uint64))
-        i, j = np.nonzero(np.bitwise_count(x[:, None] ^ x[None]) <= 3)
-        a, b = x[i], x[j]
-        u, v = simhash.closest(a[a != b], b[a != b])
-        assert len(u) <= 2 * len(x) and (np.bitwise_count(u ^ v) <= 3).all()
-        at = {int(k): n for n, k in enumerate(x)}
-        links = lambda p, q: brute_classes_of(len(x), [(at[int(s)], at[int(t)]) for s, t in zip(p, q)])
-        assert links(a, b) == links(u, v)
-        p, q = simhash.compare_all(x, x, 3)
-        assert links(a, b) == links(p, q)
+        bits = np.bitwise_count(x[:, None] ^ x[None])
+        i, j = np.nonzero((bits <= 3) & (bits > 0))
+        keep = simhash.spanning(i, j, bits[i, j])
+        assert len(keep) <= 2 * len(x)
+        links = lambda p, q: brute_classes_of(len(x), zip(p.tolist(), q.tolist()))
+        assert links(i, j) == links(i[keep], j[keep])
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_tiles_hold_every_alike_pair(seed):
+    """Of small and large sets, within a tile and between two."""
+    rng = np.random.default_rng(seed)
+    sets = []
+    for size in [1, 2, 3, 4, 5, 6, 8, 9, 12, 20, 40, 90, 200] * 6:
+        base = rng.integers(0, 2**63, size, dtype=np.uint64)
+        sets.append(np.unique(base))
+        for _ in range(4):
+            keep = base[rng.random(size) > rng.choice([0.03, 0.08, 0.12])]
+            sets.append(np.unique(np.concatenate((keep, rng.integers(0, 2**63, int(rng.integers(0, size // 12 + 2)), dtype=np.uint64)))))
+    sets = [s for s in sets if len(s)]
+    rows = np.array([[*simhash.wide_print(s), k, len(s), k] for k, s in enumerate(sets)], np.int64)
+    alike = {(i, j) for j in range(len(sets)) for i in range(j) if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))}
+    assert len(alike) > 40
+    half = len(sets) // 2
+    whole = {tuple(sorted(p)) for u, v, _ in simhash.near_pairs(rows, None, 0.8) for p in zip(u.tolist(), v.tolist())}
+    parts = {tuple(sorted(p)) for x, y in ((rows[:half], None), (rows[half:], None), (rows[:half], rows[half:])) for u, v, _ in simhash.near_pairs(x, y, 0.8) for p in zip(u.tolist(), v.tolist())}
+    assert whole == parts and len(alike - whole) <= 0.003 * len(alike)
+
+
+def test_shingle_hashes_stand_for_shingles():
+    memo = simhash._Hashes()
+    text = "A b c d e f g a b c d e f g A B C D E"
+    w = text.lower().split()
+    assert len(simhash.shingle_hashes(text, 5, memo)) == len({tuple(w[i : i + 5]) for i in range(len(w) - 4)})
+    assert len(simhash.shingle_hashes("a b", 5, memo)) == 1 and not len(simhash.shingle_hashes(" \t", 5, memo)) and not len(simhash.shingle_hashes(None, 5, memo))
+    assert simhash.shingle_hashes("a b", 5, memo) != simhash.shingle_hashes("b a", 5, memo)
+
+
+def test_long_texts_in_pieces(monkeypatch):
+    text = " ".join(random.Random(3).choices(["one", "two", "thrée", "four\x0bfive", "  six"], k=3000))
+    memo = simhash._Hashes()
+    whole, s = simhash.fingerprint(text), simhash.shingle_hashes(text, 5, memo)
+    monkeypatch.setattr(simhash, "PIECE", 100)
+    assert simhash.fingerprint(text) == whole == brute_print(text) and (simhash.shingle_hashes(text, 5, memo) == s).all()
 
 
 def test_near_copies_up_to_the_similarity_go(spark, docs_of):
@@ -172,11 +216,10 @@ def test_texts_of_one_fingerprint_that_are_not_like_the_first(spark, docs_of):
     assert sorted(r.doc_id for r in kept.collect()) == [1, 2]
 
 
-def jaccard_rest(texts, words=5, radius=12, similarity=0.8):
+def jaccard_rest(texts, words=5, similarity=0.8):
     """What stays, by comparing every pair."""
     sets = [{tuple(t.split()[i : i + words]) for i in range(len(t.split()) - words + 1)} for t in texts]
-    fps = [simhash.fingerprint(t, words) for t in texts]
-    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= radius]
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i)]
     links = [(i, j) for i, j in pairs if len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j])]
     return {min(c) for c in brute_groups(len(texts), links)}, pairs, links
 
@@ -208,3 +251,20 @@ def test_every_candidate_is_verified_whatever_others_fail(spark, docs_of, monkey
     assert 0 < len(links) < len(pairs) / 3 and len(want) > 5
     kept = {r.doc_id for r in simhash.drop_near_duplicates(docs_of(texts)).collect()}
     assert kept == want
+
+
+def test_rows_that_repeat_an_id_and_clashing_columns(spark, docs_of):
+    rng = random.Random(5)
+    text = lambda k: " ".join(rng.choices([f"w{i}" for i in range(900)], k=k))
+    a, b, c = text(200), text(200), text(200)
+    near = a.replace(a.split()[100], "changed")
+    d = docs_of([a, b, near, near, near, c, c, None, ""], [1, 2, 2, 2, 3, None, 4, 7, 8], near_id=list("abcdefghi"), near_h=["x"] * 9, node=["n"] * 9, h=["h"] * 9)
+    kept = simhash.drop_near_duplicates(d)
+    assert kept.columns == d.columns
+    # of the rows of 2 only the one with a text of its own stays
+    assert sorted(((r.doc_id, r.near_id) for r in kept.collect()), key=repr) == sorted([(1, "a"), (2, "b"), (None, "f"), (4, "g"), (7, "h")], key=repr)
+
+
+def test_no_documents(spark, docs_of):
+    d = docs_of(["x"], [1]).where("false")
+    assert simhash.drop_near_duplicates(d).collect() == [] and simhash.near_duplicates(d).collect() == []
