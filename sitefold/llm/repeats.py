@@ -21,14 +21,18 @@ minimiser), so only texts that share one need to meet:
 
 Texts travel twice, to meet the answers and the spans, as compressed Arrow batches
 by hash of doc_id; so do runs and answers, packed by bucket. Tasks hold one flush
-or one bucket, both bounded; the numbers of buckets and of parts follow the input.
-The driver holds a total and the heavy minimisers, at most ``MOST_HEAVY``.
+or one bucket, both bounded; the numbers of buckets and of parts follow the input,
+and each is a partition of its own (up to 20,000, which several then share).
+The driver holds a total and the heavy minimisers, at most ``MOST_HEAVY``: beyond
+that many the limit ``HEAVY`` rises with the input, which changes where a phrase is
+compared but not what is found.
 
 Defined cases: null text is empty; a text shorter than ``SPAN`` loses nothing;
-rows that repeat a doc_id are one document: none of them is earlier than another,
-and their texts should be equal, since spans are kept by doc_id; a null doc_id is
-neither earlier nor later than any; an empty table gives an empty result; further
-columns are ignored, or kept by :func:`drop_repeats`.
+rows that repeat a doc_id are one document, none of them earlier than another, and
+each loses what its own text shares with a smaller doc_id (spans are kept by doc_id
+and the text's ``xxhash64``, the tag); a null doc_id is neither earlier nor later
+than any; an empty table gives an empty result; further columns are ignored, or kept
+by :func:`drop_repeats`.
 """
 
 from __future__ import annotations
@@ -42,13 +46,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, small_batches, table, worker
+from .common import cut, discard, small_batches, table, unused, worker
 
 SPAN, GRAM = 50, 16
 #: Most windows in a run; bytes of text handled at once; entries, and bytes of runs, held before a flush.
-RUN, PART, FLUSH, FLUSH_BYTES = 64, 1 << 18, 1 << 19, 24 << 20
+RUN, PART, FLUSH, FLUSH_BYTES = 64, 1 << 18, 1 << 19, 16 << 20
 HEAVY, MOST_HEAVY = 20_000, 1_000_000
-BUCKET_ENTRIES, PART_BYTES, LEVEL = 1 << 19, 32 << 20, 3
+BUCKET_ENTRIES, PART_BYTES, LEVEL = 1 << 17, 12 << 20, 3
+#: Most partitions of an exchange.
+MOST_PARTITIONS = 20_000
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 _LOW40 = np.uint64((1 << 40) - 1)
 
@@ -219,10 +225,15 @@ def _packed_known(n_parts: int, f):
 def meet(documents: DataFrame, known: DataFrame, n_parts: int, f, schema) -> DataFrame:
     """Run ``f`` over documents together with what the packed rows ``known`` say of them."""
     d = documents.mapInArrow(_packed(n_parts, 1, 16 << 20), _PACKED)
-    both = known.unionByName(d).repartition(min(n_parts, 20_000), "part").sortWithinPartitions("part", "kind")
+    both = _dealt(known.unionByName(d), n_parts, "part").sortWithinPartitions("part", "kind")
     return both.mapInArrow(_meeting(f), schema)
 
 
+def _dealt(rows: DataFrame, n: int, key: str) -> DataFrame:
+    """Rows of each key, a number below ``n``, in a partition of their own."""
+    return rows.repartitionById(min(n, MOST_PARTITIONS), (F.col(key) % min(n, MOST_PARTITIONS)).cast("int"))
+
+
 # -- 1: minimisers ------------------------------------------------------------
 
 
@@ -361,18 +372,18 @@ def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _merged(doc: np.ndarray, a: np.ndarray, b: np.ndarray):
-    """Spans of many documents, overlapping and adjacent ones joined up, in order."""
+def _merged(doc: np.ndarray, tag: np.ndarray, a: np.ndarray, b: np.ndarray):
+    """Spans of many texts, overlapping and adjacent ones joined up, in order."""
     if not len(doc):
-        return doc, a, b
-    order = np.lexsort((a, doc))
-    doc, a, b = doc[order], a[order], b[order]
-    rank = np.cumsum(np.concatenate(([0], doc[1:] != doc[:-1])))
+        return doc, tag, a, b
+    order = np.lexsort((a, tag, doc))
+    doc, tag, a, b = doc[order], tag[order], a[order], b[order]
+    rank = np.cumsum(np.concatenate(([0], (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1]))))
     base = rank * (1 << 40)
     reach = np.maximum.accumulate(base + b)
     at = np.flatnonzero(np.concatenate(([True], (base + a)[1:] > reach[:-1])))
     end = np.append(at[1:], len(doc)) - 1
-    return doc[at], a[at], reach[end] - base[end]
+    return doc[at], tag[at], a[at], reach[end] - base[end]
 
 
 def _coded(slices: list[bytes], codes: dict[bytes, int]) -> np.ndarray:
@@ -389,37 +400,37 @@ def _lowest(code: np.ndarray, doc: np.ndarray) -> np.ndarray:
 
 
 def _runs(buckets: int, heavy: np.ndarray):
-    """Runs by bucket, and spans already settled: ``bucket, kind, docs, starts, sizes, data``."""
-    names = ["bucket", "kind", "docs", "starts", "sizes", "data"]
-    kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+    """Runs by bucket, and spans already settled: ``bucket, kind, docs, tags, starts, sizes, data``."""
+    names = ["bucket", "kind", "docs", "tags", "starts", "sizes", "data"]
+    kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 5)
 
     def run(meetings):
         codes: dict[bytes, int] = {}
-        rows: list[tuple] = []  # arrays: code, bucket, doc, offset, bytes
+        rows: list[tuple] = []  # arrays: code, bucket, doc, tag, offset, bytes
         held = 0
 
         def flush():
-            code, to, doc, at, size = (np.concatenate(x) for x in zip(*rows))
+            code, to, doc, tag, at, size = (np.concatenate(x) for x in zip(*rows))
             text = [*codes]
             late = doc > _lowest(code, doc)
             out = []
-            d, a, b = _merged(doc[late], at[late], at[late] + size[late])
+            d, g, a, b = _merged(doc[late], tag[late], at[late], at[late] + size[late])
             order, keys, lo, hi = _groups((_mix(d) % np.uint64(buckets)).astype(np.int64))
             for k, x, y in zip(keys.tolist(), lo.tolist(), hi.tolist()):
                 i = order[x:y]
-                out.append((k, 1, d[i].tobytes(), a[i].tobytes(), (b[i] - a[i]).tobytes(), b""))
-            code, to, doc, at, size = (x[~late] for x in (code, to, doc, at, size))
+                out.append((k, 1, d[i].tobytes(), g[i].tobytes(), a[i].tobytes(), (b[i] - a[i]).tobytes(), b""))
+            code, to, doc, tag, at, size = (x[~late] for x in (code, to, doc, tag, at, size))
             order, keys, lo, hi = _groups(to)
             squeeze = zstandard.ZstdCompressor(level=LEVEL).compress
             for k, x, y in zip(keys.tolist(), lo.tolist(), hi.tolist()):
                 i = order[x:y]
-                out.append((k, 0, doc[i].tobytes(), at[i].tobytes(), size[i].tobytes(), squeeze(b"".join(map(text.__getitem__, code[i].tolist())))))
+                out.append((k, 0, doc[i].tobytes(), tag[i].tobytes(), at[i].tobytes(), size[i].tobytes(), squeeze(b"".join(map(text.__getitem__, code[i].tolist())))))
             codes.clear(), rows.clear()
             for k in range(0, len(out), 64):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[k : k + 64]), kinds)], names)
 
         for known, b in meetings:
-            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text")):
+            for doc, tag, text in zip(b.column("doc_id").to_pylist(), b.column("tag").to_pylist(), b.column("text")):
                 if doc not in known or text.as_py() is None:
                     continue
                 wanted = np.unique(np.concatenate([_unpack48(x) for x in known[doc]]))
@@ -433,13 +444,13 @@ def _runs(buckets: int, heavy: np.ndarray):
                     hot = _in(heavy, short[hit])
                     i = hit[~hot]
                     a, z = start[i], start[i] + size[i] + SPAN - 1
-                    rows.append((_coded([part[x:y] for x, y in zip(a.tolist(), z.tolist())], codes), _bucket_of(m[i], buckets).astype(np.int64), np.full(len(i), doc, np.int64), a + base, z - a))
+                    rows.append((_coded([part[x:y] for x, y in zip(a.tolist(), z.tolist())], codes), _bucket_of(m[i], buckets).astype(np.int64), np.full(len(i), doc, np.int64), np.full(len(i), tag, np.int64), a + base, z - a))
                     held += int((z - a).sum()) + 90 * len(i)
                     if hot.any():  # each window by its own hash
                         n = size[hit[hot]]
                         a = np.repeat(start[hit[hot]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                         to = ((h[a] * _C[0] ^ h[a + SPAN - GRAM]) * _C[1] >> np.uint64(20)) % np.uint64(buckets)
-                        rows.append((_coded([part[x : x + SPAN] for x in a.tolist()], codes), to.astype(np.int64), np.full(len(a), doc, np.int64), a + base, np.full(len(a), SPAN)))
+                        rows.append((_coded([part[x : x + SPAN] for x in a.tolist()], codes), to.astype(np.int64), np.full(len(a), doc, np.int64), np.full(len(a), tag, np.int64), a + base, np.full(len(a), SPAN)))
                         held += 140 * len(a)
                     if held > FLUSH_BYTES:
                         yield from flush()
@@ -566,68 +577,74 @@ def repeat_spans(strings: list[bytes], docs: np.ndarray, least: int = SPAN):
 
 
 def _spans(batches):
+    """What texts lose by each bucket: ``doc_id, known``, the tag and then starts and ends."""
     opened = zstandard.ZstdDecompressor()
-    for _, rows in _by_bucket(batches, ("kind", "docs", "starts", "sizes", "data")):
-        found = []  # arrays: doc, start, end
+    for _, rows in _by_bucket(batches, ("kind", "docs", "tags", "starts", "sizes", "data")):
+        found = []  # arrays: doc, tag, start, end
         codes: dict[bytes, int] = {}
-        held = []  # arrays: code, doc, offset
-        for kind, d, s, n, data in rows:
-            d, s, n = (np.frombuffer(x, np.int64) for x in (d, s, n))
+        held = []  # arrays: code, doc, tag, offset, bytes
+        for kind, *numbers, data in rows:
+            d, g, s, n = (np.frombuffer(x, np.int64) for x in numbers)
             if kind:
-                found.append((d, s, s + n))
+                found.append((d, g, s, s + n))
                 continue
             data = opened.decompress(data)
             z = np.cumsum(n)
-            held.append((_coded([data[x:y] for x, y in zip((z - n).tolist(), z.tolist())], codes), d, s, n))
+            held.append((_coded([data[x:y] for x, y in zip((z - n).tolist(), z.tolist())], codes), d, g, s, n))
+        rows.clear()
         if held:
-            code, doc, at, size = (np.concatenate(x) for x in zip(*held))
+            code, doc, tag, at, size = (np.concatenate(x) for x in zip(*held))
+            held.clear()
             strings, low = [*codes], _lowest(code, doc)
+            codes.clear()
             late = doc > low
-            found.append((doc[late], at[late], at[late] + size[late]))
+            found.append((doc[late], tag[late], at[late], at[late] + size[late]))
             first = np.empty(len(strings), np.int64)
             first[code] = low
             inner = repeat_spans(strings, first)
             if inner is not None:
                 of, a, b = inner
                 # a string's ranges hold for each of its places in its first document
-                code, doc, at = code[~late], doc[~late], at[~late]
+                code, doc, tag, at = code[~late], doc[~late], tag[~late], at[~late]
                 order = np.argsort(code, kind="stable")
-                code, doc, at = code[order], doc[order], at[order]
+                code, doc, tag, at = code[order], doc[order], tag[order], at[order]
                 lo, hi = np.searchsorted(code, of), np.searchsorted(code, of, "right")
                 n = hi - lo
                 i = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                found.append((doc[i], at[i] + np.repeat(a, n), at[i] + np.repeat(b, n)))
-        doc, a, b = (np.concatenate(x) for x in zip(*found))
+                found.append((doc[i], tag[i], at[i] + np.repeat(a, n), at[i] + np.repeat(b, n)))
+        doc, tag, a, b = (np.concatenate(x) for x in zip(*found))
         if len(doc):
-            doc, a, b = _merged(doc, a, b)
-            _, keys, lo, hi = _groups(doc)
+            doc, tag, a, b = _merged(doc, tag, a, b)
+            first = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1]))))
             packed = np.stack((a, b), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([packed[x:y].tobytes() for x, y in zip(lo.tolist(), hi.tolist())], pa.binary())], ["doc_id", "known"])
+            known = [tag[x : x + 1].tobytes() + packed[x:y].tobytes() for x, y in zip(first.tolist(), np.append(first[1:], len(doc)).tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array(doc[first], pa.int64()), pa.array(known, pa.binary())], ["doc_id", "known"])
 
 
 # -- 4: documents -------------------------------------------------------------
 
 
 def find_spans(documents: DataFrame, n_parts: int, total: int, entries: int = BUCKET_ENTRIES, heavy: int = HEAVY) -> DataFrame:
-    """Packed rows ``doc_id, known``: (start, end) byte ranges, in one or several rows per document with any."""
-    d = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    """Packed rows ``doc_id, known`` of ``documents(doc_id, text, tag)``: the tag, then (start, end) byte ranges, in one or several rows per text with any."""
+    d = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "tag")
     buckets = int(max(16, total // 16 // entries + 1))
     heavy = max(heavy, total // 16 // MOST_HEAVY)
-    minimisers = d.mapInArrow(_scan(buckets), "bucket int, known int, docs binary, ms binary, counts binary")
-    n = min(buckets, 20_000)
-    asked = minimisers.repartition(n, "bucket").sortWithinPartitions("bucket")
+    minimisers = d.select("doc_id", "text").mapInArrow(_scan(buckets), "bucket int, known int, docs binary, ms binary, counts binary")
+    asked = _dealt(minimisers, buckets, "bucket").sortWithinPartitions("bucket")
     answers = cut(asked.mapInArrow(_answers_packed(heavy, n_parts), _PACKED))
     hot = [_unpack48(bytes(r.data)) for r in answers.where("kind = 2").select("data").collect()]
     hot = np.unique(np.concatenate(hot)) if hot else np.zeros(0, np.uint64)
     wanted = answers.where("kind = 0")
-    runs = meet(d, wanted, n_parts, _runs(buckets, hot), "bucket int, kind int, docs binary, starts binary, sizes binary, data binary")
-    return runs.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_packed_known(n_parts, _spans), _PACKED)
+    runs = meet(d, wanted, n_parts, _runs(buckets, hot), "bucket int, kind int, docs binary, tags binary, starts binary, sizes binary, data binary")
+    spans = cut(_dealt(runs, buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_packed_known(n_parts, _spans), _PACKED))
+    discard(answers)
+    return spans
 
 
-def cut_out(data: bytes, packed: list[bytes] | None) -> tuple[bytes, list[tuple[int, int]]]:
+def cut_out(data: bytes, packed: list[bytes] | None, tag: int) -> tuple[bytes, list[tuple[int, int]]]:
     """What is left of a text, and the removed ranges."""
-    spans = _merge([(a, b) for p in packed or () for a, b in np.frombuffer(p, np.int64).reshape(-1, 2).tolist()])
-    spans = [(a, b) for a, b in spans if b <= len(data)]
+    own = tag.to_bytes(8, "little", signed=True)
+    spans = _merge([(a, b) for p in packed or () if p[:8] == own for a, b in np.frombuffer(p, np.int64, offset=8).reshape(-1, 2).tolist()])
     left, at = [], 0
     for a, b in spans:
         left.append(data[at:a])
@@ -636,24 +653,30 @@ def cut_out(data: bytes, packed: list[bytes] | None) -> tuple[bytes, list[tuple[
 
 
 def with_spans(documents: DataFrame, f, schema, entries: int = BUCKET_ENTRIES, heavy: int = HEAVY) -> DataFrame:
-    """Run ``f`` over batches of documents with the spans found in them, by doc_id."""
+    """Run ``f(tag)``'s function over batches of documents with the spans found in them, by doc_id; ``tag`` names the column of tags."""
     small_batches(documents.sparkSession)
     total = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_parts = int(max(documents.sparkSession.sparkContext.defaultParallelism, total // PART_BYTES + 1))
-    return meet(documents, find_spans(documents, n_parts, total, entries, heavy), n_parts, f, schema)
+    tag = unused(documents.columns, "tag")
+    d = documents.withColumn(tag, F.xxhash64("text"))
+    spans = find_spans(d.select("doc_id", "text", F.col(tag).alias("tag")), n_parts, total, entries, heavy)
+    return meet(d, spans, n_parts, f(tag), schema)
 
 
 _KINDS = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
 
 
-def _digest(meetings):
-    for known, b in meetings:
-        rows = []
-        for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text")):
-            data = (text.as_py() or "").encode()
-            kept, spans = cut_out(data, known.get(doc))
-            rows.append((doc, len(data), len(data) - len(kept), len(spans), hashlib.sha256(kept).hexdigest()))
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows), _KINDS)], [n for n, _ in _KINDS])
+def _digest(tag: str):
+    def run(meetings):
+        for known, b in meetings:
+            rows = []
+            for doc, g, text in zip(b.column("doc_id").to_pylist(), b.column(tag).to_pylist(), b.column("text")):
+                data = (text.as_py() or "").encode()
+                kept, spans = cut_out(data, known.get(doc), g)
+                rows.append((doc, len(data), len(data) - len(kept), len(spans), hashlib.sha256(kept).hexdigest()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows), _KINDS)], [n for n, _ in _KINDS])
+
+    return worker(run)
 
 
 def op10_repeat_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -663,16 +686,19 @@ def op10_repeat_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _texts(names: tuple[str, ...]):
-    def run(meetings):
-        for known, b in meetings:
-            kept = []
-            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text")):
-                t, packed = text.as_py(), known.get(doc)
-                # a range may end inside a character; what is left of one goes too
-                kept.append(t if not packed or t is None else cut_out(t.encode(), packed)[0].decode(errors="ignore"))
-            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string()) if n == "text" else b.column(n) for n in names], [*names])
-
-    return worker(run)
+    def with_tag(tag: str):
+        def run(meetings):
+            for known, b in meetings:
+                kept = []
+                for doc, g, text in zip(b.column("doc_id").to_pylist(), b.column(tag).to_pylist(), b.column("text")):
+                    t, packed = text.as_py(), known.get(doc)
+                    # a range may end inside a character; what is left of one goes too
+                    kept.append(t if not packed or t is None else cut_out(t.encode(), packed, g)[0].decode(errors="ignore"))
+                yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string()) if n == "text" else b.column(n) for n in names], [*names])
+
+        return worker(run)
+
+    return with_tag
 
 
 def drop_repeats(documents: DataFrame) -> DataFrame:

@@ -94,7 +94,7 @@ def expected(ids, ts):
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-@pytest.mark.parametrize("seed,heavy,entries", [(1, 20_000, 1 << 19), (2, 2, 50), (3, 0, 50)])
+@pytest.mark.parametrize("seed,heavy,entries", [(1, 20_000, 1 << 17), (2, 2, 50), (3, 0, 50)])
 def test_whole_operator(spark, docs_of, seed, heavy, entries):
     ts = texts(seed)
     ids = random.Random(seed).sample(range(1000), len(ts))
@@ -125,6 +125,18 @@ def test_repeated_rows_null_ids_and_columns(spark, docs_of):
     assert sorted(((r.doc_id, r.text, r.known) for r in got.collect()), key=repr) == sorted([(4, t, "a"), (4, t, "b"), (None, t, "c"), (9, "x", "d"), (5, None, "e")], key=repr)
 
 
+def test_rows_of_one_id_with_different_texts(spark, docs_of):
+    """Each loses what it shares with a smaller id, at its own places."""
+    rng = random.Random(7)
+    p, q = ("".join(rng.choices("abcdefgh", k=90)) for _ in range(2))
+    ids = [1, 2, 2, 2, 2, 3, 1]
+    ts = ["zzz " + p, p + "xxxxx", "Y" * 200 + "own", "other " + p + " and " + p, p + "xxxxx", p + "xxxxx" + q, q]
+    got = repeats.with_spans(docs_of(ts, ids, partitions=4), repeats._digest, SCHEMA)
+    assert rows_of(got) == expected(ids, ts)
+    kept = sorted((r.doc_id, r.text) for r in repeats.drop_repeats(docs_of(ts, ids, tag=list("abcdefg"))).collect())
+    assert kept == sorted([(1, ts[0]), (1, q), (2, "xxxxx"), (2, "xxxxx"), (2, ts[2]), (2, "other  and "), (3, "")])
+
+
 def test_a_range_may_end_inside_a_character(spark, docs_of):
     a, b = "q" * 49 + "é", "q" * 49 + "è"  # both start with the same 50 bytes
     got = {r.doc_id: r.text for r in repeats.drop_repeats(docs_of([a + "end", b + "end"])).collect()}
