@@ -1,7 +1,14 @@
 """A training corpus from ``documents``: five stages, each one operator of ``sitefold.llm``.
 
-A stage takes (spark, docs, sf_dir) and returns a DataFrame. :func:`run` writes
-each stage's result as Parquet to the shared folder and reads it back.
+A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return
+the columns of ``docs``, whatever their names. :func:`run` writes each stage's result
+as Parquet to the shared folder and reads it back.
+
+Defined cases: a null text is empty to every stage and stays null; a null doc_id is
+like no other document, loses nothing and stays, unless its own text is toxic or
+contaminated; rows that repeat a doc_id are judged by their own text; texts of any
+length are read whole; empty texts are alike, so the one of the smallest doc_id
+stays; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -12,13 +19,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitefold.llm import bpe, decontaminate, repeats, simhash, toxicity
-from sitefold.llm.common import shared_dir, table
+from sitefold.llm.common import shared_dir, table, unused
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity operator doesn't reject."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
-    return toxicity.score_documents(docs, model).where("tox_score < 0.5").drop("tox_score")
+    return toxicity.clean_documents(docs, model)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,10 +35,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without strings of an earlier document; ``n_chars`` follows, texts of which nothing is left go."""
-    kept = repeats.drop_repeats(docs.withColumn("_was_empty", F.expr("coalesce(text = '', false)")))
+    empty = unused(docs.columns, "was_empty")
+    kept = repeats.drop_repeats(docs.withColumn(empty, F.expr("coalesce(text = '', false)")))
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return kept.where("text IS NULL OR text <> '' OR _was_empty").drop("_was_empty")
+    return kept.where(F.col("text").isNull() | (F.col("text") != "") | F.col(empty)).drop(empty)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

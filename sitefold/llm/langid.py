@@ -93,7 +93,7 @@ def held_out(doc_id):
 
 def fit(documents: DataFrame, top: int = TOP, per_language: int = PER_LANGUAGE) -> dict[str, np.ndarray]:
     """Profiles by language: n-grams in order of frequency."""
-    usable = documents.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    usable = documents.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = usable.select("doc_id", "lang").distinct().withColumn("i", F.row_number().over(first)).where(F.col("i") <= per_language)
     ids = F.broadcast(ids.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang")))

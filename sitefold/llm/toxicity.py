@@ -3,8 +3,8 @@
 Fit: over a bounded sample of labelled texts, each token (a word, and a word's
 first letters as ``^abcd``) gets the log-odds of standing in a toxic text against
 a clean one, shrunken by a Dirichlet prior in proportion to its count in both.
-Tokens whose log-odds stay positive by some standard errors make up the lexicon, at most
-``LEXICON`` of them; every other word costs ``GAP``.
+Tokens whose log-odds stay positive by some standard errors make up the lexicon, whose
+size follows the sample; every other word costs ``GAP``.
 
 Score: one pass over a text's words finds all maximal-scoring segments (Ruzzo and
 Tompa's linear-time algorithm, run on the lexicon's words and the gaps between
@@ -19,7 +19,8 @@ Defined cases: null or empty text has no words and gets the score of a text
 without toxic passages; several labels of one document count as toxic if one is;
 labels that are null are left out; repeated rows are each scored; without any
 toxic or any clean label every score is the share of toxic labels (0 without
-labels); further columns are kept by :func:`score_documents`.
+labels); further columns are kept by :func:`score_documents`, which raises an error if
+one has the name of a column that it adds.
 """
 
 from __future__ import annotations
@@ -35,9 +36,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, discard, small_batches, table, worker
+from .common import cut, discard, small_batches, table, unused, worker
 
-SAMPLE, LEXICON, GAP = 40_000, 20_000, 0.05
+SAMPLE, GAP = 40_000, 0.05
 PREFIXES = (4, 5, 6)
 #: Share of both counts that is the prior; a token's weight is its log-odds less so many standard errors.
 PRIOR, ERRORS, LEAST_COUNT, LEAST_WEIGHT = 0.1, 1.4, 3, 1.0
@@ -66,7 +67,7 @@ def features(word: str):
 
 @dataclass
 class Model:
-    """What scoring needs; its size is bounded by ``LEXICON``."""
+    """What scoring needs; its size is bounded by the sample of labelled texts."""
 
     weights: dict[str, float] = field(default_factory=dict)
     gap: float = GAP
@@ -200,7 +201,7 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     odds = lambda y, m: F.log((y + a) / (F.greatest(m + PRIOR * (n0 + n1) - y - a, F.lit(0.5))))
     scored = counts.where(F.col("n1") >= LEAST_COUNT).withColumn("delta", odds(F.col("n1"), n1) - odds(F.col("n0"), n0))
     scored = scored.withColumn("w", F.col("delta") - ERRORS * F.sqrt(1 / (F.col("n1") + a) + 1 / (F.col("n0") + a)))
-    top = scored.where(F.col("w") >= LEAST_WEIGHT).orderBy(F.col("w").desc(), "token").limit(LEXICON).collect()
+    top = scored.where(F.col("w") >= LEAST_WEIGHT).orderBy(F.col("w").desc(), "token").collect()  # tokens of the bounded sample
     model = Model(weights={r.token: r.w for r in top})
     if not top:
         return model
@@ -241,30 +242,37 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> tuple[float,
     return float(w[0]), float(w[1])
 
 
-def _score(model: Model, keep: tuple[str, ...], passages: bool):
+def _score(model: Model, keep: tuple[str, ...], added: tuple[str, ...]):
     def run(batches):
         memo = _Memo(model)
         for b in batches:
             found = [model.segments(x.as_py(), memo) for x in b.column("text")]
             scores = [model.score(model.evidence(*x)) for x in found]
-            cols, names = [b.column(c) for c in keep] + [pa.array(scores, pa.float64())], [*keep, "tox_score"]
-            if passages:
+            cols = [b.column(c) for c in keep] + [pa.array(scores, pa.float64())]
+            if len(added) > 1:
                 cols.append(pa.array([[{"first": i, "past": j, "score": s} for i, j, s in x] for x, _ in found], pa.list_(pa.struct([("first", pa.int64()), ("past", pa.int64()), ("score", pa.float64())]))))
-                names.append("passages")
-            yield pa.RecordBatch.from_arrays(cols, names)
+            yield pa.RecordBatch.from_arrays(cols, [*keep, *added])
 
     return worker(run)
 
 
-def score_documents(documents: DataFrame, model: Model, passages: bool = False) -> DataFrame:
-    """The documents with ``tox_score`` and, if asked for, ``passages`` (word positions and scores)."""
-    if "tox_score" in documents.columns or "passages" in documents.columns:
-        raise ValueError("the documents have a column tox_score or passages")
+def score_documents(documents: DataFrame, model: Model, passages: bool = False, score: str = "tox_score") -> DataFrame:
+    """The documents with the column ``score`` and, if asked for, ``passages`` (word positions and scores)."""
+    added = (score, "passages") if passages else (score,)
+    clash = {c.lower() for c in documents.columns} & {c.lower() for c in added}
+    if clash:
+        raise ValueError(f"the documents have columns {sorted(clash)}")
     small_batches(documents.sparkSession)
-    extra = [T.StructField("tox_score", T.DoubleType())]
+    extra = [T.StructField(score, T.DoubleType())]
     if passages:
         extra.append(T.StructField("passages", T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("past", T.LongType()), T.StructField("score", T.DoubleType())]))))
-    return documents.mapInArrow(_score(model, tuple(documents.columns), passages), T.StructType([*documents.schema.fields, *extra]))
+    return documents.mapInArrow(_score(model, tuple(documents.columns), added), T.StructType([*documents.schema.fields, *extra]))
+
+
+def clean_documents(documents: DataFrame, model: Model, below: float = 0.5) -> DataFrame:
+    """The documents that score less than ``below``, columns and rows otherwise as they came."""
+    score = unused(documents.columns, "tox_score")
+    return score_documents(documents, model, score=score).where(F.col(score) < below).drop(score)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

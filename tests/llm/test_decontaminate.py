@@ -55,12 +55,33 @@ def test_against_brute_force(spark, seed, bound):
     assert "Python" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
 
 
-def test_clean_documents_stay_with_all_columns(spark):
+@pytest.mark.parametrize("bound", [1 << 20, 0])
+def test_clean_documents_stay_with_all_columns(spark, bound):
     docs, items = case(7)
-    d = spark.createDataFrame(docs, "doc_id long, text string")
-    kept = dc.clean_documents(d, spark.createDataFrame(items, "item_id long, text string")).collect()
-    want = [(i, t) for (i, t) in docs if not brute([(i, t)], items)[0][5]]
-    assert sorted(map(tuple, kept), key=repr) == sorted(want, key=repr)
+    rows = [(i, t, k, "x", "y", "z", "w") for k, (i, t) in enumerate(docs)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, hit_id long, hit_h string, hit_g string, n_hit string, items string")
+    kept = dc.clean_documents(d, spark.createDataFrame(items, "item_id long, text string"), broadcast_bytes=bound)
+    assert kept.columns == d.columns
+    want = [r for r in rows if not brute([r[:2]], items)[0][5]]
+    assert sorted(map(tuple, kept.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_clashing_columns(spark):
+    docs, items = case(8)
+    d = spark.createDataFrame([(*x, "s", 7, "h") for x in docs], "doc_id long, text string, hit_id string, hit_h int, h string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    got = dc.summarise(d, b)
+    assert got.columns[:5] == d.columns
+    assert sorted(((r.doc_id, r.n_words, r.n_hit, r.n_items) for r in got.collect()), key=repr) == sorted((x[:4] for x in brute(docs, items)), key=repr)
+    with pytest.raises(ValueError, match="n_hit"):
+        dc.summarise(d.withColumnRenamed("hit_h", "N_Hit"), b)
+
+
+def test_no_benchmark_and_no_documents(spark):
+    d = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
+    b = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
+    assert [(r.n_words, r.n_hit) for r in dc.summarise(d, b.where("false")).collect()] == [(3, 0)]
+    assert dc.clean_documents(d, b.where("false")).count() == 1 and dc.clean_documents(d.where("false"), b).count() == 0
 
 
 def test_a_long_document(spark):
