@@ -11,9 +11,11 @@ found: all classes, few rows. Classes are joined by star contraction (few links
 :func:`drop_near_duplicates` removes documents whose texts' word shingles are alike
 (Jaccard similarity). Its fingerprints have 512 bits, so that hardly a pair at the
 similarity lies beyond the radius (see ``WIDE``) and few others lie within, and its
-tiles are in order of the number of shingles, which bounds the similarity. What
-lies within is a candidate; every candidate pair is verified on whole shingle sets,
-unless verified links already put both in one class.
+tiles are in order of the number of shingles, which bounds the similarity. A first
+pass over the cells returns the texts that have a candidate, cell by cell; no pairs.
+These texts' whole shingle sets then meet in the same cells (heavy ones cut in
+blocks), where every candidate pair is verified unless verified links already put
+both in one class, and only a spanning forest of verified links leaves the task.
 
 Defined cases: null text is empty; a text without words has fingerprint zero
 and is linked like any other; texts of fewer words than a shingle are one
@@ -47,9 +49,8 @@ PAIRS = 1 << 18
 WIDE, FIRST, NEAR, FEW, ALIKE = 8, 22, 112, 8, 130
 #: Distinct links whose classes one task finds, in some 100 MB.
 AT_ONCE = 1 << 20
-#: Rounds in which a cell with more than DENSE candidates a node returns some that span all
-#: classes; what those verify is no candidate later. The round after returns all.
-SPARE, DENSE = 3, 4
+#: Shingles in a block of a cell whose sets are compared, and a text's share beside them.
+BLOCK, EACH = 1 << 22, 64
 #: Characters split into words at once.
 PIECE = 1 << 20
 _SPACE = re.compile("[\\x09-\\x0d\\x20]")
@@ -134,33 +135,6 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[child], nodes[root[child]]
 
 
-def spanning(a: np.ndarray, b: np.ndarray, bits: np.ndarray, seed: int = 0) -> np.ndarray:
-    """Places of some of the links a-b that span all classes, fewer bits before more; among equals ``seed`` chooses."""
-    if not len(a):
-        return np.zeros(0, np.int64)
-    rng = np.random.default_rng(seed)
-    nodes, code = np.unique(np.concatenate((a, b)), return_inverse=True)
-    x, y = code[: len(a)], code[len(a) :]
-    root, keep = np.arange(len(nodes)), []
-    for n in np.unique(bits):
-        left = rng.permutation(np.flatnonzero(bits == n))
-        while True:
-            left = left[root[x[left]] != root[y[left]]]
-            if not len(left):
-                break
-            # each class takes one link out of it; the classes so linked become one
-            ends = np.concatenate((root[x[left]], root[y[left]]))
-            first = np.unique(np.unique(ends, return_index=True)[1] % len(left))
-            taken = left[first]
-            keep.append(taken)
-            u, v = root[x[taken]], root[y[taken]]
-            child, low = forest(u, v)
-            to = np.arange(len(nodes))
-            to[child] = low
-            root = to[root]
-    return np.concatenate(keep) if keep else np.zeros(0, np.int64)
-
-
 @worker
 def _roots(batches):
     """All links in one task: each linked node and the smallest of its class."""
@@ -246,7 +220,7 @@ def _packed(batches):
 
 
 def _by_cell(batches, width: int):
-    """Rows of a cell's two tiles, one cell after the other; the second is None where a tile meets itself."""
+    """Cells, one after the other, and the rows of their two tiles; the second is None where a tile meets itself."""
     now, parts = None, ([], [])
 
     def tiles():
@@ -256,12 +230,12 @@ def _by_cell(batches, width: int):
     for b in batches:
         for cell, side, data in zip(b.column("cell").to_pylist(), b.column("side").to_pylist(), b.column("data")):
             if cell != now and now is not None:
-                yield tiles()
+                yield now, *tiles()
                 parts = ([], [])
             now = cell
             parts[side].append(np.frombuffer(data.as_py(), np.int64))
     if now is not None:
-        yield tiles()
+        yield now, *tiles()
 
 
 def grid(rows: DataFrame, band, meets, run, schema: str, tile: int = TILE) -> DataFrame:
@@ -269,8 +243,8 @@ def grid(rows: DataFrame, band, meets, run, schema: str, tile: int = TILE) -> Da
 
     ``band`` is a small whole number by which tiles are ordered (of few values, which
     the driver counts), and ``meets(a, b)`` says if rows of band ``a`` may be near some
-    of band ``b >= a``; if not, none of ``a`` is near any above ``b``. ``run`` gets pairs
-    of matrices.
+    of band ``b >= a``; if not, none of ``a`` is near any above ``b``. ``run`` gets a
+    cell's number and its two matrices, the second None where a tile meets itself.
     """
     spark, columns = rows.sparkSession, rows.columns
     b, t = unused(columns, "band"), unused(columns, "tile")
@@ -319,9 +293,9 @@ def grid(rows: DataFrame, band, meets, run, schema: str, tile: int = TILE) -> Da
 
 def _cells(run, width: int):
     def task(batches):
-        for x, y in _by_cell(batches, width):
+        for cell, x, y in _by_cell(batches, width):
             if x is not None:
-                yield from run(x, y)
+                yield from run(cell, x, y)
 
     return worker(task)
 
@@ -374,7 +348,7 @@ def compare(a: np.ndarray, b: np.ndarray, radius: int = RADIUS) -> tuple[np.ndar
 
 
 def _links(radius: int):
-    def run(x, y):
+    def run(_, x, y):
         x = x.ravel().view(np.uint64)
         u, v = compare(x, x if y is None else y.ravel().view(np.uint64), radius)
         keep = u != v
@@ -475,31 +449,30 @@ def _wide(words: int):
 
 
 def _sets(words: int):
-    """Sorted distinct shingle hashes of the wanted texts, packed."""
+    """The wanted texts' sorted distinct shingle hashes, packed, beside the other columns but the text."""
 
     def run(batches):
         memo = _Hashes()
         for b in batches:
             out = [shingle_hashes(x.as_py(), words, memo).tobytes() for x in b.column("text")]
-            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(out, pa.binary())], ["node", "s"])
+            names = [c for c in b.schema.names if c != "text"]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(out, pa.binary())], [*names, "s"])
 
     return worker(run)
 
 
-def near_pairs(x: np.ndarray, y: np.ndarray | None, similarity: float):
-    """Places ``i, j`` and differing bits of candidate pairs of two tiles, some at a time.
+def near_pairs(a: np.ndarray, b: np.ndarray | None, similarity: float):
+    """Places ``i, j`` of candidate pairs of two tiles (or, ``i < j``, of one) and their differing bits, some at a time.
 
-    Rows are ``w0..., node, n, cls``. Pairs of one class are none, nor are pairs whose
-    numbers of shingles rule out the similarity.
+    Rows are ``w0..., node, n`` in order of ``n``. Pairs whose numbers of shingles rule out the similarity are none.
     """
-    n = WIDE + 1
-    a = x[np.argsort(x[:, n], kind="stable")]
-    b = a if y is None else y[np.argsort(y[:, n], kind="stable")]
+    n, same = WIDE + 1, b is None
+    b = a if same else b
     wa, wb = (np.ascontiguousarray(t[:, :WIDE]).view(np.uint64) for t in (a, b))
     fa, fb = np.ascontiguousarray(wa[:, 0]), np.ascontiguousarray(wb[:, 0])
     at = 0
     while at < len(a):
-        lo = at + 1 if y is None else np.searchsorted(b[:, n], np.ceil(a[at, n] * similarity - 1e-6))
+        lo = at + 1 if same else np.searchsorted(b[:, n], np.ceil(a[at, n] * similarity - 1e-6))
         most = len(a) - at
         while True:  # as many rows as give PAIRS pairs; a later row reaches farther
             to = at + most
@@ -511,134 +484,187 @@ def near_pairs(x: np.ndarray, y: np.ndarray | None, similarity: float):
             i, j = np.nonzero(np.bitwise_count(fa[at:to, None] ^ fb[None, c : min(hi, c + PAIRS)]) <= FIRST)
             i, j = i + at, j + c
             p, q = a[i, n], b[j, n]
-            fine = (a[i, n + 1] != b[j, n + 1]) & (np.minimum(p, q) >= similarity * np.maximum(p, q) - 1e-6)
-            if y is None:
+            fine = np.minimum(p, q) >= similarity * np.maximum(p, q) - 1e-6
+            if same:
                 fine &= i < j
             i, j = i[fine], j[fine]
             bits = np.bitwise_count(wa[i] ^ wb[j]).sum(axis=1, dtype=np.int64)
             fine = bits <= np.where(np.minimum(a[i, n], b[j, n]) <= FEW, ALIKE, NEAR)
             if fine.any():
-                yield a[i[fine], WIDE], b[j[fine], WIDE], bits[fine]
+                yield i[fine], j[fine], bits[fine]
         at = to
 
 
-def _candidates(similarity: float, seed: int, every: bool):
-    """Candidate pairs ``u < v`` of nodes; unless ``every``, of many in a cell those that :func:`spanning` keeps, marked ``more``."""
+def _by_size(x: np.ndarray) -> np.ndarray:
+    return x[np.argsort(x[:, WIDE + 1], kind="stable")]
 
-    def reduced(held):
-        u, v, bits = (np.concatenate(t) for t in zip(*held))
-        if len(u) <= DENSE * len(np.unique(np.concatenate((u, v)))):
-            return u, v, bits, False
-        keep = spanning(u, v, bits, seed)
-        return u[keep], v[keep], bits[keep], True
 
-    def batch(u, v, more):
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v)), pa.array(np.full(len(u), more))], ["u", "v", "more"])
+def _involved(similarity: float):
+    """A cell's texts that have a candidate in it: ``cell, alone, side, node, n``."""
 
-    def run(x, y):
-        held, size, more = [], 0, False
-        for u, v, bits in near_pairs(x, y, similarity):
-            if every:
-                yield batch(u, v, False)
-                continue
-            held.append((u, v, bits))
-            size += len(u)
-            if size > 1 << 20:
-                *kept, cut_ = reduced(held)
-                held, size, more = [tuple(kept)], len(kept[0]), more or cut_
-        if held:
-            u, v, _, cut_ = reduced(held)
-            yield batch(u, v, more or cut_)
+    def run(cell, x, y):
+        a, b = _by_size(x), None if y is None else _by_size(y)
+        hit = [np.zeros(len(a), bool)]
+        hit.append(hit[0] if b is None else np.zeros(len(b), bool))
+        for i, j, _ in near_pairs(a, b, similarity):
+            hit[0][i], hit[1][j] = True, True
+        for side, t in ((0, a),) if b is None else ((0, a), (1, b)):
+            node, n = t[hit[side], WIDE], t[hit[side], WIDE + 1]
+            if len(node):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(node), cell)), pa.array(np.full(len(node), y is None)), pa.array(np.full(len(node), side, np.int32)), pa.array(node), pa.array(n)], ["cell", "alone", "side", "node", "n"])
 
     return run
 
 
-def candidates(nodes: DataFrame, similarity: float, seed: int = 0, every: bool = True, tile: int = TILE) -> DataFrame:
-    """``u, v, more``: pairs of ``nodes(w0..., node, n, cls)`` of different classes; ``more``: its cell had others."""
+def involved(nodes: DataFrame, similarity: float, tile: int = TILE) -> DataFrame:
+    """``cell, alone, side, node, n``: of ``nodes(w0..., node, n)`` those with a candidate, by cell; ``alone``: a tile meets itself."""
     steps = 16  # bands of shingle numbers an octave
     band = F.floor(F.log2(F.col("n") + 1.0) * steps)
     least = lambda k: 2 ** (k / steps) - 1
     meets = lambda a, b: least(a + 1) >= similarity * least(b) - 1e-6
-    return grid(nodes.select(*_WORDS, "node", "n", "cls"), band, meets, _candidates(similarity, seed, every), "u long, v long, more boolean", tile)
+    return grid(nodes.select(*_WORDS, "node", "n"), band, meets, _involved(similarity), "cell long, alone boolean, side int, node long, n long", tile)
 
 
-def _similar(least: float):
-    def run(batches):
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column("s"), b.column("t")):
-                u, v = (np.frombuffer(t.as_py(), np.uint64) for t in (x, y))
-                both = len(np.intersect1d(u, v, assume_unique=True))
-                keep.append(both >= least * (len(u) + len(v) - both) - 1e-9)
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(c).filter(mask) for c in "uv"], ["u", "v"])
+class _Classes:
+    """Classes of places; of two that meet, the smaller takes the other's label."""
 
-    return worker(run)
+    def __init__(self, n: int):
+        self.label, self.members = np.arange(n), {}
 
+    def join(self, i: int, others: np.ndarray):
+        """Puts the classes of ``others`` and of ``i`` together; yields those places that were of another class."""
+        for j in others.tolist():
+            p, q = int(self.label[i]), int(self.label[j])
+            if p == q:
+                continue
+            x, y = self.members.pop(p, [p]), self.members.pop(q, [q])
+            if len(x) < len(y):
+                p, x, y = q, y, x
+            self.label[y] = p
+            x.extend(y)
+            self.members[p] = x
+            yield j
+
+
+def verified_links(a: np.ndarray, sets_a: list, b: np.ndarray | None, sets_b: list | None, similarity: float):
+    """Nodes ``u, v`` of a spanning forest of the verified links of two blocks (or of one), in which every candidate pair is settled."""
+    order = np.argsort(a[:, WIDE + 1], kind="stable")
+    a, sets = a[order], [sets_a[k] for k in order.tolist()]
+    shift, node = 0, a[:, WIDE]
+    if b is not None:
+        order = np.argsort(b[:, WIDE + 1], kind="stable")
+        b, shift = b[order], len(a)
+        sets += [sets_b[k] for k in order.tolist()]
+        node = np.concatenate((node, b[:, WIDE]))
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    start = np.cumsum(size) - size
+    distinct, code = np.unique(np.concatenate(sets), return_inverse=True)
+    mark = np.zeros(len(distinct), np.int32)
+    known = _Classes(len(sets))
+    for i, j, bits in near_pairs(a, b, similarity):
+        j = j + shift
+        order = np.lexsort((bits, i))
+        i, j = i[order], j[order]
+        first = np.flatnonzero(np.concatenate(([True], i[1:] != i[:-1])))
+        for x, y in zip(first.tolist(), np.append(first[1:], len(i)).tolist()):
+            own, others, take = int(i[x]), j[x:y], 8
+            mine = code[start[own] : start[own] + size[own]]
+            mark[mine] = 1
+            # the nearest first: once they put the text in their class, most of the others are in it too
+            while True:
+                others = others[known.label[others] != known.label[own]]
+                if not len(others):
+                    break
+                some, others = others[:take], others[take:]
+                n = size[some]
+                ends = np.cumsum(n)
+                at = np.repeat(start[some] - (ends - n), n) + np.arange(ends[-1])
+                both = np.add.reduceat(mark[code[at]], ends - n)
+                linked = some[both >= similarity * (n + size[own] - both) - 1e-9]
+                for k in known.join(own, linked):
+                    yield int(node[own]), int(node[k])
+                take = max(1, min(take * 8, (1 << 20) // max(1, int(n.max()))))
+            mark[mine] = 0
+
+
+def _verified(similarity: float):
+    def run(batches):
+        now, rows, sets, out = None, ([], []), ([], []), []
 
-def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Of pairs ``u, v`` those whose sets are alike. Both are scanned tables, so Spark splits what meets a hub."""
-    half = cut(pairs.select("u", "v").join(sets.select(F.col("node").alias("u"), "s"), "u"))
-    both = half.join(sets.select(F.col("node").alias("v"), F.col("s").alias("t")), "v")
-    out = cut(both.select("u", "v", "s", "t").mapInArrow(_similar(similarity), "u long, v long"))
-    discard(half)
-    return out
+        def links():
+            if rows[0]:
+                x, y = (np.array(r, np.int64) if r else None for r in rows)
+                if now[2] or y is not None:
+                    yield from verified_links(x, sets[0], y, sets[1], similarity)
 
+        def batch():
+            u, v = zip(*out)
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
-def _verified(d: DataFrame, nodes: DataFrame, words: int, similarity: float, tile: int) -> DataFrame | None:
-    """``node, root`` of nodes linked by verified pairs, of all candidate pairs of ``nodes``."""
-    found = tested = sets = None
-    state = nodes.withColumn("cls", F.col("node"))
-    for k in range(SPARE + 1):
-        near = cut(candidates(state, similarity, k, k == SPARE, tile).groupBy("u", "v").agg(F.max("more").alias("more")))
-        more = near.agg(F.max("more")).first()[0]
-        if more is None:  # no pair at all
-            break
-        new = near.select("u", "v")
-        if sets is None:  # every node with a candidate is among these; later rounds need no other
-            ends = cut(new.select(F.col("u").alias("node")).union(new.select("v")).distinct())
-            involved = cut(nodes.join(ends, "node"))
-            wanted = cut(involved.select(F.col("first").alias("doc_id"), "node", F.col("first_h").alias("h")))
-            texts = d.join(broadcast_if_small(wanted, 80), ["doc_id", "h"]).select("node", "text")
-            sets = cut(texts.mapInArrow(_sets(words), "node long, s binary"))
-            if sets.count() > wanted.count():  # rows that repeat a doc_id and its text
-                sets, again = cut(sets.dropDuplicates(["node"])), sets
-                discard(again)
-            discard(ends, wanted)
-        else:
-            new = new.join(tested, ["u", "v"], "left_anti")
-        links = _alike(new, sets, similarity)
-        tested = near.select("u", "v") if tested is None else tested.union(near.select("u", "v"))
-        before, found = found, classes(links if found is None else links.union(found.select(F.col("node").alias("u"), F.col("root").alias("v"))))
-        discard(links, *([before] if before is not None else []))
-        if not more:
-            break
-        state = involved.join(found, "node", "left").withColumn("cls", F.coalesce("root", "node")).drop("root")
-    if sets is not None:
-        discard(sets, involved)
-    return found
+        for b in batches:
+            numbers = np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in (*_WORDS, "node", "n")], axis=1)
+            for k, (cell, r, alone, side, s) in enumerate(zip(*(b.column(c).to_pylist() for c in ("cell", "r", "alone", "side", "s")))):
+                if (cell, r, alone) != now:
+                    if now is not None:
+                        out.extend(links())
+                        if len(out) > 10_000:
+                            yield batch()
+                    now, rows, sets = (cell, r, alone), ([], []), ([], [])
+                rows[side].append(numbers[k])
+                sets[side].append(np.frombuffer(s, np.uint64))
+        if now is not None:
+            out.extend(links())
+        if out:
+            yield batch()
+
+    return worker(run)
 
 
-def near_groups(documents: DataFrame, words: int = 5, similarity: float = 0.8, tile: int = TILE) -> DataFrame:
+def verified(d: DataFrame, nodes: DataFrame, words: int, similarity: float, tile: int = TILE, block: int = BLOCK) -> DataFrame:
+    """``u, v``: links that span the classes of alike ``nodes``; ``d(doc_id, h, text)`` has their texts."""
+    places = cut(involved(nodes, similarity, tile))
+    ends = places.select("node").distinct()
+    wanted = cut(nodes.join(ends, "node").select(F.col("first").alias("doc_id"), F.col("first_h").alias("h"), "node", "n", *_WORDS))
+    texts = d.join(broadcast_if_small(wanted, 160), ["doc_id", "h"]).select("node", "n", *_WORDS, "text")
+    numbers = ", ".join(f"{c} long" for c in ("node", "n", *_WORDS))
+    sets = cut(texts.mapInArrow(_sets(words), f"{numbers}, s binary"))
+    if sets.count() > wanted.count():  # rows that repeat a doc_id and its text
+        sets, again = cut(sets.dropDuplicates(["node"])), sets
+        discard(again)
+    # heavy cells in blocks: block r of the one side meets block s of the other
+    weight = cut(places.groupBy("cell").agg(F.ceil(F.sum(F.col("n") + EACH) / block).cast("int").alias("k")))
+    p = places.join(broadcast_if_small(weight, 64), "cell").withColumn("own", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
+    up = F.sequence("own", F.col("k") - 1)
+    every = F.sequence(F.lit(0), F.col("k") - 1)
+    left = p.where("side = 0").select("cell", "k", "alone", "node", F.lit(0).alias("side"), "own", F.explode(F.when(F.col("alone"), up).otherwise(every)).alias("to"))
+    left = left.select("cell", (F.col("own") * F.col("k") + F.col("to")).alias("r"), (F.col("alone") & (F.col("own") == F.col("to"))).alias("alone"), "side", "node")
+    right = p.where("side = 1 OR alone AND own > 0").select("cell", "k", "node", F.lit(1).alias("side"), "own", F.explode(F.when(F.col("alone"), F.sequence(F.lit(0), F.col("own") - 1)).otherwise(every)).alias("to"))
+    right = right.select("cell", (F.col("to") * F.col("k") + F.col("own")).alias("r"), F.lit(False).alias("alone"), "side", "node")
+    met = cut(left.unionByName(right)).join(sets, "node").repartition("cell", "r").sortWithinPartitions("cell", "r", "side")
+    links = cut(met.mapInArrow(_verified(similarity), "u long, v long"))
+    discard(places, wanted, sets, weight)
+    return links
+
+
+def near_groups(documents: DataFrame, words: int = 5, similarity: float = 0.8, tile: int = TILE, block: int = BLOCK) -> DataFrame:
     """``doc_id, h, lowest`` of documents alike to one of a smaller doc_id; ``h`` is the text's ``xxhash64``."""
     small_batches(documents.sparkSession)
     d = documents.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
     prints = cut(d.mapInArrow(_wide(words), "doc_id long, h long, node long, n long, " + ", ".join(f"{w} long" for w in _WORDS)))
     # numbers only, so sums are hashed on the map side: a hot node sends a row per task
     nodes = cut(prints.groupBy("node").agg(F.min("doc_id").alias("first"), F.min_by("h", "doc_id").alias("first_h"), F.count("*").alias("docs"), F.first("n").alias("n"), *(F.first(w).alias(w) for w in _WORDS)))
-    found = _verified(d, nodes, words, similarity, tile)
-    linked = nodes.select("node", "first", "docs", F.col("node").alias("root"))
-    if found is not None:
-        linked = nodes.select("node", "first", "docs").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    linked = cut(linked)
+    links = verified(d, nodes, words, similarity, tile, block)
+    found = classes(links)
+    linked = cut(nodes.select("node", "first", "docs").join(found, "node", "left").withColumn("root", F.coalesce("root", "node")))
     lowest = cut(linked.groupBy("root").agg(F.min("first").alias("lowest"), F.sum("docs").alias("docs")).where("docs > 1").drop("docs"))
     asked = cut(linked.join(lowest, "root").select("node", "lowest"))
     out = cut(prints.select("node", "doc_id", "h").join(asked, "node").where("doc_id <> lowest").select("doc_id", "h", "lowest").distinct())
-    discard(prints, nodes, linked, lowest, asked)
+    discard(prints, nodes, links, found, linked, lowest, asked)
     return out
 
 
-def drop_near_duplicates(documents: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+def drop_near_duplicates(documents: DataFrame, words: int = 5, similarity: float = 0.8, tile: int = TILE, block: int = BLOCK) -> DataFrame:
     """The documents without those that repeat another of their group, columns and rows otherwise as they came.
 
     Two texts are linked if the Jaccard similarity of their sets of shingles is
@@ -647,6 +673,6 @@ def drop_near_duplicates(documents: DataFrame, words: int = 5, similarity: float
     text; those alike to their group's smallest doc_id stay with it. A null doc_id stays.
     """
     i, h = unused(documents.columns, "near_id"), unused(documents.columns, "near_h")
-    gone = near_groups(documents, words, similarity)
+    gone = near_groups(documents, words, similarity, tile, block)
     gone = broadcast_if_small(gone.select(F.col("doc_id").alias(i), F.col("h").alias(h)), 80)
     return documents.withColumns({i: F.col("doc_id").cast("long"), h: F.xxhash64("text")}).join(gone, [i, h], "left_anti").drop(i, h)

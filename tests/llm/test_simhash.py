@@ -133,18 +133,6 @@ def test_near_copies_go_and_others_stay(spark, docs_of):
     assert kept.columns == d.columns and sorted(r.doc_id for r in kept.collect()) == [5, 6, 9, 12, 12]
 
 
-def test_spanning_links_span_all_classes():
-    rng = np.random.default_rng(3)
-    for _ in range(30):
-        x = np.unique(rng.integers(0, 1 << 12, 40, dtype=np.uint64))
-        bits = np.bitwise_count(x[:, None] ^ x[None])
-        i, j = np.nonzero((bits <= 3) & (bits > 0))
-        keep = simhash.spanning(i, j, bits[i, j])
-        assert len(keep) <= 2 * len(x)
-        links = lambda p, q: brute_classes_of(len(x), zip(p.tolist(), q.tolist()))
-        assert links(i, j) == links(i[keep], j[keep])
-
-
 @pytest.mark.parametrize("seed", range(4))
 def test_tiles_hold_every_alike_pair(seed):
     """Of small and large sets, within a tile and between two."""
@@ -157,13 +145,26 @@ def test_tiles_hold_every_alike_pair(seed):
             keep = base[rng.random(size) > rng.choice([0.03, 0.08, 0.12])]
             sets.append(np.unique(np.concatenate((keep, rng.integers(0, 2**63, int(rng.integers(0, size // 12 + 2)), dtype=np.uint64)))))
     sets = [s for s in sets if len(s)]
-    rows = np.array([[*simhash.wide_print(s), k, len(s), k] for k, s in enumerate(sets)], np.int64)
+    rows = np.array([[*simhash.wide_print(s), k, len(s)] for k, s in enumerate(sets)], np.int64)
     alike = {(i, j) for j in range(len(sets)) for i in range(j) if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))}
     assert len(alike) > 40
-    half = len(sets) // 2
-    whole = {tuple(sorted(p)) for u, v, _ in simhash.near_pairs(rows, None, 0.8) for p in zip(u.tolist(), v.tolist())}
-    parts = {tuple(sorted(p)) for x, y in ((rows[:half], None), (rows[half:], None), (rows[:half], rows[half:])) for u, v, _ in simhash.near_pairs(x, y, 0.8) for p in zip(u.tolist(), v.tolist())}
+    rng.shuffle(rows)
+    half, by = len(sets) // 2, simhash._by_size
+
+    def pairs(x, y):
+        x, y = by(x), None if y is None else by(y)
+        return {tuple(sorted((int(x[p, 8]), int((x if y is None else y)[q, 8])))) for i, j, _ in simhash.near_pairs(x, y, 0.8) for p, q in zip(i, j)}
+
+    whole = pairs(rows, None)
+    parts = pairs(rows[:half], None) | pairs(rows[half:], None) | pairs(rows[:half], rows[half:])
     assert whole == parts and len(alike - whole) <= 0.003 * len(alike)
+    # of candidates the alike ones are linked, and no others
+    of = lambda x: [sets[k] for k in x[:, 8]]
+    for x, y in ((rows, None), (rows[:half], rows[half:])):
+        links = list(simhash.verified_links(x, of(x), y, None if y is None else of(y), 0.8))
+        want = {p for p in alike & (whole if y is None else pairs(x, y))}
+        assert {tuple(sorted(p)) for p in links} <= want
+        assert brute_classes_of(len(sets), links) == brute_classes_of(len(sets), want) and len(links) < len(sets)
 
 
 def test_shingle_hashes_stand_for_shingles():
@@ -234,10 +235,9 @@ def brute_groups(n, links):
     return list({id(g): g for g in group.values()}.values())
 
 
-@pytest.mark.parametrize("dense", [0, simhash.DENSE])
-def test_every_candidate_is_verified_whatever_others_fail(spark, docs_of, monkeypatch, dense):
-    """Many texts share most shingles, so candidates that fail connect all of them."""
-    monkeypatch.setattr(simhash, "DENSE", dense)
+@pytest.mark.parametrize("tile,block", [(simhash.TILE, simhash.BLOCK), (20, 3000)])
+def test_every_candidate_is_verified_whatever_others_fail(spark, docs_of, tile, block):
+    """Many texts share most shingles, so candidates that fail connect all of them; also where tiles and blocks are small."""
     rng = random.Random(14)
     vocab = [f"w{i}" for i in range(3000)]
     lists = [rng.choices(vocab, k=240)]
@@ -249,7 +249,7 @@ def test_every_candidate_is_verified_whatever_others_fail(spark, docs_of, monkey
     texts = [" ".join(w) for w in lists]
     want, pairs, links = jaccard_rest(texts)
     assert 0 < len(links) < len(pairs) / 3 and len(want) > 5
-    kept = {r.doc_id for r in simhash.drop_near_duplicates(docs_of(texts)).collect()}
+    kept = {r.doc_id for r in simhash.drop_near_duplicates(docs_of(texts), tile=tile, block=block).collect()}
     assert kept == want
 
 
