@@ -5,7 +5,9 @@ words padded with a mark) in order of frequency. A document goes to the language
 with the least out-of-place distance: the sum over the document's n-grams of how
 far their rank is from the profile's, or the profile's length where they are absent.
 
-N-grams are 63-bit integers (21 bits a codepoint) and are counted by sorting.
+N-grams are 63-bit integers (21 bits a codepoint; the mark between words is a number
+beyond all codepoints, so n-grams of different lengths differ) and are counted by
+sorting, a long text piece by piece, cut at white space.
 Profiles are fitted on at most ``PER_LANGUAGE`` texts of each language, the first
 by hash of doc_id, from documents that are not held out.
 
@@ -27,8 +29,10 @@ from pyspark.sql import functions as F
 from .common import table, worker
 
 TOP, PER_LANGUAGE = 400, 5000
-#: Codepoints counted at once; counts of parts are added up.
+#: Codepoints counted at once, to the next white space; counts of parts are added up.
 PART = 1 << 20
+#: Stands between words. Beyond all codepoints, and 21 bits like them.
+MARK = 0x110000
 
 
 @lru_cache(maxsize=1)
@@ -37,20 +41,31 @@ def _letters() -> np.ndarray:
 
 
 def _grams(text: str) -> np.ndarray:
-    """All 1-, 2- and 3-grams; 0 is the mark between words, and no gram is marks alone."""
+    """All 1-, 2- and 3-grams of letters and marks; none is marks alone or has one in the middle."""
     c = np.frombuffer(f" {text.lower()} ".encode("utf-32-le"), "<u4").astype(np.int64)
-    c[~_letters()[c]] = 0
-    c = c[(c != 0) | np.concatenate(([True], c[:-1] != 0))]
+    c[~_letters()[c]] = MARK
+    c = c[(c != MARK) | np.concatenate(([True], c[:-1] != MARK))]
     two, three = (c[:-1] << 21) | c[1:], (c[:-2] << 42) | (c[1:-1] << 21) | c[2:]
-    three = three[c[1:-1] != 0]
-    return np.concatenate((c[c != 0], two, three))
+    three = three[c[1:-1] != MARK]
+    return np.concatenate((c[c != MARK], two, three))
+
+
+def parts(text: str):
+    """A text in parts that end at white space, so that no word is cut."""
+    at = 0
+    while at < len(text):
+        to = at + PART
+        while to < len(text) and not text[to].isspace():
+            to += 1
+        yield text[at:to]
+        at = to
 
 
 def count_grams(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Distinct n-grams, ascending, and their counts."""
     if len(text) <= PART:
         return np.unique(_grams(text), return_counts=True)
-    keys, counts = zip(*(np.unique(_grams(text[a : a + PART]), return_counts=True) for a in range(0, len(text), PART)))
+    keys, counts = zip(*(np.unique(_grams(t), return_counts=True) for t in parts(text)))
     return _add(np.concatenate(keys), np.concatenate(counts))
 
 

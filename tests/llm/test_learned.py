@@ -19,34 +19,100 @@ def test_language_ids_of_held_out_documents(spark):
     assert np.mean([r.lang_pred == docs[r.doc_id].lang for r in held]) > 0.97
 
 
-def profile_by_hand(texts, top):
-    c = Counter()
-    for t in texts:
-        w = "".join(x if x.isalpha() else " " for x in t.lower()).split()
-        s = "\0" + "\0".join(w) + "\0" if w else ""
-        for n in (1, 2, 3):
-            for i in range(len(s) - n + 1):
-                g = s[i : i + n]
-                if g.strip("\0") and not (n == 3 and g[1] == "\0"):
-                    c[g] += 1
-    key = lambda g: sum(ord(x) << 21 * (len(g) - 1 - i) for i, x in enumerate(g))
-    return [key(g) for g, _ in sorted(c.items(), key=lambda x: (-x[1], key(x[0])))[:top]]
-
-
-@pytest.mark.parametrize("text", ["the cat sat", "Ça va? Ça va!", "a", "漢字 😀 x", "aa aa aa", ""])
-def test_profiles_by_hand(text):
-    k, n = langid.count_grams(text)
-    got = langid.ranked(k, n, 50).tolist()
-    want = profile_by_hand([text], 50)
-    # a gram of zeros in front has the number of a shorter one: both stand for it
-    assert sorted(got) == sorted(set(want)) or got == want
-
-
-def test_distance_is_out_of_place():
-    judge = langid.Judge({"b": np.array([10, 20, 30]), "a": np.array([20, 10, 40])}, 3)
-    judge_of = lambda own: [sum(abs(p.index(g) - i) if g in p else 3 for i, g in enumerate(own)) for p in ([20, 10, 40], [10, 20, 30])]
-    assert judge.names == ["a", "b"] and judge_of([10, 20, 30]) == [5, 0]
-    assert judge(None) == ("und", 0.0) == judge("123 !?") and langid.Judge({})("words") == ("und", 0.0)
+def grams_by_hand(text):
+    """Counts of n-grams, as tuples; None is the mark between words."""
+    c, s = Counter(), [None]
+    for x in text.lower():
+        if x.isalpha():
+            s.append(x)
+        elif s[-1] is not None:
+            s.append(None)
+    if s[-1] is not None:
+        s.append(None)
+    for n in (1, 2, 3):
+        for i in range(len(s) - n + 1):
+            g = tuple(s[i : i + n])
+            if set(g) != {None} and not (n == 3 and g[1] is None):
+                c[g] += 1
+    return c
+
+
+def number(gram):
+    return sum((0x110000 if x is None else ord(x)) << 21 * (len(gram) - 1 - i) for i, x in enumerate(gram))
+
+
+def profile_by_hand(counts, top):
+    return [number(g) for g, _ in sorted(counts.items(), key=lambda x: (-x[1], number(x[0])))[:top]]
+
+
+LANGUAGE_TEXTS = ["the cat sat", "Ça va? Ça va!", "a", "漢字 😀 x", "aa aa aa", "", "123", "x1y", "Straße İstanbul ΣΑΣ", " a  b\na-b "]
+
+
+@pytest.mark.parametrize("text", LANGUAGE_TEXTS)
+@pytest.mark.parametrize("top", [5, 400])
+def test_profiles_by_hand(text, top):
+    assert langid.ranked(*langid.count_grams(text), top).tolist() == profile_by_hand(grams_by_hand(text), top)
+
+
+def test_word_beginnings_differ_from_letters():
+    k, n = langid.count_grams("ab cab")
+    found = dict(zip(k.tolist(), n.tolist()))
+    assert found[number((None, "a"))] == 1 and found[number(("a",))] == 2 and found[number((None, "a", "b"))] == 1 and found[number(("a", "b"))] == 2
+
+
+def judge_by_hand(profiles, text, top):
+    own = profile_by_hand(grams_by_hand(text or ""), top)
+    if not own or not profiles:
+        return "und", 0.0
+    best = min((sum(abs(p.index(g) - i) if g in p else top for i, g in enumerate(own)), lang) for lang, p in profiles.items())
+    return best[1], 1 - best[0] / (top * len(own))
+
+
+@pytest.mark.parametrize("top", [7, 60])
+def test_distance_is_out_of_place(top):
+    rng = random.Random(top)
+    say = lambda letters, k: " ".join("".join(rng.choices(letters, k=rng.randint(1, 6))) for _ in range(k))
+    profiles = {lang: profile_by_hand(grams_by_hand(say(letters, 200)), top) for lang, letters in (("c", "abcdé"), ("a", "cdefg"), ("b", "aeiouy"))}
+    judge = langid.Judge({k: np.array(v, np.int64) for k, v in profiles.items()}, top)
+    for text in [say(rng.choice(["abcdé", "cdefg", "aeiouy", "abcdefgiouyé", "xyz"]), rng.randint(0, 30)) for _ in range(60)] + LANGUAGE_TEXTS + [None]:
+        lang, score = judge(text)
+        want = judge_by_hand(profiles, text, top)
+        assert lang == want[0] and abs(score - want[1]) < 1e-12
+    assert langid.Judge({})("words") == ("und", 0.0)
+
+
+def test_language_query_by_hand(spark, docs_of, saved):
+    """The query against profiles and distances by definition, with repeats, nulls and clashing columns."""
+    rng = random.Random(3)
+    say = lambda letters, k: " ".join("".join(rng.choices(letters, k=rng.randint(1, 6))) for _ in range(k))
+    texts, langs = [], []
+    for k in range(90):
+        lang = rng.choice(["xx", "yy", None])
+        texts.append(rng.choice([None, "", "12 3"]) if k % 11 == 0 else say({"xx": "abcdef", "yy": "efghij", None: "acegi"}[lang], rng.randint(1, 40)))
+        langs.append(lang)
+    ids = [*range(90)]
+    ids[5], ids[7], ids[8] = 4, None, 4
+    d = docs_of(texts, ids, lang=langs, _id=["i"] * 90, gram=["g"] * 90, score=["s"] * 90)
+    rows = langid.op7_language_id(spark, saved(documents=d)).collect()
+    held = lambda i: zlib.crc32(str(i if i is not None else "").encode()) % 3 == 1
+    counts = {}
+    for i, t, lang in zip(ids, texts, langs):
+        if lang is not None and i is not None and not held(i):
+            counts.setdefault(lang, Counter()).update(grams_by_hand(t or ""))
+    profiles = {lang: profile_by_hand(c, langid.TOP) for lang, c in counts.items()}
+    want = [(i, held(i), *judge_by_hand(profiles, t, langid.TOP)) for i, t in zip(ids, texts)]
+    key = lambda r: (str(r[0]), r[2], round(r[3], 9))
+    for got, by_hand in zip(sorted(map(tuple, rows), key=key), sorted(want, key=key), strict=True):
+        assert got[:3] == by_hand[:3] and abs(got[3] - by_hand[3]) < 1e-12
+
+
+def test_long_texts_are_counted_whole(monkeypatch):
+    rng = random.Random(4)
+    text = " ".join("".join(rng.choices("abcdeé", k=rng.randint(1, 9))) for _ in range(400)) + " " + "x" * 300
+    whole = langid.count_grams(text)
+    monkeypatch.setattr(langid, "PART", 50)
+    parts = langid.count_grams(text)
+    assert len(text) > 1000 and all((x == y).all() for x, y in zip(whole, parts))
 
 
 def test_language_edge_rows(spark, docs_of):
@@ -165,6 +231,45 @@ def test_all_cells_give_exact_results_whatever_the_blocks(spark, monkeypatch):
         assert nearest(x, np.arange(400), r.query_id)[0][r["rank"] - 1] == r.vec_id
 
 
+def test_recall_on_the_tables(spark):
+    d = "/root/testdata/sf0.1"
+    rows = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", "embedding").collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)
+    got = {}
+    for r in ann.op2_multi_index(spark, d).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    queries = [k for k, i in enumerate(ids.tolist()) if i % 100 == 0]
+    assert sorted(got) == sorted(ids[queries].tolist())
+    assert np.mean([len(got[ids[k]] & set(nearest(x, ids, k)[0])) / 10 for k in queries]) >= 0.9
+
+
+def test_codebooks_grow():
+    assert [ann.codebook_size(n) for n in (10, 10**5, 10**6, 10**9)] == [64, 79, 250, 512]
+
+
+def test_lambda_k_and_logistic_by_definition():
+    for p, up, down in ((0.02, 2.0, 0.05), (0.3, 1.0, 1.0), (0.001, 3.5, 0.05)):
+        lam = toxicity._root(p, up, down)
+        if lam > 1e-6:
+            assert abs(p * np.exp(lam * up) + (1 - p) * np.exp(-lam * down) - 1) < 1e-6
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=300)
+    y = (rng.random(300) < 1 / (1 + np.exp(-(0.5 + 1.5 * x)))).astype(int)
+    a, b = toxicity._logistic(x, y)
+    loss = lambda a, b: -(y * (a + b * x) - np.log1p(np.exp(a + b * x))).sum() + 0.05 * b * b + 5e-7 * a * a
+    assert all(loss(a, b) <= loss(a + da, b + db) + 1e-9 for da in (-1e-3, 0, 1e-3) for db in (-1e-3, 0, 1e-3))
+
+
+def test_scored_columns_of_any_name(spark, docs_of):
+    texts, labels = planted(5, 200)
+    d = docs_of([*texts, None, ""], tox_score=["s"] * 202, _id=["i"] * 202, toxic=[7] * 202)
+    model = toxicity.fit(d, spark.createDataFrame([(i, x) for i, x in enumerate(labels)], "doc_id long, toxic int"))
+    kept = toxicity.clean_documents(d, model)
+    assert kept.columns == d.columns and {200, 201} <= {r.doc_id for r in kept.collect()}
+    with pytest.raises(ValueError, match="tox_score"):
+        toxicity.score_documents(d, model)
+
+
 def test_cells_come_in_order_of_distance():
     x = vectors(2, 500, 6)
     index = ann.MultiIndex(x, 9)
