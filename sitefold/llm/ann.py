@@ -7,10 +7,13 @@ until the cells passed hold a share ``PROBE`` of all vectors. Entries of those
 cells are ranked by exact distance.
 
 The driver holds codebooks and the count of entries per cell, at most the square
-of the codebook. Entries lie in blocks of one first code, at most ``BLOCK_ROWS``
-each, hot codes in many blocks; queries are grouped per first code likewise, with
-a bit set of the second codes they visit. A block meets the queries that visit it
-and returns the nearest of each, so memory is bounded by the block sizes.
+of the codebook, whose size grows with the vectors from ``CODES`` to ``MOST_CODES``.
+Entries lie in blocks of one first code, about ``BLOCK_ROWS`` each, hot codes in many
+blocks; queries are grouped per first code likewise, with a bit set of the second
+codes they visit. Query blocks are copied to each entry block of their code, and the
+exchange is by (code, entry block), so a hot code is spread over as many tasks as it
+has blocks. A block meets the queries that visit it and returns the nearest of each,
+so memory is bounded by the block sizes.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite
 components take no part, nor do those whose length isn't the most frequent one;
@@ -31,10 +34,15 @@ from pyspark.sql import functions as F
 
 from .common import cut, table, worker
 
-TRAIN, CODES, PROBE = 16_384, 64, 0.55
+TRAIN, CODES, MOST_CODES, PROBE = 16_384, 64, 512, 0.55
 BLOCK_ROWS, BLOCK_QUERIES, PAIR_ROWS, K = 2048, 256, 16, 10
 
 
+def codebook_size(n: int) -> int:
+    """Centroids for each half of ``n`` vectors: in proportion to the square root, so that a cell keeps about as many."""
+    return min(MOST_CODES, max(CODES, int(n**0.5 / 4)))
+
+
 def usable(vectors: DataFrame) -> DataFrame:
     """``vec_id, v`` (array of double) of the rows that take part."""
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
@@ -157,7 +165,7 @@ def _rank(k: int):
     return worker(run)
 
 
-def search(vectors: DataFrame, every: int = 100, k: int = K, probe: float = PROBE, codes: int = CODES, train: int = TRAIN) -> DataFrame:
+def search(vectors: DataFrame, every: int = 100, k: int = K, probe: float = PROBE, codes: int | None = None, train: int = TRAIN) -> DataFrame:
     """``query_id, rank, vec_id, score``: the nearest ``k`` of each vector whose id ``every`` divides."""
     spark = vectors.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
@@ -167,7 +175,7 @@ def search(vectors: DataFrame, every: int = 100, k: int = K, probe: float = PROB
         return spark.createDataFrame([], schema)
     kept = kept.where(F.size("v") == dims.dim)
     sample = kept.orderBy(F.xxhash64("vec_id"), "vec_id").limit(train).select("v").toArrow()
-    index = MultiIndex(_matrix(sample.column("v").combine_chunks()), codes)
+    index = MultiIndex(_matrix(sample.column("v").combine_chunks()), codes or codebook_size(dims.n))
     entries = cut(kept.mapInArrow(_assign(index), "vec_id long, i int, j int, x binary"))
     counts = np.zeros(tuple(map(len, index.books)), np.int64)
     for r in entries.groupBy("i", "j").agg(F.count("*").alias("n")).collect():  # a row per cell
@@ -184,8 +192,9 @@ def search(vectors: DataFrame, every: int = 100, k: int = K, probe: float = PROB
         return spark.createDataFrame([], schema)
     lookup_q = F.create_map(*[F.lit(x) for i, n in n_queries.items() for x in (i, -(-n // BLOCK_QUERIES))])
     qb = asked.groupBy("i", F.pmod(F.xxhash64("query_id"), F.element_at(lookup_q, F.col("i"))).alias("qpart")).agg(F.collect_list(F.struct("query_id", "cells", "q")).alias("queries"))
-    # a pair of blocks a task at a time; the exchange spreads hot codes
-    pairs = eb.join(qb.withColumnRenamed("i", "qi"), F.col("i") == F.col("qi")).select("entries", "queries")
+    last = F.element_at(lookup, F.col("i")) - 1
+    qb = qb.withColumn("part", F.explode(F.sequence(F.lit(0), last))).select("i", F.col("part").cast("long"), "queries")
+    pairs = eb.select("i", F.col("part").cast("long"), "entries").join(qb, ["i", "part"]).select("entries", "queries")
     # a row is a pair of blocks, so a few of them make a batch
     setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(setting)
