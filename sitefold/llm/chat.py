@@ -8,10 +8,14 @@ A conversation is a log of events ``(conv_id, seq, kind, msg_id, role, text)``:
 ``regenerate``  discards the text of message ``msg_id`` and every message that
                 was created between it and this event; deltas follow
 
-The fold is split so that no conversation has to fit in memory. What an event
-contributes is decided with aggregates and running maxima (Spark sorts and
-spills those), and the final pass streams each conversation in order, holding
-one message at a time.
+The fold is split so that no conversation has to fit in memory or in one task. What
+an event contributes is decided with aggregates and running maxima (over those
+conversations only in which something was regenerated; Spark sorts and spills them).
+Rendering goes by ranges of (conversation, first event), so a long conversation is
+spread over tasks, each holding one message at a time; ordinals are numbers within a
+range plus the turns of the conversation in the ranges before, of which there is a
+row per range. Only a digest over a whole conversation, which is sequential, streams
+it through one task.
 
 Defined cases: null text and null role count as empty; null ``seq`` sorts first;
 rows that tie on ``seq`` are ordered by role, then text, and repeated rows are
@@ -25,11 +29,12 @@ import hashlib
 import re
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table, worker
+from .common import cut, table, worker
 
 START, END = "<|im_start|>", "<|im_end|>"
 _CONTROL = re.compile(r"<(\\*)\|")
@@ -46,7 +51,7 @@ EVENTS = T.StructType(
     ]
 )
 
-TURNS = "conv_id long, ordinal long, piece string, loss_start int, loss_end int"
+TURNS = "conv_id long, part int, ordinal long, piece string, loss_start int, loss_end int"
 DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
 
@@ -118,6 +123,8 @@ def fold(events: DataFrame) -> DataFrame:
     )
     # a message goes if an earlier-born one was regenerated after it was born
     born = alone.select("conv_id", "born").union(state.select("conv_id", "born")).select("conv_id", "born", F.lit(None).cast("long").alias("until"))
+    touched = regenerated.select(F.col("conv_id").alias("c")).distinct()
+    born = born.join(touched, F.col("conv_id").eqNullSafe(F.col("c")), "left_semi")
     line = born.union(regenerated).groupBy("conv_id", "born").agg(F.max("until").alias("until"))
     before = Window.partitionBy("conv_id").orderBy("born").rowsBetween(Window.unboundedPreceding, -1)
     gone = line.withColumn("shadow", F.max("until").over(before)).where("shadow > born").select("conv_id", "born")
@@ -128,6 +135,7 @@ def fold(events: DataFrame) -> DataFrame:
 def _stream_turns(loss_roles):
     def run(batches):
         rows, now, key, ordinal, conv = [], [], None, -1, None
+        part = TaskContext.get().partitionId()
 
         def close():
             nonlocal ordinal, conv
@@ -135,12 +143,12 @@ def _stream_turns(loss_roles):
                 return
             ordinal = ordinal + 1 if conv == (key[0],) else 0
             conv = (key[0],)
-            rows.append((key[0], ordinal, *render(key[3], "".join(now), loss_roles)))
+            rows.append((key[0], part, ordinal, *render(key[3], "".join(now), loss_roles)))
 
         def flush():
             out = pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32()))],
-                ["conv_id", "ordinal", "piece", "loss_start", "loss_end"],
+                [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.int32(), pa.int32()))],
+                ["conv_id", "part", "ordinal", "piece", "loss_start", "loss_end"],
             )
             rows.clear()
             return out
@@ -167,12 +175,22 @@ def _stream_turns(loss_roles):
 def format_turns(events: DataFrame, loss_roles=("assistant",)) -> DataFrame:
     """Formatted turns in order: ``conv_id, ordinal, piece, loss_start, loss_end``.
 
-    A conversation's text is its pieces, concatenated by ``ordinal``. One task
-    streams a conversation; its memory is one message and one output batch.
+    A conversation's text is its pieces, concatenated by ``ordinal``. A task renders
+    a range of messages; its memory is one message and one output batch.
     """
-    order = ["conv_id", "born", F.coalesce("msg_id", F.lit("")), F.when(F.col("msg_id").isNull(), F.col("role")), F.when(F.col("msg_id").isNull(), F.col("text")), "seq"]
-    ready = fold(events).repartition("conv_id").sortWithinPartitions(*order)
-    return ready.select("conv_id", "born", "msg_id", "role", "text").mapInArrow(_stream_turns(tuple(loss_roles)), TURNS)
+    spark = events.sparkSession
+    mine = F.coalesce("msg_id", F.lit(""))
+    order = ["conv_id", "born", mine, F.when(F.col("msg_id").isNull(), F.col("role")), F.when(F.col("msg_id").isNull(), F.col("text")), "seq"]
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ready = fold(events).repartitionByRange(n, "conv_id", "born", mine).sortWithinPartitions(*order)
+    # written once: ranges come from a sample, which another run need not repeat
+    turns = cut(ready.select("conv_id", "born", "msg_id", "role", "text").mapInArrow(_stream_turns(tuple(loss_roles)), TURNS))
+    counts = turns.groupBy("conv_id", "part").agg(F.count("*").alias("turns"))
+    before = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    shift = counts.select(F.col("conv_id").alias("c"), F.col("part").alias("p"), F.sum("turns").over(before).alias("shift")).where("shift > 0")
+    # a range goes on with one conversation at most: fewer rows than ranges
+    joined = turns.join(F.broadcast(shift), F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("part") == F.col("p")), "left")
+    return joined.select("conv_id", (F.col("ordinal") + F.coalesce("shift", F.lit(0))).alias("ordinal"), "piece", "loss_start", "loss_end")
 
 
 @worker

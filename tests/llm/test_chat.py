@@ -90,3 +90,24 @@ def test_a_long_text(spark):
     df = spark.createDataFrame([(1, 0, "assistant", text)], "conv_id long, turn long, role string, text string")
     r = chat.digests(chat.format_turns(chat.conversation_events(df))).first()
     assert r.loss_chars == len(text) and r.loss_sha256 == hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_a_conversation_over_many_ranges(spark):
+    """One holds most rows; ordinals go on from range to range."""
+    rows = [(5, i, "message", None, "user" if i % 2 else "assistant", f"t{i}") for i in range(3000)] + [(k, 0, "message", None, "user", "x") for k in (1, 9)]
+    got = chat.format_turns(spark.createDataFrame(rows, chat.EVENTS).repartition(6)).collect()
+    own = sorted((r.ordinal, chat.parse(r.piece)) for r in got if r.conv_id == 5)
+    assert own == [(i, ("user" if i % 2 else "assistant", f"t{i}")) for i in range(3000)]
+    assert [r.ordinal for r in got if r.conv_id != 5] == [0, 0]
+
+
+def test_deltas_of_one_message_stay_together(spark):
+    rows = [(5, i, "delta", "m", "assistant", f"{i} ") for i in range(500)] + [(5, 1000 + i, "message", None, "user", "x") for i in range(500)]
+    got = turns(chat.format_turns(spark.createDataFrame(rows, chat.EVENTS).repartition(6)))
+    assert got[5][0] == ("assistant", "".join(f"{i} " for i in range(500))) and len(got[5]) == 501
+
+
+def test_clashing_columns_and_no_rows(spark):
+    df = spark.createDataFrame([(1, 0, "user", "a", "p", "k", "m")], "conv_id long, turn long, role string, text string, part string, kind string, msg_id string")
+    assert chat.digests(chat.format_turns(chat.conversation_events(df))).first().n_turns == 1
+    assert chat.digests(chat.format_turns(chat.conversation_events(df.where("false")))).collect() == []
