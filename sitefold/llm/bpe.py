@@ -9,8 +9,12 @@ states and neighbours. No regular expression runs over a text.
 
 Pieces are slices of the UTF-8 bytes and go through a cache that maps a piece to
 its ids; pieces not yet known are merged together, one pair per piece and round,
-in numpy. The offsets of tokens in the text follow from the ids alone, which is
-also how decoding finds each token's bytes.
+in numpy. Token offsets in the UTF-8 text come with the ids where asked for, and
+decoding puts each token's bytes at its offset.
+
+The transitions are those of one published pattern, ``PATTERN``; another is refused.
+Classes of codepoints come from the tokenizer library's own Unicode tables, once on
+the driver, and travel to the tasks as data.
 
 Memory: texts are handled in chunks of about ``CHUNK`` codepoints. A longer text
 is cut in front of white space that follows something else, which always is a
@@ -27,6 +31,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import zlib
 from functools import lru_cache
 
 import numpy as np
@@ -38,6 +43,8 @@ from .common import small_batches, table, worker
 
 CHUNK, CACHE, BLOCK = 1 << 19, 300_000, 64
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+#: The pattern that the classes and transitions below stand for.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 # classes of codepoints; END separates texts
 END, ONE, E_, RV, L_, LETTER, NUMBER, OTHER, APOS, SPACE, WHITE = range(11)
@@ -84,6 +91,16 @@ def codepoint_classes() -> np.ndarray:
     return out
 
 
+def packed_classes() -> bytes:
+    """:func:`codepoint_classes`, to be sent to tasks."""
+    return zlib.compress(codepoint_classes().tobytes(), 9)
+
+
+@lru_cache(maxsize=1)
+def _unpacked(packed: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(packed), np.uint8)
+
+
 def scan(cls: np.ndarray) -> np.ndarray:
     """The state after each class, from FRESH."""
     n = len(cls)
@@ -138,7 +155,8 @@ def boundaries(cls: np.ndarray) -> np.ndarray:
 class Codec:
     """Encoder and decoder for one rank file of the tiktoken kind."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, classes: bytes | None = None):
+        self._classes = codepoint_classes() if classes is None else _unpacked(classes)
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         self.ranks = ranks
@@ -147,6 +165,8 @@ class Codec:
         for word, rank in ranks.items():
             self.vocabulary[rank] = word
         self.lengths = np.array([len(w) for w in self.vocabulary], np.int64)
+        self._all = np.frombuffer(b"".join(self.vocabulary), np.uint8)
+        self._start = np.cumsum(self.lengths) - self.lengths
         pairs = {}
         for word, rank in ranks.items():
             for k in range(1, len(word)):
@@ -233,7 +253,7 @@ class Codec:
         """The pieces of each text, as bytes."""
         points = np.frombuffer("\0".join([*texts, ""]).encode("utf-32-le"), "<u4")
         ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1) - 1
-        cls = codepoint_classes()[points]
+        cls = self._classes[points]
         cls[ends] = END
         b = boundaries(cls)
         width = 1 + (points > 0x7F).astype(np.int64) + (points > 0x7FF) + (points > 0xFFFF)
@@ -282,8 +302,16 @@ class Codec:
         """Byte offset at which each token starts, and the end of the last."""
         return np.concatenate(([0], np.cumsum(self.lengths[np.frombuffer(ids, "<u4")])))
 
-    def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.vocabulary.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+    def decode(self, ids: bytes, offsets: np.ndarray | None = None) -> bytes:
+        """The text's bytes: each token's at its offset."""
+        tokens = np.frombuffer(ids, "<u4")
+        at = self.offsets(ids) if offsets is None else offsets
+        out = []
+        for k in range(0, len(tokens), 1 << 16):  # in pieces, so that memory doesn't follow the longest text
+            t = tokens[k : k + (1 << 16)]
+            first, here = at[k : k + len(t)], np.arange(at[k], at[k + len(t)])
+            out.append(self._all[here + np.repeat(self._start[t] - first, self.lengths[t])].tobytes())
+        return b"".join(out)
 
 
 def parts_of(text: str, size: int = CHUNK):
@@ -302,21 +330,24 @@ def parts_of(text: str, size: int = CHUNK):
 
 
 @lru_cache(maxsize=2)
-def codec(path: str) -> Codec:
-    return Codec(path)
+def codec(path: str, classes: bytes) -> Codec:
+    return Codec(path, classes)
 
 
 def default_path() -> str:
     import public_tokenizers
 
+    if public_tokenizers.PATTERN != PATTERN:
+        raise ValueError("the tokenizer has another pattern than this module")
     return public_tokenizers.path(VOCABULARY)
 
 
-def encode_rows(path: str, keep: tuple[str, ...], decode: bool = True, ids: bool = False):
-    """For ``mapInArrow``: the columns ``keep``, then lengths and digests."""
+def encode_rows(path: str, keep: tuple[str, ...], decode: bool = True, ids: bool = False, offsets: bool = False):
+    """For ``mapInArrow``: the columns ``keep``, then lengths, digests, ids and offsets as asked for."""
+    classes = packed_classes()
 
     def run(batches):
-        coder = codec(path)
+        coder = codec(path, classes)
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
@@ -324,23 +355,29 @@ def encode_rows(path: str, keep: tuple[str, ...], decode: bool = True, ids: bool
                 encoded = coder.encode_batch(texts)
                 cols = [part.column(c) for c in keep] + [pa.array([len(x) // 4 for x in encoded], pa.int64())]
                 names = [*keep, "n_tokens"]
+                at = [coder.offsets(x) for x in encoded] if decode or offsets else []
                 if decode:
                     cols.append(pa.array([hashlib.sha256(x).hexdigest() for x in encoded]))
-                    cols.append(pa.array([hashlib.sha256(coder.decode(x)).hexdigest() for x in encoded]))
+                    cols.append(pa.array([hashlib.sha256(coder.decode(x, y)).hexdigest() for x, y in zip(encoded, at)]))
                     names += ["ids_sha256", "decoded_sha256"]
                 if ids:
                     cols.append(pa.array(encoded, pa.binary()))
                     names.append("ids")
+                if offsets:
+                    cols.append(pa.array([x.astype("<i8").tobytes() for x in at], pa.binary()))
+                    names.append("offsets")
                 yield pa.RecordBatch.from_arrays(cols, names)
 
     return worker(run)
 
 
-def encode(documents: DataFrame, path: str | None = None, ids: bool = False) -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` and, if asked for, ``ids`` (little-endian unsigned 32-bit)."""
+def encode(documents: DataFrame, path: str | None = None, ids: bool = False, offsets: bool = False) -> DataFrame:
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` and, if asked for, ``ids`` (little-endian unsigned 32-bit)
+    and ``offsets`` (little-endian 64-bit: the byte at which each token starts, and the end)."""
     small_batches(documents.sparkSession)
     d = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return d.mapInArrow(encode_rows(path or default_path(), ("doc_id",), ids=ids), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * ids)
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * ids + ", offsets binary" * offsets
+    return d.mapInArrow(encode_rows(path or default_path(), ("doc_id",), ids=ids, offsets=offsets), schema)
 
 
 def token_counts(documents: DataFrame, path: str | None = None) -> DataFrame:

@@ -58,9 +58,15 @@ def quantile(table_of_limits: DataFrame, q: float) -> int | None:
     return table_of_limits.where(F.col("share_upto") >= q).agg(F.min("limit")).first()[0]
 
 
-def truncated_total(hist: DataFrame, limit: int) -> int:
-    """Tokens left if each document is cut at ``limit``, which need not occur as a length."""
-    return hist.agg(F.sum(F.least("n_tokens", F.lit(limit)) * F.col("n_docs"))).first()[0] or 0
+def truncated_total(table_of_limits: DataFrame, limit: int) -> int:
+    """Tokens left if each document is cut at ``limit``, which need not occur as a length.
+
+    Documents up to the next smaller length count in full, all others ``limit`` each.
+    """
+    r = table_of_limits.where(F.col("limit") <= limit).agg(F.max_by(F.struct("tokens_upto", "docs_over"), "limit").alias("r")).first().r
+    if r is not None:
+        return r.tokens_upto + r.docs_over * limit
+    return (table_of_limits.agg(F.max("docs_upto")).first()[0] or 0) * limit
 
 
 def op4_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ def same(own, theirs, texts):
     got = own.encode_batch(texts)
     for t, g in zip(texts, got):
         assert g == np.array(theirs.encode_ordinary(t), "<u4").tobytes(), repr(t[:60])
-        assert own.decode(g) == t.encode()
+        assert own.decode(g) == own.decode(g, own.offsets(g)) == t.encode()
         assert (np.diff(own.offsets(g)) > 0).all() and own.offsets(g)[-1] == len(t.encode())
 
 
@@ -92,6 +92,32 @@ def test_rows(spark, docs_of, theirs):
     assert got[2].ids_sha256 == hashlib.sha256(ids).hexdigest() and got[2].decoded_sha256 == hashlib.sha256(b"hello world").hexdigest()
 
 
+def test_offsets_and_ids(spark, docs_of, own):
+    text = "héllo wörld " * 30
+    r = bpe.encode(docs_of([text, None], [1, 2], offsets=["x", "y"]), ids=True, offsets=True).where("doc_id = 1").first()
+    at = np.frombuffer(r.offsets, "<i8")
+    assert len(at) == r.n_tokens + 1 and at[-1] == len(text.encode())
+    tokens = [text.encode()[a:b] for a, b in zip(at[:-1], at[1:])]
+    assert [own.vocabulary[k] for k in np.frombuffer(r.ids, "<u4")] == tokens
+
+
+def test_another_pattern_is_refused(monkeypatch):
+    monkeypatch.setattr(P, "PATTERN", r"\S+")
+    with pytest.raises(ValueError, match="pattern"):
+        bpe.default_path()
+
+
+def test_classes_travel_as_data():
+    assert (np.frombuffer(bpe.zlib.decompress(bpe.packed_classes()), np.uint8) == bpe.codepoint_classes()).all()
+
+
+def test_histogram_of_null_long_and_clashing_rows(spark, docs_of, saved, theirs):
+    texts = [None, "", "a b", "a b", "word " * 200_000]
+    d = docs_of(texts, [1, None, 2, 2, 3], n_tokens=["x"] * 5, n_docs=["y"] * 5, limit=["z"] * 5)
+    got = {r.limit: r.n_docs for r in lengths.op4_length_histogram(spark, saved(documents=d)).collect()}
+    assert got == {0: 2, len(theirs.encode_ordinary("a b")): 2, len(theirs.encode_ordinary(texts[-1])): 1}
+
+
 def test_limits_by_brute_force(spark):
     rng = random.Random(5)
     n = [rng.choice([0, 1, 2, 5, 700, 701, 5000]) for _ in range(300)]
@@ -104,7 +130,10 @@ def test_limits_by_brute_force(spark):
         assert (r.tokens_upto, r.truncated_tokens, r.total_tokens) == (sum(x for x in n if x <= k), sum(min(x, k) for x in n), sum(n))
     for q in (0.01, 0.5, 0.9, 1.0):
         assert lengths.quantile(t, q) == sorted(n)[max(0, -(-int(q * 1000) * len(n) // 1000) - 1)]
-    assert lengths.truncated_total(h, 600) == sum(min(x, 600) for x in n)
+    for k in (0, 1, 3, 600, 700, 9999):
+        assert lengths.truncated_total(t, k) == sum(min(x, k) for x in n)
+    long = lengths.limits(lengths.histogram(spark.createDataFrame([(7,), (9,), (9,)], "n_tokens long")))
+    assert lengths.truncated_total(long, 4) == 12 and lengths.truncated_total(long.where("false"), 4) == 0
 
 
 def test_histogram_query_counts_all_documents(spark, sf_dir, theirs):
