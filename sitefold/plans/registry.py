@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import twolocus
 from ..operators import decomposition, distance, divergence, diversity, fstats, haplotypes, ld, mask, moments, relatedness, scans, sfs, windows
 from ..operators.panel import dosages
 from ..streaming.windows import windowed_sums
@@ -87,12 +88,79 @@ def tajimas_d_by_population(spark, sf_dir):
     return tidy(spark.createDataFrame([(name, s.test("pi", "watterson")) for name, s in diversity.frequency_spectra(p, p.pops).items()], "pop string, tajimas_d double"))
 
 
-@query()
+#: Null variances of pi - theta_l (Zeng et al. 2006; theta_h counts double) and theta_l - watterson, as factors of s and s(s-1).
+ZENG = """LATERAL (SELECT sum(1.0e0/i) AS a1, sum(1.0e0/(i*i)) AS a2, sum(1.0e0/(i*i)) + 1.0e0/({n}*{n}) AS b1 FROM range(1, CAST({n} AS BIGINT)) t(i)) z,
+  LATERAL (SELECT s/z.a1 AS th1, s*(s-1)/(z.a1*z.a1 + z.a2) AS th2) y,
+  LATERAL (SELECT 4*(th1*({n}-2.0e0)/(6*({n}-1.0e0)) + th2*(18*{n}*{n}*(3*{n}+2.0e0)*b1 - (88*{n}*{n}*{n} + 9*{n}*{n} - 13*{n} + 6.0e0))/(9*{n}*({n}-1.0e0)*({n}-1.0e0))) AS vh,
+    th1*({n}/(2*({n}-1.0e0)) - 1/z.a1) + th2*(z.a2/(z.a1*z.a1) + 2*({n}/({n}-1.0e0))*({n}/({n}-1.0e0))*z.a2 - 2*({n}*z.a2 - {n} + 1.0e0)/(({n}-1.0e0)*z.a1) - (3*{n}+1.0e0)/({n}-1.0e0)) AS ve) v"""
+
+
+@query(
+    f"WITH {calls_sql()}, {SITE}, o AS (SELECT * FROM site WHERE pop = '{A}'), k AS (SELECT CAST(arg_max(n, c*1000000 + n) AS DOUBLE) AS m FROM (SELECT n, count(*) AS c FROM o WHERE n >= 2 GROUP BY n)), "
+    f"t AS (SELECT {SUMS}, sum(CASE WHEN seg AND d = 1 THEN w ELSE 0 END) AS x1, sum(CASE WHEN seg AND (d = 1 OR d = n - 1) THEN w ELSE 0 END) AS x2, sum(CASE WHEN seg AND d >= 2 AND n >= 3 THEN 1/(1/w - 1) ELSE 0 END) AS x3, "
+    "sum(CASE WHEN seg AND d >= 2 AND d <= n - 2 AND n >= 4 THEN 1/(1/w - 1 - 1/(nn-1)) ELSE 0 END) AS x4 FROM o) "
+    f"SELECT {r8('CASE WHEN s >= 3 AND m >= 3 THEN (pi - tw)/sqrt(e1*s + e2*s*(s-1)) END')} AS tajimas_d, {r8('pi - th')} AS fay_wu_h, {r8('CASE WHEN s >= 3 AND m >= 3 THEN (pi - th)/sqrt(vh) END')} AS normalized_fay_wu_h, {r8('CASE WHEN s >= 3 AND m >= 3 THEN (tl - tw)/sqrt(ve) END')} AS zeng_e, "
+    f"{r8('pi')} AS theta_pi, {r8('tw')} AS theta_watterson, {r8('th')} AS theta_theta_h, {r8('tl')} AS theta_theta_l, {r8('x1')} AS theta_eta1, {r8('x2')} AS theta_eta1_star, {r8('x3')} AS theta_minus_eta1, {r8('x4')} AS theta_minus_eta1_star "
+    f"FROM t, k, {TAJIMA.format(n='m')}, {ZENG.format(n='m')}"
+)
 def neutrality_tests(spark, sf_dir):
     s = diversity.FrequencySpectrum(panel(spark, sf_dir), A)
     return row(spark, **s.all_tests(), **{f"theta_{k}": v for k, v in s.all_thetas().items()})
 
 
+@query(
+    f"WITH {calls_sql()}, {SITE}, t AS (SELECT pop, {SUMS}, round(count(*) FILTER (n >= 2) / sum(1.0e0/n) FILTER (n >= 2)) AS m FROM site GROUP BY pop), "
+    f"u AS (SELECT pop, pi - th AS h, CASE WHEN s >= 3 AND m >= 3 THEN (pi - tw)/sqrt(e1*s + e2*s*(s-1)) END AS d, CASE WHEN s >= 3 AND m >= 3 THEN (pi - th)/sqrt(vh) END AS nh, CASE WHEN s >= 3 AND m >= 3 THEN (tl - tw)/sqrt(ve) END AS e FROM t, {TAJIMA.format(n='m')}, {ZENG.format(n='m')}) "
+    f"SELECT pop, {r8('nh')} AS normalized_fay_wus_h, {r8('e')} AS zeng_e, {r8('CASE WHEN d < 0 AND h < 0 THEN d*h ELSE 0 END')} AS zeng_dh FROM u"
+)
+def neutrality_by_population(spark, sf_dir):
+    p = panel(spark, sf_dir)
+    rows = [(k, diversity.normalized_fay_wus_h(p, k), diversity.zeng_e(p, k), diversity.zeng_dh(p, k)) for k in p.pops]
+    return tidy(spark.createDataFrame(rows, "pop string, normalized_fay_wus_h double, zeng_e double, zeng_dh double"))
+
+
+@query(
+    f"WITH {calls_sql()}, q AS (SELECT pos, CAST(n AS DOUBLE) AS n, CAST(d AS DOUBLE) AS d FROM sc WHERE pop = '{A}'), r AS (SELECT pos, CAST(n AS DOUBLE) AS n2, CAST(d AS DOUBLE) AS d2 FROM sc WHERE pop = '{B}'), "
+    f"h AS (SELECT CAST(count(DISTINCT hap) AS DOUBLE) AS m FROM calls WHERE pop = '{A}') SELECT {r8('sum(d*(n-d))')} AS pi_diffs, {r8('sum(n*(n-1)/2)')} AS pi_comps, {r8('count(*)*(m*(m-1)/2) - sum(n*(n-1)/2)')} AS pi_missing, "
+    f"{r8('sum(d*(n2-d2) + (n-d)*d2)')} AS dxy_diffs, {r8('sum(n*n2)')} AS dxy_comps, CAST(count(*) AS BIGINT) AS sites, {r8('count(*)/CAST(max(pos) - min(pos) AS DOUBLE)')} AS mu_var, "
+    f"{r8('sum(CASE WHEN n >= 2 THEN 2*d*(n-d)/(n*(n-1)) ELSE 0 END)/(max(pos) - min(pos) + 1)')} AS pi_within FROM q JOIN r USING (pos), h GROUP BY m"
+)
+def diversity_components(spark, sf_dir):
+    p = panel(spark, sf_dir)
+    x, y = diversity.pi_components(p, A), divergence.dxy_components(p, A, B)
+    return row(spark, pi_diffs=x["diffs"], pi_comps=x["comps"], pi_missing=float(x["missing"]), dxy_diffs=y["diffs"], dxy_comps=y["comps"], sites=x["n_sites"], mu_var=diversity.mu_var(p), pi_within=divergence.pi_within_population(p, A))
+
+
+@query(
+    f"WITH {calls_sql()}, t AS (SELECT pos, count(*) FILTER (allele >= 0) AS n, count(*) FILTER (allele > 0) AS d FROM calls GROUP BY pos) SELECT (SELECT CAST(count(DISTINCT hap) AS BIGINT) FROM calls) AS haplotypes, (SELECT CAST(count(DISTINCT ind) AS BIGINT) FROM calls) AS individuals, "
+    f"CAST(count(*) AS BIGINT) AS variants, CAST(count(*) FILTER (d > 0 AND d < n) AS BIGINT) AS segregating, CAST(sum(n) AS BIGINT) AS called, {r8('max(pos) - min(pos) + 1')} AS span, (SELECT CAST(count(*) AS BIGINT) FROM t WHERE pos >= 1000 AND pos < 9000) AS in_range FROM t"
+)
+def panel_summary(spark, sf_dir):
+    p = panel(spark, sf_dir)
+    return row(spark, haplotypes=p.num_haplotypes, individuals=p.num_individuals, variants=p.shape[1], segregating=p.n_segregating_sites(), called=p.count_called(), span=float(p.get_span()), in_range=p.between(1000, 9000).num_variants)
+
+
+@query(f"WITH {calls_sql()}, t AS (SELECT pos, count(*) FILTER (allele >= 0) AS n, count(*) AS c FROM calls GROUP BY pos) SELECT pos, CAST(n AS BIGINT) AS n, n = c AS called FROM t")
+def called_per_site(spark, sf_dir):
+    p = panel(spark, sf_dir)
+    return tidy(p.count_called(0).join(p.is_called(0), ["chrom", "pos"]).drop("chrom"))
+
+
+@query(f"WITH {calls_sql()}, t AS (SELECT pos, row_number() OVER (ORDER BY pos) - 1 AS i FROM (SELECT DISTINCT pos FROM calls)) SELECT pos FROM t WHERE i % 7 = 3")
+def sites_by_index(spark, sf_dir):
+    p = panel(spark, sf_dir)
+    return tidy(p.subset(range(3, p.num_variants, 7)).positions.drop("chrom"))
+
+
+@query(
+    f"WITH {calls_sql(complete=True)}, g AS (SELECT pos, ind, sum(allele) AS g FROM calls WHERE pop = '{A}' GROUP BY ALL), s AS (SELECT ind, string_agg(CAST(g AS VARCHAR), ',' ORDER BY pos) AS k FROM g GROUP BY ind) "
+    f"SELECT CAST(count(DISTINCT k) AS BIGINT) AS diplotypes, {r8('(SELECT max(c) FROM (SELECT count(*) AS c FROM s GROUP BY k))/CAST(count(*) AS DOUBLE)')} AS largest FROM s"
+)
+def diplotypes(spark, sf_dir):
+    f, n = diversity.diplotype_frequency_spectrum(panel(spark, sf_dir, complete=True), A)
+    return row(spark, diplotypes=n, largest=float(f[0]))
+
+
 def _windows_sql(size: int, step: int, where: str = "TRUE") -> str:
     """Windows of EUROPE's panel from its first site; the last ends with it."""
     return (
@@ -209,6 +277,28 @@ def sfs_complete_sites(spark, sf_dir):
     return tidy(sfs.sfs_table(panel(spark, sf_dir), A, missing_data="exclude"))
 
 
+@query(
+    f"WITH {calls_sql()}, m AS (SELECT max(n) AS m FROM sc WHERE pop = '{A}'), u AS (SELECT false AS folded, d AS k, CAST(count(*)*d AS DOUBLE) AS value FROM sc WHERE pop = '{A}' GROUP BY d "
+    f"UNION ALL SELECT true, k, c*k*(m - k)/CAST(m AS DOUBLE) FROM (SELECT least(d, n - d) AS k, count(*) AS c FROM sc WHERE pop = '{A}' GROUP BY 1), m) SELECT folded, k, {r8('value')} AS value FROM u WHERE value <> 0"
+)
+def spectra_scaled(spark, sf_dir):
+    p = panel(spark, sf_dir)
+    rows = [(folded, k, float(v)) for folded, x in ((False, sfs.sfs_scaled(p, A)), (True, sfs.sfs_folded_scaled(p, A))) for k, v in enumerate(x) if v]
+    return tidy(spark.createDataFrame(rows, "folded boolean, k long, value double"))
+
+
+@query(
+    f"WITH {calls_sql()}, j AS (SELECT a.n AS n1, a.d AS d1, b.n AS n2, b.d AS d2 FROM sc a JOIN sc b USING (pos) WHERE a.pop = '{A}' AND b.pop = '{B}'), m AS (SELECT max(n1) AS m1, max(n2) AS m2 FROM j), "
+    "u AS (SELECT false AS folded, d1 AS k1, d2 AS k2, CAST(count(*)*d1*d2 AS DOUBLE) AS value FROM j GROUP BY d1, d2 UNION ALL SELECT true, x, y, CAST(c*x*y*(m1 - x)*(m2 - y) AS DOUBLE) FROM (SELECT least(d1, n1 - d1) AS x, least(d2, n2 - d2) AS y, count(*) AS c FROM j GROUP BY 1, 2), m) "
+    f"SELECT folded, k1, k2, {r8('value')} AS value FROM u WHERE value <> 0"
+)
+def joint_spectra_scaled(spark, sf_dir):
+    p = panel(spark, sf_dir)
+    found = ((False, sfs.joint_sfs_scaled(p, A, B)), (True, sfs.joint_sfs_folded_scaled(p, A, B)))
+    rows = [(folded, int(i), int(j), float(x[i, j])) for folded, x in found for i, j in zip(*np.nonzero(x))]
+    return tidy(spark.createDataFrame(rows, "folded boolean, k1 long, k2 long, value double"))
+
+
 FSTAT = """q AS (SELECT pos, pop, CAST(d AS DOUBLE)/nullif(n, 0) AS p, CASE WHEN n > 1 THEN CAST(d AS DOUBLE)*(n-d)/(CAST(n AS DOUBLE)*(n-1)) END AS h, CAST(n AS DOUBLE) AS n FROM sc),
 v AS (SELECT a.pos, a.p AS pa, a.h AS ha, a.n AS na, b.p AS pb, b.h AS hb, b.n AS nb, c.p AS pc, c.h AS hc, c.n AS nc, d.p AS pd, row_number() OVER (ORDER BY a.pos) - 1 AS i
   FROM q a JOIN q b USING (pos) JOIN q c USING (pos) JOIN q d USING (pos) WHERE a.pop = '%s' AND b.pop = '%s' AND c.pop = '%s' AND d.pop = '%s')""" % (A, B, C, D)
@@ -308,7 +398,36 @@ def ld_binned_sums(spark, sf_dir):
     return tidy(s.select("bin", F.col("total").alias("dd"), "pairs"))
 
 
-@query()
+def estimate_sql(kind: str, statistic: str, pops: tuple[int, ...], types: list[list[str]], n: list[str]) -> str:
+    """The unbiased estimate of a two-locus polynomial from columns of counts, by population and type."""
+    falling = lambda x, k: "*".join(x if i == 0 else f"({x} - {i})" for i in range(k))
+    parts = []
+    for degrees, monomials in twolocus.polynomial(kind, statistic, pops):
+        num = " + ".join(f"({c!r}e0)*" + "*".join(falling(types[p][t], k) for p, t, k in factors) for c, factors in monomials)
+        den = "*".join(falling(n[p], k) for p, k in degrees)
+        parts.append(f"CASE WHEN {' AND '.join(f'{n[p]} >= {k}' for p, k in degrees)} THEN ({num})/({den}) ELSE 0 END")
+    return " + ".join(parts)
+
+
+def _ld_bins_sql(pops: list[str]) -> str:
+    cols = [[f"{'abcd'[k]}{t}" for t in ("11", "10", "01", "00")] for k in range(len(pops))]
+    counts = [f"count(*) FILTER (a.pop = '{p}' AND a.allele {'>' if t[1] == '1' else '='} 0 AND b.allele {'>' if t[2] == '1' else '='} 0) AS {t}" for p, c in zip(pops, cols) for t in c]
+    n = [f"n{'abcd'[k]}" for k in range(len(pops))]
+    sums, names = [], []
+    for name, forms in twolocus.generate_stat_specs(len(pops)):
+        names.append(name)
+        sums.append(f"sum({' + '.join(f'{w!r}e0*({estimate_sql("hap", head, key, cols, n)})' for head, key, w in forms)}) AS {name}")
+    every = [t for c in cols for t in c]
+    return (
+        f"WITH {calls_sql()}, e AS (SELECT pos, pop, hap, allele FROM calls WHERE pop IN ({', '.join(repr(p) for p in pops)}) AND allele >= 0), s AS (SELECT DISTINCT pos FROM calls), pr AS (SELECT a.pos AS i, b.pos AS j FROM s a JOIN s b ON b.pos > a.pos AND b.pos - a.pos < 1000), "
+        f"c AS (SELECT a.pos AS i, b.pos AS j, {', '.join(counts)} FROM e a JOIN e b ON a.hap = b.hap AND b.pos > a.pos AND b.pos - a.pos < 1000 GROUP BY 1, 2), "
+        f"x AS (SELECT CASE WHEN j - i < 200 THEN 0 WHEN j - i < 500 THEN 1 ELSE 2 END AS bin, {', '.join(f'CAST(coalesce({t}, 0) AS DOUBLE) AS {t}' for t in every)} FROM pr LEFT JOIN c USING (i, j)), "
+        f"y AS (SELECT *, {', '.join(f'{" + ".join(c)} AS {m}' for c, m in zip(cols, n))} FROM x), z AS (SELECT bin, count(*) AS pairs, {', '.join(sums)} FROM y GROUP BY bin) "
+        + " UNION ALL ".join(f"SELECT CAST(bin AS BIGINT) AS bin, '{m}' AS statistic, {r8(f'{m}/pairs')} AS value, CAST(pairs AS BIGINT) AS pairs FROM z" for m in names)
+    )
+
+
+@query(_ld_bins_sql([A, B]))
 def ld_by_distance_two_populations(spark, sf_dir):
     return tidy(ld.ld_by_distance(panel(spark, sf_dir), [0, 200, 500, 1000], [A, B], ac_filter=False).select("bin", "statistic", "value", "pairs"))
 
@@ -338,7 +457,18 @@ def rogers_huff_r_squared(spark, sf_dir):
     return tidy(ld.rogers_huff_r_squared(p, 1000).drop("chrom"))
 
 
-@query()
+def _sigma_d2_sql() -> str:
+    t = [f"g{a}{b}" for a in "210" for b in "210"]
+    counts = ", ".join(f"CAST(count(*) FILTER (a.g = {x[1]} AND b.g = {x[2]}) AS DOUBLE) AS {x}" for x in t)
+    num, den = (estimate_sql("geno", k, p, [t], ["n"]) for k, p in (("dd", (0, 0)), ("pi2", (0, 0, 0, 0))))
+    return (
+        f"WITH {calls_sql(complete=True)}, g AS (SELECT pos, ind, sum(allele) AS g FROM calls WHERE pop = '{A}' GROUP BY pos, ind), "
+        f"c AS (SELECT a.pos AS pos_i, b.pos AS pos_j, CAST(count(*) AS DOUBLE) AS n, {counts} FROM g a JOIN g b ON a.ind = b.ind AND b.pos > a.pos AND b.pos - a.pos <= 1000 GROUP BY 1, 2), "
+        f"v AS (SELECT pos_i, pos_j, {num} AS num, {den} AS den FROM c) SELECT pos_i, pos_j, {r8('CASE WHEN den <> 0 THEN num/den END')} AS sigma_d2 FROM v"
+    )
+
+
+@query(_sigma_d2_sql())
 def sigma_d2_of_dosages(spark, sf_dir):
     return tidy(ld.sigma_d2_geno(panel(spark, sf_dir, complete=True).population(A), 1000).drop("chrom"))
 
@@ -398,6 +528,29 @@ def pairwise_diffs_haploid(spark, sf_dir):
     return row(spark, pairs=len(d), total=float(d.sum()), variance=distance.moments(d)[0], low=float(d.min()), high=float(d.max()))
 
 
+@query(
+    f"WITH {calls_sql()}, e AS (SELECT pos, ind, sum(allele) AS g FROM calls WHERE pop = '{C}' GROUP BY ALL HAVING min(allele) >= 0), x AS (SELECT a.ind AS i, b.ind AS j, sum(CASE WHEN a.g <> b.g THEN 1.0e0 ELSE 0 END)/count(*) AS d FROM e a JOIN e b ON a.pos = b.pos AND a.ind < b.ind GROUP BY 1, 2), "
+    f"m AS (SELECT avg(d) AS mean FROM x), c AS (SELECT count(*) AS n, coalesce(sum(pow(d - mean, 2)), 0) AS s2, coalesce(sum(pow(d - mean, 3)), 0) AS s3, coalesce(sum(pow(d - mean, 4)), 0) AS s4 FROM x, m) "
+    f"SELECT CAST(n AS BIGINT) AS pairs, {r8('CASE WHEN n >= 2 THEN s2/(n-1) ELSE 0 END')} AS variance, ROUND(CASE WHEN n >= 3 AND s2 > 0 THEN (s3/n)/pow(s2/n, 1.5) ELSE 0 END, 6) + 0.0e0 AS skew, ROUND(CASE WHEN n >= 4 AND s2 > 0 THEN (s4/n)/pow(s2/n, 2) - 3 ELSE 0 END, 6) + 0.0e0 AS kurtosis FROM c"
+)
+def pairwise_diffs_of_individuals(spark, sf_dir):
+    p = panel(spark, sf_dir)
+    d = distance.pairwise_diffs(p, C, diploid=True)
+    var, skew, kurt = distance.moments(d)
+    return row(spark, pairs=len(d), variance=var, skew=round(skew, 6), kurtosis=round(kurt, 6))
+
+
+@query(
+    f"WITH {calls_sql()}, e AS (SELECT pos, hap, allele FROM calls WHERE pop = '{C}' AND allele >= 0), m AS (SELECT count(DISTINCT pos) AS m FROM calls), x AS (SELECT a.hap AS i, b.hap AS j, CAST(sum(abs(a.allele - b.allele)) AS DOUBLE) AS d, count(*) AS n FROM e a JOIN e b ON a.pos = b.pos AND a.hap < b.hap GROUP BY 1, 2) "
+    f"SELECT i, j, {r8('sqrt(d*m/n)')} AS distance FROM x, m"
+)
+def haplotype_distances(spark, sf_dir):
+    p = panel(spark, sf_dir)
+    hap = [2 * p.individual[c] + k % 2 for k, c in enumerate(p.columns(C))]
+    d = iter(distance.pairwise_distance(p, "euclidean", C))
+    return tidy(spark.createDataFrame([(a, b, float(next(d))) for i, a in enumerate(hap) for b in hap[i + 1 :]], "i long, j long, distance double"))
+
+
 @query(
     f"WITH {calls_sql()}, e AS (SELECT pos, ind, sum(allele) AS g FROM calls WHERE pop = '{B}' GROUP BY ALL HAVING min(allele) >= 0), x AS (SELECT a.ind AS i, b.ind AS j, count(*) AS n, sum(CASE WHEN a.g = b.g THEN 2 WHEN abs(a.g - b.g) = 1 THEN 1 ELSE 0 END)/(2.0e0*count(*)) AS ibs FROM e a JOIN e b ON a.pos = b.pos AND a.ind <= b.ind GROUP BY 1, 2) "
     f"SELECT i, j, {r8('CASE WHEN i = j THEN 1 ELSE ibs END')} AS ibs FROM x"
@@ -430,11 +583,32 @@ def distance_based_stats(spark, sf_dir):
     return row(spark, **divergence.distance_based_stats(panel(spark, sf_dir, complete=True), A, B))
 
 
+def _runs_sql(pop: str, to: str = "") -> str:
+    """Runs of agreement as differences of row numbers, per pair and direction: tables s, p and l, their names ending in ``to``."""
+    return f"""s{to} AS (SELECT *, row_number() OVER (PARTITION BY hap ORDER BY pos) AS i FROM calls WHERE pop = '{pop}'),
+    p{to} AS (SELECT a.hap AS h, b.hap AS k, a.i, a.pos, a.allele AS x, b.allele AS y, a.allele <> b.allele AND a.allele >= 0 AND b.allele >= 0 AS brk FROM s{to} a JOIN s{to} b ON a.i = b.i AND a.hap < b.hap),
+    l{to} AS (SELECT *, i - coalesce(max(CASE WHEN brk THEN i END) OVER (PARTITION BY h, k ORDER BY i), 0) AS f, coalesce(min(CASE WHEN brk THEN i END) OVER (PARTITION BY h, k ORDER BY i DESC), (SELECT max(i) + 1 FROM s{to})) - i AS r FROM p{to})"""
+
+
 def _nsl_sql() -> str:
-    """Runs of agreement as differences of row numbers, per pair and direction."""
-    return f"""{calls_sql()}, s AS (SELECT *, row_number() OVER (PARTITION BY hap ORDER BY pos) AS i FROM calls WHERE pop = '{B}'),
-    p AS (SELECT a.hap AS h, b.hap AS k, a.i, a.pos, a.allele AS x, b.allele AS y, a.allele <> b.allele AND a.allele >= 0 AND b.allele >= 0 AS brk FROM s a JOIN s b ON a.i = b.i AND a.hap < b.hap),
-    l AS (SELECT *, i - coalesce(max(CASE WHEN brk THEN i END) OVER (PARTITION BY h, k ORDER BY i), 0) AS f, coalesce(min(CASE WHEN brk THEN i END) OVER (PARTITION BY h, k ORDER BY i DESC), (SELECT max(i) + 1 FROM s)) - i AS r FROM p)"""
+    return f"{calls_sql()}, {_runs_sql(B)}"
+
+
+def _area_sql(to: str, by_allele: bool) -> str:
+    """Table ``area{to}``: i, c, value; areas under homozygosity in both directions, ended where 0.05 is met or the sites end."""
+    kind = "x" if by_allele else "0"
+    where = "WHERE x >= 0 AND x <= 1 AND x = y" if by_allele else ""
+    return f"""w{to} AS (SELECT i, pos, (SELECT max(i) FROM s{to}) AS last FROM (SELECT DISTINCT i, pos FROM s{to})),
+    g{to} AS (SELECT i, CASE WHEN pos - lag(pos) OVER (ORDER BY i) > 200000 THEN NULL ELSE least(pos - lag(pos) OVER (ORDER BY i), 20000) END AS gap FROM w{to}),
+    t{to} AS (SELECT i, {kind} AS c, 1 AS way, f AS run, count(*) AS m FROM l{to} {where} GROUP BY ALL UNION ALL SELECT i, {kind}, -1, r, count(*) FROM l{to} {where} GROUP BY ALL),
+    n{to} AS (SELECT i, c, way, sum(m) AS n, max(run) AS top FROM t{to} GROUP BY ALL),
+    k{to} AS (SELECT i, c, way, n, unnest(range(0, least(top, CASE WHEN way = 1 THEN i - 1 ELSE last - i END) + 1)) AS k, CASE WHEN way = 1 THEN i - 1 ELSE last - i END AS steps FROM n{to} JOIN w{to} USING (i)),
+    e{to} AS (SELECT k.i, k.c, k.way, k.k, steps, coalesce(sum(m) FILTER (run > k.k), 0)/CAST(max(n) AS DOUBLE) AS ehh FROM k{to} k JOIN t{to} t ON k.i = t.i AND k.c = t.c AND k.way = t.way GROUP BY ALL),
+    z{to} AS (SELECT i, c, way, max(CASE WHEN k = 0 THEN ehh END) AS first, coalesce(min(CASE WHEN k >= 1 AND ehh <= 0.05e0 THEN k END), max(steps)) AS stop FROM e{to} GROUP BY ALL),
+    q{to} AS (SELECT e.i, e.c, e.way, k, ehh, lag(ehh) OVER (PARTITION BY e.i, e.c, e.way ORDER BY k) AS before, first, stop FROM e{to} e JOIN z{to} z ON e.i = z.i AND e.c = z.c AND e.way = z.way),
+    side{to} AS (SELECT q.i, c, way, CASE WHEN max(first) <= 0.05e0 THEN 0.0e0 WHEN count(*) FILTER (k >= 1 AND k <= stop AND gap IS NULL) > 0 THEN NULL ELSE coalesce(sum(gap*(ehh + before)/2) FILTER (k >= 1 AND k <= stop), 0) END AS value
+      FROM q{to} q LEFT JOIN g{to} g ON g.i = CASE WHEN way = 1 THEN q.i - k + 1 ELSE q.i + k END GROUP BY ALL),
+    area{to} AS (SELECT i, c, sum(value) AS value FROM side{to} GROUP BY ALL HAVING count(value) = 2)"""
 
 
 @query(
@@ -452,17 +626,24 @@ def ehh_decay(spark, sf_dir):
     return tidy(spark.createDataFrame([(k, float(x)) for k, x in enumerate(e)], "variant long, ehh double"))
 
 
-@query()
+@query(
+    f"WITH {calls_sql()}, {_runs_sql(A, '1')}, {_runs_sql(B, '2')}, a AS (SELECT pos, avg(f) + avg(r) AS v FROM l1 GROUP BY pos), b AS (SELECT pos, avg(f) + avg(r) AS v FROM l2 GROUP BY pos) SELECT pos, {r8('CASE WHEN a.v > 0 AND b.v > 0 THEN ln(a.v/b.v) END')} AS xpnsl FROM a JOIN b USING (pos)"
+)
 def xpnsl(spark, sf_dir):
     return tidy(scans.xpnsl(panel(spark, sf_dir), A, B).drop("chrom"))
 
 
-@query()
+@query(
+    f"WITH {calls_sql()}, {_runs_sql(A)}, {_area_sql('', True)}, maf AS (SELECT pos, least(d, n - d)/CAST(n AS DOUBLE) AS maf FROM sc WHERE pop = '{A}' AND n > 0), v AS (SELECT w.pos, a.value AS ref, b.value AS alt FROM w JOIN area a ON a.i = w.i AND a.c = 0 JOIN area b ON b.i = w.i AND b.c = 1 JOIN maf ON maf.pos = w.pos WHERE maf >= 0.05e0) "
+    f"SELECT w.pos, {r8('CASE WHEN ref > 0 AND alt > 0 THEN ln(alt/ref) END')} AS ihs FROM w LEFT JOIN v USING (pos)"
+)
 def ihs(spark, sf_dir):
     return tidy(scans.ihs(panel(spark, sf_dir), population=A, include_edges=True).drop("chrom"))
 
 
-@query()
+@query(
+    f"WITH {calls_sql()}, {_runs_sql(A, '1')}, {_area_sql('1', False)}, {_runs_sql(B, '2')}, {_area_sql('2', False)} SELECT w1.pos, {r8('CASE WHEN a.value > 0 AND b.value > 0 THEN ln(a.value/b.value) END')} AS xpehh FROM w1 LEFT JOIN area1 a ON a.i = w1.i LEFT JOIN area2 b ON b.i = w1.i"
+)
 def xpehh(spark, sf_dir):
     return tidy(scans.xpehh(panel(spark, sf_dir), A, B, include_edges=True).drop("chrom"))
 
