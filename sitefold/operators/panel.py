@@ -12,6 +12,7 @@ aggregates.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 
@@ -352,6 +353,27 @@ class Panel:
             "max_missing_freq_haplotype": float(per_hap.max() / s[0]) if s[0] else 0.0,
         }
 
+    # -- older names of statistics ------------------------------------------------
+
+    def diversity(self, population=None, span_normalize=True) -> float:
+        return self._older("pi")(self, population, span_normalize)
+
+    def watersons_theta(self, population=None, span_normalize=True) -> float:
+        return self._older("theta_w")(self, population, span_normalize)
+
+    def Tajimas_D(self, population=None) -> float:
+        return self._older("tajimas_d")(self, population)
+
+    def allele_frequency_spectrum(self, population=None) -> np.ndarray:
+        return self._older("allele_frequency_spectrum")(self, population)
+
+    @staticmethod
+    def _older(name: str):
+        from . import diversity
+
+        warnings.warn(f"use diversity.{name}", DeprecationWarning, stacklevel=3)
+        return getattr(diversity, name)
+
     def n_segregating_sites(self) -> int:
         return self.site_counts().where("d0 > 0 AND d0 < n0").count()
 

@@ -104,21 +104,28 @@ def _log_ratio(f0, f1, r0, r1):
         return np.log((f1 + r1) / (f0 + r0))
 
 
+def pair_blocks(n_pairs: int, parallelism: int) -> int:
+    """Blocks of pairs: none above ``PAIRS_PER_BLOCK``, and enough for both directions to keep the cores busy."""
+    return max(1, -(-n_pairs // PAIRS_PER_BLOCK), min(-(-n_pairs // 10_000), -(-parallelism // 2)))
+
+
 def _scan_sums(panel: Panel, population) -> DataFrame:
     """``chrom, pos, back, z, nz, o, no, all``: length sums per variant and direction."""
-    cols = list(panel.columns(population))
-    n_pairs = len(cols) * (len(cols) - 1) // 2
-    blocks = max(1, -(-n_pairs // PAIRS_PER_BLOCK))
-    v = panel.variants.select("chrom", "pos", "alleles")
+    n = len(panel.columns(population))
+    n_pairs = n * (n - 1) // 2
+    blocks = pair_blocks(n_pairs, panel.spark.sparkContext.defaultParallelism)
+    size = max(1, -(-n_pairs // blocks))
+    # a variant is copied to each block, so only the population's alleles go
+    v = panel.population(population).variants
     v = v.withColumn("back", F.explode(F.array(F.lit(False), F.lit(True)))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def run(group: pa.Table) -> pa.Table:
         group = group.sort_by("pos")
         back, block = group["back"][0].as_py(), group["block"][0].as_py()
-        m = allele_matrix(group["alleles"])[:, cols]
-        i, j = _pair_index(len(cols), block * PAIRS_PER_BLOCK, (block + 1) * PAIRS_PER_BLOCK)
+        m = allele_matrix(group["alleles"])
+        i, j = _pair_index(n, block * size, (block + 1) * size)
         s = length_sums(m[::-1], i, j)[::-1] if back else length_sums(m, i, j)
-        return pa.table({"chrom": group["chrom"], "pos": group["pos"], "back": group["back"]} | {n: np.ascontiguousarray(s[:, k]) for k, n in enumerate(("z", "nz", "o", "no", "total"))})
+        return pa.table({"chrom": group["chrom"], "pos": group["pos"], "back": group["back"]} | {c: np.ascontiguousarray(s[:, k]) for k, c in enumerate(("z", "nz", "o", "no", "total"))})
 
     found = v.groupBy("chrom", "back", "block").applyInArrow(run, "chrom string, pos long, back boolean, z double, nz double, o double, no double, total double")
     return found.groupBy("chrom", "pos", "back").agg(*[F.sum(c).alias(c) for c in ("z", "nz", "o", "no", "total")])

@@ -167,7 +167,7 @@ def write_store(panel: Panel, path: str, format: str = "vcz", contig_name: str |
         write_array(os.path.join(path, "call_genotype"), gt.astype(np.int8))
         write_array(os.path.join(path, "call_genotype_mask"), gt < 0)
         write_array(os.path.join(path, "variant_position"), pos.astype(np.int32))
-        write_array(os.path.join(path, "variant_contig"), np.array([0 if contig_name else names.index(c) for c in chrom], np.int8))
+        write_array(os.path.join(path, "variant_contig"), np.array([0 if contig_name else names.index(c) for c in chrom], np.int32))
         write_array(os.path.join(path, "contig_id"), np.array(names, "U"))
         write_array(os.path.join(path, "sample_id"), samples)
     else:

@@ -393,3 +393,28 @@ def test_statistics_of_dosages(complete):
     assert ld.omega(p, kind="geno") > 0
     w = windows.windowed(p, windows.WindowParams("snp", 10), ("mean_r2", "ld_decay")).toPandas()
     assert np.allclose(w.mean_r2, w.ld_decay, equal_nan=True)
+
+
+def test_older_names_and_blocks(spark):
+    from sitefold.operators import diversity, scans
+    from sitefold.operators.panel import Panel
+
+    rng = np.random.default_rng(9)
+    p = Panel.from_numpy(spark, rng.integers(0, 2, (8, 30)), np.arange(1, 31) * 10)
+
+    with pytest.warns(DeprecationWarning):
+        assert p.diversity() == diversity.pi(p) and p.watersons_theta() == diversity.theta_w(p)
+        assert p.Tajimas_D() == diversity.tajimas_d(p) and (p.allele_frequency_spectrum() == diversity.allele_frequency_spectrum(p)).all()
+    assert [scans.pair_blocks(n, 8) for n in (0, 1, 25_000, 80_000, 10**6)] == [1, 1, 3, 4, 5]
+
+
+def test_many_blocks_of_pairs(spark, monkeypatch):
+    from sitefold.operators import scans
+    from sitefold.operators.panel import Panel
+
+    rng = np.random.default_rng(10)
+    h = rng.integers(-1, 2, (9, 40))
+    p = Panel.from_numpy(spark, h, np.arange(1, 41) * 10)
+    monkeypatch.setattr(scans, "pair_blocks", lambda n, cores: 7)
+    got = [r.nsl for r in scans.nsl(p).orderBy("pos").collect()]
+    assert np.allclose(got, scans.nsl_matrix(h.T), equal_nan=True)
