@@ -1,25 +1,31 @@
 """Haplotype-based selection scans.
 
 A scan walks along a chromosome and keeps, for every pair of haplotypes, how long
-they have agreed; the work is variants times pairs. Mean shared lengths are sums
-over pairs, so a chromosome is scanned by direction and block of pairs in separate
-tasks, whose per-variant sums Spark adds up. Integrated homozygosity isn't additive
-(it stops at a threshold) and takes a task per chromosome and direction.
+they have agreed; the work is variants times pairs. Chromosomes are cut into
+segments. What a segment does to a pair's run is associative: it passes on its own
+open run, or adds its length if the pair never differs in it. So one pass finds the
+open runs of segments, these are chained per block of pairs, and a second pass scans
+each segment from the runs that reach it. Mean shared lengths are sums over pairs,
+and large cohorts split a segment's pairs over tasks. Integrated homozygosity isn't
+additive (it stops at a threshold): a task takes a segment with all pairs and as many
+earlier positions as the longest run that reaches it.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.popmath import NAN
+from ..plans.storage import keep
 from .divergence import variant_windows
-from .haplotypes import cluster_frequencies, garud, rows_of
+from .haplotypes import cluster_frequencies, garud
 from .panel import Panel, allele_matrix
 
-PAIRS_PER_BLOCK, LONGEST = 200_000, 10_000
+SEGMENT, PAIRS_PER_BLOCK, PAIRS_PER_TASK = 1_024, 20_000, 2_000_000
 
 
 def standardize(score) -> np.ndarray:
@@ -64,13 +70,20 @@ def standardize_by_allele_count(score, aac, bins=None, n_bins=None):
 
 
 def _pair_index(n: int, lo: int = 0, hi: int | None = None):
-    i, j = np.triu_indices(n, 1)
-    return i[lo:hi], j[lo:hi]
+    """Pairs of ``n``, by their first and then their second; of all these the ``lo``-th up to the ``hi``-th."""
+    total = n * (n - 1) // 2
+    k = np.arange(lo, total if hi is None else min(hi, total))
+    first = np.concatenate(([0], np.cumsum(np.arange(n - 1, 0, -1))))
+    i = np.searchsorted(first, k, "right") - 1
+    return i.astype(np.int32), (k - first[i] + i + 1).astype(np.int32)
 
 
-def shared_lengths(m: np.ndarray, i: np.ndarray, j: np.ndarray):
-    """Along variants: lengths of agreement ending at each, per pair, and the pairs' alleles."""
-    run = np.zeros(len(i), np.int32)
+def shared_lengths(m: np.ndarray, i: np.ndarray, j: np.ndarray, start: np.ndarray | None = None):
+    """Along variants: lengths of agreement ending at each, per pair, and the pairs' alleles.
+
+    ``start`` holds the lengths that reach the first variant.
+    """
+    run = np.zeros(len(i), np.int32) if start is None else start.astype(np.int32)
     for row in m:
         a, b = row[i], row[j]
         run += 1
@@ -78,12 +91,25 @@ def shared_lengths(m: np.ndarray, i: np.ndarray, j: np.ndarray):
         yield run, a, b
 
 
-def length_sums(m: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+def open_runs(m: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Per pair the length of agreement that the last variant ends; ``len(m)`` for a pair that never differs."""
+    out, live = np.full(len(i), len(m), np.int32), np.arange(len(i))
+    for k, row in enumerate(m[::-1]):
+        a, b = row[i[live]], row[j[live]]
+        differ = (a != b) & (a >= 0) & (b >= 0)
+        out[live[differ]] = k
+        live = live[~differ]
+        if not len(live):
+            break
+    return out
+
+
+def length_sums(m: np.ndarray, i: np.ndarray, j: np.ndarray, start: np.ndarray | None = None) -> np.ndarray:
     """Per variant: sum and number over pairs that share the reference, the alternative allele, and sum over all."""
     out = np.zeros((len(m), 5))
-    for v, (run, a, b) in enumerate(shared_lengths(m, i, j)):
+    for v, (run, a, b) in enumerate(shared_lengths(m, i, j, start)):
         zero, one = (a == 0) & (b == 0), (a > 0) & (a == b)
-        out[v] = run[zero].sum(), zero.sum(), run[one].sum(), one.sum(), run.sum()
+        out[v] = run[zero].sum(), zero.sum(), run[one].sum(), one.sum(), run.sum(dtype=np.int64)
     return out
 
 
@@ -104,31 +130,87 @@ def _log_ratio(f0, f1, r0, r1):
         return np.log((f1 + r1) / (f0 + r0))
 
 
-def pair_blocks(n_pairs: int, parallelism: int) -> int:
-    """Blocks of pairs: none above ``PAIRS_PER_BLOCK``, and enough for both directions to keep the cores busy."""
-    return max(1, -(-n_pairs // PAIRS_PER_BLOCK), min(-(-n_pairs // 10_000), -(-parallelism // 2)))
+def _segments(panel: Panel, population) -> tuple[DataFrame, int]:
+    """``chrom, pos, alleles, variant_idx, seg`` and the variants in a segment.
 
+    A segment has at least as many variants as haplotypes, so its open runs (four
+    bytes a pair) are at most twice as large as its alleles, or small anyway.
+    """
+    length = max(SEGMENT, len(panel.columns(population)))
+    v = panel.population(population).indexed()
+    return v.withColumn("seg", F.expr(f"variant_idx div {length}")), length
 
-def _scan_sums(panel: Panel, population) -> DataFrame:
-    """``chrom, pos, back, z, nz, o, no, all``: length sums per variant and direction."""
-    n = len(panel.columns(population))
-    n_pairs = n * (n - 1) // 2
-    blocks = pair_blocks(n_pairs, panel.spark.sparkContext.defaultParallelism)
-    size = max(1, -(-n_pairs // blocks))
-    # a variant is copied to each block, so only the population's alleles go
-    v = panel.population(population).variants
-    v = v.withColumn("back", F.explode(F.array(F.lit(False), F.lit(True)))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+
+def _blocks(n: int) -> list[list[tuple[int, int, int]]]:
+    """By part (the pairs of a task): number, first and last pair of its blocks. A part at least."""
+    total, per = n * (n - 1) // 2, max(1, PAIRS_PER_TASK // PAIRS_PER_BLOCK)
+    blocks = [(k, lo, lo + PAIRS_PER_BLOCK) for k, lo in enumerate(range(0, total, PAIRS_PER_BLOCK))]
+    return [blocks[k : k + per] for k in range(0, len(blocks), per)] or [[]]
+
+
+def _by_part(v: DataFrame, parts: int) -> DataFrame:
+    return v.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+
+
+def _open_runs(v: DataFrame, n: int, directions=(False, True)) -> DataFrame:
+    """``chrom, seg, part, block, back, at, size, runs``: open runs of segments (int32, by pair of the block)."""
+    parts = _blocks(n)
 
     def run(group: pa.Table) -> pa.Table:
-        group = group.sort_by("pos")
-        back, block = group["back"][0].as_py(), group["block"][0].as_py()
-        m = allele_matrix(group["alleles"])
-        i, j = _pair_index(n, block * size, (block + 1) * size)
-        s = length_sums(m[::-1], i, j)[::-1] if back else length_sums(m, i, j)
-        return pa.table({"chrom": group["chrom"], "pos": group["pos"], "back": group["back"]} | {c: np.ascontiguousarray(s[:, k]) for k, c in enumerate(("z", "nz", "o", "no", "total"))})
+        group = group.sort_by("variant_idx")
+        m, at = allele_matrix(group["alleles"]), group["variant_idx"][0].as_py()
+        head = [group[c][0].as_py() for c in ("chrom", "seg", "part")]
+        rows = [(*head, k, back, at, len(m), open_runs(m[::-1] if back else m, *_pair_index(n, lo, hi)).tobytes()) for k, lo, hi in parts[head[2]] for back in directions]
+        return pa.Table.from_pylist([dict(zip(schema.names, r)) for r in rows], schema)
+
+    schema = pa.schema({"chrom": pa.string(), "seg": pa.int64(), "part": pa.int32(), "block": pa.int32(), "back": pa.bool_(), "at": pa.int64(), "size": pa.int32(), "runs": pa.binary()})
+    return _by_part(v, len(parts)).groupBy("chrom", "seg", "part").applyInArrow(run, "chrom string, seg long, part int, block int, back boolean, at long, size int, runs binary")
+
+
+def _reaching(v: DataFrame, n: int) -> DataFrame:
+    """``chrom, seg, part, block, back, runs, longest``: runs that reach a segment; none for a chromosome's first."""
+
+    def chain(group: pa.Table) -> pa.Table:
+        back = group["back"][0].as_py()
+        group = group.sort_by([("at", "descending" if back else "ascending")])
+        run, reach, longest = None, [], []
+        for size, data in zip(group["size"].to_pylist(), group["runs"]):
+            own = np.frombuffer(data.as_buffer(), np.int32)
+            if run is not None:
+                reach.append(run.tobytes())
+                longest.append(int(run.max()))
+            run = own if run is None else np.where(own == size, own + run, own).astype(np.int32)
+        group = group.select(["chrom", "seg", "part", "block", "back"]).slice(1)
+        return group.append_column("runs", pa.array(reach, pa.binary())).append_column("longest", pa.array(longest, pa.int32()))
+
+    return _open_runs(v, n).groupBy("chrom", "part", "block", "back").applyInArrow(chain, "chrom string, seg long, part int, block int, back boolean, runs binary, longest int")
 
-    found = v.groupBy("chrom", "back", "block").applyInArrow(run, "chrom string, pos long, back boolean, z double, nz double, o double, no double, total double")
-    return found.groupBy("chrom", "pos", "back").agg(*[F.sum(c).alias(c) for c in ("z", "nz", "o", "no", "total")])
+
+def _started(reaching: pa.Table) -> dict[tuple[int, bool], np.ndarray]:
+    return {(k, back): np.frombuffer(r.as_buffer(), np.int32) for k, back, r in zip(reaching["block"].to_pylist(), reaching["back"].to_pylist(), reaching["runs"])}
+
+
+def _scan_sums(panel: Panel, population) -> DataFrame:
+    """``chrom, pos, back, z, nz, o, no, total``: length sums per variant and direction."""
+    n = len(panel.columns(population))
+    v, _ = _segments(panel, population)
+    parts, names = _blocks(n), ("z", "nz", "o", "no", "total")
+
+    def run(group: pa.Table, reaching: pa.Table) -> pa.Table:
+        group = group.sort_by("variant_idx")
+        m, start = allele_matrix(group["alleles"]), _started(reaching)
+        out = []
+        for back in (False, True):
+            s = np.zeros((len(m), 5))
+            for k, lo, hi in parts[group["part"][0].as_py()]:
+                s += length_sums(m[::-1] if back else m, *_pair_index(n, lo, hi), start.get((k, back)))
+            s = s[::-1] if back else s
+            out.append(pa.table({"chrom": group["chrom"], "pos": group["pos"], "back": pa.array(np.full(len(m), back))} | {c: np.ascontiguousarray(s[:, k]) for k, c in enumerate(names)}))
+        return pa.concat_tables(out)
+
+    keys = ("chrom", "seg", "part")
+    found = _by_part(v, len(parts)).groupBy(*keys).cogroup(_reaching(v, n).groupBy(*keys)).applyInArrow(run, "chrom string, pos long, back boolean, z double, nz double, o double, no double, total double")
+    return found.groupBy("chrom", "pos", "back").agg(*[F.sum(c).alias(c) for c in names])
 
 
 def nsl(panel: Panel, population=None, missing_data="include") -> DataFrame:
@@ -172,17 +254,18 @@ def gaps_between(pos, map_pos=None, gap_scale=20_000, max_gap=200_000, accessibl
     return gaps
 
 
-def _integral(run: np.ndarray, n_pairs: int, gaps_back: np.ndarray, min_ehh: float, edges: bool, longest: int) -> float:
+def _integral(run: np.ndarray, n_pairs: int, gaps_back: np.ndarray, min_ehh: float, edges: bool) -> float:
     """Area under homozygosity from a variant back, given the runs of its pairs and the gaps in that direction."""
     if n_pairs == 0:
         return NAN
     steps = len(gaps_back)
-    tally = np.bincount(np.minimum(run, longest), minlength=1)
-    ehh = (n_pairs - np.cumsum(tally)) / n_pairs
+    # few enough pairs agree beyond the stop that their lengths don't matter
+    beyond = min(int(min_ehh * n_pairs), len(run))
+    if 1 < beyond:
+        run = np.minimum(run, np.partition(run, len(run) - beyond)[len(run) - beyond] + 1)
+    ehh = (n_pairs - np.cumsum(np.bincount(run, minlength=1))) / n_pairs
     if ehh[0] <= min_ehh:
         return 0.0
-    if len(ehh) < steps + 1:
-        ehh = np.concatenate((ehh, np.full(steps + 1 - len(ehh), ehh[-1])))
     ehh = ehh[: steps + 1]
     low = np.flatnonzero(ehh[1:] <= min_ehh)
     stop = low[0] + 1 if len(low) else steps
@@ -191,45 +274,67 @@ def _integral(run: np.ndarray, n_pairs: int, gaps_back: np.ndarray, min_ehh: flo
     return float((gaps_back[:stop] * (ehh[1 : stop + 1] + ehh[:stop]) / 2).sum())
 
 
-def ihh_matrix(m, gaps, min_ehh=0.05, min_maf=0.05, include_edges=False, by_allele=True, longest=LONGEST) -> np.ndarray:
-    """Integrated homozygosity up to each variant: reference and alternative carriers, or all haplotypes."""
+def ihh_matrix(m, gaps, min_ehh=0.05, min_maf=0.05, include_edges=False, by_allele=True, start=None) -> np.ndarray:
+    """Integrated homozygosity up to each variant: reference and alternative carriers, or all haplotypes.
+
+    ``start`` holds the runs that reach the first variant; ``gaps`` then begin before it.
+    """
     n_hap = m.shape[1]
     i, j = _pair_index(n_hap)
+    earlier = len(gaps) + 1 - len(m)
     out = np.full((len(m), 2 if by_allele else 1), np.nan)
     pairs = lambda n: n * (n - 1) // 2
-    for v, (run, a, b) in enumerate(shared_lengths(m, i, j)):
-        back = gaps[:v][::-1]
+    for v, (run, a, b) in enumerate(shared_lengths(m, i, j, start)):
+        back = gaps[: v + earlier][::-1]
         if not by_allele:
-            out[v, 0] = _integral(run, len(i), back, min_ehh, include_edges, longest)
+            out[v, 0] = _integral(run, len(i), back, min_ehh, include_edges)
             continue
         n0, n1 = int((m[v] == 0).sum()), int((m[v] == 1).sum())
         if n0 + n1 == 0 or min(n0, n1) / (n0 + n1) < min_maf:
             continue
-        out[v, 0] = _integral(run[(a == 0) & (b == 0)], pairs(n0), back, min_ehh, include_edges, longest)
-        out[v, 1] = _integral(run[(a == 1) & (b == 1)], pairs(n1), back, min_ehh, include_edges, longest)
+        out[v, 0] = _integral(run[(a == 0) & (b == 0)], pairs(n0), back, min_ehh, include_edges)
+        out[v, 1] = _integral(run[(a == 1) & (b == 1)], pairs(n1), back, min_ehh, include_edges)
     return out
 
 
-def _ihh(panel: Panel, cols, by_allele, map_df, gap_args, scan_args) -> DataFrame:
-    v = panel.variants.select("chrom", "pos", "alleles")
+def _ihh(panel: Panel, population, by_allele, map_df, gap_args, scan_args) -> DataFrame:
+    n = len(panel.columns(population))
     if map_df is not None:
-        v = v.join(map_df.select("chrom", "pos", "x"), ["chrom", "pos"])
+        panel = panel.at(map_df)
+    v, length = _segments(panel, population)
+    v = v.join(map_df.select("chrom", "pos", "x"), ["chrom", "pos"]) if map_df is not None else v.withColumn("x", F.lit(None).cast("double"))
     accessible = None if panel.mask is None else {}
     if panel.mask is not None:  # a row per interval of the mask; needed whole by each chromosome's scan
         for r in panel.mask.orderBy("chrom", "start").collect():
             accessible.setdefault(r.chrom, []).append((r.start, r.end))
-    v = v.withColumn("back", F.explode(F.array(F.lit(False), F.lit(True))))
-    names = ["ref", "alt"] if by_allele else ["all"]
-
-    def run(group: pa.Table) -> pa.Table:
-        group = group.sort_by("pos")
-        m, back = allele_matrix(group["alleles"])[:, cols], group["back"][0].as_py()
+    reaching = keep(_reaching(v, n))
+    # a segment needs the positions that its longest run began at, and one more
+    span = F.floor(F.max("longest") / length) + 1
+    wanted = reaching.groupBy("chrom", "seg", "back").agg(span.alias("k"))
+    wanted = wanted.select("chrom", F.col("seg").alias("to"), "back", F.explode(F.when(F.col("back"), F.sequence(F.col("seg") + 1, F.col("seg") + F.col("k"))).otherwise(F.sequence(F.col("seg") - F.col("k"), F.col("seg") - 1))).alias("seg"))
+    around = v.groupBy("chrom", "seg").agg(F.sort_array(F.collect_list(F.struct("pos", "x"))).alias("at")).join(wanted, ["chrom", "seg"])
+    beside = reaching.select("chrom", "seg", "back", "block", "runs", F.lit(None).cast("array<struct<pos:long,x:double>>").alias("at"))
+    beside = beside.union(around.select("chrom", F.col("to").alias("seg"), "back", F.lit(None).cast("int").alias("block"), F.lit(None).cast("binary").alias("runs"), "at"))
+    names, mapped = ["ref", "alt"] if by_allele else ["all"], map_df is not None
+
+    def run(group: pa.Table, beside: pa.Table) -> pa.Table:
+        group = group.sort_by("variant_idx")
+        m, back = allele_matrix(group["alleles"]), group["back"][0].as_py()
         own = None if accessible is None else accessible.get(group["chrom"][0].as_py(), [])
-        gaps = gaps_between(group["pos"].to_numpy(), group["x"].to_numpy() if map_df is not None else None, accessible=own, **gap_args)
-        s = ihh_matrix(m[::-1], gaps[::-1], by_allele=by_allele, **scan_args)[::-1] if back else ihh_matrix(m, gaps, by_allele=by_allele, **scan_args)
+        runs = beside.filter(pc.is_valid(beside["runs"])).sort_by("block")
+        start = np.concatenate([np.frombuffer(r.as_buffer(), np.int32) for r in runs["runs"]]) if len(runs) else None
+        lists = beside.filter(pc.is_valid(beside["at"]))["at"].combine_chunks()
+        near = lists.flatten() if len(lists) else pa.array([], lists.type.value_type)
+        pos = np.concatenate((near.field("pos").to_numpy(), group["pos"].to_numpy()))
+        x = np.concatenate((near.field("x").to_numpy(zero_copy_only=False), group["x"].to_numpy())) if mapped else None
+        order = np.argsort(pos, kind="stable")
+        gaps = gaps_between(pos[order], None if x is None else x[order], accessible=own, **gap_args)
+        s = ihh_matrix(m[::-1], gaps[::-1], by_allele=by_allele, start=start, **scan_args)[::-1] if back else ihh_matrix(m, gaps, by_allele=by_allele, start=start, **scan_args)
         return pa.table({"chrom": group["chrom"], "pos": group["pos"]} | {n: np.ascontiguousarray(s[:, k]) for k, n in enumerate(names)})
 
-    found = v.groupBy("chrom", "back").applyInArrow(run, "chrom string, pos long, " + ", ".join(f"{n} double" for n in names))
+    v = v.withColumn("back", F.explode(F.array(F.lit(False), F.lit(True))))
+    keys = ("chrom", "seg", "back")
+    found = v.groupBy(*keys).cogroup(beside.groupBy(*keys)).applyInArrow(run, "chrom string, pos long, " + ", ".join(f"{n} double" for n in names))
     return found.groupBy("chrom", "pos").agg(*[F.sum(n).alias(n) for n in names])
 
 
@@ -240,7 +345,7 @@ def ihs(panel: Panel, map_pos: DataFrame | None = None, min_ehh=0.05, min_maf=0.
     """
     if missing_data == "exclude":
         panel = panel.complete_only(population)
-    s = _ihh(panel, list(panel.columns(population)), True, map_pos, {"gap_scale": gap_scale, "max_gap": max_gap}, {"min_ehh": min_ehh, "min_maf": min_maf, "include_edges": include_edges})
+    s = _ihh(panel, population, True, map_pos, {"gap_scale": gap_scale, "max_gap": max_gap}, {"min_ehh": min_ehh, "min_maf": min_maf, "include_edges": include_edges})
     return s.select("chrom", "pos", F.coalesce(F.log(F.try_divide("alt", "ref")), F.lit(NAN)).alias("ihs"))
 
 
@@ -249,7 +354,7 @@ def xpehh(panel: Panel, pop1, pop2, map_pos: DataFrame | None = None, min_ehh=0.
     if missing_data == "exclude":
         panel = panel.complete_only(pop1, pop2)
     a, b = (
-        _ihh(panel, list(panel.columns(p)), False, map_pos, {"gap_scale": gap_scale, "max_gap": max_gap}, {"min_ehh": min_ehh, "include_edges": include_edges}).withColumnRenamed("all", x)
+        _ihh(panel, p, False, map_pos, {"gap_scale": gap_scale, "max_gap": max_gap}, {"min_ehh": min_ehh, "include_edges": include_edges}).withColumnRenamed("all", x)
         for p, x in ((pop1, "a"), (pop2, "b"))
     )
     return a.join(b, ["chrom", "pos"]).select("chrom", "pos", F.coalesce(F.log(F.try_divide("a", "b")), F.lit(NAN)).alias("xpehh"))
@@ -270,9 +375,35 @@ def ehh_decay_of(m: np.ndarray, truncate: bool = False) -> np.ndarray:
 
 
 def ehh_decay(panel: Panel, truncate=False, population=None, missing_data="include") -> np.ndarray:
+    """:func:`ehh_decay_of` by segments: what comes to the driver is a count per variant at which pairs part."""
     if missing_data == "exclude":
         panel = panel.complete_only(population)
-    return ehh_decay_of(np.ascontiguousarray(rows_of(panel.variants, cols=panel.columns(population)).T), truncate)
+    n = len(panel.columns(population))
+    v, _ = _segments(panel, population)
+
+    def part_at(group: pa.Table) -> pa.Table:
+        group = group.sort_by("at")
+        at, live = np.zeros(0, np.int64), None
+        for first, size, data in zip(group["at"].to_pylist(), group["size"].to_pylist(), group["runs"]):
+            own = np.frombuffer(data.as_buffer(), np.int32)
+            own = own if live is None else own[live]
+            live = np.arange(len(own)) if live is None else live
+            at = np.concatenate((at, first + own[own < size].astype(np.int64)))
+            live = live[own == size]
+            if not len(live):
+                break
+        k, count = np.unique(at, return_counts=True)
+        return pa.table({"k": k, "n": count.astype(np.int64)})
+
+    rows = _open_runs(v, n, (True,)).groupBy("part", "block").applyInArrow(part_at, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()
+    parted, pairs = np.zeros(v.count(), np.int64), n * (n - 1) // 2
+    for r in rows:
+        parted[r.k] = r.n
+    out = (pairs - np.cumsum(parted)) / pairs if pairs else np.zeros(len(parted))
+    if truncate:
+        last = np.flatnonzero(out > 0)
+        out = out[: last[-1] + 1] if len(last) else out[:0]
+    return out
 
 
 def moving_garud_h(panel: Panel, size: int, start=0, stop=None, step=None, population=None, missing_data="include") -> DataFrame:

@@ -226,12 +226,16 @@ def brute_runs(h, v):
     return out
 
 
-@pytest.mark.parametrize("missing", [0.0, 0.15])
-def test_nsl_and_ihs_by_brute_force(spark, missing):
+@pytest.mark.parametrize(("missing", "segment", "edges"), [(0.0, 1_024, True), (0.15, 8, True), (0.15, 8, False)])
+def test_nsl_and_ihs_by_brute_force(spark, missing, segment, edges, monkeypatch):
+    for name, x in (("SEGMENT", segment), ("PAIRS_PER_BLOCK", 5), ("PAIRS_PER_TASK", 10)):
+        monkeypatch.setattr(scans, name, x)
     h, pos = matrix(8, 25, missing, 7)
+    if not edges:  # a pair that never differs, so its run passes several segments
+        h[1] = h[0]
     p = Panel.from_numpy(spark, h, pos)
     got = {r.pos: r.nsl for r in scans.nsl(p).collect()}
-    ihs = {r.pos: r.ihs for r in scans.ihs(p, include_edges=True, min_maf=0.0).collect()}
+    ihs = {r.pos: r.ihs for r in scans.ihs(p, include_edges=edges, min_maf=0.0).collect()}
     back = h[:, ::-1]
     gaps = np.diff(pos).astype(float)
     for v in range(25):
@@ -249,6 +253,8 @@ def test_nsl_and_ihs_by_brute_force(spark, missing):
                     area[allele] += g[k - 1] * (ehh[k] + ehh[k - 1]) / 2
                     if ehh[k] <= 0.05:
                         break
+                else:
+                    area[allele] += 0.0 if edges or ehh[0] <= 0.05 else np.nan
         with np.errstate(all="ignore"):
             for found, want in ((got[pos[v]], np.log(sl[1] / sl[0])), (ihs[pos[v]], np.log(area[1] / area[0]))):
                 assert np.isnan(found) and not np.isfinite(want) or math.isclose(found, want, rel_tol=1e-9, abs_tol=1e-12)
@@ -405,16 +411,44 @@ def test_older_names_and_blocks(spark):
     with pytest.warns(DeprecationWarning):
         assert p.diversity() == diversity.pi(p) and p.watersons_theta() == diversity.theta_w(p)
         assert p.Tajimas_D() == diversity.tajimas_d(p) and (p.allele_frequency_spectrum() == diversity.allele_frequency_spectrum(p)).all()
-    assert [scans.pair_blocks(n, 8) for n in (0, 1, 25_000, 80_000, 10**6)] == [1, 1, 3, 4, 5]
 
 
-def test_many_blocks_of_pairs(spark, monkeypatch):
-    from sitefold.operators import scans
-    from sitefold.operators.panel import Panel
-
+def test_segments_of_two_chromosomes(spark, monkeypatch):
+    """Runs end with a chromosome, and pass any number of segments within it."""
     rng = np.random.default_rng(10)
-    h = rng.integers(-1, 2, (9, 40))
-    p = Panel.from_numpy(spark, h, np.arange(1, 41) * 10)
-    monkeypatch.setattr(scans, "pair_blocks", lambda n, cores: 7)
-    got = [r.nsl for r in scans.nsl(p).orderBy("pos").collect()]
-    assert np.allclose(got, scans.nsl_matrix(h.T), equal_nan=True)
+    h = rng.integers(-1, 2, (9, 70))
+    h[3] = h[7]
+    pos = np.concatenate((np.arange(1, 31), np.arange(1, 41))) * 10
+    p = Panel.from_numpy(spark, h, pos, chrom=["1"] * 30 + ["2"] * 40, pops={"a": (0, 1, 2, 3), "b": (4, 5, 6, 7, 8)})
+    one = {name: [tuple(r) for r in f.orderBy("chrom", "pos").collect()] for name, f in scans_of(p).items()}
+    decay = scans.ehh_decay(p)
+    assert np.allclose(decay, scans.ehh_decay_of(h.T)) and np.allclose(decay[-1], 1 / 36)
+    for name, x in (("SEGMENT", 4), ("PAIRS_PER_BLOCK", 5), ("PAIRS_PER_TASK", 10)):
+        monkeypatch.setattr(scans, name, x)
+    for name, f in scans_of(p).items():
+        for got, want in zip([tuple(r) for r in f.orderBy("chrom", "pos").collect()], one[name], strict=True):
+            assert got[:2] == want[:2] and np.isclose(got[2], want[2], equal_nan=True), name
+    assert np.allclose(scans.ehh_decay(p), decay) and np.allclose(scans.ehh_decay(p, truncate=True), decay)
+    want = np.concatenate([scans.nsl_matrix(x.T) for x in (h[:, :30], h[:, 30:])])
+    assert np.allclose([x[2] for x in one["nsl"]], want, equal_nan=True)
+
+
+def scans_of(p) -> dict:
+    x = p.variants.select("chrom", "pos", (F.col("pos") / 7).alias("x"))
+    return {"nsl": scans.nsl(p), "xpnsl": scans.xpnsl(p, "a", "b"), "ihs": scans.ihs(p, min_maf=0.0), "xpehh": scans.xpehh(p, "a", "b", map_pos=x, include_edges=True)}
+
+
+def test_scans_of_few_haplotypes_and_sites(spark):
+    one = Panel.from_numpy(spark, np.array([[0, 1, 1]]), [1, 2, 3])
+    assert np.isnan([r.nsl for r in scans.nsl(one).collect()]).all() and np.isnan([r.ihs for r in scans.ihs(one).collect()]).all()
+    assert scans.ehh_decay(one).tolist() == [0.0, 0.0, 0.0]
+    none = one.between(10, 20)
+    assert scans.nsl(none).count() == scans.ihs(none).count() == 0 and len(scans.ehh_decay(none)) == 0
+
+
+def test_pairs_are_numbered():
+    for n in (0, 1, 2, 7):
+        i, j = np.triu_indices(n, 1)
+        for lo in range(0, len(i) + 1, 3):
+            got = scans._pair_index(n, lo, lo + 3)
+            assert got[0].tolist() == i[lo : lo + 3].tolist() and got[1].tolist() == j[lo : lo + 3].tolist()
