@@ -9,6 +9,9 @@ each segment from the runs that reach it. Mean shared lengths are sums over pair
 and large cohorts split a segment's pairs over tasks. Integrated homozygosity isn't
 additive (it stops at a threshold): a task takes a segment with all pairs and as many
 earlier positions as the longest run that reaches it.
+
+A block of pairs is a rectangle: haplotypes ``lo`` to ``hi`` with all from ``lo`` on,
+so pairs within the first square come twice and each of its haplotypes with itself.
 """
 
 from __future__ import annotations
@@ -25,7 +28,9 @@ from .divergence import variant_windows
 from .haplotypes import cluster_frequencies, garud
 from .panel import Panel, allele_matrix
 
-SEGMENT, PAIRS_PER_BLOCK, PAIRS_PER_TASK = 1_024, 20_000, 2_000_000
+SEGMENT, BLOCK, BLOCKS_PER_TASK = 1_024, 65_536, 32
+
+ABSENT = 1 << 30  # where a block has no pair
 
 
 def standardize(score) -> np.ndarray:
@@ -69,31 +74,29 @@ def standardize_by_allele_count(score, aac, bins=None, n_bins=None):
 # -- shared lengths -------------------------------------------------------------------
 
 
-def _pair_index(n: int, lo: int = 0, hi: int | None = None):
-    """Pairs of ``n``, by their first and then their second; of all these the ``lo``-th up to the ``hi``-th."""
-    total = n * (n - 1) // 2
-    k = np.arange(lo, total if hi is None else min(hi, total))
-    first = np.concatenate(([0], np.cumsum(np.arange(n - 1, 0, -1))))
-    i = np.searchsorted(first, k, "right") - 1
-    return i.astype(np.int32), (k - first[i] + i + 1).astype(np.int32)
+def _blocks(n: int) -> list[list[tuple[int, int, int]]]:
+    """By part (the pairs of a task): number, first and last haplotype of its blocks. A part at least."""
+    rows = max(1, BLOCK // max(1, n))
+    blocks = [(k, lo, min(lo + rows, n)) for k, lo in enumerate(range(0, n, rows))]
+    return [blocks[k : k + BLOCKS_PER_TASK] for k in range(0, len(blocks), BLOCKS_PER_TASK)] or [[]]
 
 
-def shared_lengths(m: np.ndarray, i: np.ndarray, j: np.ndarray, start: np.ndarray | None = None):
-    """Along variants: lengths of agreement ending at each, per pair, and the pairs' alleles.
+def _differ(rows: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Which calls differ; a missing one differs from none."""
+    out = rows[:, None] != row
+    out[rows < 0] = False
+    out[:, row < 0] = False
+    return out
 
-    ``start`` holds the lengths that reach the first variant.
-    """
-    run = np.zeros(len(i), np.int32) if start is None else start.astype(np.int32)
-    for row in m:
-        a, b = row[i], row[j]
-        run += 1
-        run[(a != b) & (a >= 0) & (b >= 0)] = 0
-        yield run, a, b
 
+def open_runs(m: np.ndarray, lo: int, hi: int) -> np.ndarray:
+    """Per pair of a block the length of agreement that the last variant ends.
 
-def open_runs(m: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Per pair the length of agreement that the last variant ends; ``len(m)`` for a pair that never differs."""
-    out, live = np.full(len(i), len(m), np.int32), np.arange(len(i))
+    ``len(m)`` for pairs that never differ, 0 for a haplotype with itself.
+    """
+    n = m.shape[1]
+    i, j = np.repeat(np.arange(lo, hi), n - lo), np.tile(np.arange(lo, n), hi - lo)
+    out, live = np.where(i == j, 0, len(m)).astype(np.int32), np.flatnonzero(i != j)
     for k, row in enumerate(m[::-1]):
         a, b = row[i[live]], row[j[live]]
         differ = (a != b) & (a >= 0) & (b >= 0)
@@ -104,20 +107,37 @@ def open_runs(m: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return out
 
 
-def length_sums(m: np.ndarray, i: np.ndarray, j: np.ndarray, start: np.ndarray | None = None) -> np.ndarray:
-    """Per variant: sum and number over pairs that share the reference, the alternative allele, and sum over all."""
+def length_sums(m: np.ndarray, lo: int, hi: int, start: np.ndarray | None = None) -> np.ndarray:
+    """Per variant, over a block's pairs: sum and number of the lengths of agreement that end there.
+
+    Of pairs that share the reference allele, that share an alternative one, and the
+    sum over all. ``start`` holds the lengths that reach the first variant.
+    """
+    x, k = m[:, lo:], hi - lo
+    n = x.shape[1]
+    # a length is the distance to the last variant at which the pair differed
+    last = np.zeros((k, n)) if start is None else -start.reshape(k, n).astype(float)
+    once = np.where(np.arange(n) < k, 0.5, 1.0)  # the square holds its pairs twice
+    pairs = lambda inner, outer: inner * (inner - 1) // 2 + inner * outer
     out = np.zeros((len(m), 5))
-    for v, (run, a, b) in enumerate(shared_lengths(m, i, j, start)):
-        zero, one = (a == 0) & (b == 0), (a > 0) & (a == b)
-        out[v] = run[zero].sum(), zero.sum(), run[one].sum(), one.sum(), run.sum(dtype=np.int64)
+    for v, row in enumerate(x):
+        np.putmask(last, _differ(row[:k], row), v + 1)
+        alleles = [0, 1] if row.max() < 2 else [0, *range(1, int(row.max()) + 1)]
+        found = last @ np.stack([once] + [(row == a) * once for a in alleles], 1)
+        for c, a in enumerate(alleles):
+            top = row[:k] == a
+            count = pairs(int(top.sum()), int((row[k:] == a).sum()))
+            out[v, 2 * (c > 0)] += (v + 1) * count - found[top, c + 1].sum()
+            out[v, 2 * (c > 0) + 1] += count
+        out[v, 4] = (v + 1) * pairs(k, n - k) - found[:, 0].sum()
     return out
 
 
 def nsl_matrix(m: np.ndarray) -> np.ndarray:
     """nSL of a window's variants (variants by haplotypes)."""
-    i, j = _pair_index(m.shape[1])
-    forward, back = length_sums(m, i, j), length_sums(m[::-1], i, j)[::-1]
-    return _log_ratio(*_means(forward), *_means(back))
+    blocks = [b[1:] for part in _blocks(m.shape[1]) for b in part]
+    both = [sum((length_sums(x, *b) for b in blocks), np.zeros((len(m), 5))) for x in (m, m[::-1])]
+    return _log_ratio(*_means(both[0]), *_means(both[1][::-1]))
 
 
 def _means(s):
@@ -134,33 +154,26 @@ def _segments(panel: Panel, population) -> tuple[DataFrame, int]:
     """``chrom, pos, alleles, variant_idx, seg`` and the variants in a segment.
 
     A segment has at least as many variants as haplotypes, so its open runs (four
-    bytes a pair) are at most twice as large as its alleles, or small anyway.
+    bytes a pair and direction) are at most a few times as large as its alleles.
     """
     length = max(SEGMENT, len(panel.columns(population)))
     v = panel.population(population).indexed()
     return v.withColumn("seg", F.expr(f"variant_idx div {length}")), length
 
 
-def _blocks(n: int) -> list[list[tuple[int, int, int]]]:
-    """By part (the pairs of a task): number, first and last pair of its blocks. A part at least."""
-    total, per = n * (n - 1) // 2, max(1, PAIRS_PER_TASK // PAIRS_PER_BLOCK)
-    blocks = [(k, lo, lo + PAIRS_PER_BLOCK) for k, lo in enumerate(range(0, total, PAIRS_PER_BLOCK))]
-    return [blocks[k : k + per] for k in range(0, len(blocks), per)] or [[]]
-
-
 def _by_part(v: DataFrame, parts: int) -> DataFrame:
     return v.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
 
 
 def _open_runs(v: DataFrame, n: int, directions=(False, True)) -> DataFrame:
-    """``chrom, seg, part, block, back, at, size, runs``: open runs of segments (int32, by pair of the block)."""
+    """``chrom, seg, part, block, back, at, size, runs``: open runs of segments (int32, by entry of the block)."""
     parts = _blocks(n)
 
     def run(group: pa.Table) -> pa.Table:
         group = group.sort_by("variant_idx")
         m, at = allele_matrix(group["alleles"]), group["variant_idx"][0].as_py()
         head = [group[c][0].as_py() for c in ("chrom", "seg", "part")]
-        rows = [(*head, k, back, at, len(m), open_runs(m[::-1] if back else m, *_pair_index(n, lo, hi)).tobytes()) for k, lo, hi in parts[head[2]] for back in directions]
+        rows = [(*head, k, back, at, len(m), open_runs(m[::-1] if back else m, lo, hi).tobytes()) for k, lo, hi in parts[head[2]] for back in directions]
         return pa.Table.from_pylist([dict(zip(schema.names, r)) for r in rows], schema)
 
     schema = pa.schema({"chrom": pa.string(), "seg": pa.int64(), "part": pa.int32(), "block": pa.int32(), "back": pa.bool_(), "at": pa.int64(), "size": pa.int32(), "runs": pa.binary()})
@@ -203,7 +216,7 @@ def _scan_sums(panel: Panel, population) -> DataFrame:
         for back in (False, True):
             s = np.zeros((len(m), 5))
             for k, lo, hi in parts[group["part"][0].as_py()]:
-                s += length_sums(m[::-1] if back else m, *_pair_index(n, lo, hi), start.get((k, back)))
+                s += length_sums(m[::-1] if back else m, lo, hi, start.get((k, back)))
             s = s[::-1] if back else s
             out.append(pa.table({"chrom": group["chrom"], "pos": group["pos"], "back": pa.array(np.full(len(m), back))} | {c: np.ascontiguousarray(s[:, k]) for k, c in enumerate(names)}))
         return pa.concat_tables(out)
@@ -254,16 +267,40 @@ def gaps_between(pos, map_pos=None, gap_scale=20_000, max_gap=200_000, accessibl
     return gaps
 
 
-def _integral(run: np.ndarray, n_pairs: int, gaps_back: np.ndarray, min_ehh: float, edges: bool) -> float:
-    """Area under homozygosity from a variant back, given the runs of its pairs and the gaps in that direction."""
+def _tally(blocks, members: np.ndarray | None, at: int, min_ehh: float) -> np.ndarray:
+    """Pairs of the members (None: all) by the length of their agreement at the ``at``-th variant.
+
+    Few enough pairs agree beyond the stop that their exact lengths don't matter; where
+    lengths are large, those pairs count as the next multiple of 1,024.
+    """
+    runs, absent = [], 0
+    for lo, hi, last in blocks:
+        if members is not None:
+            a, b = np.searchsorted(members, (lo, hi))
+            last = last.take(members[a:b] - lo, 0).take(members[a:] - lo, 1)
+        k = len(last)
+        absent += k * (k + 1) // 2
+        runs.append(np.maximum(at - last, 0).ravel())
+    n_pairs = sum(map(len, runs)) - absent
+    if n_pairs < 1:
+        return np.zeros(1, np.int64)
+    top = max(int(r.max()) for r in runs if len(r))
+    if top > 4_096:
+        coarse = sum(np.bincount(r >> 10, minlength=(top >> 10) + 1) for r in runs)
+        spare = max(0, int(min_ehh * n_pairs) - 1)
+        top = min(top, int(np.flatnonzero(coarse.sum() - np.cumsum(coarse) <= spare)[0] + 1) << 10)
+        runs = [np.minimum(r, top) for r in runs]
+    tally = sum(np.bincount(r, minlength=top + 1) for r in runs)
+    tally[0] -= absent
+    return tally
+
+
+def _integral(tally: np.ndarray, gaps_back: np.ndarray, min_ehh: float, edges: bool) -> float:
+    """Area under homozygosity from a variant back, given its pairs by their length and the gaps in that direction."""
+    n_pairs, steps = tally.sum(), len(gaps_back)
     if n_pairs == 0:
         return NAN
-    steps = len(gaps_back)
-    # few enough pairs agree beyond the stop that their lengths don't matter
-    beyond = min(int(min_ehh * n_pairs), len(run))
-    if 1 < beyond:
-        run = np.minimum(run, np.partition(run, len(run) - beyond)[len(run) - beyond] + 1)
-    ehh = (n_pairs - np.cumsum(np.bincount(run, minlength=1))) / n_pairs
+    ehh = (n_pairs - np.cumsum(tally)) / n_pairs
     if ehh[0] <= min_ehh:
         return 0.0
     ehh = ehh[: steps + 1]
@@ -277,23 +314,29 @@ def _integral(run: np.ndarray, n_pairs: int, gaps_back: np.ndarray, min_ehh: flo
 def ihh_matrix(m, gaps, min_ehh=0.05, min_maf=0.05, include_edges=False, by_allele=True, start=None) -> np.ndarray:
     """Integrated homozygosity up to each variant: reference and alternative carriers, or all haplotypes.
 
-    ``start`` holds the runs that reach the first variant; ``gaps`` then begin before it.
+    ``start`` holds blocks (first, last haplotype, runs that reach the first variant or
+    None); ``gaps`` begin before it where there are runs. Takes four bytes a pair, and eight while they are counted.
     """
-    n_hap = m.shape[1]
-    i, j = _pair_index(n_hap)
+    n = m.shape[1]
+    blocks = []
+    for lo, hi, runs in [(0, n, None)] if start is None else start:
+        last = np.zeros((hi - lo, n - lo), np.int32) if runs is None else -runs.reshape(hi - lo, n - lo)
+        last[np.tril_indices(hi - lo)] = ABSENT  # each pair once
+        blocks.append((lo, hi, last))
     earlier = len(gaps) + 1 - len(m)
     out = np.full((len(m), 2 if by_allele else 1), np.nan)
-    pairs = lambda n: n * (n - 1) // 2
-    for v, (run, a, b) in enumerate(shared_lengths(m, i, j, start)):
+    for v, row in enumerate(m):
+        for lo, hi, last in blocks:
+            differ = _differ(row[lo:hi], row[lo:])
+            differ[:, : hi - lo] &= last[:, : hi - lo] < ABSENT
+            np.putmask(last, differ, v + 1)
         back = gaps[: v + earlier][::-1]
-        if not by_allele:
-            out[v, 0] = _integral(run, len(i), back, min_ehh, include_edges)
-            continue
-        n0, n1 = int((m[v] == 0).sum()), int((m[v] == 1).sum())
-        if n0 + n1 == 0 or min(n0, n1) / (n0 + n1) < min_maf:
-            continue
-        out[v, 0] = _integral(run[(a == 0) & (b == 0)], pairs(n0), back, min_ehh, include_edges)
-        out[v, 1] = _integral(run[(a == 1) & (b == 1)], pairs(n1), back, min_ehh, include_edges)
+        groups = [np.flatnonzero(row == a) for a in (0, 1)] if by_allele else [None]
+        if by_allele:
+            called = len(groups[0]) + len(groups[1])
+            if not called or min(map(len, groups)) / called < min_maf:
+                continue
+        out[v] = [_integral(_tally(blocks, g, v + 1, min_ehh), back, min_ehh, include_edges) for g in groups]
     return out
 
 
@@ -316,13 +359,15 @@ def _ihh(panel: Panel, population, by_allele, map_df, gap_args, scan_args) -> Da
     beside = reaching.select("chrom", "seg", "back", "block", "runs", F.lit(None).cast("array<struct<pos:long,x:double>>").alias("at"))
     beside = beside.union(around.select("chrom", F.col("to").alias("seg"), "back", F.lit(None).cast("int").alias("block"), F.lit(None).cast("binary").alias("runs"), "at"))
     names, mapped = ["ref", "alt"] if by_allele else ["all"], map_df is not None
+    where = {k: (lo, hi) for part in _blocks(n) for k, lo, hi in part}
 
     def run(group: pa.Table, beside: pa.Table) -> pa.Table:
         group = group.sort_by("variant_idx")
         m, back = allele_matrix(group["alleles"]), group["back"][0].as_py()
         own = None if accessible is None else accessible.get(group["chrom"][0].as_py(), [])
-        runs = beside.filter(pc.is_valid(beside["runs"])).sort_by("block")
-        start = np.concatenate([np.frombuffer(r.as_buffer(), np.int32) for r in runs["runs"]]) if len(runs) else None
+        runs = beside.filter(pc.is_valid(beside["runs"]))
+        reach = {k: np.frombuffer(r.as_buffer(), np.int32) for k, r in zip(runs["block"].to_pylist(), runs["runs"])}
+        start = [(lo, hi, reach.get(k)) for k, (lo, hi) in where.items()]
         lists = beside.filter(pc.is_valid(beside["at"]))["at"].combine_chunks()
         near = lists.flatten() if len(lists) else pa.array([], lists.type.value_type)
         pos = np.concatenate((near.field("pos").to_numpy(), group["pos"].to_numpy()))
@@ -362,7 +407,7 @@ def xpehh(panel: Panel, pop1, pop2, map_pos: DataFrame | None = None, min_ehh=0.
 
 def ehh_decay_of(m: np.ndarray, truncate: bool = False) -> np.ndarray:
     """Share of pairs that agree from the first variant up to each (variants by haplotypes)."""
-    i, j = _pair_index(m.shape[1])
+    i, j = np.triu_indices(m.shape[1], 1)
     alive, out = np.ones(len(i), bool), np.zeros(len(m))
     for v, row in enumerate(m):
         a, b = row[i], row[j]
@@ -380,14 +425,14 @@ def ehh_decay(panel: Panel, truncate=False, population=None, missing_data="inclu
         panel = panel.complete_only(population)
     n = len(panel.columns(population))
     v, _ = _segments(panel, population)
+    where = {k: (lo, hi) for part in _blocks(n) for k, lo, hi in part}
 
     def part_at(group: pa.Table) -> pa.Table:
         group = group.sort_by("at")
-        at, live = np.zeros(0, np.int64), None
+        lo, hi = where[group["block"][0].as_py()]
+        at, live = np.zeros(0, np.int64), np.flatnonzero((np.arange(lo, hi)[:, None] < np.arange(lo, n)).ravel())
         for first, size, data in zip(group["at"].to_pylist(), group["size"].to_pylist(), group["runs"]):
-            own = np.frombuffer(data.as_buffer(), np.int32)
-            own = own if live is None else own[live]
-            live = np.arange(len(own)) if live is None else live
+            own = np.frombuffer(data.as_buffer(), np.int32)[live]
             at = np.concatenate((at, first + own[own < size].astype(np.int64)))
             live = live[own == size]
             if not len(live):

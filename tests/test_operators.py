@@ -228,7 +228,7 @@ def brute_runs(h, v):
 
 @pytest.mark.parametrize(("missing", "segment", "edges"), [(0.0, 1_024, True), (0.15, 8, True), (0.15, 8, False)])
 def test_nsl_and_ihs_by_brute_force(spark, missing, segment, edges, monkeypatch):
-    for name, x in (("SEGMENT", segment), ("PAIRS_PER_BLOCK", 5), ("PAIRS_PER_TASK", 10)):
+    for name, x in (("SEGMENT", segment), ("BLOCK", 24), ("BLOCKS_PER_TASK", 2)):
         monkeypatch.setattr(scans, name, x)
     h, pos = matrix(8, 25, missing, 7)
     if not edges:  # a pair that never differs, so its run passes several segments
@@ -266,7 +266,7 @@ def test_gaps_edges_and_blocks_of_pairs(spark, monkeypatch):
     h, pos = matrix(9, 20, 0.0, 3)
     p = Panel.from_numpy(spark, h, pos, pops={"a": (0, 1, 2, 3), "b": (4, 5, 6, 7, 8)})
     whole = {r.pos: r.nsl for r in scans.nsl(p).collect()}
-    monkeypatch.setattr(scans, "PAIRS_PER_BLOCK", 7)
+    monkeypatch.setattr(scans, "BLOCK", 20)
     parts = {r.pos: r.nsl for r in scans.nsl(p).collect()}
     assert all(np.isnan(whole[k]) and np.isnan(parts[k]) or math.isclose(whole[k], parts[k], rel_tol=1e-12) for k in whole)
     assert scans.xpnsl(p, "a", "b").count() == scans.xpehh(p, "a", "b").count() == 20
@@ -423,7 +423,7 @@ def test_segments_of_two_chromosomes(spark, monkeypatch):
     one = {name: [tuple(r) for r in f.orderBy("chrom", "pos").collect()] for name, f in scans_of(p).items()}
     decay = scans.ehh_decay(p)
     assert np.allclose(decay, scans.ehh_decay_of(h.T)) and np.allclose(decay[-1], 1 / 36)
-    for name, x in (("SEGMENT", 4), ("PAIRS_PER_BLOCK", 5), ("PAIRS_PER_TASK", 10)):
+    for name, x in (("SEGMENT", 4), ("BLOCK", 20), ("BLOCKS_PER_TASK", 2)):
         monkeypatch.setattr(scans, name, x)
     for name, f in scans_of(p).items():
         for got, want in zip([tuple(r) for r in f.orderBy("chrom", "pos").collect()], one[name], strict=True):
@@ -446,9 +446,29 @@ def test_scans_of_few_haplotypes_and_sites(spark):
     assert scans.nsl(none).count() == scans.ihs(none).count() == 0 and len(scans.ehh_decay(none)) == 0
 
 
-def test_pairs_are_numbered():
-    for n in (0, 1, 2, 7):
-        i, j = np.triu_indices(n, 1)
-        for lo in range(0, len(i) + 1, 3):
-            got = scans._pair_index(n, lo, lo + 3)
-            assert got[0].tolist() == i[lo : lo + 3].tolist() and got[1].tolist() == j[lo : lo + 3].tolist()
+def test_lengths_of_blocks_with_several_alleles():
+    rng = np.random.default_rng(4)
+    m = rng.integers(-1, 4, (30, 9)).astype(np.int8)
+    m[:, 5] = m[:, 2]
+    got = sum(scans.length_sums(m, lo, min(lo + 4, 9)) for lo in (0, 4, 8))
+    for v in range(30):
+        runs = brute_runs(m.T, v)
+        zero, one = ([k for (i, j), k in runs.items() if m[v, i] == m[v, j] and (m[v, i] == 0, m[v, i] > 0)[x]] for x in (0, 1))
+        assert got[v].tolist() == [sum(zero), len(zero), sum(one), len(one), sum(runs.values())]
+
+
+def test_long_runs_are_tallied_coarsely_beyond_the_stop():
+    """A pair that never differs on 6,000 sites changes no area, the stop being before."""
+    rng = np.random.default_rng(6)
+    m = rng.integers(0, 2, (6_000, 12)).astype(np.int8)
+    m[:, 1] = m[:, 0]
+    last, at = np.zeros((12, 12), np.int64), 6_000
+    for v, row in enumerate(m):
+        last[row[:, None] != row] = v + 1
+    last[np.tril_indices(12)] = scans.ABSENT
+    everyone, gaps = np.arange(12), np.ones(5_999)
+    exact = np.bincount((at - last)[np.triu_indices(12, 1)])
+    assert len(exact) == 6_001
+    for share in (0.0, 0.05, 0.2):
+        assert np.isclose(scans._integral(scans._tally([(0, 12, last)], everyone, at, share), gaps, share, True), scans._integral(exact, gaps, share, True))
+    assert len(scans._tally([(0, 12, last)], everyone, at, 0.05)) == 1_025
