@@ -46,7 +46,7 @@ def _sites(panel: Panel, pops, missing_data: str, indexed: bool = False) -> Data
     if missing_data == "exclude":
         panel = panel.complete_only(*pops)
     if indexed:
-        return panel.with_variants(panel.indexed()).site_counts(*pops, keep=("variant_idx",))
+        return panel.with_index().site_counts(*pops, keep=("variant_idx",))
     return panel.site_counts(*pops)
 
 

@@ -20,7 +20,7 @@ def map_coordinates(panel: Panel, knots: list[tuple[float, float]]) -> DataFrame
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("chrom"), b.column("pos"), pa.array(np.interp(b.column("pos").to_numpy().astype(float), at, cm / 100))], ["chrom", "pos", "x"])
 
-    return panel.variants.select("chrom", "pos").mapInArrow(run, "chrom string, pos long, x double")
+    return panel.positions.mapInArrow(run, "chrom string, pos long, x double")
 
 
 def heterozygosity(panel: Panel, populations, kind: str = "hap") -> dict[str, float]:

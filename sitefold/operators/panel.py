@@ -6,14 +6,17 @@ to which individual and population is small and lives on the driver. Restricting
 positions, samples or sites gives a new panel; nothing is computed until asked.
 
 Per-site counts are taken in Arrow batches with numpy, without a shuffle: a batch
-of alleles is one int8 matrix. Everything additive builds on them with DataFrame
-aggregates.
+of alleles is cut into int8 matrices of a bounded size, however large the cohort.
+Everything additive builds on them with DataFrame aggregates.
+
+Alleles may be made from smaller rows (:class:`Source`); then those rows are what
+is indexed, filtered and shuffled, and alleles are made in the task that uses them.
 """
 
 from __future__ import annotations
 
 import warnings
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 
 import numpy as np
@@ -24,6 +27,8 @@ from pyspark.sql import types as T
 
 VARIANTS = T.StructType([T.StructField("chrom", T.StringType()), T.StructField("pos", T.LongType()), T.StructField("alleles", T.ArrayType(T.ByteType()))])
 MISSING = -1
+#: Calls of a matrix at a time; a few copies of it are in memory at once.
+PIECE = 4 << 20
 
 
 def allele_matrix(column) -> np.ndarray:
@@ -41,6 +46,40 @@ def lists(matrix: np.ndarray, kind=None) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * m, m) if m else np.zeros(n + 1), pa.int32()), pa.array(matrix.ravel(), kind or pa.from_numpy_dtype(matrix.dtype)))
 
 
+def pieces(batches, matrix, width: int):
+    """Slices of Arrow batches, each with its matrix of about :data:`PIECE` calls."""
+    step = max(1, PIECE // max(1, width))
+    for b in batches:
+        for at in range(0, b.num_rows, step):
+            part = b.slice(at, step)
+            yield part, matrix(part)
+
+
+def pick(m: np.ndarray, cols) -> np.ndarray:
+    """Columns of a matrix; of one that lies by column, whole columns are copied."""
+    return m.T.take(cols, axis=0).T if m.flags.f_contiguous else m[:, cols]
+
+
+def tally(x: np.ndarray) -> np.ndarray:
+    """True entries of each row, added up as bytes."""
+    y, out = x.view(np.uint8).T, np.zeros(len(x), np.int64)
+    for at in range(0, len(y), 255):
+        out += np.add.reduce(y[at : at + 255], axis=0, dtype=np.uint8)
+    return out
+
+
+@dataclass(frozen=True)
+class Source:
+    """Rows that alleles are made of.
+
+    rows   ``chrom, pos`` and what ``make`` reads
+    make   of haplotype columns (None: all), a function from a batch or table of rows to the matrix of variants by these columns
+    """
+
+    rows: DataFrame
+    make: Callable
+
+
 @dataclass(frozen=True)
 class Panel:
     """Phased haplotypes of a cohort.
@@ -60,7 +99,8 @@ class Panel:
     n_total_sites: int | None = None
     mask: DataFrame | None = None
     samples: tuple[str, ...] | None = None
-    unmasked: DataFrame | None = None
+    unmasked: Panel | None = None
+    source: Source | None = None
 
     def __post_init__(self):
         if not isinstance(self.pops, Mapping) or not all(isinstance(v, (list, tuple)) for v in self.pops.values()):
@@ -84,6 +124,11 @@ class Panel:
         kwargs.setdefault("individual", tuple(i // 2 for i in range(h.shape[0])))
         return cls(variants=df.repartition(partitions) if partitions else df, **kwargs)
 
+    @classmethod
+    def made(cls, source: Source, individual: tuple[int, ...], **kwargs) -> Panel:
+        """A panel whose alleles are made of a source's rows where they are needed."""
+        return cls(_alleles(source, len(individual)), individual=individual, source=source, **kwargs)
+
     def to_numpy(self) -> tuple[np.ndarray, np.ndarray, list[str]]:
         """Haplotypes by variants, positions and chromosomes, in order. For cohorts that fit."""
         t = self.variants.select("chrom", "pos", "alleles").orderBy("chrom", "pos").toArrow()
@@ -105,7 +150,7 @@ class Panel:
 
     @property
     def num_variants(self) -> int:
-        return self.variants.count()
+        return self.rows.count()
 
     @property
     def shape(self) -> tuple[int, int]:
@@ -113,7 +158,19 @@ class Panel:
 
     @property
     def positions(self) -> DataFrame:
-        return self.variants.select("chrom", "pos")
+        return self.rows.select("chrom", "pos")
+
+    @property
+    def rows(self) -> DataFrame:
+        """What stands for the variants where they are filtered or moved."""
+        return self.variants if self.source is None else self.source.rows
+
+    def matrix(self, population=None) -> Callable:
+        """From a batch or table of :attr:`rows` to variants by the population's haplotypes; for use in tasks."""
+        cols = None if population is None else np.array(self.columns(population), np.int64)
+        if self.source is not None:
+            return self.source.make(cols)
+        return lambda t: allele_matrix(t.column("alleles")) if cols is None else allele_matrix(t.column("alleles"))[:, cols]
 
     @property
     def has_accessible_mask(self) -> bool:
@@ -140,42 +197,60 @@ class Panel:
     # -- restrictions -------------------------------------------------------------
 
     def with_variants(self, variants: DataFrame) -> Panel:
-        return replace(self, variants=variants)
+        return replace(self, variants=variants, source=None)
+
+    def with_rows(self, rows: DataFrame) -> Panel:
+        """The panel with some of its :attr:`rows`, or with more columns to them."""
+        if self.source is None:
+            return self.with_variants(rows)
+        source = replace(self.source, rows=rows)
+        return replace(self, variants=_alleles(source, self.num_haplotypes), source=source)
 
     def population(self, population) -> Panel:
         """The haplotypes of one population, with ``all`` as the only one."""
         cols = self.columns(population)
-
-        def pick(batches):
-            for b in batches:
-                yield pa.RecordBatch.from_arrays([b.column("chrom"), b.column("pos"), lists(allele_matrix(b.column("alleles"))[:, list(cols)])], ["chrom", "pos", "alleles"])
-
-        return replace(self, variants=self.variants.select("chrom", "pos", "alleles").mapInArrow(pick, VARIANTS), individual=tuple(self.individual[i] for i in cols), pops={}, samples=None)
+        source = Source(self.rows if self.source is not None else self.variants.select("chrom", "pos", "alleles"), self._make_of(cols))
+        chosen = replace(self, variants=_alleles(source, len(cols)), source=source, individual=tuple(self.individual[i] for i in cols), pops={}, samples=None)
+        # rows that hold alleles get shorter where they are read; made ones aren't made yet
+        return chosen if self.source is not None else replace(chosen, source=None)
+
+    def _make_of(self, cols) -> Callable:
+        """``make`` of a source for a choice of the haplotypes, itself open to a choice."""
+        given, cols = self, np.array(cols, np.int64)
+        if given.source is not None:
+            make = given.source.make
+            return lambda of: make(cols if of is None else cols[of])
+        return lambda of: lambda t: allele_matrix(t.column("alleles"))[:, cols if of is None else cols[of]]
 
     def at(self, positions: DataFrame) -> Panel:
         """The variants at given ``chrom, pos``."""
-        return self.with_variants(self.variants.join(positions.select("chrom", "pos").distinct(), ["chrom", "pos"], "left_semi"))
+        return self.with_rows(self.rows.join(positions.select("chrom", "pos").distinct(), ["chrom", "pos"], "left_semi"))
 
     def subset(self, indices: Iterable[int]) -> Panel:
         """Variants by their index in order of chromosome and position."""
         wanted = self.spark.createDataFrame([(int(i),) for i in indices], "variant_idx long")
-        found = self.indexed().join(F.broadcast(wanted), "variant_idx", "left_semi")
-        return self.with_variants(found.select("chrom", "pos", "alleles"))
+        return self.with_rows(self.with_index().rows.join(F.broadcast(wanted), "variant_idx", "left_semi").drop("variant_idx"))
 
     def between(self, low: int, high: int, chrom: str | None = None) -> Panel:
         """Positions from ``low``, and below ``high``; a Parquet scan prunes by them."""
         if low >= high:
             raise ValueError("low must be below high")
-        v = self.variants.where((F.col("pos") >= low) & (F.col("pos") < high))
-        return replace(self, variants=v if chrom is None else v.where(F.col("chrom") == chrom), chrom_start=low, chrom_end=high - 1)
+        v = self.rows.where((F.col("pos") >= low) & (F.col("pos") < high))
+        return replace(self.with_rows(v if chrom is None else v.where(F.col("chrom") == chrom)), chrom_start=low, chrom_end=high - 1)
 
     def indexed(self) -> DataFrame:
-        """The variants with ``variant_idx``, their rank by chromosome and position.
+        """The variants with ``variant_idx``, their rank by chromosome and position."""
+        return self.with_index().variants
+
+    def with_index(self) -> Panel:
+        """The panel whose rows have ``variant_idx``, their rank by chromosome and position.
 
         Rows are range-partitioned and sorted; a partition's first index is the sum
         of the counts before it, so nothing goes through a single task.
         """
-        v = self.variants.select("chrom", "pos", "alleles").repartitionByRange("chrom", "pos").sortWithinPartitions("chrom", "pos")
+        v = self.variants.select("chrom", "pos", "alleles") if self.source is None else self.rows.drop("variant_idx")
+        names = v.columns
+        v = v.repartitionByRange("chrom", "pos").sortWithinPartitions("chrom", "pos")
         v = v.withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id() % (1 << 33))
         from ..plans.storage import keep
 
@@ -186,18 +261,20 @@ class Panel:
             first[p] = at
             at += sizes[p]
         starts = F.create_map(*[F.lit(x) for p in first for x in (p, first[p])]) if first else F.create_map(F.lit(0), F.lit(0))
-        return v.select("chrom", "pos", "alleles", (F.element_at(starts, F.col("_p")) + F.col("_i")).cast("long").alias("variant_idx"))
+        v = v.select(*names, (F.element_at(starts, F.col("_p")) + F.col("_i")).cast("long").alias("variant_idx"))
+        # a small table comes back in few parts, and alleles are made by part
+        return self.with_rows(v if self.source is None else v.repartition(self.spark.sparkContext.defaultParallelism))
 
     def where_counts(self, keep, population=None) -> Panel:
         """Sites for which ``keep(alleles matrix)`` is true; no shuffle."""
-        cols = list(self.columns(population))
+        width, matrix = len(self.columns(population)), self.matrix(population)
+        rows = self.variants.select("chrom", "pos", "alleles") if self.source is None else self.rows
 
         def run(batches):
-            for b in batches:
-                mask = keep(allele_matrix(b.column("alleles"))[:, cols]) if b.num_rows else np.zeros(0, bool)
-                yield pa.RecordBatch.from_arrays([b.column(c).filter(pa.array(mask)) for c in ("chrom", "pos", "alleles")], ["chrom", "pos", "alleles"])
+            for b, m in pieces(batches, matrix, width):
+                yield b.filter(pa.array(keep(m)))
 
-        return self.with_variants(self.variants.select("chrom", "pos", "alleles").mapInArrow(run, VARIANTS))
+        return self.with_rows(rows.mapInArrow(run, rows.schema))
 
     def biallelic(self) -> Panel:
         """Sites with both 0 and 1 and nothing above; missing calls aside."""
@@ -223,12 +300,12 @@ class Panel:
         n = total(merged)
         if not n:
             raise ValueError("no accessible interval")
-        base = self.unmasked if self.unmasked is not None else self.variants
-        return replace(self, variants=inside(base, merged), mask=merged, n_total_sites=n, unmasked=base)
+        base = self.unmasked if self.unmasked is not None else self
+        return replace(self.with_rows(inside(base.rows, merged)), mask=merged, n_total_sites=n, unmasked=base)
 
     def remove_accessible_mask(self) -> Panel:
-        base = self.unmasked if self.unmasked is not None else self.variants
-        return replace(self, variants=base, mask=None, n_total_sites=None, unmasked=None)
+        base = self.unmasked if self.unmasked is not None else self
+        return replace(self.with_rows(base.rows), mask=None, n_total_sites=None, unmasked=None)
 
     def get_span(self, mode: str = "auto") -> float:
         """Bases that rates are divided by.
@@ -248,7 +325,7 @@ class Panel:
             return self.n_total_sites
         if self.chrom_start is not None and self.chrom_end is not None:
             return self.chrom_end - self.chrom_start + 1
-        low, high = self.variants.agg(F.min("pos"), F.max("pos")).first()
+        low, high = self.rows.agg(F.min("pos"), F.max("pos")).first()
         return 0 if low is None else high - low + 1
 
     # -- counts -------------------------------------------------------------------
@@ -260,25 +337,26 @@ class Panel:
         ``m{k}`` individuals, ``h{k}`` heterozygotes, ``a{k}`` derived alleles.
         """
         cols = [list(self.columns(p)) for p in (populations or (None,))]
-        pairs = [diploid_columns(self.individual, c) for c in cols] if diploid else []
+        # one matrix with the populations side by side
+        ends = np.cumsum([0] + [len(c) for c in cols]).tolist()
+        pairs = [diploid_columns([self.individual[i] for i in c], range(len(c))) for c in cols] if diploid else []
+        matrix = self.matrix([i for c in cols for i in c])
         names = [f"{x}{k}" for k in range(len(cols)) for x in "nd"] + [f"{x}{k}" for k in range(len(pairs)) for x in "mha"]
 
         def run(batches):
-            for b in batches:
-                m = allele_matrix(b.column("alleles"))
-                out = []
-                for c in cols:
-                    part = m[:, c] if m.size else np.zeros((0, len(c)), np.int8)
-                    out += [(part >= 0).sum(axis=1), (part > 0).sum(axis=1)]
-                for first, second in pairs:
-                    x, y = m[:, first], m[:, second]
-                    both = (x >= 0) & (y >= 0)
-                    out += [both.sum(axis=1), (both & ((x > 0) != (y > 0))).sum(axis=1), np.where(both, (x > 0).astype(np.int64) + (y > 0), 0).sum(axis=1)]
+            for b, m in pieces(batches, matrix, ends[-1]):
+                each = [m[:, lo:hi] for lo, hi in zip(ends, ends[1:])]
+                out = [x for part in each for x in (tally(part >= 0), tally(part > 0))]
+                for part, (first, second) in zip(each, pairs):
+                    x, y = pick(part, first), pick(part, second)
+                    both, x, y = (x >= 0) & (y >= 0), x > 0, y > 0
+                    out += [tally(both), tally(both & (x != y)), tally(both & x) + tally(both & y)]
                 yield pa.RecordBatch.from_arrays([b.column(c) for c in ("chrom", "pos", *keep)] + [pa.array(x.astype(np.int32)) for x in out], ["chrom", "pos", *keep, *names])
 
-        kept = T.StructType([f for f in self.variants.schema.fields if f.name in ("chrom", "pos", *keep)])
+        rows = self.rows if self.source is not None else self.variants.select("chrom", "pos", "alleles", *keep)
+        kept = T.StructType([f for f in rows.schema.fields if f.name in ("chrom", "pos", *keep)])
         schema = T.StructType([kept[c] for c in ("chrom", "pos", *keep)] + [T.StructField(n, T.IntegerType()) for n in names])
-        return self.variants.select("chrom", "pos", "alleles", *keep).mapInArrow(run, schema)
+        return rows.mapInArrow(run, schema)
 
     def complete_only(self, *populations) -> Panel:
         """Sites without a missing call in any of the populations (for ``missing_data='exclude'``)."""
@@ -313,25 +391,26 @@ class Panel:
         return ~found if axis == 1 else found.withColumn("called", ~F.col("missing")).drop("missing")
 
     def _tally(self, axis, test):
+        width, matrix = self.num_haplotypes, self.matrix()
+        rows = self.variants.select("chrom", "pos", "alleles") if self.source is None else self.rows
         if axis == 0:
 
             def per_site(batches):
-                for b in batches:
-                    n = test(allele_matrix(b.column("alleles"))).sum(axis=1).astype(np.int64)
+                for b, m in pieces(batches, matrix, width):
+                    n = tally(test(m))
                     yield pa.RecordBatch.from_arrays([b.column("chrom"), b.column("pos"), pa.array(n)], ["chrom", "pos", "n"])
 
-            return self.variants.select("chrom", "pos", "alleles").mapInArrow(per_site, "chrom string, pos long, n long")
+            return rows.mapInArrow(per_site, "chrom string, pos long, n long")
 
         def per_hap(batches):
             total = None
-            for b in batches:
-                if b.num_rows:
-                    n = test(allele_matrix(b.column("alleles"))).sum(axis=0)
-                    total = n if total is None else total + n
+            for _, m in pieces(batches, matrix, width):
+                n = test(m).sum(axis=0)
+                total = n if total is None else total + n
             if total is not None:
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total.astype(np.int64))], ["hap", "n"])
 
-        rows = self.variants.select("alleles").mapInArrow(per_hap, "hap long, n long").groupBy("hap").agg(F.sum("n").alias("n")).collect()
+        rows = rows.mapInArrow(per_hap, "hap long, n long").groupBy("hap").agg(F.sum("n").alias("n")).collect()
         out = np.zeros(self.num_haplotypes, np.int64)
         for r in rows:
             out[r.hap] = r.n
@@ -392,16 +471,38 @@ def diploid_columns(individual: Sequence[int], cols: Sequence[int]) -> tuple[lis
 
 def dosages(panel: Panel, population=None) -> DataFrame:
     """``chrom, pos, g`` with g the array of dosages 0, 1, 2 or -1 by individual; phase is lost."""
-    first, second = diploid_columns(panel.individual, panel.columns(population))
+    rows, matrix, width = dosage_rows(panel, population)
 
     def run(batches):
-        for b in batches:
-            m = allele_matrix(b.column("alleles"))
-            x, y = m[:, first], m[:, second]
-            g = np.where((x < 0) | (y < 0), -1, (x > 0).astype(np.int8) + (y > 0)).astype(np.int8)
+        for b, g in pieces(batches, matrix, 2 * width):
             yield pa.RecordBatch.from_arrays([b.column("chrom"), b.column("pos"), lists(g)], ["chrom", "pos", "g"])
 
-    return panel.variants.select("chrom", "pos", "alleles").mapInArrow(run, "chrom string, pos long, g array<tinyint>")
+    return rows.mapInArrow(run, "chrom string, pos long, g array<tinyint>")
+
+
+def dosage_rows(panel: Panel, population=None, individuals: slice = slice(None)) -> tuple[DataFrame, Callable, int]:
+    """The panel's rows, what makes variants by individuals' dosages of them in a task, and the number of individuals."""
+    first, second = (x[individuals] for x in diploid_columns(panel.individual, panel.columns(population)))
+    k, matrix = len(first), panel.matrix([*first, *second])
+
+    def dosage(t):
+        m = matrix(t)
+        x, y = m[:, :k], m[:, k:]
+        return np.where((x < 0) | (y < 0), np.int8(-1), (x > 0).view(np.int8) + (y > 0).view(np.int8))
+
+    return panel.variants.select("chrom", "pos", "alleles") if panel.source is None else panel.rows, dosage, k
+
+
+def _alleles(source: Source, width: int) -> DataFrame:
+    """The variants of a source, and their index if its rows have one."""
+    schema = T.StructType([*VARIANTS.fields, *[f for f in source.rows.schema.fields if f.name == "variant_idx"]])
+    matrix, rest = source.make(None), [f.name for f in schema.fields[3:]]
+
+    def run(batches):
+        for b, m in pieces(batches, matrix, width):
+            yield pa.RecordBatch.from_arrays([b.column("chrom"), b.column("pos"), lists(m), *[b.column(c) for c in rest]], schema.names)
+
+    return source.rows.mapInArrow(run, schema)
 
 
 def from_dosages(genotypes: DataFrame, n_individuals: int, **kwargs) -> Panel:

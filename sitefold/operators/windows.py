@@ -46,7 +46,7 @@ class WindowParams:
 def _bounds(panel: Panel, chrom_start: int | None, chrom_end: int | None) -> list[tuple[str, int, int]]:
     """Name, first and last position of each chromosome with variants; one pass for all that ask."""
     if "_chromosomes" not in panel.__dict__:
-        rows = panel.variants.groupBy("chrom").agg(F.min("pos").alias("lo"), F.max("pos").alias("hi")).collect()
+        rows = panel.rows.groupBy("chrom").agg(F.min("pos").alias("lo"), F.max("pos").alias("hi")).collect()
         object.__setattr__(panel, "_chromosomes", sorted((r.chrom, r.lo, r.hi) for r in rows))
     return [(c, lo if chrom_start is None else chrom_start, hi if chrom_end is None else chrom_end) for c, lo, hi in panel.__dict__["_chromosomes"]]
 
@@ -122,7 +122,7 @@ def windowed(panel: Panel, params: WindowParams, statistics=("pi",), populations
     sc = base.site_counts(*pops, diploid="fst_wc" in two)
     snp = params.window_type == "snp"
     if snp:
-        indexed = base.with_variants(base.indexed())
+        indexed = base.with_index()
         from .divergence import variant_windows
 
         sc = variant_windows(indexed.site_counts(*pops, diploid="fst_wc" in two, keep=("variant_idx",)), params.window_size, 0, None, params.step_size)
@@ -350,7 +350,7 @@ def windowed_analysis(panel: Panel, window_size=50_000, step_size=None, statisti
 def windowed_statistics(panel: Panel, bp_bins, statistics=("pi", "theta_w", "tajimas_d"), population=None, pop1=None, pop2=None, per_base=True, **kwargs) -> DataFrame:
     """Statistics between custom edges; the last bin ends before its edge."""
     edges = [int(x) for x in bp_bins]
-    chroms = [r.chrom for r in panel.variants.select("chrom").distinct().collect()]
+    chroms = [r.chrom for r in panel.rows.select("chrom").distinct().collect()]
     regions = [(c, a, b) for c in sorted(chroms) for a, b in zip(edges, edges[1:])]
     pops = [pop1, pop2] if pop1 is not None else [population] if population is not None else None
     return windowed(panel, WindowParams("regions", regions=regions), statistics, pops, span_normalize=per_base, **kwargs)
