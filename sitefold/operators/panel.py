@@ -285,6 +285,11 @@ class Panel:
         cols = None if populations is None else sorted({c for p in populations for c in self.columns(p)})
         return self.where_counts(lambda m: (m >= 0).all(axis=1), cols)
 
+    def most_called(self, population=None) -> Panel:
+        """Sites at which as many haplotypes are called as at any site: the complete ones, if there are some."""
+        n = self.site_counts(population).agg(F.max("n0")).first()[0]
+        return self.where_counts(lambda m: tally(m >= 0) == n, population)
+
     def filter_variants_by_missing(self, max_missing_freq: float = 0.1) -> Panel:
         return self.where_counts(lambda m: (m < 0).mean(axis=1) <= max_missing_freq)
 

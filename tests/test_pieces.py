@@ -2,16 +2,20 @@
 
 import tracemalloc
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import verify
 from sitefold.operators import panel
 from sitefold.plans import fixture, registry
 
 #: Queries that make no table of alleles.
 WITHOUT_A_TABLE = """frequency_spectrum""".split()
+#: Queries on a cohort of which no site is complete.
+AGAINST_SQL = """sfs_complete_sites""".split()
 
 
 @pytest.fixture
@@ -61,3 +65,25 @@ def test_memory_follows_the_piece_and_not_the_batch(spark, sf_dir, tmp_path):
         assert (n == (base % 23 != 0).sum(axis=1)).all() and (d == (a & (base % 23 != 0)).sum(axis=1)).all()
         at += len(n)
     assert at == len(key)
+
+
+@pytest.fixture(scope="module")
+def incomplete(spark, sf_dir, tmp_path_factory):
+    """200 individuals at 60 sites: no site is called in all haplotypes of a population."""
+    d = tmp_path_factory.mktemp("incomplete")
+    for t in ("nation", "region"):
+        spark.read.parquet(f"{sf_dir}/{t}.parquet").write.parquet(f"{d}/{t}.parquet")
+    spark.range(200).selectExpr("id AS s_suppkey", "cast(id % 25 AS int) AS s_nationkey").write.parquet(f"{d}/supplier.parquet")
+    spark.range(60).selectExpr("id AS p_partkey", "cast(1 + id % 50 AS int) AS p_size").write.parquet(f"{d}/part.parquet")
+    con = duckdb.connect()
+    for t in ("part", "supplier", "nation", "region"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet/*.parquet'")
+    return str(d), con
+
+
+@pytest.mark.parametrize("name", AGAINST_SQL)
+def test_large_cohorts_agree_with_sql(name, spark, incomplete):
+    d, con = incomplete
+    df = registry.QUERIES[name](spark, d)
+    cur = con.execute(registry.SQL[name])
+    assert not verify.compare(df.columns, [tuple(r) for r in df.collect()], [c[0] for c in cur.description], cur.fetchall())
