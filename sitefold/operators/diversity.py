@@ -301,8 +301,7 @@ def inbreeding_coefficient(panel, population=None, missing_data="include") -> Da
 
 def diplotype_frequency_spectrum(panel, population=None):
     """Frequencies of distinct multi-site dosages, largest first, and their number."""
-    from .haplotypes import cluster_frequencies, rows_of
-    from .panel import dosages
+    from .haplotypes import diplotype_frequencies
 
-    f = cluster_frequencies(rows_of(dosages(panel, population), "g"))
+    f = diplotype_frequencies(panel, population)
     return f, len(f)

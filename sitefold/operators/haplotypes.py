@@ -3,7 +3,8 @@
 The panel is transposed block-wise in tasks: each batch of variants gives one
 chunk of alleles per haplotype, packed as bytes with the batch's first position.
 Without missing calls a haplotype's key is the list of its chunks' hashes (two of
-64 bits), so what moves is a few bytes per haplotype and batch. With missing calls
+64 bits), so what moves is a few bytes per haplotype and batch; a diplotype's is two
+sums of its dosages times 64-bit hashes of the sites, so a task adds up its own. With missing calls
 a -1 agrees with anything; that relation is not transitive, and haplotypes are
 clustered one after the other, each joining the first cluster it agrees with.
 """
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .panel import Panel, allele_matrix
+from .panel import Panel, allele_matrix, dosage_rows, dosages, pieces
 
 
 def rows_of(variants: DataFrame, column: str = "alleles", cols=None) -> np.ndarray:
@@ -88,6 +89,46 @@ def haplotype_frequencies(panel: Panel, population=None) -> np.ndarray:
     return np.sort(np.array(counts) / n)[::-1]
 
 
+def _site_hashes(chrom: pa.Array, pos: np.ndarray, seed: int) -> np.ndarray:
+    """64 bits by site (the finaliser of splitmix64)."""
+    names, at = np.unique(np.array(chrom.to_pylist(), object).astype(str), return_inverse=True)
+    own = np.array([int.from_bytes(hashlib.blake2b(f"{seed}:{c}".encode(), digest_size=8).digest(), "little") for c in names], np.uint64)
+    x = pos.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + own[at]
+    for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(by)
+    return x ^ (x >> np.uint64(31))
+
+
+def _added(batches):
+    """Sums by individual of a partition, modulo 2^64."""
+    held = list(batches)
+    if held:
+        t = pa.Table.from_batches(held)
+        _, at = np.unique(t["ind"].to_numpy(), return_inverse=True)
+        x = np.zeros((2, at.max() + 1), np.int64)
+        for own, c in zip(x, ("x", "y")):
+            np.add.at(own, at, t[c].to_numpy())
+        yield pa.RecordBatch.from_arrays([pa.array(x[0]), pa.array(x[1])], ["x", "y"])
+
+
+def diplotype_frequencies(panel: Panel, population=None) -> np.ndarray:
+    """Frequencies of distinct multi-site dosages, largest first."""
+    rows, matrix, k = dosage_rows(panel, population)
+    if _has_missing(panel, population):
+        return cluster_frequencies(rows_of(dosages(panel, population), "g"))
+
+    def sums(batches):
+        total = np.zeros((2, k), np.int64)
+        for b, g in pieces(batches, matrix, 2 * k):
+            w = np.stack([_site_hashes(b.column("chrom"), b.column("pos").to_numpy(), seed) for seed in (0, 1)]).view(np.int64)
+            total += w @ g.astype(np.int64)  # modulo 2^64
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(k)), pa.array(total[0]), pa.array(total[1])], ["ind", "x", "y"])
+
+    whole = rows.mapInArrow(sums, "ind long, x long, y long").repartition("ind").mapInArrow(_added, "x long, y long")
+    counts = [r.n for r in whole.groupBy("x", "y").agg(F.count("*").alias("n")).collect()]
+    return np.sort(np.array(counts) / k)[::-1] if k else np.zeros(0)
+
+
 def garud(f: np.ndarray) -> tuple[float, float, float, float]:
     """H1, H12, H123 and H2/H1 of haplotype frequencies, largest first."""
     sq = f**2
