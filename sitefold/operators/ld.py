@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from ..functions import twolocus
 from ..functions.popmath import NAN
 from .haplotypes import cluster_labels
-from .panel import Panel, allele_matrix, dosages
+from .panel import Panel, allele_matrix, dosage_rows, dosages
 
 TILE = 512
 
@@ -42,11 +42,14 @@ def pair_counts(a: np.ndarray, b: np.ndarray, kind: str = "hap") -> np.ndarray:
     return np.stack([x @ y.T for x in _types(a, kind) for y in _types(b, kind)], axis=2)
 
 
-def _table(panel: Panel, kind: str, population=None) -> tuple[DataFrame, str]:
-    return (panel.variants.select("chrom", "pos", "alleles"), "alleles") if kind == "hap" else (dosages(panel, population), "g")
+def _table(panel: Panel, kind: str, population=None):
+    """The panel's rows, and what makes alleles or dosages of them in a task."""
+    if kind == "geno":
+        return dosage_rows(panel, population)[:2]
+    return panel.variants.select("chrom", "pos", "alleles") if panel.source is None else panel.rows, panel.matrix()
 
 
-def banded(variants: DataFrame, column: str, max_dist: float, f, schema: str, coordinate: str = "pos") -> DataFrame:
+def banded(variants: DataFrame, matrix, max_dist: float, f, schema: str, coordinate: str = "pos") -> DataFrame:
     """Run ``f(left rows, right rows, left index, right index)`` over all pairs up to ``max_dist`` apart, tile by tile.
 
     ``f`` gets Arrow tables of the bucket in order and arrays of the pairs, and returns a table or None.
@@ -58,7 +61,7 @@ def banded(variants: DataFrame, column: str, max_dist: float, f, schema: str, co
     def run(group: pa.Table) -> pa.Table:
         group = group.sort_by([(coordinate, "ascending"), ("pos", "ascending")])
         x, own = group[coordinate].to_numpy(), group["_own"].to_numpy(zero_copy_only=False)
-        m = allele_matrix(group[column])
+        m = np.ascontiguousarray(matrix(group))
         out = []
         mine = np.flatnonzero(own)
         for lo in range(0, len(mine), TILE):
@@ -84,9 +87,8 @@ def _empty(schema: str) -> pa.Table:
 
 def tiled(panel: Panel, kind: str, f, schema: str, population=None, tile: int = TILE) -> DataFrame:
     """Run ``f(rows of a, rows of b, same)`` over all pairs of tiles of the variants, in order of index."""
-    variants, column = _table(panel, kind, population)
-    base = panel.with_variants(variants.withColumnRenamed("g", "alleles")) if kind == "geno" else panel
-    v = base.indexed().withColumn("_t", (F.col("variant_idx") / tile).cast("long"))
+    matrix = _table(panel, kind, population)[1]
+    v = panel.with_index().rows.withColumn("_t", (F.col("variant_idx") / tile).cast("long"))
     n = v.agg(F.max("_t")).first()[0]
     if n is None:
         return panel.spark.createDataFrame([], schema)
@@ -98,7 +100,7 @@ def tiled(panel: Panel, kind: str, f, schema: str, population=None, tile: int =
         group = group.sort_by("variant_idx")
         t = group["_t"].to_numpy()
         a, z = group["_a"][0].as_py(), group["_z"][0].as_py()
-        m = allele_matrix(group["alleles"])
+        m = np.ascontiguousarray(matrix(group))
         i, j = np.flatnonzero(t == a), np.flatnonzero(t == z)
         out = f(group, m, i, j, j[None, :] > i[:, None])
         return out if out is not None else _empty(schema)
@@ -134,8 +136,7 @@ def pairs(panel: Panel, max_dist: float | None = None, populations=None, kind: s
 
     if max_dist is None:
         return tiled(panel, kind, f, schema)
-    variants, column = _table(panel, kind)
-    return banded(variants, column, max_dist, f, schema)
+    return banded(*_table(panel, kind), max_dist, f, schema)
 
 
 def _individuals(panel: Panel, populations) -> list[list[int]]:
@@ -236,7 +237,7 @@ def rogers_huff_r(panel: Panel, max_dist: float | None = None) -> DataFrame:
         return pa.table({"chrom": group["chrom"].take(pa.array(i[x])), "pos_i": pos[i[x]], "pos_j": pos[j[y]], "r": r[near]})
 
     schema = "chrom string, pos_i long, pos_j long, r double"
-    return tiled(panel, "geno", f, schema) if max_dist is None else banded(dosages(panel), "g", max_dist, f, schema)
+    return tiled(panel, "geno", f, schema) if max_dist is None else banded(*_table(panel, "geno"), max_dist, f, schema)
 
 
 def rogers_huff_r_squared(panel: Panel, max_dist: float | None = None) -> DataFrame:
@@ -255,7 +256,7 @@ def sigma_d2_geno(panel: Panel, max_dist: float | None = None) -> DataFrame:
         return pa.table({"chrom": group["chrom"].take(pa.array(i[x])), "pos_i": pos[i[x]], "pos_j": pos[j[y]], "sigma_d2": value})
 
     schema = "chrom string, pos_i long, pos_j long, sigma_d2 double"
-    return tiled(panel, "geno", f, schema) if max_dist is None else banded(dosages(panel), "g", max_dist, f, schema)
+    return tiled(panel, "geno", f, schema) if max_dist is None else banded(*_table(panel, "geno"), max_dist, f, schema)
 
 
 # -- summaries over pairs -------------------------------------------------------------
@@ -374,7 +375,7 @@ def binned_sums(panel: Panel, bins, populations=None, kind: str = "hap", coordin
     edges = np.asarray(bins, float)
     cols = _pops(panel, populations) if kind == "hap" else _individuals(panel, populations)
     names = twolocus.ld_names(len(cols))
-    variants, column = _table(panel, kind)
+    variants, matrix = _table(panel, kind)
     x = "pos"
     if coordinate is not None:
         variants, x = variants.join(coordinate.select("chrom", "pos", "x"), ["chrom", "pos"]), "x"
@@ -394,7 +395,7 @@ def binned_sums(panel: Panel, bins, populations=None, kind: str = "hap", coordin
         hit = np.flatnonzero(found)
         return pa.table({"bin": np.repeat(hit, len(names)), "statistic": names * len(hit), "total": sums[hit].ravel(), "pairs": np.repeat(found[hit], len(names))})
 
-    found = banded(variants, column, float(edges[-1]), f, "bin long, statistic string, total double, pairs long", x)
+    found = banded(variants, matrix, float(edges[-1]), f, "bin long, statistic string, total double, pairs long", x)
     return found.groupBy("bin", "statistic").agg(F.sum("total").alias("total"), F.sum("pairs").alias("pairs"))
 
 
