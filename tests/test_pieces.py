@@ -13,7 +13,7 @@ from sitefold.operators import panel
 from sitefold.plans import fixture, registry
 
 #: Queries that make no table of alleles.
-WITHOUT_A_TABLE = """frequency_spectrum diplotypes ld_binned_sums joint_sfs""".split()
+WITHOUT_A_TABLE = """frequency_extremes frequency_spectrum diplotypes ld_binned_sums joint_sfs""".split()
 #: Queries on a cohort of which no site is complete.
 AGAINST_SQL = """sfs_complete_sites site_filters""".split()
 
