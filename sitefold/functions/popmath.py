@@ -78,24 +78,38 @@ def weight_vector(weights, n: int) -> np.ndarray:
 @lru_cache(maxsize=64)
 def fu_covariance(n: int) -> np.ndarray:
     """Fu's (1995) covariances sigma_ij of the spectrum, (n-1) by (n-1)."""
+    return fu_rows(n, 1, n)
+
+
+def fu_rows(n: int, low: int, high: int) -> np.ndarray:
+    """Rows ``low`` to ``high - 1`` of :func:`fu_covariance`."""
     h = np.concatenate(([0.0], np.cumsum(1 / np.arange(1, n + 1))))
     an = h[n - 1]
     a = lambda i: h[i - 1]
     i = np.arange(1, n)
     beta = np.zeros(n + 2)
     beta[i] = 2 * n / ((n - i + 1) * (n - i)) * (an + 1 / n - a(i)) - 2 / (n - i)
-    out = np.zeros((n - 1, n - 1))
-    x, y = np.meshgrid(i, i, indexing="ij")
+    own = np.arange(low, high)
+    out = np.zeros((len(own), n - 1))
+    x, y = np.meshgrid(own, i, indexing="ij")
     hi, lo = np.maximum(x, y), np.minimum(x, y)
     below, equal, above = (hi != lo) & (hi + lo < n), (hi != lo) & (hi + lo == n), (hi != lo) & (hi + lo > n)
     out[below] = ((beta[hi + 1] - beta[hi]) / 2)[below]
     out[equal] = ((an - a(hi)) / (n - hi) + (an - a(lo)) / (n - lo) - (beta[hi] + beta[lo + 1]) / 2 - 1 / (hi * lo))[equal]
     out[above] = ((beta[lo] - beta[lo + 1]) / 2 - 1 / (hi * lo))[above]
     diag = np.where(2 * i < n, beta[i + 1], np.where(2 * i == n, 2 * (an - a(i)) / (n - i) - 1 / i**2, beta[i] - 1 / i**2))
-    out[np.arange(n - 1), np.arange(n - 1)] = diag
+    out[np.arange(len(own)), own - 1] = diag[own - 1]
     return out
 
 
+def _quadratic(u: np.ndarray, n: int) -> float:
+    """u' sigma u; of large cohorts by rows, since the matrix would take gigabytes."""
+    step = max(1, (1 << 20) // n)
+    if n <= step:
+        return float(u @ fu_covariance(n) @ u)
+    return float(sum(u[k - 1 : min(k + step, n) - 1] @ (fu_rows(n, k, min(k + step, n)) @ u) for k in range(1, n, step)))
+
+
 def variance_coefficients(w1, w2, n: int) -> tuple[float, float]:
     """Achaz's (2009) alpha and beta for the difference of two estimators."""
     key = (w1, w2, n)
@@ -103,7 +117,7 @@ def variance_coefficients(w1, w2, n: int) -> tuple[float, float]:
         k = np.arange(1, n, dtype=float)
         v = (weight_vector(w1, n)[1:n] - weight_vector(w2, n)[1:n]) / k
         u = k * v
-        _COEFFICIENTS[key] = float((k * v * v).sum()), float(u @ fu_covariance(n) @ u)
+        _COEFFICIENTS[key] = float((k * v * v).sum()), _quadratic(u, n)
     return _COEFFICIENTS[key]
 
 

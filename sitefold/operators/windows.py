@@ -94,9 +94,10 @@ def _nan(c):
     return F.coalesce(c, F.lit(NAN))
 
 
-def _harmonic_lookup(n: int, power: int = 1):
-    """1/a1(n) by n, as an array column of the cohort's size."""
-    return F.array(*[F.lit(float(1 / harmonics(k)[0]) if k >= 2 else 0.0) for k in range(n + 1)])
+def _harmonic_lookup(n: int):
+    """1/a1(n) by n, as an array column of the cohort's size; one literal, for thousands of them are slow to plan."""
+    values = ",".join(repr(float(1 / harmonics(k)[0])) if k >= 2 else "0.0" for k in range(n + 1))
+    return F.split(F.lit(values), ",").cast("array<double>")
 
 
 def windowed(panel: Panel, params: WindowParams, statistics=("pi",), populations=None, missing_data="include", span_normalize=True, keep_empty: bool = True, from_first_variant: bool = False, **kwargs) -> DataFrame:

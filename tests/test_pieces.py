@@ -9,11 +9,12 @@ import pytest
 from pyspark.sql import functions as F
 
 import verify
+from sitefold.functions import popmath
 from sitefold.operators import panel
 from sitefold.plans import fixture, registry
 
 #: Queries that make no table of alleles.
-WITHOUT_A_TABLE = """frequency_extremes frequency_spectrum diplotypes ld_binned_sums joint_sfs""".split()
+WITHOUT_A_TABLE = """frequency_extremes frequency_spectrum diplotypes joint_sfs ld_binned_sums""".split()
 #: Queries on a cohort of which no site is complete.
 AGAINST_SQL = """sfs_complete_sites site_filters""".split()
 
@@ -87,3 +88,13 @@ def test_large_cohorts_agree_with_sql(name, spark, incomplete):
     df = registry.QUERIES[name](spark, d)
     cur = con.execute(registry.SQL[name])
     assert not verify.compare(df.columns, [tuple(r) for r in df.collect()], [c[0] for c in cur.description], cur.fetchall())
+
+
+def test_null_variances_of_large_cohorts_take_no_square_matrix():
+    u = np.random.default_rng(1).random(1499)
+    assert np.isclose(popmath._quadratic(u, 1500), u @ popmath.fu_covariance(1500) @ u, rtol=1e-12)
+    tracemalloc.start()
+    popmath.variance_coefficients("pi", "watterson", 3000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150 << 20  # the matrix and its parts took 400 MB
