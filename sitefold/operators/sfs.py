@@ -10,6 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.storage import keep
 from .diversity import _prepared
 from .panel import Panel
 
@@ -84,6 +85,24 @@ def joint_sfs_folded_scaled(panel, pop1, pop2, missing_data="include") -> np.nda
     return scale_joint_sfs_folded(s, *n)
 
 
+def joint_sfs_scaled_table(panel: Panel, pop1, pop2, missing_data="include") -> DataFrame:
+    """``folded, k1, k2, value`` (long): the cells of both scaled joint spectra that aren't 0, from one pass.
+
+    A dense spectrum grows with the product of both cohorts, this with the sites at most.
+    """
+    if missing_data == "exclude":
+        panel = panel.complete_only(pop1, pop2)
+    counts = keep(panel.site_counts(pop1, pop2).groupBy("n0", "d0", "n1", "d1").agg(F.count("*").alias("sites")))
+    n1, n2 = (F.lit(x or 0).cast("long") for x in counts.agg(F.max("n0"), F.max("n1")).first())
+    n0, d0, n1_, d1 = (F.col(c).cast("long") for c in ("n0", "d0", "n1", "d1"))
+    plain = counts.select(F.lit(False).alias("folded"), d0.alias("k1"), d1.alias("k2"), "sites")
+    minor = counts.select(F.lit(True).alias("folded"), F.least(d0, n0 - d0).alias("k1"), F.least(d1, n1_ - d1).alias("k2"), "sites")
+    cells = plain.unionByName(minor).groupBy("folded", "k1", "k2").agg(F.sum("sites").alias("sites"))
+    x, y = F.col("k1"), F.col("k2")
+    value = F.col("sites") * x * y * F.when(F.col("folded"), (n1 - x) * (n2 - y)).otherwise(F.lit(1))
+    return cells.select("folded", x, y, value.alias("value")).where("value <> 0")
+
+
 def scale_sfs(s) -> np.ndarray:
     s = np.asarray(s)
     return s * np.arange(len(s))

@@ -14,9 +14,9 @@ from sitefold.operators import panel
 from sitefold.plans import fixture, registry
 
 #: Queries that make no table of alleles.
-WITHOUT_A_TABLE = """frequency_extremes frequency_spectrum diplotypes joint_sfs ld_binned_sums""".split()
+WITHOUT_A_TABLE = """frequency_extremes frequency_spectrum diplotypes joint_spectra_scaled joint_sfs ld_binned_sums""".split()
 #: Queries on a cohort of which no site is complete.
-AGAINST_SQL = """sfs_complete_sites site_filters""".split()
+AGAINST_SQL = """sfs_complete_sites site_filters joint_spectra_scaled""".split()
 
 
 @pytest.fixture
