@@ -74,10 +74,69 @@ class Source:
 
     rows   ``chrom, pos`` and what ``make`` reads
     make   of haplotype columns (None: all), a function from a batch or table of rows to the matrix of variants by these columns
+    kinds  of haplotype columns, their :class:`Kinds`; None if haplotypes aren't known to have any
     """
 
     rows: DataFrame
     make: Callable
+    kinds: Callable | None = None
+
+
+@dataclass(frozen=True)
+class Kinds:
+    """Haplotypes (or individuals) of which many are alike, so that sums over them and over their pairs go by kinds.
+
+    kind     of each item; items of a kind have the same value wherever they are called
+    hole     of each item; items of a hole miss the same calls
+    misses   holes by patterns: whether a hole is missing at sites of a pattern
+    make     from a batch or table of rows to values of variants by kinds
+    pattern  from the same to each variant's pattern
+    """
+
+    kind: np.ndarray
+    hole: np.ndarray
+    misses: np.ndarray
+    make: Callable
+    pattern: Callable
+
+    @property
+    def width(self) -> int:
+        """Values of a variant, of kinds and of holes."""
+        return self.count + len(self.misses)
+
+    @property
+    def count(self) -> int:
+        return int(self.kind.max(initial=-1)) + 1
+
+    def weights(self) -> np.ndarray:
+        """Items by kind and hole."""
+        k, h = self.count, len(self.misses)
+        return np.bincount(self.kind * h + self.hole, minlength=k * h).reshape(k, h)
+
+    def individuals(self, first, second) -> Kinds:
+        """Of the individuals that have these items; their values are the two alleles, ``2 * (x > 0) + (y > 0)``."""
+        k, h = max(1, self.count), max(1, len(self.misses))
+        pairs, kind = np.unique(self.kind[first] * k + self.kind[second], return_inverse=True)
+        holes, hole = np.unique(self.hole[first] * h + self.hole[second], return_inverse=True)
+        x, y, make = pairs // k, pairs % k, self.make
+
+        def both(t):
+            m = (make(t) > 0).view(np.int8)
+            return 2 * pick(m, x) + pick(m, y)
+
+        return Kinds(kind, hole, self.misses[holes // h] | self.misses[holes % h], both, self.pattern)
+
+
+def called_sums(x: np.ndarray, at: np.ndarray, kinds: Kinds, weights: np.ndarray) -> np.ndarray:
+    """Per variant, the sum over called items of their kinds' values (small integers)."""
+    exact = np.float32 if int(weights.sum()) * int(x.max(initial=1)) < 1 << 24 else np.float64
+    by_hole = x.astype(exact) @ weights.astype(exact)
+    return (by_hole * ~kinds.misses.T[at]).sum(axis=1, dtype=np.float64).astype(np.int64)
+
+
+def called_items(at: np.ndarray, kinds: Kinds) -> np.ndarray:
+    """Called items of each variant."""
+    return (~kinds.misses.T @ np.bincount(kinds.hole, minlength=len(kinds.misses)))[at]
 
 
 @dataclass(frozen=True)
@@ -194,6 +253,12 @@ class Panel:
             return tuple(self.pops[population])
         return tuple(int(i) for i in population)
 
+    def kinds(self, population=None) -> Kinds | None:
+        """The kinds of a population's haplotypes, if the panel's source knows any."""
+        if self.source is None or self.source.kinds is None:
+            return None
+        return self.source.kinds(np.array(self.columns(population), np.int64))
+
     # -- restrictions -------------------------------------------------------------
 
     def with_variants(self, variants: DataFrame) -> Panel:
@@ -209,7 +274,7 @@ class Panel:
     def population(self, population) -> Panel:
         """The haplotypes of one population, with ``all`` as the only one."""
         cols = self.columns(population)
-        source = Source(self.rows if self.source is not None else self.variants.select("chrom", "pos", "alleles"), self._make_of(cols))
+        source = Source(self.rows if self.source is not None else self.variants.select("chrom", "pos", "alleles"), self._make_of(cols), self._kinds_of(cols))
         chosen = replace(self, variants=_alleles(source, len(cols)), source=source, individual=tuple(self.individual[i] for i in cols), pops={}, samples=None)
         # rows that hold alleles get shorter where they are read; made ones aren't made yet
         return chosen if self.source is not None else replace(chosen, source=None)
@@ -222,6 +287,10 @@ class Panel:
             return lambda of: make(cols if of is None else cols[of])
         return lambda of: lambda t: allele_matrix(t.column("alleles"))[:, cols if of is None else cols[of]]
 
+    def _kinds_of(self, cols) -> Callable | None:
+        kinds, cols = None if self.source is None else self.source.kinds, np.array(cols, np.int64)
+        return None if kinds is None else lambda of: kinds(cols if of is None else cols[of])
+
     def at(self, positions: DataFrame) -> Panel:
         """The variants at given ``chrom, pos``."""
         return self.with_rows(self.rows.join(positions.select("chrom", "pos").distinct(), ["chrom", "pos"], "left_semi"))
@@ -345,8 +414,29 @@ class Panel:
         # one matrix with the populations side by side
         ends = np.cumsum([0] + [len(c) for c in cols]).tolist()
         pairs = [diploid_columns([self.individual[i] for i in c], range(len(c))) for c in cols] if diploid else []
-        matrix = self.matrix([i for c in cols for i in c])
         names = [f"{x}{k}" for k in range(len(cols)) for x in "nd"] + [f"{x}{k}" for k in range(len(pairs)) for x in "mha"]
+        kinds = [self.kinds(c) for c in cols]
+        matrix = self.matrix([i for c in cols for i in c])
+        kept_names = ("chrom", "pos", *keep)
+
+        def table(b, out):
+            return pa.RecordBatch.from_arrays([b.column(c) for c in kept_names] + [pa.array(x.astype(np.int32)) for x in out], [*kept_names, *names])
+
+        def run_by_kinds(batches):
+            weights = [k.weights() for k in kinds]
+            both = [k.individuals(*p) for k, p in zip(kinds, pairs)]
+            weights_of_both = [k.weights() for k in both]
+            # a piece has the kinds' values as bytes and as floats
+            for b, _ in pieces(batches, lambda t: None, 4 * max(k.width for k in [*kinds, *both])):
+                out, more = [], []
+                for k, w in zip(kinds, weights):
+                    at = k.pattern(b)
+                    out += [called_items(at, k), called_sums(k.make(b) > 0, at, k, w)]
+                for k, w in zip(both, weights_of_both):
+                    g, at = k.make(b), k.pattern(b)
+                    het = (g == 1) | (g == 2)
+                    more += [called_items(at, k), called_sums(het, at, k, w), called_sums((g == 3) * np.int8(2) + het, at, k, w)]
+                yield table(b, out + more)
 
         def run(batches):
             for b, m in pieces(batches, matrix, ends[-1]):
@@ -356,12 +446,12 @@ class Panel:
                     x, y = pick(part, first), pick(part, second)
                     both, x, y = (x >= 0) & (y >= 0), x > 0, y > 0
                     out += [tally(both), tally(both & (x != y)), tally(both & x) + tally(both & y)]
-                yield pa.RecordBatch.from_arrays([b.column(c) for c in ("chrom", "pos", *keep)] + [pa.array(x.astype(np.int32)) for x in out], ["chrom", "pos", *keep, *names])
+                yield table(b, out)
 
         rows = self.rows if self.source is not None else self.variants.select("chrom", "pos", "alleles", *keep)
         kept = T.StructType([f for f in rows.schema.fields if f.name in ("chrom", "pos", *keep)])
         schema = T.StructType([kept[c] for c in ("chrom", "pos", *keep)] + [T.StructField(n, T.IntegerType()) for n in names])
-        return rows.mapInArrow(run, schema)
+        return rows.mapInArrow(run if None in kinds else run_by_kinds, schema)
 
     def complete_only(self, *populations) -> Panel:
         """Sites without a missing call in any of the populations (for ``missing_data='exclude'``)."""
@@ -378,10 +468,10 @@ class Panel:
 
     def count_missing(self, axis: int | None = None):
         """Missing calls: in all, per variant (0, a DataFrame) or per haplotype (1, an array)."""
-        return self._tally(axis, lambda m: m < 0)
+        return self._tally(axis, True)
 
     def count_called(self, axis: int | None = None):
-        return self._tally(axis, lambda m: m >= 0)
+        return self._tally(axis, False)
 
     def is_missing(self, axis: int | None = None):
         """Which calls are missing; with an axis, whether any is."""
@@ -395,9 +485,12 @@ class Panel:
         found = self.is_missing(axis)
         return ~found if axis == 1 else found.withColumn("called", ~F.col("missing")).drop("missing")
 
-    def _tally(self, axis, test):
-        width, matrix = self.num_haplotypes, self.matrix()
+    def _tally(self, axis, missing: bool):
+        width, matrix, kinds = self.num_haplotypes, self.matrix(), self.kinds()
         rows = self.variants.select("chrom", "pos", "alleles") if self.source is None else self.rows
+        test = (lambda m: m < 0) if missing else (lambda m: m >= 0)
+        if kinds is not None:
+            return self._tally_by_kinds(axis, missing, kinds)
         if axis == 0:
 
             def per_site(batches):
@@ -421,6 +514,30 @@ class Panel:
             out[r.hap] = r.n
         return out if axis == 1 else int(out.sum())
 
+    def _tally_by_kinds(self, axis, missing: bool, kinds: Kinds):
+        """A haplotype misses what its hole misses, so sites are counted by pattern."""
+        width = self.num_haplotypes
+
+        def per_site(batches):
+            for b in batches:
+                n = called_items(kinds.pattern(b), kinds)
+                yield pa.RecordBatch.from_arrays([b.column("chrom"), b.column("pos"), pa.array(width - n if missing else n)], ["chrom", "pos", "n"])
+
+        if axis == 0:
+            return self.rows.mapInArrow(per_site, "chrom string, pos long, n long")
+
+        def patterns(batches):
+            total = np.zeros(kinds.misses.shape[1], np.int64)
+            for b in batches:
+                total += np.bincount(kinds.pattern(b), minlength=len(total))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["pattern", "n"])
+
+        sites = np.zeros(kinds.misses.shape[1], np.int64)
+        for r in self.rows.mapInArrow(patterns, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect():
+            sites[r.pattern] = r.n
+        out = ((kinds.misses if missing else ~kinds.misses) @ sites)[kinds.hole]
+        return out if axis == 1 else int(out.sum())
+
     def summarize_missing_data(self) -> dict:
         per_hap = self.count_missing(1)
         site = self.count_missing(0)
