@@ -21,8 +21,7 @@ def block_jackknife(values, statistic, *, weights=None):
     n = len(parts[0])
     if n < 2:
         return float(statistic(*parts)) if n else float("nan"), float("nan"), np.zeros(0)
-    keep = ~np.eye(n, dtype=bool)
-    left_out = np.array([statistic(*(p[k] for p in parts)) for k in keep], float)
+    left_out = np.array([statistic(*(np.delete(p, k, axis=0) for p in parts)) for k in range(n)], float)
     if weights is None:
         mean = left_out.mean()
         return float(mean), float(np.sqrt((n - 1) / n * ((left_out - mean) ** 2).sum())), left_out
