@@ -41,8 +41,14 @@ def frequency_spectra(panel: Panel, populations, missing_data: str = "include")
         return {p: FrequencySpectrum(panel, p, missing_data, n_total_sites=0) for p in names}
     sc = panel.site_counts(*names)
     each = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"n{k}").alias("n"), F.col(f"d{k}").alias("d")) for k in range(len(names))])).alias("x")
-    rows = sc.select(each).groupBy("x.k", "x.n", "x.d").agg(F.count("*").alias("sites")).collect()
-    return {p: FrequencySpectrum(table=[(r.n, r.d, r.sites) for r in rows if r.k == k]) for k, p in enumerate(names)}
+    # a large cohort has many cells, so they come as columns
+    k, n, d, sites = _columns(sc.select(each).groupBy("x.k", "x.n", "x.d").agg(F.count("*").alias("sites")), "k", "n", "d", "sites")
+    return {p: FrequencySpectrum(table=zip(n[k == i], d[k == i], sites[k == i])) for i, p in enumerate(names)}
+
+
+def _columns(df: DataFrame, *names) -> list[np.ndarray]:
+    t = df.toArrow()
+    return [t[c].to_numpy() for c in names]
 
 
 class FrequencySpectrum:
@@ -50,7 +56,7 @@ class FrequencySpectrum:
 
     def __init__(self, panel: Panel | None = None, population=None, missing_data: str = "include", *, table=None, n_total_sites: int | None = None):
         if table is None:
-            table = [(r.n, r.d, r.sites) for r in count_table(panel, population, missing_data).collect()]
+            table = zip(*_columns(count_table(panel, population, missing_data), "n", "d", "sites"))
             n_total_sites = n_total_sites if n_total_sites is not None else panel.n_total_sites
         self.sfs_by_n: dict[int, np.ndarray] = {}
         for n, d, sites in table:
