@@ -160,7 +160,8 @@ def windowed(panel: Panel, params: WindowParams, statistics=("pi",), populations
     else:
         span = F.when(F.col("end") > F.col("start"), (F.col("end") - F.col("start")).cast("double"))
     cols = []
-    for k, suffix in of_one:
+    # null variances of a large cohort are dear, so only where asked for
+    for k, suffix in of_one if single else ():
         made = _single_columns(single, suffix, len(base.columns(pops[k])), span)
         cols += [made[s].alias(s + suffix) for s in single]
     for _, _, suffix in of_two if two else ():

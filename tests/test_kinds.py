@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 import verify
-from sitefold.operators import panel
+from sitefold.operators import panel, windows
 from sitefold.operators.resampling import block_jackknife
 from sitefold.plans import fixture, registry
 
@@ -73,3 +73,11 @@ def test_the_jackknife_takes_no_square_of_the_blocks():
     tracemalloc.stop()
     assert np.allclose(left_out, (x.sum() - x) / (y.sum() - y), rtol=1e-12) and se > 0
     assert peak < 1 << 20  # 9 MB before; of 24,000 blocks 576 MB
+
+
+def test_windows_of_two_populations_take_no_null_variances(spark, tables, monkeypatch):
+    def refused(*_):
+        raise AssertionError("null variances")
+
+    monkeypatch.setattr(windows, "variance_coefficients", refused)
+    assert registry.QUERIES["windowed_divergence"](spark, tables[0]).collect()
