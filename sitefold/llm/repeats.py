@@ -38,6 +38,8 @@ by :func:`drop_repeats`.
 from __future__ import annotations
 
 import hashlib
+import itertools
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +53,8 @@ from .common import cut, discard, small_batches, table, unused, worker
 SPAN, GRAM = 50, 16
 #: Most windows in a run; bytes of text handled at once; entries, and bytes of runs, held before a flush.
 RUN, PART, FLUSH, FLUSH_BYTES = 64, 1 << 18, 1 << 19, 16 << 20
+#: Occurrences of repeats handled at once.
+OCCURRENCES = 1 << 20
 HEAVY, MOST_HEAVY = 20_000, 1_000_000
 BUCKET_ENTRIES, PART_BYTES, LEVEL = 1 << 17, 12 << 20, 3
 #: Most partitions of an exchange.
@@ -89,8 +93,13 @@ def window_runs(data: bytes):
         return np.zeros(0, np.uint64), z, z, np.zeros(0, np.uint64)
     h = _gram_hashes(data)
     m = _window_minimum(h[: len(data) - GRAM + 1])
-    start = np.flatnonzero(np.concatenate(([True], m[1:] != m[:-1])))
-    size = np.diff(np.append(start, len(m)))
+    new = np.empty(len(m), bool)
+    new[0] = True
+    np.not_equal(m[1:], m[:-1], out=new[1:])
+    start = new.nonzero()[0]
+    size = np.empty_like(start)
+    np.subtract(start[1:], start[:-1], out=size[:-1])
+    size[-1] = len(m) - start[-1]
     if size.max() > RUN:
         n = -(-size // RUN)
         base = np.repeat(start, n)
@@ -138,9 +147,15 @@ def _unpack48(b: bytes) -> np.ndarray:
     return np.frombuffer(b, "<u4", n).astype(np.uint64) | (np.frombuffer(b, "<u2", n, 4 * n).astype(np.uint64) << np.uint64(32))
 
 
+def _order(code: np.ndarray) -> np.ndarray:
+    """A stable order of whole numbers; numpy sorts short ones by digits, in a fraction of the time."""
+    short = len(code) and code.min() >= 0 and code.max() < 1 << 16
+    return np.argsort(code.astype(np.uint16) if short else code, kind="stable")
+
+
 def _groups(code: np.ndarray):
     """Order by code, distinct codes and their bounds in that order."""
-    order = np.argsort(code, kind="stable")
+    order = _order(code)
     s = code[order]
     first = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1]))) if len(s) else np.zeros(0, np.int64)
     return order, s[first], first, np.append(first[1:], len(s))
@@ -193,22 +208,24 @@ def _packed(n_parts: int, kind: int, limit: int):
     return worker(run)
 
 
-def _meeting(f):
-    """``f(known, rows)`` for each batch of documents, with all that is known of its part: lists by doc_id."""
+def _meeting(f, by_doc):
+    """``f(known, rows)`` for each batch of documents, with all that is known of its part: what ``by_doc`` makes of that table, by doc_id."""
 
     def batches_of(batches):
-        part, known = None, {}
+        part, told, known = None, [], {}
         for b in batches:
             for p, kind, data in zip(b.column("part").to_pylist(), b.column("kind").to_pylist(), b.column("data")):
                 if p != part:
-                    part, known = p, {}
-                rows = pa.ipc.open_stream(data.as_buffer()).read_all().to_batches()
-                for r in rows:
-                    if kind:
-                        yield known, r
-                    else:
-                        for doc, x in zip(r.column("doc_id").to_pylist(), r.column("known").to_pylist()):
-                            known.setdefault(doc, []).append(x)
+                    part, told, known = p, [], {}
+                rows = pa.ipc.open_stream(data.as_buffer()).read_all()
+                if not kind:
+                    told.append(rows)
+                    continue
+                if told:  # what is known of a part comes before its documents
+                    known = by_doc(pa.concat_tables(told))
+                    told = []
+                for r in rows.to_batches():
+                    yield known, r
 
     return worker(lambda batches: f(batches_of(batches)))
 
@@ -217,16 +234,16 @@ _PACKED = "part int, kind int, data binary"
 
 
 def _packed_known(n_parts: int, f):
-    """Packed rows ``doc_id, known`` of what ``f`` finds, in the same worker: an idle one would hold its memory."""
+    """Packed rows of what ``f`` finds, in the same worker: an idle one would hold its memory."""
     pack = _packed(n_parts, 0, 8 << 20)
     return worker(lambda batches: pack(f(batches)))
 
 
-def meet(documents: DataFrame, known: DataFrame, n_parts: int, f, schema) -> DataFrame:
-    """Run ``f`` over documents together with what the packed rows ``known`` say of them."""
+def meet(documents: DataFrame, known: DataFrame, n_parts: int, by_doc, f, schema) -> DataFrame:
+    """Run ``f`` over documents together with what the packed rows ``known`` say of them, by ``by_doc``."""
     d = documents.mapInArrow(_packed(n_parts, 1, 16 << 20), _PACKED)
     both = _dealt(known.unionByName(d), n_parts, "part").sortWithinPartitions("part", "kind")
-    return both.mapInArrow(_meeting(f), schema)
+    return both.mapInArrow(_meeting(f, by_doc), schema)
 
 
 def _dealt(rows: DataFrame, n: int, key: str) -> DataFrame:
@@ -240,48 +257,50 @@ def _dealt(rows: DataFrame, n: int, key: str) -> DataFrame:
 def _doc_texts(batches):
     for b in batches:
         for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text")):
-            t = text.as_py()
-            if doc is not None and t:
-                data = t.encode()
+            if doc is not None and text.is_valid:
+                data = text.as_buffer().to_pybytes()
                 if len(data) >= SPAN:
                     yield doc, data
 
 
 def _scan(buckets: int):
     def run(batches):
-        docs, ms, held = [], [], 0
+        found, held = [], 0
 
         def flush():
-            d, m = np.concatenate(docs), np.concatenate(ms)
-            order = np.lexsort((d, m))
-            d, m = d[order], m[order]
+            found.sort(key=lambda x: x[0])
+            n = [len(x) for _, x in found]
+            docs, rank = np.array([doc for doc, _ in found], np.int64), np.repeat(np.arange(len(n)), n)
+            m = np.concatenate([x for _, x in found])
+            order = np.argsort(m, kind="stable")  # by document among equal ones
+            rank, m = rank[order], m[order]
+            d = docs[rank]
             fresh = np.concatenate(([True], (m[1:] != m[:-1]) | (d[1:] != d[:-1])))
-            d, m = d[fresh], m[fresh]
+            rank, d, m = rank[fresh], d[fresh], m[fresh]
             first = np.flatnonzero(np.concatenate(([True], m[1:] != m[:-1])))
             count = np.diff(np.append(first, len(m)))
             shared = np.repeat(count > 1, count)
             out = []
             # one of each minimiser asks; those in several documents of this flush are known already
-            to = _bucket_of(m[first], buckets).astype(np.int64)
-            order = np.lexsort((d[first], to))
-            dd, mm, cc, to = d[first][order], m[first][order], count[order], to[order]
-            _, keys, a, b = _groups(to)
+            order = _order(rank[first])
+            to, keys, a, b = _groups(_bucket_of(m[first][order], buckets))
+            order = order[to]
+            dd, mm, cc = d[first][order], m[first][order], count[order]
             for k, x, y in zip(keys.tolist(), a.tolist(), b.tolist()):
                 out.append((k, 0, dd[x:y].tobytes(), _pack40(mm[x:y] >> np.uint64(24)), np.minimum(cc[x:y], 65535).astype("<u2").tobytes()))
-            dd, mm = d[shared], _short(m[shared], buckets)
-            order, keys, a, b = _groups((_mix(dd) % np.uint64(buckets)).astype(np.int64))
+            order = np.flatnonzero(shared)[_order(rank[shared])]
+            dd, mm = d[order], _short(m[order], buckets)
+            order, keys, a, b = _groups(_mix(dd) % np.uint64(buckets))
             for k, x, y in zip(keys.tolist(), a.tolist(), b.tolist()):
                 i = order[x:y]
-                i = i[np.argsort(dd[i], kind="stable")]
                 out.append((k, 1, dd[i].tobytes(), _pack48(mm[i]), b""))
-            docs.clear(), ms.clear()
+            found.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["bucket", "known", "docs", "ms", "counts"])
 
         for doc, data in _doc_texts(batches):
             for _, part in parts(data):
-                m = np.unique(window_runs(part)[0])
-                ms.append(m)
-                docs.append(np.full(len(m), doc, np.int64))
+                m = window_runs(part)[0]
+                found.append((doc, m))
                 held += len(m)
             if held > FLUSH:
                 yield flush()
@@ -306,7 +325,9 @@ def _by_bucket(batches, columns):
         yield now, rows
 
 
-def _answer(heavy: int):
+def _answer(heavy: int, hot: list[bytes]):
+    """Shared minimisers with their documents, of one bucket after the other; heavy ones go to ``hot`` as well."""
+
     def run(batches):
         for bucket, rows in _by_bucket(batches, ("known", "docs", "ms", "counts")):
             for known, d, m, _ in rows:
@@ -318,17 +339,19 @@ def _answer(heavy: int):
             d = np.concatenate([np.frombuffer(r[1], np.int64) for r in ask])
             m = np.concatenate([_unpack40(r[2], bucket) for r in ask])
             c = np.concatenate([np.frombuffer(r[3], "<u2") for r in ask]).astype(np.int64)
-            order = np.argsort(m, kind="stable")
+            order = np.argsort(m)
             d, m, c = d[order], m[order], c[order]
             first = np.flatnonzero(np.concatenate(([True], m[1:] != m[:-1])))
             size = np.diff(np.append(first, len(m)))
             total, low, high = np.add.reduceat(c, first), np.minimum.reduceat(d, first), np.maximum.reduceat(d, first)
-            shared = np.repeat((low < high) | (total > size), size)
-            yield _answers(d[shared & (c == 1)], m[shared & (c == 1)])
             if (total > heavy).any():
-                yield _answers(np.zeros((total > heavy).sum(), np.int64), m[first][total > heavy], heavy=True)
+                hot.append(_pack48(m[first][total > heavy]))
+            told = np.repeat((low < high) | (total > size), size) & (c == 1)
+            d, m = d[told], m[told]
+            order = np.argsort(d)
+            yield _answers(d[order], m[order])
 
-    return worker(run)
+    return run
 
 
 def _answers_packed(heavy: int, n_parts: int):
@@ -337,26 +360,23 @@ def _answers_packed(heavy: int, n_parts: int):
 
     def run(batches):
         hot: list[bytes] = []
-
-        def light():
-            for b in _answer(heavy)(batches):
-                if b.num_rows and b.column("heavy")[0].as_py():
-                    hot.extend(b.column("known").to_pylist())
-                else:
-                    yield b.select(["doc_id", "known"])
-
-        yield from pack(light())
+        yield from pack(_answer(heavy, hot)(batches))
         if hot:
             yield pa.RecordBatch.from_arrays([pa.array([-1] * len(hot), pa.int32()), pa.array([2] * len(hot), pa.int32()), pa.array(hot, pa.binary())], ["part", "kind", "data"])
 
     return worker(run)
 
 
-def _answers(d: np.ndarray, m: np.ndarray, heavy: bool = False):
-    o, keys, a, b = _groups(d)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(keys, pa.int64()), pa.array([heavy] * len(keys), pa.bool_()), pa.array([_pack48(m[o[x:y]]) for x, y in zip(a.tolist(), b.tolist())], pa.binary())], ["doc_id", "heavy", "known"]
-    )
+def _answers(d: np.ndarray, m: np.ndarray):
+    """A row for each: the 48 bits of a minimiser in two columns."""
+    return pa.RecordBatch.from_arrays([pa.array(d), pa.array(m.astype(np.uint32)), pa.array((m >> np.uint64(32)).astype(np.uint16))], ["doc_id", "low", "high"])
+
+
+def _minimisers(told: pa.Table) -> dict[int, np.ndarray]:
+    """Shared minimisers by document."""
+    order, docs, a, b = _groups(told["doc_id"].to_numpy())
+    m = (told["low"].to_numpy().astype(np.uint64) | (told["high"].to_numpy().astype(np.uint64) << np.uint64(32)))[order]
+    return {doc: m[x:y] for doc, x, y in zip(docs.tolist(), a.tolist(), b.tolist())}
 
 
 # -- 2: runs that share a minimiser -------------------------------------------
@@ -376,27 +396,37 @@ def _merged(doc: np.ndarray, tag: np.ndarray, a: np.ndarray, b: np.ndarray):
     """Spans of many texts, overlapping and adjacent ones joined up, in order."""
     if not len(doc):
         return doc, tag, a, b
-    order = np.lexsort((a, tag, doc))
-    doc, tag, a, b = doc[order], tag[order], a[order], b[order]
-    rank = np.cumsum(np.concatenate(([0], (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1]))))
-    base = rank * (1 << 40)
+    # rows of a text mostly lie side by side, so such stretches are ranked, and rows ordered by one number
+    new = np.concatenate(([True], (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])))
+    at = np.flatnonzero(new)
+    order = np.lexsort((tag[at], doc[at]))
+    d, g = doc[at[order]], tag[at[order]]
+    rank = np.empty(len(at), np.int64)
+    rank[order] = np.cumsum(np.concatenate(([0], (d[1:] != d[:-1]) | (g[1:] != g[:-1]))))
+    base = (rank * (1 << 40))[np.cumsum(new) - 1]
+    order = np.argsort(base + a)
+    doc, tag, a, b, base = doc[order], tag[order], a[order], b[order], base[order]
     reach = np.maximum.accumulate(base + b)
     at = np.flatnonzero(np.concatenate(([True], (base + a)[1:] > reach[:-1])))
     end = np.append(at[1:], len(doc)) - 1
     return doc[at], tag[at], a[at], reach[end] - base[end]
 
 
-def _coded(slices: list[bytes], codes: dict[bytes, int]) -> np.ndarray:
-    put = codes.setdefault
-    return np.array([put(x, len(codes)) for x in slices], np.int64)
+def _codes() -> dict[bytes, int]:
+    """Gives each string that it is asked for a number, from 0 in order of appearance."""
+    return defaultdict(itertools.count().__next__)
+
+
+def _coded(data: bytes, a: np.ndarray, b: np.ndarray, codes: dict[bytes, int]) -> np.ndarray:
+    """The codes of these ranges of the data."""
+    return np.fromiter(map(codes.__getitem__, map(data.__getitem__, map(slice, a.tolist(), b.tolist()))), np.int64, len(a))
 
 
 def _lowest(code: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """The smallest doc of each row's code."""
-    order, _, first, end = _groups(code)
-    out = np.empty(len(code), np.int64)
-    out[order] = np.repeat(np.minimum.reduceat(doc[order], first), end - first) if len(code) else doc
-    return out
+    """The smallest doc of each row's code, a number from 0."""
+    low = np.full(code.max(initial=-1) + 1, np.iinfo(np.int64).max)
+    np.minimum.at(low, code, doc)
+    return low[code]
 
 
 def _runs(buckets: int, heavy: np.ndarray):
@@ -405,17 +435,18 @@ def _runs(buckets: int, heavy: np.ndarray):
     kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 5)
 
     def run(meetings):
-        codes: dict[bytes, int] = {}
+        codes = _codes()
         rows: list[tuple] = []  # arrays: code, bucket, doc, tag, offset, bytes
         held = 0
 
         def flush():
+            nonlocal codes
             code, to, doc, tag, at, size = (np.concatenate(x) for x in zip(*rows))
             text = [*codes]
             late = doc > _lowest(code, doc)
             out = []
             d, g, a, b = _merged(doc[late], tag[late], at[late], at[late] + size[late])
-            order, keys, lo, hi = _groups((_mix(d) % np.uint64(buckets)).astype(np.int64))
+            order, keys, lo, hi = _groups(_mix(d) % np.uint64(buckets))
             for k, x, y in zip(keys.tolist(), lo.tolist(), hi.tolist()):
                 i = order[x:y]
                 out.append((k, 1, d[i].tobytes(), g[i].tobytes(), a[i].tobytes(), (b[i] - a[i]).tobytes(), b""))
@@ -425,16 +456,17 @@ def _runs(buckets: int, heavy: np.ndarray):
             for k, x, y in zip(keys.tolist(), lo.tolist(), hi.tolist()):
                 i = order[x:y]
                 out.append((k, 0, doc[i].tobytes(), tag[i].tobytes(), at[i].tobytes(), size[i].tobytes(), squeeze(b"".join(map(text.__getitem__, code[i].tolist())))))
-            codes.clear(), rows.clear()
+            codes = _codes()
+            rows.clear()
             for k in range(0, len(out), 64):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[k : k + 64]), kinds)], names)
 
         for known, b in meetings:
             for doc, tag, text in zip(b.column("doc_id").to_pylist(), b.column("tag").to_pylist(), b.column("text")):
-                if doc not in known or text.as_py() is None:
+                if doc not in known or not text.is_valid:
                     continue
-                wanted = np.unique(np.concatenate([_unpack48(x) for x in known[doc]]))
-                data = text.as_py().encode()
+                wanted = np.sort(known[doc])
+                data = text.as_buffer().to_pybytes()
                 for base, part in parts(data):
                     m, start, size, h = window_runs(part)
                     if not len(m):
@@ -444,13 +476,13 @@ def _runs(buckets: int, heavy: np.ndarray):
                     hot = _in(heavy, short[hit])
                     i = hit[~hot]
                     a, z = start[i], start[i] + size[i] + SPAN - 1
-                    rows.append((_coded([part[x:y] for x, y in zip(a.tolist(), z.tolist())], codes), _bucket_of(m[i], buckets).astype(np.int64), np.full(len(i), doc, np.int64), np.full(len(i), tag, np.int64), a + base, z - a))
+                    rows.append((_coded(part, a, z, codes), _bucket_of(m[i], buckets).astype(np.int64), np.full(len(i), doc, np.int64), np.full(len(i), tag, np.int64), a + base, z - a))
                     held += int((z - a).sum()) + 90 * len(i)
                     if hot.any():  # each window by its own hash
                         n = size[hit[hot]]
                         a = np.repeat(start[hit[hot]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                         to = ((h[a] * _C[0] ^ h[a + SPAN - GRAM]) * _C[1] >> np.uint64(20)) % np.uint64(buckets)
-                        rows.append((_coded([part[x : x + SPAN] for x in a.tolist()], codes), to.astype(np.int64), np.full(len(a), doc, np.int64), np.full(len(a), tag, np.int64), a + base, np.full(len(a), SPAN)))
+                        rows.append((_coded(part, a, a + SPAN, codes), to.astype(np.int64), np.full(len(a), doc, np.int64), np.full(len(a), tag, np.int64), a + base, np.full(len(a), SPAN)))
                         held += 140 * len(a)
                     if held > FLUSH_BYTES:
                         yield from flush()
@@ -470,11 +502,16 @@ def _in(ordered: np.ndarray, values: np.ndarray) -> np.ndarray:
 # -- 3: enhanced suffix array of a bucket -------------------------------------
 
 
+#: Left of suffixes that aren't all behind the same byte.
+DIVERSE = -1
+
+
 class SuffixArray:
     """Sorted suffixes of several strings, with common prefixes of neighbours.
 
-    Only suffixes of at least ``least`` bytes whose first ``least`` bytes occur
-    more than once (by hash) take part: others have no common prefix that long.
+    Only suffixes of at least ``least`` bytes whose first ``least`` bytes occur more
+    than once (by hash), and not always behind the same byte, take part: others have
+    no common prefix that long, or one that can always be extended to the left.
     """
 
     def __init__(self, strings: list[bytes], least: int):
@@ -491,15 +528,23 @@ class SuffixArray:
         for k in [*range(0, least - 7, 8), max(0, least - 8)]:
             h = (h ^ words[pos + k] if least >= 8 else h ^ text[pos]) * _C[1]
             h ^= h >> np.uint64(31)
-        order = np.argsort(h, kind="stable")
+        #: The byte to the left of each suffix, or DIVERSE if it starts its string.
+        left = np.where(at > 0, text[pos - 1].astype(np.int16), DIVERSE)
+        order = np.argsort(h)
         s = h[order]
-        same = np.concatenate(([False], s[1:] == s[:-1])) if len(s) else np.zeros(0, bool)
-        twice = same | np.concatenate((same[1:], [False])) if len(s) else same
-        keep = np.sort(order[twice])
-        self.owner, self.pos = owner[keep], pos[keep]
+        first = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1]))) if len(s) else np.zeros(0, np.int64)
+        size = np.diff(np.append(first, len(s)))
+        keep = np.sort(order[np.repeat((size > 1) & self._diverse(left[order], first), size)])
+        self.owner, self.pos, self.left = owner[keep], pos[keep], left[keep]
         self.rest = (self.starts + sizes)[self.owner] - self.pos
         self._sort(words)
 
+    @staticmethod
+    def _diverse(left: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Whether left bytes differ, or one is missing, in each group from these rows on."""
+        low, high = np.minimum.reduceat(left, first), np.maximum.reduceat(left, first)
+        return (low != high) | (low == DIVERSE)
+
     def _sort(self, words: np.ndarray) -> None:
         n = len(self.pos)
         if not n:
@@ -513,7 +558,7 @@ class SuffixArray:
             w = np.where(left == 0, np.uint64(0), (w >> np.minimum(shift, np.uint64(63))) << np.minimum(shift, np.uint64(63)))
             keys.append(w)
         order = np.lexsort((self.owner, self.rest, *reversed(keys)))
-        self.owner, self.pos, self.rest = self.owner[order], self.pos[order], self.rest[order]
+        self.owner, self.pos, self.rest, self.left = self.owner[order], self.pos[order], self.rest[order], self.left[order]
         lcp = np.zeros(n, np.int64)
         going = np.ones(n, bool)
         going[0] = False
@@ -540,24 +585,35 @@ class SuffixArray:
         A stack scan visits the intervals of the common-prefix tree bottom-up. Every
         open interval carries the byte to the left of its suffixes, or DIVERSE if
         they differ or one starts its string; only diverse intervals are maximal.
+        Outermost intervals that aren't diverse, or have none inside, need no scan.
         """
-        diverse = -1
-        lefts = [self.data[p - 1] if p != s else diverse for p, s in zip(self.pos.tolist(), self.starts[self.owner].tolist())]
+        if not len(self.pos):
+            return
+        outer = self.lcp < self.least
+        first = np.flatnonzero(outer)
+        end = np.append(first[1:], len(outer))
+        low, high = np.minimum.reduceat(np.where(outer, np.iinfo(np.int64).max, self.lcp), first), np.maximum.reduceat(np.where(outer, 0, self.lcp), first)
+        diverse = (end - first > 1) & self._diverse(self.left, first)
+        flat = diverse & (low == high)
+        yield from zip(high[flat].tolist(), first[flat].tolist(), end[flat].tolist())
+        nested = diverse & (low != high)
+        for a, b in zip(first[nested].tolist(), end[nested].tolist()):
+            yield from self._scan(a, b)
+
+    def _scan(self, start: int, end: int):
+        lefts = self.left[start:end].tolist()
         stack: list[list[int]] = []  # length, first suffix, left byte
-        n = len(lefts)
-        for i, depth in enumerate([*self.lcp.tolist(), 0]):
-            if i == 0:
-                continue
-            first, left = i - 1, lefts[i - 1]
+        for i, depth in enumerate([*self.lcp[start + 1 : end].tolist(), 0], start + 1):
+            first, left = i - 1, lefts[i - 1 - start]
             while stack and stack[-1][0] > depth:
                 length, first, own = stack.pop()
-                own = own if own == left else diverse
-                if own == diverse:
+                own = own if own == left else DIVERSE
+                if own == DIVERSE:
                     yield length, first, i
                 left = own
-            if depth >= self.least and i < n:
+            if depth >= self.least:
                 if stack and stack[-1][0] == depth:
-                    stack[-1][2] = stack[-1][2] if stack[-1][2] == left else diverse
+                    stack[-1][2] = stack[-1][2] if stack[-1][2] == left else DIVERSE
                 else:
                     stack.append([depth, first, left])
 
@@ -568,20 +624,32 @@ def repeat_spans(strings: list[bytes], docs: np.ndarray, least: int = SPAN):
     if not len(sa.pos):
         return None
     of, own, at = np.asarray(docs, np.int64)[sa.owner], sa.owner, sa.pos - sa.starts[sa.owner]
+    repeats = np.array([*sa.maximal_repeats()], np.int64).reshape(-1, 3)
+    # repeats nest, so their occurrences are looked at so many at a time
+    share = np.cumsum(repeats[:, 2] - repeats[:, 1]) // OCCURRENCES
     found = []
-    for length, a, b in sa.maximal_repeats():
-        late = np.flatnonzero(of[a:b] > of[a:b].min()) + a
-        if len(late):
-            found.append((own[late], at[late], at[late] + length))
-    return tuple(np.concatenate(x) for x in zip(*found)) if found else None
+    for some in np.split(repeats, np.flatnonzero(share[1:] != share[:-1]) + 1):
+        length, a, b = some.T
+        low = np.minimum.reduceat(np.append(of, 0), np.stack((a, b), axis=1).ravel())[::2]
+        i = _spread(a, b - a)
+        late = of[i] > np.repeat(low, b - a)
+        i, length = i[late], np.repeat(length, b - a)[late]
+        found.append((own[i], at[i], at[i] + length))
+    own, a, b = (np.concatenate(x) for x in zip(*found))
+    return (own, a, b) if len(own) else None
+
+
+def _spread(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The ``n`` numbers from each first one."""
+    return np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
 
 
 def _spans(batches):
-    """What texts lose by each bucket: ``doc_id, known``, the tag and then starts and ends."""
+    """What texts lose by each bucket: ``doc_id, tag, start, end``."""
     opened = zstandard.ZstdDecompressor()
     for _, rows in _by_bucket(batches, ("kind", "docs", "tags", "starts", "sizes", "data")):
         found = []  # arrays: doc, tag, start, end
-        codes: dict[bytes, int] = {}
+        codes = _codes()
         held = []  # arrays: code, doc, tag, offset, bytes
         for kind, *numbers, data in rows:
             d, g, s, n = (np.frombuffer(x, np.int64) for x in numbers)
@@ -590,7 +658,7 @@ def _spans(batches):
                 continue
             data = opened.decompress(data)
             z = np.cumsum(n)
-            held.append((_coded([data[x:y] for x, y in zip((z - n).tolist(), z.tolist())], codes), d, g, s, n))
+            held.append((_coded(data, z - n, z, codes), d, g, s, n))
         rows.clear()
         if held:
             code, doc, tag, at, size = (np.concatenate(x) for x in zip(*held))
@@ -606,26 +674,32 @@ def _spans(batches):
                 of, a, b = inner
                 # a string's ranges hold for each of its places in its first document
                 code, doc, tag, at = code[~late], doc[~late], tag[~late], at[~late]
-                order = np.argsort(code, kind="stable")
-                code, doc, tag, at = code[order], doc[order], tag[order], at[order]
-                lo, hi = np.searchsorted(code, of), np.searchsorted(code, of, "right")
-                n = hi - lo
-                i = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                order = _order(code)
+                places = np.bincount(code, minlength=len(strings))
+                n = places[of]
+                i = order[_spread((np.cumsum(places) - places)[of], n)]
                 found.append((doc[i], tag[i], at[i] + np.repeat(a, n), at[i] + np.repeat(b, n)))
         doc, tag, a, b = (np.concatenate(x) for x in zip(*found))
         if len(doc):
-            doc, tag, a, b = _merged(doc, tag, a, b)
-            first = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1]))))
-            packed = np.stack((a, b), axis=1)
-            known = [tag[x : x + 1].tobytes() + packed[x:y].tobytes() for x, y in zip(first.tolist(), np.append(first[1:], len(doc)).tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array(doc[first], pa.int64()), pa.array(known, pa.binary())], ["doc_id", "known"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in _merged(doc, tag, a, b)], ["doc_id", "tag", "start", "end"])
+
+
+def _ranges(told: pa.Table) -> dict[int, list[bytes]]:
+    """What texts lose by document: for each text its tag and then starts and ends."""
+    doc, tag, a, b = _merged(*(told[c].to_numpy() for c in ("doc_id", "tag", "start", "end")))
+    first = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1]))))
+    packed = np.stack((a, b), axis=1)
+    known: dict[int, list[bytes]] = {}
+    for k, x, y in zip(doc[first].tolist(), first.tolist(), np.append(first[1:], len(doc)).tolist()):
+        known.setdefault(k, []).append(tag[x : x + 1].tobytes() + packed[x:y].tobytes())
+    return known
 
 
 # -- 4: documents -------------------------------------------------------------
 
 
 def find_spans(documents: DataFrame, n_parts: int, total: int, entries: int = BUCKET_ENTRIES, heavy: int = HEAVY) -> DataFrame:
-    """Packed rows ``doc_id, known`` of ``documents(doc_id, text, tag)``: the tag, then (start, end) byte ranges, in one or several rows per text with any."""
+    """Packed rows ``doc_id, tag, start, end`` of ``documents(doc_id, text, tag)``: byte ranges, which may overlap or adjoin."""
     d = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "tag")
     buckets = int(max(16, total // 16 // entries + 1))
     heavy = max(heavy, total // 16 // MOST_HEAVY)
@@ -635,7 +709,7 @@ def find_spans(documents: DataFrame, n_parts: int, total: int, entries: int = BU
     hot = [_unpack48(bytes(r.data)) for r in answers.where("kind = 2").select("data").collect()]
     hot = np.unique(np.concatenate(hot)) if hot else np.zeros(0, np.uint64)
     wanted = answers.where("kind = 0")
-    runs = meet(d, wanted, n_parts, _runs(buckets, hot), "bucket int, kind int, docs binary, tags binary, starts binary, sizes binary, data binary")
+    runs = meet(d, wanted, n_parts, _minimisers, _runs(buckets, hot), "bucket int, kind int, docs binary, tags binary, starts binary, sizes binary, data binary")
     spans = cut(_dealt(runs, buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_packed_known(n_parts, _spans), _PACKED))
     discard(answers)
     return spans
@@ -660,7 +734,7 @@ def with_spans(documents: DataFrame, f, schema, entries: int = BUCKET_ENTRIES, h
     tag = unused(documents.columns, "tag")
     d = documents.withColumn(tag, F.xxhash64("text"))
     spans = find_spans(d.select("doc_id", "text", F.col(tag).alias("tag")), n_parts, total, entries, heavy)
-    return meet(d, spans, n_parts, f(tag), schema)
+    return meet(d, spans, n_parts, _ranges, f(tag), schema)
 
 
 _KINDS = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
@@ -671,7 +745,7 @@ def _digest(tag: str):
         for known, b in meetings:
             rows = []
             for doc, g, text in zip(b.column("doc_id").to_pylist(), b.column(tag).to_pylist(), b.column("text")):
-                data = (text.as_py() or "").encode()
+                data = text.as_buffer().to_pybytes() if text.is_valid else b""
                 kept, spans = cut_out(data, known.get(doc), g)
                 rows.append((doc, len(data), len(data) - len(kept), len(spans), hashlib.sha256(kept).hexdigest()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows), _KINDS)], [n for n, _ in _KINDS])

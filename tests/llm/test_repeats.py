@@ -1,7 +1,9 @@
 import hashlib
 import random
+import sys
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sitefold.llm import repeats
@@ -151,3 +153,33 @@ def test_the_stage_drops_only_texts_that_lost_all(spark, docs_of):
     docs = docs_of([line, line, "", None], [1, 2, 3, 4], source=list("abcd"))
     got = corpus_pipeline.drop_repeated_strings(spark, docs, "")
     assert got.columns == docs.columns and sorted((r.doc_id, r.text) for r in got.collect()) == [(1, line), (3, ""), (4, None)]
+
+
+def test_no_step_of_python_for_each_document_of_a_bucket():
+    """Shared minimisers are answered, and given back by document, as whole columns."""
+    n = 3000
+    ids, ms = np.arange(n, dtype=np.int64), np.repeat(np.arange(n // 2, dtype=np.uint64), 2)
+    asked = pa.RecordBatch.from_pylist([{"bucket": 0, "known": 0, "docs": ids.tobytes(), "ms": repeats._pack40(ms), "counts": np.ones(n, "<u2").tobytes()}])
+    calls = 0
+
+    def count(frame, event, _):
+        nonlocal calls
+        calls += event == "call" and frame.f_code.co_filename == repeats.__file__
+
+    answer = repeats._answers_packed(repeats.HEAVY, 2)
+    sys.setprofile(count)
+    try:
+        packed = list(answer(iter([asked])))
+    finally:
+        sys.setprofile(None)
+    assert calls < 200  # 3,000 and more before
+    rows = pa.concat_tables([pa.ipc.open_stream(d.as_buffer()).read_all() for b in packed for d in b.column("data")])
+    assert rows.num_rows == n and {k: v.tolist() for k, v in repeats._minimisers(rows).items()} == {k: [k // 2] for k in range(n)}
+
+
+def test_suffixes_that_always_follow_the_same_byte_are_not_sorted():
+    rng = random.Random(3)
+    passage = bytes(rng.choices(b"abcdefgh", k=100))
+    sa = repeats.SuffixArray([b"x" + passage + b"1", b"y" + passage + b"2"], 50)
+    assert len(sa.pos) == 2  # 102 before: of the repeat's own suffixes only the longest can't be extended to the left
+    assert [(n, sorted(sa.pos[a:b].tolist())) for n, a, b in sa.maximal_repeats()] == [(100, [1, 103])]
